@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +67,21 @@ def crc_mod(col: Column | str, mod: int) -> Column:
 def held_out(col: str, mod: int, rest: int) -> Column:
     """Whether a row is held out: the crc32 of its id as text leaves the remainder; false for null ids."""
     return F.coalesce(crc_mod(col, mod) == rest, F.lit(False))
+
+
+def small(batch: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most limit bytes of text each (or one row), to bound what Python holds at once."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file; operators take any path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

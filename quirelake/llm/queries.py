@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quirelake.llm import exact_dedup, secrets
+from quirelake.llm import bpe, exact_dedup, secrets, token_counts
 
 QUERIES = {
+    "op4_token_counts": token_counts.op4_token_counts,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op9_secret_scan": secrets.op9_secret_scan,
 }
 
