@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quirelake.llm import bpe, exact_dedup, secrets, token_counts
+from quirelake.llm import bpe, exact_dedup, language_id, quality, secrets, token_counts
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
