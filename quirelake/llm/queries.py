@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quirelake.llm import bpe, exact_dedup, language_id, quality, secrets, token_counts
+from quirelake.llm import bpe, exact_dedup, language_id, quality, secrets, token_counts, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_language_id": language_id.op2_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
