@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quirelake.llm import bpe, decontaminate, exact_dedup, language_id, quality, secrets, token_counts, url_filter
+from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, language_id, quality, secrets, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_language_id": language_id.op2_language_id,
+    "op3_brown_lm": brown_lm.op3_brown_lm,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
