@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, language_id, quality, secrets, token_counts, url_filter
+from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, language_id, ngram_join, quality, secrets, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality": quality.op10_quality,
 }
