@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -59,6 +59,17 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def keep_rows(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """The rows of docs that stay(doc_id, key) names, one for each; key is the expression over docs that stay.key holds."""
+    stay = written(stay, "stay")
+    rows = docs.withColumn("__key", key)
+    kept = rows.alias("r").join(stay.alias("s"), F.expr("r.__key = s.key and r.doc_id <=> s.doc_id"), "left_semi")
+    if rows.select("doc_id", "__key").groupBy("doc_id", "__key").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(1)))
+        kept = kept.withColumn("__n", first).where("__n = 1").drop("__n")
+    return kept.drop("__key")
+
+
 def crc_mod(col: Column | str, mod: int) -> Column:
     """crc32 of the value's text, modulo mod; null values give null."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary")), F.lit(mod))

@@ -148,17 +148,16 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
-def _run(items, keep: list[str], clean: bool):
+def _run(items, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = items.value.judged
         for whole in batches:
             for b in small(whole, 0):
                 found = [judge(t) for t in b.column(0).to_pylist()]
-                out = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [pa.array([bool(i) for _, i in found], pa.bool_()), pa.array([c for c, _ in found], pa.float64()), pa.array([i for _, i in found], pa.list_(pa.int64())), *b.columns[1:]],
                     ["contaminated", "coverage", "item_ids", *keep],
                 )
-                yield out.filter(pa.compute.invert(out.column(0))) if clean else out
 
     return run
 
@@ -168,7 +167,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], keep: list[str], least:
     importable(spark)
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = spark.sparkContext.broadcast(Items(items, least, coverage))
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(_run(shared, keep, False), f"contaminated boolean, coverage double, item_ids array<bigint>{kept}")
+    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(_run(shared, keep), f"contaminated boolean, coverage double, item_ids array<bigint>{kept}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -193,6 +192,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     return rows.selectExpr("d.doc_id", "coalesce(size(i) > 0, false) as contaminated", "coalesce(c, 0D) as coverage", "coalesce(i, cast(array() as array<bigint>)) as item_ids")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs(text, ...) without the contaminated documents, all columns kept; each block of items is one pass over what the blocks before left."""
+    names = docs.columns
+    at = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*at)
+    for items in blocks(benchmark, block_words):
+        judged = _pass(rows.withColumn("text", F.col(at[names.index("text")])), items, at, least, coverage)
+        rows = judged.where("not contaminated").select(*at)
+    return rows.toDF(*names)
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     """The query over the whole documents table and the whole benchmark."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import ascii_lower, importable, written
+from quirelake.llm.common import ascii_lower, importable, keep_rows, table, written
 
 #: Sizes in bytes: no cut before MIN, always one at MAX, and on average one in 2**BITS bytes between them.
 MIN, MAX, BITS = 1024, 32768, 12
@@ -133,10 +133,14 @@ def exact_dedup(docs: DataFrame, key_bytes: int = 32) -> DataFrame:
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each group of equal texts: the one with the largest doc_id."""
+    stay = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key"))
+    return keep_rows(docs, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256), stay)
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's query over the whole documents table."""
-    from quirelake.llm.common import table
-
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 

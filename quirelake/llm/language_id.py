@@ -25,6 +25,8 @@ WINDOW = 64
 PER_LANG, WINDOWS = 300, 4
 HIDDEN, EPOCHS, BATCH = 8, 8, 128
 UNKNOWN = "und"
+#: The mean probability that some language must have for a document to stay in a corpus.
+LEAST_SCORE = 0.4
 _letter = re.compile(r"[^\W\d_]").search
 
 
@@ -213,6 +215,15 @@ def language_id(docs: DataFrame, model: BiGru | None, keep: tuple[str, ...] = ()
     return docs.select("doc_id", "text", *keep).mapInArrow(_run(spark.sparkContext.broadcast(model)), f"doc_id bigint, lang_pred string, score double{kept}")
 
 
+def in_some_language(docs: DataFrame, model: BiGru | None, least: float = LEAST_SCORE) -> DataFrame:
+    """docs(text, ...) without those that language ID rejects, all columns kept: `und`, or no language with a score of least."""
+    names = docs.columns
+    at = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*at).withColumns({"text": F.col(f"c{names.index('text')}"), "doc_id": F.lit(None).cast("bigint")})
+    judged = language_id(rows, model, tuple(at))
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*at).toDF(*names)
+
+
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     """The contract's query over the whole documents table; it learns from rows that are not held out."""
     docs = table(spark, sf_dir, "documents")

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import importable, small, table, written
+from quirelake.llm.common import importable, keep_rows, small, table, written
 from quirelake.llm.components import components
 
 N, THRESHOLD = 5, 0.8
@@ -206,7 +206,7 @@ def _verify(threshold: float):
 
 
 def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_words: int = BLOCK_WORDS, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, key (SHA-256 of the text), class_id, class_docs, n_copies, n_links.
+    """One row per row of docs(doc_id, text): doc_id, key (SHA-256 of the text), class_id, class_docs, n_copies, n_links, root (a number of the class).
 
     class_id is the largest doc_id of the documents that links join, class_docs their number, n_copies the number of documents with this very
     text, n_links the number of other texts with a Jaccard similarity of at least the threshold.
@@ -254,10 +254,18 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         single = single.unionByName(over.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root")))
     linked = written(nodes.select("node", "key", "doc_id", "n_copies").join(single, "node", "left").select("key", "doc_id", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root")), "linked")
     classes = written(linked.groupBy("root").agg(F.max("doc_id").alias("class_id"), F.sum("n_copies").alias("class_docs")), "classes")
-    info = written(linked.drop("doc_id").join(classes, "root").select("key", "class_id", "class_docs", "n_copies", "n_links"), "info")
-    return rows.select("doc_id", "key").join(info, "key").select("doc_id", F.lower(F.hex("key")).alias("key"), "class_id", "class_docs", "n_copies", "n_links")
+    info = written(linked.drop("doc_id").join(classes, "root").select("key", "root", "class_id", "class_docs", "n_copies", "n_links"), "info")
+    return rows.select("doc_id", "key").join(info, "key").select("doc_id", F.lower(F.hex("key")).alias("key"), "class_id", "class_docs", "n_copies", "n_links", "root")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     """The query over the whole documents table: one row per document with its class and number of links."""
-    return similar_groups(table(spark, sf_dir, "documents")).drop("key")
+    return similar_groups(table(spark, sf_dir, "documents")).drop("key", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one document of each class: the one with the largest doc_id (of several such, the first by its text's hash)."""
+    groups = similar_groups(docs)
+    first = F.row_number().over(Window.partitionBy("root").orderBy("key"))
+    stay = groups.where("doc_id <=> class_id").select("doc_id", "key", first.alias("n")).where("n = 1").drop("n")
+    return keep_rows(docs, F.sha2(F.coalesce("text", F.lit("")), 256), stay)
