@@ -1 +1,6 @@
-"""Part of the document engine; see the README."""
+"""Queries over the driver tables, with their SQL."""
+
+from quirelake.plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES}
