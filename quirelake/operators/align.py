@@ -40,67 +40,93 @@ def gram_anchors(left: DataFrame, right: DataFrame, k: int = K) -> DataFrame:
 
 
 class Stream:
-    """The kept characters of a document's sentences, with the unit and offset of each."""
+    """The kept characters of a document's sentences as digits in base 36, with the unit and offset of each."""
 
     def __init__(self, rows: pd.DataFrame, drop_math: bool):
-        chars, unit, offset = [], [], []
-        self.ids, self.blocks, self.bounds, self.math = [], [], [], []
-        for r in rows.sort_values(["ord", "idx"]).itertuples():
-            inside = [m.span() for m in _formula.finditer(r.block_text)] if drop_math else []
-            solid = r.text.strip()
-            first = r.start + len(r.text) - len(r.text.lstrip()) if solid else r.start
-            last = r.start + len(_tail.sub("", r.text)) - 1
+        rows = rows.sort_values(["ord", "idx"])
+        self.ids, self.blocks = rows["unit_id"].tolist(), rows["block_id"].tolist()
+        self.bounds = list(zip(rows["start"].tolist(), rows["end"].tolist(), strict=True))
+        self.math, digits, unit, offset = [], [], [], []
+        for u, (text, start, whole) in enumerate(zip(rows["text"], rows["start"], rows["block_text"], strict=True)):
+            inside = [m.span() for m in _formula.finditer(whole)] if drop_math and "$" in whole else []
+            first = start + len(text) - len(text.lstrip())
+            last = start + len(_tail.sub("", text)) - 1
             self.math.append(tuple(any(a <= x < b for a, b in inside) for x in (first, last)))
-            for k, c in enumerate(r.text):
-                low = c.lower()
-                if low.isascii() and low.isalnum() and not any(a <= r.start + k < b for a, b in inside):
-                    chars.append(low)
-                    unit.append(len(self.ids))
-                    offset.append(r.start + k)
-            self.ids.append(r.unit_id)
-            self.blocks.append(r.block_id)
-            self.bounds.append((r.start, r.end))
-        self.text, self.unit, self.offset = "".join(chars), np.array(unit, int), np.array(offset, int)
-
-
-def once(text: str, k: int = K) -> dict[str, int]:
-    """Where each run of k characters that stands once begins."""
-    at: dict[str, int | None] = {}
-    for i in range(len(text) - k + 1):
-        g = text[i : i + k]
-        at[g] = None if g in at else i
-    return {g: i for g, i in at.items() if i is not None}
-
-
-def matched(m: str, s: str, k: int = K) -> np.ndarray:
+            d = _DIGIT[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 128)]
+            for a, b in inside:
+                d = d.copy()
+                d[max(a - start, 0) : max(b - start, 0)] = -1
+            at = np.flatnonzero(d >= 0)
+            digits.append(d[at])
+            unit.append(np.full(len(at), u))
+            offset.append(at + start)
+        none = [np.empty(0, np.int64)]
+        self.digits, self.unit, self.offset = (np.concatenate(x or none).astype(np.int64) for x in (digits, unit, offset))
+
+
+_DIGIT = np.array([int(chr(c), 36) if c < 128 and chr(c).isalnum() else -1 for c in range(129)])
+
+
+def once(digits: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of k characters that stand once, as numbers (k digits in base 36 fit 64 bits for k up to 12), and where they begin."""
+    n = len(digits) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(36) + digits[i : i + n].astype(np.uint64)
+    gram, at, count = np.unique(h, return_index=True, return_counts=True)
+    return gram[count == 1], at[count == 1]
+
+
+def matched(m: np.ndarray, s: np.ndarray, k: int = K) -> np.ndarray:
     """For each character of m the one of s that it is matched to, or -1; anchors claim from the left, and grow both ways over what is free and equal."""
     to, back = np.full(len(m), -1), np.full(len(s), -1)
     ours, theirs = once(m, k), once(s, k)
-    for g, i in ours.items():
-        j = theirs.get(g)
-        if j is None or to[i] >= 0 or back[j] >= 0:
+    _, i, j = np.intersect1d(ours[0], theirs[0], assume_unique=True, return_indices=True)
+    pairs = sorted(zip(ours[1][i].tolist(), theirs[1][j].tolist(), strict=True))
+    for a, b in pairs:
+        if to[a] >= 0 or back[b] >= 0:
             continue
-        lo = 0
-        while i > lo and j > lo and to[i - lo - 1] < 0 and back[j - lo - 1] < 0 and m[i - lo - 1] == s[j - lo - 1]:
-            lo += 1
-        a, b, n = i - lo, j - lo, 0
-        while a + n < len(m) and b + n < len(s) and to[a + n] < 0 and back[b + n] < 0 and m[a + n] == s[b + n]:
-            n += 1
+        left = _agree(m[:a][::-1], s[:b][::-1], to[:a][::-1], back[:b][::-1])
+        n = left + _agree(m[a:], s[b:], to[a:], back[b:])
+        a, b = a - left, b - left
         to[a : a + n], back[b : b + n] = np.arange(b, b + n), np.arange(a, a + n)
     return to
 
 
+def _agree(m: np.ndarray, s: np.ndarray, to: np.ndarray, back: np.ndarray) -> int:
+    """How many characters from the start are equal and free."""
+    n, step = 0, 64
+    size = min(len(m), len(s))
+    while n < size:
+        e = min(n + step, size)
+        bad = (m[n:e] != s[n:e]) | (to[n:e] >= 0) | (back[n:e] >= 0)
+        if bad.any():
+            return n + int(bad.argmax())
+        n, step = e, step * 4
+    return n
+
+
 def aligned(base: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
     """Spans in base's sentences for each unit of other; rows with nth = -1 map units of base back (other_unit is base's)."""
     s, m = Stream(base, False), Stream(other, True)
-    to = matched(m.text, s.text)
+    to = matched(m.digits, s.digits)
     hit = np.flatnonzero(to >= 0)
-    owner = np.full(len(s.text), -1)
+    owner = np.full(len(s.digits), -1)
     owner[to[hit]] = m.unit[hit]
     length = np.bincount(s.unit, minlength=len(s.ids)) if len(s.unit) else np.zeros(len(s.ids), int)
     first = np.searchsorted(s.unit, np.arange(len(s.ids)))
-    pairs = pd.DataFrame({"m": m.unit[hit], "s": s.unit[to[hit]], "o": s.offset[to[hit]]})
-    table = pairs.groupby(["m", "s"])["o"].agg(["size", "min", "max"]).reset_index() if len(pairs) else pd.DataFrame(columns=["m", "s", "size", "min", "max"])
+    # one row for each pair of units that share characters: their number, and where in base's block they begin and end
+    key = m.unit[hit] * max(len(s.ids), 1) + s.unit[to[hit]]
+    order = np.argsort(key, kind="stable")
+    code, at = np.unique(key[order], return_index=True)
+    place = s.offset[to[hit]][order]
+    low, high = (f.reduceat(place, at).tolist() if len(at) else [] for f in (np.minimum, np.maximum))
+    number = np.diff(np.append(at, len(key))).tolist()
+    table: dict[int, list[tuple[int, int, int, int]]] = {}
+    for c, n, lo, hi in zip(code.tolist(), number, low, high, strict=True):
+        table.setdefault(c // len(s.ids), []).append((c % len(s.ids), n, lo, hi))
     spans: dict[int, list[tuple[int, int, int]]] = {}
     back: list[tuple[int, int]] = []
 
@@ -109,11 +135,10 @@ def aligned(base: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         held = owner[a:b]
         return None if np.count_nonzero((held >= 0) & (held != mu)) > 2 else b - a
 
-    for mu, rows in table.groupby("m"):
-        total = rows["size"].sum()
-        kept = rows[rows["size"] >= min(8, total / 2)]
-        for k, r in enumerate(kept.itertuples()):
-            su, n, lo, hi = r.s, r[3], r[4], r[5]
+    for mu, rows in table.items():
+        total = sum(r[1] for r in rows)
+        kept = [r for r in rows if r[1] >= min(8, total / 2)]
+        for k, (su, n, lo, hi) in enumerate(kept):
             a, z = first[su], first[su] + length[su]
             offsets = s.offset[a:z]
             before, after = reach(su, mu, a, a + bisect_left(offsets, lo)), reach(su, mu, a + bisect_right(offsets, hi), z)
