@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -30,8 +31,23 @@ from quirelake.llm.common import importable, small, table, tokenizer_path
 
 #: Entries of the memory of encoded pre-tokens in a Python worker; beyond it the memory is emptied.
 REMEMBERED = 500_000
-#: White space as the tokenizer's own patterns have it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+@cache
+def classes() -> dict[str, str]:
+    """Letters, numbers and white space as the installed tokenizers library knows them, as the insides of character classes.
+
+    Unicode versions differ in what is a letter; asking the library about every code point is the only rule that holds for all of them.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, points))
+    out = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        runs = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(text)
+        out[name] = "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for _, (a, b) in runs)
+    return out
 
 
 def byte_alphabet() -> list[str]:
@@ -44,11 +60,11 @@ def byte_alphabet() -> list[str]:
 class Bpe:
     """A loaded vocabulary with the memory of one Python worker."""
 
-    def __init__(self, spec: dict):
-        self.spec = spec
+    def __init__(self, spec: dict, kinds: dict[str, str] | None = None):
+        self.spec, self.classes = spec, kinds or classes()
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"]
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or not self.suffix or kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None or spec["post_processor"] is not None:
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        if model["type"] != "BPE" or not self.suffix or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None or spec["post_processor"] is not None:
             raise ValueError("not a tokenizer file of the kind that this module reads")
         vocab = model["vocab"]
         self.token = {i: t for t, i in vocab.items()}
@@ -67,12 +83,14 @@ class Bpe:
         self.token |= {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pre = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"), regex.V0).findall
-        self.spaces = regex.compile(f"[{SPACE}]+").sub
+        for name, inside in self.classes.items():
+            pattern = pattern.replace(f"[{name}]", f"[{inside}]").replace(name, inside)
+        self.pre = regex.compile(pattern, regex.V0).findall
+        self.spaces = regex.compile(f"[{self.classes[chr(92) + 's']}]+").sub
         self.known: dict[str, list[int]] = {}
 
     def __reduce__(self):
-        return Bpe, (self.spec,)
+        return Bpe, (self.spec, self.classes)
 
     def pretokens(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
