@@ -3,7 +3,7 @@
 The network reads windows of WINDOW bytes, forwards and backwards, labels every position with a distribution over
 the languages, and a document's probabilities are the mean over all positions of all its windows, which tile the
 whole text. It is trained in numpy by backpropagation through time, with the document's language as the label of each position,
-on a bounded sample: PER_LANG documents of each language (expected number), WINDOWS windows of each.
+on a bounded sample: PER_LANG documents of each language (expected number), WINDOWS windows of each (more of each where documents are few).
 
 Cases: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts first; texts of any
 length are read whole; if there is nothing to learn from, every text is `und`; an empty table gives an empty result.
@@ -24,9 +24,11 @@ from quirelake.llm.common import held_out, importable, small, table
 WINDOW = 64
 PER_LANG, WINDOWS = 300, 4
 HIDDEN, EPOCHS, BATCH = 8, 8, 128
+#: Passes over the sample go on until there were so many batches.
+LEAST_BATCHES = 300
 UNKNOWN = "und"
 #: The mean probability that some language must have for a document to stay in a corpus.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 _letter = re.compile(r"[^\W\d_]").search
 
 
@@ -41,8 +43,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class BiGru:
     """Two gated recurrent layers, one for each direction, and a softmax at each position. Arrays are (features, batch)."""
 
-    NAMES = ("x", "uz", "un", "o")
-
     def __init__(self, langs: list[str], hidden: int = HIDDEN, seed: int = 2):
         r = np.random.default_rng(seed)
         self.langs, self.h = langs, hidden
@@ -123,6 +123,7 @@ class BiGru:
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, losses = 0, []
+        epochs = max(epochs, -(-LEAST_BATCHES * batch // max(data.shape[1], 1)))
         for e in range(epochs):
             order, sums = r.permutation(data.shape[1]), []
             for i in range(0, len(order), batch):
@@ -133,7 +134,7 @@ class BiGru:
                 for k, v in g.items():
                     m1[k] += 0.1 * (v - m1[k])
                     m2[k] += 0.01 * (v * v - m2[k])
-                    self.p[k] -= (rate * 0.7**e * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (rate * 0.06 ** (e / epochs) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             losses.append(float(np.mean(sums)))
         return losses
 
@@ -171,11 +172,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> BiGru | None:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
+    pieces = min(32, max(WINDOWS, -(-PER_LANG * WINDOWS // min(per_lang, *counts.values(), PER_LANG))))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
     place = f"1 + pmod(xxhash64(doc_id, i), greatest(length(text) - {WINDOW} + 1, 1))"
     rows = (
         known.where((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")])
-        .selectExpr("lang", f"transform(sequence(1, {WINDOWS}), i -> substring(text, cast({place} as int), {WINDOW})) as pieces", "xxhash64(doc_id) as h")
+        .selectExpr("lang", f"transform(sequence(1, {pieces}), i -> substring(text, cast({place} as int), {WINDOW})) as pieces", "xxhash64(doc_id) as h")
         .collect()
     )
     langs = sorted(counts)
