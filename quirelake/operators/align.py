@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,35 @@ def kept_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(c, r"\$[^$]+\$", "")), "[^a-z0-9]", "")
 
 
-def unique_grams(rows: DataFrame, k: int = K) -> DataFrame:
-    """Runs of k characters that stand once in a text: rows(id, text) → id, gram, pos. For texts of a bounded length."""
-    t = rows.select("id", "text").where(F.length("text") >= k)
-    each = t.select("id", F.posexplode(F.expr(f"transform(sequence(1, length(text) - {k - 1}), i -> substring(text, i, {k}))")).alias("pos", "gram"))
-    return each.groupBy("id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where("n = 1").drop("n")
+def unique_grams(rows: DataFrame) -> DataFrame:
+    """Runs of K characters that stand once in a text: rows(id, text of letters a-z and digits) → id, gram (its number in base 36), pos. A text's runs are counted where it is, so nothing is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, grams, at, held = [], [], [], 0
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                g, i = once(_DIGIT[np.minimum(np.frombuffer((text or "").encode("ascii", "ignore"), np.uint8), 128)])
+                ids.append(np.full(len(g), key, np.int64))
+                grams.append(g.view(np.int64))
+                at.append(i)
+                held += len(g)
+                if held > 500_000:
+                    yield _gram_batch(ids, grams, at)
+                    ids, grams, at, held = [], [], [], 0
+            if ids:
+                yield _gram_batch(ids, grams, at)
 
-def gram_anchors(left: DataFrame, right: DataFrame, k: int = K) -> DataFrame:
+    return rows.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, gram bigint, pos bigint")
+
+
+def _gram_batch(ids: list, grams: list, at: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, grams, at)], ["id", "gram", "pos"])
+
+
+def gram_anchors(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of texts that share unique runs: left_id, right_id, anchors, first_left, first_right."""
-    a = unique_grams(left, k).selectExpr("id as left_id", "gram", "pos as a")
-    b = unique_grams(right, k).selectExpr("id as right_id", "gram", "pos as b")
+    a = unique_grams(left).selectExpr("id as left_id", "gram", "pos as a")
+    b = unique_grams(right).selectExpr("id as right_id", "gram", "pos as b")
     return a.join(b, "gram").groupBy("left_id", "right_id").agg(F.count("*").alias("anchors"), F.min("a").alias("first_left"), F.min("b").alias("first_right"))
 
 
