@@ -1,6 +1,6 @@
 """Queries over the driver tables, with their SQL."""
 
-from quirelake.plans import page_queries, store_queries, text_queries
+from quirelake.plans import page_queries, store_queries, task_queries, text_queries
 
-QUERIES = text_queries.QUERIES | store_queries.QUERIES | page_queries.QUERIES
-ORACLES = text_queries.ORACLES | store_queries.ORACLES | page_queries.ORACLES
+QUERIES = text_queries.QUERIES | store_queries.QUERIES | page_queries.QUERIES | task_queries.QUERIES
+ORACLES = text_queries.ORACLES | store_queries.ORACLES | page_queries.ORACLES | task_queries.ORACLES
