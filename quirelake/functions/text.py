@@ -218,3 +218,11 @@ def hash53(c: Column) -> Column:
 def text_hash(c: Column) -> Column:
     """The hash of a text without regard to its white space: the key of its translation."""
     return hash53(collapsed(c))
+
+
+def rich_runs(c: Column) -> Column:
+    """A text as runs of plain text and formulas: array<struct<math, text>>, in order; formulas without their dollar signs."""
+    parts = F.split(c, INLINE_MATH)
+    found = F.regexp_extract_all(c, F.lit(INLINE_MATH), F.lit(1))
+    pairs = F.transform(parts, lambda p, i: F.array(F.struct(F.lit(False).alias("math"), p.alias("text")), F.struct(F.lit(True).alias("math"), F.coalesce(F.get(found, i), F.lit("")).alias("text"))))
+    return F.filter(F.flatten(pairs), lambda r: r["text"] != "")

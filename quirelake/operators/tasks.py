@@ -152,3 +152,28 @@ def blind_sheet(runs: DataFrame, picked: DataFrame, seed: int = 20261005) -> Dat
     rows = runs.join(picked, "unit_id")
     n = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.xxhash64("engine", "unit_id", F.lit(seed)), "engine"))
     return rows.select("unit_id", "ord", "en", F.char(n + 64).alias("letter"), "engine", F.coalesce("zh", F.lit("（无译文）")).alias("zh"))
+
+
+def task_text(folder: Column, todo: Column, partial: Column, math: Column, glossary: Column) -> Column:
+    """Instructions for a task folder, as Markdown: what is in it, what to deliver, and what to keep as it is."""
+    kept = F.concat(F.lit("Keep citation marks, numbers with units, variables and names of models and data sets as they are"), F.when(math, ", and formulas between dollar signs with those signs.").otherwise("."))
+    lines = F.array(
+        F.lit("# Translate a paper, sentence by sentence"), F.concat(F.lit("Folder: `"), folder, F.lit("`. Change files in it only, and leave units.json alone.")),
+        F.concat(F.lit("units.json holds all sentences by section and paragraph. "), F.when(partial, F.concat(F.lit("Sentences with zh are done; "), todo.cast("string"), F.lit(" others are to do."))).otherwise(F.concat(F.lit("All "), todo.cast("string"), F.lit(" are to do.")))),
+        F.lit("Write glossary.md first (lines `English = rendering`), then each finished part as a file in parts/ of the form {id: rendering}, then translations.json with every id once, and report.md last."), kept,
+        F.when(T.strip(F.coalesce(glossary, F.lit(""))) != "", F.concat(F.lit("Terms that must be used:\n"), T.strip(glossary))),
+    )
+    return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n\n")
+
+
+def merged_settings(defaults: dict, saved: dict | None, patch: dict | None = None) -> dict:
+    """Settings: defaults, over them what was saved, over that a patch; values of None do not count."""
+    return defaults | {k: v for part in (saved, patch) for k, v in (part or {}).items() if v is not None}
+
+
+def free_id(taken_ids: list[str]) -> str:
+    """The first unused `p<n>`, from the number after those in use."""
+    n = len(taken_ids) + 1
+    while f"p{n}" in taken_ids:
+        n += 1
+    return f"p{n}"

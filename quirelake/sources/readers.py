@@ -374,3 +374,33 @@ def html_content(pages: DataFrame) -> DataFrame:
     rows = pages.select("doc_id", F.posexplode(page_items("html")).alias("ord", "i"))
     empty = {c: F.lit(None).cast("array<string>") for c in ("table_caption", "table_footnote", "image_caption", "image_footnote")}
     return rows.select("doc_id", F.col("ord").cast("bigint").alias("ord"), "i.*").withColumns({"page_idx": F.lit(0), "bbox": F.lit(None).cast("array<double>"), "table_body": F.lit(None).cast("string")} | empty)
+
+
+# ---- models and runs -------------------------------------------------------
+
+
+def tool_models(caches_: DataFrame) -> DataFrame:
+    """Model caches of tools (tool, value JSON) → tool, model, label, efforts. Of a map of entries the hidden ones go; of a list those that are not for listing."""
+    v = F.try_parse_json("value")
+    entry = "struct<info: struct<id: string, name: string, description: string, hidden: boolean, reasoning_efforts: array<struct<value: string, id: string>>>>"
+    maps = caches_.select("tool", F.explode(F.map_values(F.try_variant_get(v, "$.models", f"map<string, {entry}>"))).alias("e"))
+    maps = maps.where("e.info.id <> '' and not coalesce(e.info.hidden, false)").select(
+        "tool", F.col("e.info.id").alias("model"), F.concat_ws(" · ", F.coalesce("e.info.name", "e.info.id"), "e.info.description").alias("label"), F.transform("e.info.reasoning_efforts", lambda x: F.coalesce(x["value"], x["id"])).alias("efforts")
+    )
+    item = "struct<slug: string, display_name: string, description: string, visibility: string, supported_reasoning_levels: array<struct<effort: string>>>"
+    lists = caches_.select("tool", F.explode(F.try_variant_get(v, "$.models", f"array<{item}>")).alias("e")).where("e.slug <> '' and e.visibility = 'list'")
+    lists = lists.select("tool", F.col("e.slug").alias("model"), F.concat_ws(" · ", F.coalesce("e.display_name", "e.slug"), "e.description").alias("label"), F.transform("e.supported_reasoning_levels", lambda x: x["effort"]).alias("efforts"))
+    return maps.unionByName(lists)
+
+
+def bench_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Runs kept as JSON files (blind files and files without translations give nothing): spec, seconds, requests, unit_id, en, zh."""
+    kind = "spec string, seconds double, requests int, translations map<string, struct<en: string, zh: string>>"
+    rows = spark.read.schema(kind).json(path, multiLine=True).where(~F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).startswith("blind") & F.col("translations").isNotNull())
+    return rows.select("spec", "seconds", "requests", F.explode("translations").alias("unit_id", "t")).select("spec", "seconds", "requests", "unit_id", "t.*")
+
+
+def blind_key(spark: SparkSession, path: str) -> DataFrame:
+    """A file {unit: {letter: engine}} (or of scores): unit_id, letter, value."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("unit_id", "m"))
+    return rows.select("unit_id", F.explode("m").alias("letter", "value"))

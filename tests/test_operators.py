@@ -183,3 +183,24 @@ def test_sources(spark, tmp_path):
     (tmp_path / "sdt" / "y.bin").write_text("packed")
     assert R.structured_text(spark, str(tmp_path / "sdt")).count() == 1
     assert R.listed(spark, str(tmp_path / "K1")).count() == 2
+
+
+def test_models_runs_and_text_runs(spark, tmp_path):
+    import json
+
+    from quirelake.functions import text as T
+    from quirelake.operators import tasks as K
+    from quirelake.sources import readers as R
+
+    rows = [("g", '{"models":{"a":{"info":{"id":"m1","name":"One","reasoning_efforts":[{"value":"low"}]}},"b":{"info":{"id":"m2","hidden":true}}}}'), ("c", '{"models":[{"slug":"s1","visibility":"list","description":"d"},{"slug":"s2","visibility":"hide"}]}'), ("x", "bad")]
+    got = {(r.tool, r.model, r.label, tuple(r.efforts or ())) for r in R.tool_models(spark.createDataFrame(rows, "tool string, value string")).collect()}
+    assert got == {("g", "m1", "One", ("low",)), ("c", "s1", "s1 · d", ())}
+    (tmp_path / "r.json").write_text(json.dumps({"spec": "e:m", "seconds": 2.0, "requests": 1, "translations": {"u1": {"en": "a", "zh": None}}}))
+    (tmp_path / "blind-key.json").write_text(json.dumps({"u1": {"A": "e:m"}}))
+    assert [tuple(r) for r in R.bench_runs(spark, str(tmp_path)).collect()] == [("e:m", 2.0, 1, "u1", "a", None)]
+    assert [tuple(r) for r in R.blind_key(spark, str(tmp_path / "blind-key.json")).collect()] == [("u1", "A", "e:m")]
+    runs = spark.createDataFrame([("a $x$ b$y$",), ("$z$",), ("no",), ("$$",)], "t string").select(T.rich_runs(F.col("t"))).collect()
+    assert [[(x.math, x.text) for x in r[0]] for r in runs] == [[(False, "a "), (True, "x"), (False, " b"), (True, "y")], [(True, "z")], [(False, "no")], [(False, "$$")]]
+    text = spark.range(1).select(K.task_text(F.lit("/d"), F.lit(3), F.lit(True), F.lit(True), F.lit("a = b"))).first()[0]
+    assert "/d" in text and "3 others" in text and "a = b" in text and "dollar" in text
+    assert K.merged_settings({"a": 1, "b": 2}, {"a": None, "b": 3}, {"c": 4}) == {"a": 1, "b": 3, "c": 4} and K.free_id(["p1", "p3"]) == "p4"
