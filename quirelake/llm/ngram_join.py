@@ -28,9 +28,9 @@ from quirelake.llm.components import components
 
 N, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 24, 8, 0.999
-#: Most words and nodes that one side of a comparison holds in a task.
-BLOCK_WORDS, BLOCK_NODES = 1_500_000, 1500
-REMEMBERED = 500_000
+#: Words and nodes that one side of a comparison holds in a task (about: blocks are dealt by hash).
+BLOCK_WORDS, BLOCK_NODES = 1_000_000, 2500
+REMEMBERED = 300_000
 
 _rng = np.random.default_rng(8)
 _MULTIPLY = _rng.integers(0, 2**63, TREES * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -225,30 +225,32 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     buckets = written(bands.groupBy("tree", "prefix").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     members = bands.join(buckets, ["tree", "prefix"])
     grouped = written(components(members.selectExpr("node as a", "hub as b")), "candidates").withColumnRenamed("root", "grp")
-    # groups too large for a task fall into blocks; nodes of one trie branch of the first tree stay together
-    weight = grouped.join(nodes.select("node", "n_words", "doc_id", "key", F.col("trees")[0].alias("first")), "node")
-    sizes = grouped.join(nodes.select("node", "n_words"), "node").groupBy("grp").agg(F.sum("n_words").alias("w"), F.count("*").alias("c"))
-    sizes = written(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("w") / block_words), F.ceil(F.col("c") / block_nodes)).cast("int")).select("grp", "blocks"), "sizes")
-    placed = weight.join(sizes, "grp")
-    several = F.col("blocks") > 1
-    placed = placed.withColumn("block", F.when(several, F.pmod(F.xxhash64(F.shiftrightunsigned("first", 64 - 8 * depth), F.when(F.col("blocks") > 64, F.col("node") % 8)), F.col("blocks") * 2)).otherwise(0).cast("int"))
-    placed = written(placed.select("node", "grp", "block", several.alias("several"), "doc_id", "key"), "placed")
-    # pairs of blocks that share a bucket; every block meets itself besides
-    touched = members.join(placed.where("several").select("node", "grp", "block"), "node").select("tree", "prefix", "grp", "block").distinct()
-    met = touched.groupBy("tree", "prefix", "grp").agg(F.collect_set("block").alias("bs"))
-    pairs = met.select("grp", F.explode("bs").alias("bi"), "bs").select("grp", "bi", F.explode("bs").alias("bj")).where("bi < bj").distinct()
-    roles = placed.select("node", "grp", F.col("block").alias("bi"), F.col("block").alias("bj"), "several", F.lit(0).alias("side"), "doc_id", "key")
-    if placed.where("several").limit(1).count():
-        pairs = written(pairs, "pairs")
-        big = placed.where("several")
+    # groups too large for a task fall into blocks: nodes of one trie branch of the first tree stay together, unless the branch alone is too large
+    branch = F.shiftrightunsigned(F.col("trees")[0], 64 - 8 * depth).alias("branch")
+    weight = written(grouped.join(nodes.select("node", "n_words", "doc_id", "key", branch), "node"), "weights")
+    parts_of = F.greatest(F.ceil(F.sum("n_words") / block_words), F.ceil(F.count("*") / block_nodes)).cast("int")
+    sizes = written(weight.groupBy("grp").agg(parts_of.alias("blocks")).where("blocks > 1"), "sizes")
+    zero, columns = F.lit(0).cast("bigint"), ("node", "grp", "bi", "bj", "several", "side", "doc_id", "key")
+    roles = weight.join(sizes, "grp", "left_anti").select("node", "grp", zero.alias("bi"), zero.alias("bj"), F.lit(False).alias("several"), F.lit(0).alias("side"), "doc_id", "key")
+    large = sizes.limit(1).count() > 0
+    if large:
+        branches = written(weight.join(sizes, "grp", "left_semi").groupBy("grp", "branch").agg(parts_of.alias("salts")), "branches")
+        block = F.when(F.col("salts") > 1, F.xxhash64("branch", F.pmod(F.xxhash64("node"), F.col("salts")))).otherwise(F.pmod(F.xxhash64("branch"), 2 * F.col("blocks"))).cast("bigint")
+        placed = written(weight.join(sizes, "grp").join(branches, ["grp", "branch"]).select("node", "grp", block.alias("block"), F.lit(True).alias("several"), "doc_id", "key"), "placed")
+        # pairs of blocks that share a bucket; every block meets itself besides
+        touched = members.join(placed.select("node", "grp", "block"), "node").select("tree", "prefix", "grp", "block").distinct()
+        met = touched.groupBy("tree", "prefix", "grp").agg(F.collect_set("block").alias("bs"))
+        pairs = written(met.select("grp", F.explode("bs").alias("bi"), "bs").select("grp", "bi", F.explode("bs").alias("bj")).where("bi < bj").distinct(), "pairs")
+        roles = roles.unionByName(placed.select("node", "grp", F.col("block").alias("bi"), F.col("block").alias("bj"), "several", F.lit(0).alias("side"), "doc_id", "key"))
         for side, name in ((0, "bi"), (1, "bj")):
-            roles = roles.unionByName(big.join(pairs.withColumnRenamed(name, "block"), ["grp", "block"]).withColumnRenamed("block", name).select("node", "grp", "bi", "bj", "several", F.lit(side).alias("side"), "doc_id", "key"))
+            both = placed.join(pairs.withColumnRenamed(name, "block"), ["grp", "block"]).withColumnRenamed("block", name)
+            roles = roles.unionByName(both.withColumn("side", F.lit(side)).select(*columns))
     texts = docs.select(F.col("doc_id").alias("d"), key.alias("k"), "text")
     sent = roles.join(texts, F.expr("key = k and doc_id <=> d")).select("grp", "bi", "bj", "several", "side", "node", "text")
     sent = sent.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "side", "node")
     found = written(sent.mapInArrow(_verify(threshold), "node bigint, links bigint, root bigint, several boolean"), "found")
     single = found.where("not several").select("node", "links", "root")
-    if found.where("several").limit(1).count():
+    if large:
         over = found.where("several")
         roots = components(over.selectExpr("node as a", "root as b"))
         single = single.unionByName(over.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root")))
