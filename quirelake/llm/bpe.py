@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.common import importable, small, table, tokenizer_path
 
 #: Entries of the memory of encoded pre-tokens in a Python worker; beyond it the memory is emptied.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 
 
 @cache
@@ -87,7 +87,7 @@ class Bpe:
             pattern = pattern.replace(f"[{name}]", f"[{inside}]").replace(name, inside)
         self.pre = regex.compile(pattern, regex.V0).findall
         self.spaces = regex.compile(f"[{self.classes[chr(92) + 's']}]+").sub
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __reduce__(self):
         return Bpe, (self.spec, self.classes)
@@ -150,7 +150,7 @@ class Bpe:
                             heappush(active, s)
         start = 0
         for w, e in zip(words, ends, strict=True):
-            self.known[w] = [s for s in sym[start:e] if s >= 0]
+            self.known[w] = tuple([s for s in sym[start:e] if s >= 0])
             start = e
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
