@@ -38,15 +38,15 @@ TOP, CLASSES, ROUNDS = 768, 20, 8
 END, NEW, FIRST, ONCE = 0, 1, 2, 64
 SMOOTH = 1.0
 #: Tokens that a task holds before it passes on what it has counted.
-HELD = 3_000_000
+HELD = 4_500_000
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text: bytes.lower() changes A-Z only, bytes.split() splits at 0x20 and 0x09-0x0D only."""
-    return (text or "").encode().lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.lower() changes A-Z only, bytes.split() splits at 0x20 and 0x09-0x0D only."""
+    return text.lower().split() if text else []
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str | None]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[bytes | None]:
     for whole in batches:
         for b in small(whole, column):
             yield from b.column(column).to_pylist()
@@ -208,29 +208,38 @@ def _assign(logs):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = logs.value  # (128, classes): what one neighbour adds to each class
-        word, n, score = None, 0, np.zeros(weights.shape[1])
-        words, ns, classes = [], [], []
+        word, n, score = None, 0, np.zeros(weights.shape[1])  # the word that the last rows were of
 
-        def close() -> None:
-            if word is not None:
-                words.append(word)
-                ns.append(n)
-                classes.append(FIRST + int(np.argmax(score)))
+        def rows(words: list[bytes], counts: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(FIRST + scores.argmax(1), pa.int32())], ["word", "n", "class"])
 
         for b in batches:
-            for w, k, beside in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if w != word:
-                    close()
-                    word, n, score = w, 0, np.zeros(weights.shape[1])
-                n += k
-                if beside[:1] == b"\xff":
-                    score = score + np.frombuffer(beside[1:], np.uint32) @ weights
-                else:
-                    score = score + weights[np.frombuffer(beside, np.uint8)].sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64()), pa.array(classes, pa.int32())], ["word", "n", "class"])
-            words, ns, classes = [], [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64()), pa.array(classes, pa.int32())], ["word", "n", "class"])
+            if not b.num_rows:
+                continue
+            words, beside = b.column(0).to_pylist(), b.column(2).to_pylist()
+            size = np.fromiter(map(len, beside), np.int64, len(beside))
+            x = np.frombuffer(b"".join(beside), np.uint8)
+            start = np.cumsum(size) - size
+            dense = np.flatnonzero((size > 0) & (x[np.minimum(start, len(x) - 1)] == 255))
+            owner = np.repeat(np.arange(len(words)), size)
+            plain = ~np.isin(owner, dense)
+            hist = np.bincount(owner[plain] * 128 + x[plain], minlength=len(words) * 128).reshape(-1, 128)
+            for i in dense.tolist():
+                hist[i] = np.frombuffer(beside[i][1:], np.uint32)
+            first = np.flatnonzero([i == 0 or words[i] != words[i - 1] for i in range(len(words))])
+            scores = np.add.reduceat(hist @ weights, first)
+            counts = np.add.reduceat(b.column(1).to_numpy(), first)
+            names = [words[i] for i in first.tolist()]
+            if names[0] == word:
+                scores[0] += score
+                counts[0] += n
+            elif word is not None:
+                yield rows([word], np.array([n]), score[None])
+            word, n, score = names[-1], int(counts[-1]), scores[-1]
+            if len(names) > 1:
+                yield rows(names[:-1], counts[:-1], scores[:-1])
+        if word is not None:
+            yield rows([word], np.array([n]), score[None])
 
     return run
 
@@ -251,7 +260,7 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held -= len(s)
                 s.update(tokens(t))
                 held += len(s)
-            if held > 1_000_000:
+            if held > 700_000:
                 yield from out()
                 have, held = {}, 0
     yield from out()
@@ -261,30 +270,38 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as class strings. Rows come sorted by block, a block's words before its documents."""
     block = None
     number: dict[bytes, int] = {}
-    ns, codes = [0], [NEW]
-    arrays = None
+    ns, codes, arrays = [], [], None
     for whole in batches:
-        for b in small(whole, 3):
+        for b in small(whole, 3, 2_000_000):
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
+            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base", "emitted", "codes")}
-            for k, kind, doc_id, text, word, n, cls in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != block:
-                    block, number, ns, codes, arrays = k, {}, [0], [NEW], None
-                if kind == 0:
-                    number[word] = len(ns)
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if key[0, lo] != block:
+                    block, number, arrays = key[0, lo], {}, None
+                    ns, codes = [np.zeros(1)], [np.full(1, NEW)]
+                part = b.slice(lo, hi - lo)
+                if key[1, lo] == 0:
+                    n = part.column(5).to_numpy(zero_copy_only=False)
+                    at = sum(map(len, ns))  # several tasks may have asked for a word of the block
+                    number.update(zip(part.column(4).to_pylist(), range(at, at + len(n)), strict=True))
                     ns.append(n)
-                    codes.append(cls + (ONCE if n == 1 else 0))
+                    codes.append(part.column(6).to_numpy(zero_copy_only=False) + np.where(n == 1, ONCE, 0))
                     continue
                 if arrays is None:
-                    x = np.array(ns, np.float64)
-                    arrays = np.log10(x + 1), np.log10(np.maximum(x, 1)), np.array(codes, np.uint8), x > 0
-                w = tokens(text)
-                i = np.fromiter(map(number.get, w, repeat(0)), np.int64, len(w))
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(len(w))
-                out["n_known"].append(int(arrays[3][i].sum()))
-                out["base"].append(float(arrays[0][i].sum()))
-                out["emitted"].append(float(arrays[1][i].sum()))
-                out["codes"].append(arrays[2][i].tobytes())
+                    x = np.concatenate(ns).astype(np.float64)
+                    arrays = np.log10(x + 1), np.log10(np.maximum(x, 1)), np.concatenate(codes).astype(np.uint8), x > 0
+                for doc_id, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    w = tokens(text)
+                    i = np.fromiter(map(number.get, w, repeat(0)), np.int64, len(w))
+                    out["doc_id"].append(doc_id)
+                    out["n_tokens"].append(len(w))
+                    out["n_known"].append(int(np.count_nonzero(arrays[3][i])))
+                    out["base"].append(float(arrays[0][i].sum()))
+                    out["emitted"].append(float(arrays[1][i].sum()))
+                    out["codes"].append(arrays[2][i].tobytes())
             if out["doc_id"]:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
@@ -355,6 +372,8 @@ def brown_scores(docs: DataFrame, is_training: Column, block: Column, top: int =
     importable(spark)
     bc = spark.sparkContext.broadcast
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "text", F.xxhash64(block).alias("block"))
+    docs = docs.withColumn("text", F.col("text").cast("binary"))  # spares Python the decoding
     known = docs.where(is_training).select("text")
     n_docs = known.count()
     counts = known.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -379,9 +398,9 @@ def brown_scores(docs: DataFrame, is_training: Column, block: Column, top: int =
     model = written(rest.unionByName(spark.createDataFrame(tops, rest.schema)), "classes")
     words = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = words["n"] + n_docs, words["v"] + (1 if n_docs else 0)
-    rows = docs.select(F.xxhash64(block).alias("block"), "doc_id", "text")
+    rows = docs.select("block", "doc_id", "text")
     needs = rows.select("block", "text").mapInArrow(_needed, "block bigint, word binary")
-    entries = needs.join(model, "word").selectExpr("block", "0 as kind", "cast(null as bigint) as doc_id", "cast(null as string) as text", "word", "n", "class")
+    entries = needs.join(model, "word").selectExpr("block", "0 as kind", "cast(null as bigint) as doc_id", "cast(null as binary) as text", "word", "n", "class")
     both = rows.selectExpr("block", "1 as kind", "doc_id", "text", "cast(null as binary) as word", "cast(null as bigint) as n", "cast(null as int) as class").unionByName(entries)
     strings = written(
         both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(
@@ -410,5 +429,5 @@ def op3_brown_lm(spark, sf_dir: str) -> DataFrame:
     split = spark.conf.get("spark.sql.files.maxPartitionBytes")
     mb = {"k": 1 / 1024, "m": 1, "g": 1024}.get(split.lower().rstrip("b")[-1:], 1 / 2**20) * float("".join(c for c in split if c.isdigit()) or 128)
     held = held_out("doc_id", 7, 2)
-    out = brown_scores(docs, ~held, scan_block(max(1, round(mb / 32))))
+    out = brown_scores(docs, ~held, scan_block(max(1, round(mb / 8))))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
