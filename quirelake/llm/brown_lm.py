@@ -3,13 +3,18 @@
 Words belong to classes; a text's probability is the product of class transitions and word emissions. All counts cover the whole
 training corpus:
 
-1. Word counts; the TOP most frequent words get their classes by exchange clustering on their bigram counts (a table of at most
+1. Each task codes its documents in blocks: a block has its own list of words (some 45,000), and documents are numbers in it, two bytes a token.
+   Words are dealt to SLICES slices by hash; a slice numbers its words and counts them. Words cross the network once, texts never.
+2. The TOP most frequent words get first classes by exchange clustering on their bigram counts (a table of at most
    (TOP + 2)**2 numbers): words move, one at a time, to the class that raises the likelihood of the class bigrams most, until none moves.
-2. Every other word makes one such exchange step against the classes so found, in parallel: the counts of the classes
-   before and after it are gathered by word, and it joins the class under which they are likeliest.
-3. A block of documents (what one scan split holds) is brought together with the model's entries for the words it
-   holds, and each document becomes its string of classes, one byte for each token.
-4. From the training documents' strings come the class transitions; from them and the strings the scores.
+3. Then all words, the top ones too, make exchange steps in parallel: the counts of the present classes of ALL neighbours are gathered by word,
+   and a word moves to the class that raises the likelihood most (to first order). A word without a class joins as soon as a neighbour has
+   one. In a step every SHARE-th word may move, so that neighbours do not swap; a step that lowers the likelihood is taken back. It ends when SHARE steps
+   one after another gain less than GAIN each.
+4. From the training documents' classes come the class transitions; from them and the classes the scores.
+
+The number of classes grows with the fourth root of the vocabulary (classes_for()). The driver and each worker hold the classes of all words, one
+byte a word.
 
 The end of a text is a token and a class of its own. Words seen once stand for unseen ones: what follows and precedes them
 gives the probability of a new word, which is then spread evenly over as many words as are known.
@@ -23,22 +28,31 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, repeat
+from itertools import count
 from math import log10
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import held_out, importable, small, table, written
+from quirelake.llm.common import drop_written, held_out, importable, shuffles_removed, small, table, written
 
 TOP, CLASSES, ROUNDS = 768, 20, 8
-#: Codes of tokens in class strings: the end, an unknown word, then the classes; ONCE is added for words seen once.
-END, NEW, FIRST, ONCE = 0, 1, 2, 64
+#: Codes of tokens: the end, an unknown word (or one without a class yet), then the classes; ONCE is added for words seen once.
+END, NEW, FIRST, ONCE = 0, 1, 2, 128
 SMOOTH = 1.0
-#: Tokens that a task holds before it passes on what it has counted.
-HELD = 4_500_000
+#: Slices of the vocabulary; distinct words at which a task closes a block; numbers that a task holds of a slice before it adds them up.
+SLICES, BLOCK_WORDS, HELD = 256, 45_000, 4_000_000
+#: A parallel step moves one in SHARE of the words, and small gains are under this share of the log-likelihood.
+SHARE, GAIN = 3, 1e-4
+
+
+def classes_for(vocabulary: int) -> int:
+    """The number of classes: the fourth root of the vocabulary, CLASSES at least; a byte has room for ONCE - FIRST (252 million words)."""
+    return min(ONCE - FIRST, max(CLASSES, round(vocabulary**0.25)))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -46,49 +60,317 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[bytes | None]:
-    for whole in batches:
-        for b in small(whole, column):
-            yield from b.column(column).to_pylist()
+CODED = "block bigint, slice int, doc_id bigint, training boolean, body binary, n binary"
+
+
+def _arrow(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+
+def _width(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def _coded(slices: int, block_words: int):
+    """Documents as numbers of their block's words (slice -1), and each block's words by slice with their training counts; words of a slice have adjacent numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, blocks = TaskContext.get().partitionId(), count()
+        ids: defaultdict[bytes, int] = defaultdict(count().__next__)
+        docs: list[tuple[int | None, bool, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            block = task << 32 | next(blocks)
+            words = list(ids)
+            part = np.fromiter((crc32(w) % slices for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(words), _width(len(words)))
+            place[order] = np.arange(len(words))
+            learned = [x for _, t, x in docs if t]
+            n = np.bincount(np.concatenate(learned), minlength=len(words))[order] if learned else np.zeros(len(words), np.int64)
+            ends = np.searchsorted(part[order], np.arange(slices + 1)).tolist()
+            at = order.tolist()
+            have = [k for k in range(slices) if ends[k] < ends[k + 1]]
+            bodies = [place[x].tobytes() for _, _, x in docs] + [b"\n".join([words[i] for i in at[ends[k] : ends[k + 1]]]) for k in have]  # no word holds a line end
+            m = len(docs)
+            return _arrow({
+                "block": ([block] * (m + len(have)), pa.int64()), "slice": ([-1] * m + have, pa.int32()), "doc_id": ([d for d, _, _ in docs] + [None] * len(have), pa.int64()),
+                "training": ([t for _, t, _ in docs] + [None] * len(have), pa.bool_()), "body": (bodies, pa.binary()),
+                "n": ([None] * m + [n[ends[k] : ends[k + 1]].astype(np.int64).tobytes() for k in have], pa.binary()),
+            })
+
+        for whole in batches:
+            for b in small(whole, 2):
+                for d, t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    w = tokens(text)
+                    docs.append((d, t, np.fromiter(map(ids.__getitem__, w), np.int64, len(w)).astype(np.int32)))
+                    if len(ids) >= block_words or len(docs) >= 20_000:
+                        yield out()
+                        ids.clear()
+                        ids.default_factory, docs = count().__next__, []
+        if docs:
+            yield out()
+
+    return run
+
+
+INDEXED = "slice int, block bigint, number binary, n binary, words bigint, known bigint, total bigint"
+
+
+def _indexed(top: int):
+    """A slice's words get numbers; each block's words of the slice as numbers and whole counts. Block -1 has the slice's most frequent words and its sums. Rows come sorted by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, held = None, defaultdict(count().__next__), []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids), np.int64)
+            for _, x, n in held:
+                np.add.at(total, x, n)
+            best = np.lexsort((np.arange(len(total)), -total))[:top]
+            best = best[total[best] > 0].astype(np.int32)
+            yield _arrow({
+                "slice": ([at], pa.int32()), "block": ([-1], pa.int64()), "number": ([best.tobytes()], pa.binary()), "n": ([total[best].tobytes()], pa.binary()),
+                "words": ([len(total)], pa.int64()), "known": ([int((total > 0).sum())], pa.int64()), "total": ([int(total.sum())], pa.int64()),
+            })
+            for lo in range(0, len(held), 500):
+                part = held[lo : lo + 500]
+                null = [None] * len(part)
+                yield _arrow({
+                    "slice": ([at] * len(part), pa.int32()), "block": ([b for b, _, _ in part], pa.int64()), "number": ([x.tobytes() for _, x, _ in part], pa.binary()),
+                    "n": ([total[x].tobytes() for _, x, _ in part], pa.binary()), "words": (null, pa.int64()), "known": (null, pa.int64()), "total": (null, pa.int64()),
+                })
+
+        for b in batches:
+            for k, block, body, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != at:
+                    if held:
+                        yield from out()
+                    at, ids, held = k, defaultdict(count().__next__), []
+                w = body.split(b"\n")
+                held.append((block, np.fromiter(map(ids.__getitem__, w), np.int32, len(w)), np.frombuffer(n, np.int64)))
+        if held:
+            yield from out()
+
+    return run
+
+
+BLOCKS = "number binary, n binary, slices binary, doc_ids array<bigint>, training array<boolean>, lengths array<bigint>, body binary"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids: defaultdict[bytes, int] = defaultdict(count().__next__)
-    seen, held = [], 0
+def _joined(starts):
+    """One row a block: its words' numbers and counts and the slices' ends among them, and its documents. Rows come sorted by block and slice, documents first."""
 
-    def out() -> pa.RecordBatch:
-        n = np.bincount(np.concatenate(seen), minlength=len(ids)) if seen else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = starts.value
+        at, docs, words = None, [], []
 
-    for t in _texts(batches, 0):
-        w = tokens(t)
-        seen.append(np.fromiter(map(ids.__getitem__, w), np.int32, len(w)))
-        held += len(w)
-        if held > HELD:
+        def out() -> pa.RecordBatch:
+            number = [np.frombuffer(x, np.int32).astype(np.int64) + first[k] for k, x, _ in words]
+            size = _width(sum(map(len, number)))().itemsize
+            ends = np.zeros(len(first), np.int64)
+            for (k, _, _), x in zip(words, number, strict=True):
+                ends[k] = len(x)
+            return _arrow({
+                "number": ([b"".join(x.tobytes() for x in number)], pa.binary()), "n": ([b"".join(n for _, _, n in words)], pa.binary()), "slices": ([np.cumsum(ends).tobytes()], pa.binary()),
+                "doc_ids": ([[d for d, _, _ in docs]], pa.list_(pa.int64())), "training": ([[t for _, t, _ in docs]], pa.list_(pa.bool_())),
+                "lengths": ([[len(x) // size for _, _, x in docs]], pa.list_(pa.int64())), "body": ([b"".join(x for _, _, x in docs)], pa.binary()),
+            })
+
+        for whole in batches:
+            for b in small(whole, 4):
+                for block, k, d, t, body, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if block != at:
+                        if docs:
+                            yield out()
+                        at, docs, words = block, [], []
+                    if k < 0:
+                        docs.append((d, t, body))
+                    else:
+                        words.append((k, body, n))
+        if docs:
             yield out()
-            ids.clear()
-            ids.default_factory, seen, held = count().__next__, [], 0
-    yield out()
+
+    return run
 
 
-def _bigrams(top):
-    """Counts of bigrams of the top words (numbers from 1), the end (0) and anything else (len(top) + 1)."""
+class _Block:
+    """A row of the blocks; learned keeps only its training documents."""
+
+    def __init__(self, row: dict, learned: bool):
+        self.number, self.n = np.frombuffer(row["number"], np.int64), np.frombuffer(row["n"], np.int64)
+        self.slices = np.frombuffer(row["slices"], np.int64)
+        self.ids = row["doc_ids"]
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.tokens = np.frombuffer(row["body"], _width(len(self.number)))
+        if learned:
+            t = np.array(row["training"], bool)
+            self.tokens = self.tokens[np.repeat(t, self.lengths)]
+            self.lengths = self.lengths[t]
+
+    def line(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents one after another, each token as its word's value and an end (0) after each document; and where the tokens stand."""
+        ends = np.cumsum(self.lengths + 1) - 1
+        x = np.zeros(len(self.tokens) + len(ends), values.dtype)
+        inside = np.ones(len(x), bool)
+        inside[ends] = False
+        at = np.flatnonzero(inside)
+        x[at] = values[self.tokens]
+        return x, at
+
+
+def _rows(batches: Iterator[pa.RecordBatch], learned: bool) -> Iterator[_Block]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield _Block(b.slice(i, 1).to_pylist()[0], learned)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """What stands before each place of a line (the end of a text before the first)."""
+    return np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]])
+
+
+def _pair_counts(of, size: int):
+    """Counts of pairs of values that stand side by side in the training documents; of(block) gives the values of its words, under size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i + 1 for i, w in enumerate(top.value)}
-        size = len(number) + 2
         total = np.zeros(size * size, np.int64)
-        for t in _texts(batches, 0):
-            w = tokens(t)
-            x = np.zeros(len(w) + 2, np.int64)
-            x[1:-1] = np.fromiter(map(number.get, w, repeat(size - 1)), np.int64, len(w))
-            np.add.at(total, x[:-1] * size + x[1:], 1)
+        for block in _rows(batches, True):
+            x, _ = block.line(of(block).astype(np.int64))
+            total += np.bincount(_before(x) * size + x, minlength=size * size)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at])], ["a", "b", "n"])
+        yield _arrow({"pair": (at, pa.int64()), "n": (total[at], pa.int64())})
 
     return run
 
 
+def _tops(top):
+    """Numbers from 1 of the top words; others have len(top) + 1."""
+
+    def of(block: _Block) -> np.ndarray:
+        numbers, rank = top.value
+        i = np.minimum(np.searchsorted(numbers, block.number), len(numbers) - 1)
+        return np.where(numbers[i] == block.number, rank[i] + 1, len(numbers) + 1)
+
+    return of
+
+
+def _codes(own):
+    """The codes of a block's words: their classes, ONCE added for words seen once; words not learned are NEW."""
+    return lambda block: np.where(block.n > 0, own.value[block.number] + np.where(block.n == 1, ONCE, 0).astype(np.uint8), NEW).astype(np.uint8)
+
+
+def _contexts(own, size: int, step: int):
+    """By slice and block, of the words that may move in this step: their numbers and counts, and the codes before and after them, a byte each; a table of counts instead for frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _rows(batches, True):
+            x, at = block.line(own.value[block.number])
+            may = (block.number + step) % SHARE == 0
+            may |= own.value[block.number] == NEW
+            keep = may[block.tokens]
+            at, word = at[keep], block.tokens[keep]
+            order = np.argsort(word, kind="stable")
+            at, word = at[order], word[order]
+            pair = np.stack([_before(x)[at], x[np.minimum(at + 1, len(x) - 1)]], 1)
+            n = np.bincount(word, minlength=len(block.number))
+            often = n > 4 * size
+            ends = np.concatenate([[0], np.cumsum(n)])
+            rows = {"slice": [], "number": [], "n": [], "beside": [], "often": [], "table": []}
+            for k, (lo, hi) in enumerate(zip([0, *block.slices[:-1].tolist()], block.slices.tolist(), strict=True)):
+                a, b = ends[lo], ends[hi]
+                if a == b:
+                    continue
+                rare = ~often[word[a:b]]
+                at_often, at_rare = lo + np.flatnonzero(often[lo:hi]), lo + np.flatnonzero(~often[lo:hi] & (n[lo:hi] > 0))
+                table = [np.bincount((pair[ends[i] : ends[i + 1]].astype(np.int64) + [0, size]).reshape(-1), minlength=2 * size) for i in at_often.tolist()]
+                rows["slice"].append(k)
+                rows["number"].append(block.number[at_rare].tobytes())
+                rows["n"].append(n[at_rare].astype(np.uint16).tobytes())
+                rows["beside"].append(pair[a:b][rare].tobytes())
+                rows["often"].append(block.number[at_often].tobytes())
+                rows["table"].append(np.array(table, np.uint32).tobytes())
+            yield _arrow({c: (v, pa.int32() if c == "slice" else pa.binary()) for c, v in rows.items()})
+
+    return run
+
+
+def moves(hist: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """New codes of words. hist: (words, 2 * size) counts of the codes before and after them; weights: what one neighbour adds to each class.
+
+    A word without any neighbour in a class stays as it is; a word moves only where that betters its score.
+    """
+    score = hist @ weights
+    best = score.argmax(1)
+    here = score[np.arange(len(own)), np.maximum(own.astype(np.int64) - FIRST, 0)]
+    some = hist.sum(1) > hist[:, NEW] + hist[:, hist.shape[1] // 2 + NEW]
+    move = some & ((own == NEW) | (score.max(1, initial=-np.inf) > here + 1e-6))
+    return np.where(move, best + FIRST, own).astype(np.uint8)
+
+
+def _steps(own, weights, starts, sizes):
+    """The words' new codes, a row for each slice. Rows come sorted by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        wide = len(w)
+        at, hist, places, held = None, None, [], 0
+
+        def add() -> None:
+            nonlocal hist, places, held
+            if places:
+                cells, n = np.unique(np.concatenate(places), return_counts=True)
+                hist.reshape(-1)[cells] += n
+            places, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            add()
+            first, size = starts.value[at], sizes.value[at]
+            old = own.value[first : first + size]
+            return _arrow({"slice": ([at], pa.int32()), "codes": ([moves(hist, w, old).tobytes()], pa.binary())})
+
+        for b in batches:
+            for k, number, n, beside, often, table in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield out()
+                    at, hist = k, np.zeros((int(sizes.value[k]), wide), np.float32)
+                first = starts.value[k]
+                word = np.repeat(np.frombuffer(number, np.int64) - first, np.frombuffer(n, np.uint16))
+                pair = np.frombuffer(beside, np.uint8).reshape(-1, 2).astype(np.int64)
+                places.append((word[:, None] * wide + pair + [0, wide // 2]).reshape(-1))
+                held += len(places[-1])
+                hist[np.frombuffer(often, np.int64) - first] += np.frombuffer(table, np.uint32).reshape(-1, wide)
+                if held > HELD:
+                    add()
+        if at is not None:
+            yield out()
+
+    return run
+
+
+def class_pairs(pairs: np.ndarray, size: int) -> np.ndarray:
+    """Counts of code pairs without ONCE."""
+    once = len(pairs) // 2
+    return (pairs[:once, :once] + pairs[once:, :once] + pairs[:once, once:] + pairs[once:, once:])[:size, :size]
+
+
+def log_likelihood(n: np.ndarray) -> float:
+    """Of the class bigrams; words without a class are one more class."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(n) - f(n.sum(0)) - f(n.sum(1))
+
+
+def weights_of(n: np.ndarray) -> np.ndarray:
+    """What a neighbour of each code, before and after a word, adds to the likelihood with the word in each class: (2 * size, classes)."""
+    x = n + 0.1
+    before = np.log(x) - np.log(x.sum(0))
+    after = (np.log(x) - np.log(x.sum(1))[:, None]).T
+    out = np.concatenate([before[:, FIRST:], after[:, FIRST:]])
+    out[[NEW, len(n) + NEW]] = 0
+    return out
+
+
 def exchange(big: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Exchange clustering. big: bigram counts, (end, words by falling frequency, other) on both sides; the end and other keep classes of their own.
 
@@ -150,190 +432,23 @@ def exchange(big: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> n
     return own
 
 
-def _contexts(top):
-    """By word outside the top: its count, and the classes beside it: a byte for each (after a class: that class; before one: 64 more)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own, classes = top.value
-        none = 63
-        ids: defaultdict[bytes, int] = defaultdict(count().__next__)
-        for w in words:
-            ids[w]
-        code = np.asarray(own[1:-1], np.uint8)
-        fresh = len(ids)
-        who, left, right, held = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            names = list(ids)[fresh:]
-            if not who or not names:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["word", "n", "beside"])
-            w = np.concatenate(who)
-            order = np.argsort(w, kind="stable")
-            n = np.bincount(w, minlength=len(names))
-            pair = np.stack([np.concatenate(left)[order], np.concatenate(right)[order] + 64], 1).reshape(-1)
-            ends = np.cumsum(n) * 2
-            beside = []
-            for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
-                x = pair[a:b]
-                beside.append(x.tobytes() if b - a <= 512 else b"\xff" + np.bincount(x, minlength=128).astype(np.uint32).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(beside, pa.binary())], ["word", "n", "beside"])
-
-        for t in _texts(batches, 0):
-            w = tokens(t)
-            x = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-            c = np.full(len(w) + 2, none, np.uint8)
-            c[0] = c[-1] = END
-            is_top = x < fresh
-            c[1:-1][is_top] = code[x[is_top]]
-            at = np.flatnonzero(~is_top)
-            who.append((x[at] - fresh).astype(np.int32))
-            left.append(c[at])
-            right.append(c[at + 2])
-            held += len(w)
-            if held > HELD:
-                yield out()
-                for lists in (who, left, right):
-                    lists.clear()
-                ids.clear()
-                ids.default_factory, held = count().__next__, 0
-                for v in words:
-                    ids[v]
-        yield out()
-
-    return run
-
-
-def _assign(logs):
-    """One exchange step: the class under which what stands beside a word is likeliest. Rows come sorted by word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = logs.value  # (128, classes): what one neighbour adds to each class
-        word, n, score = None, 0, np.zeros(weights.shape[1])  # the word that the last rows were of
-
-        def rows(words: list[bytes], counts: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(FIRST + scores.argmax(1), pa.int32())], ["word", "n", "class"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            words, beside = b.column(0).to_pylist(), b.column(2).to_pylist()
-            size = np.fromiter(map(len, beside), np.int64, len(beside))
-            x = np.frombuffer(b"".join(beside), np.uint8)
-            start = np.cumsum(size) - size
-            dense = np.flatnonzero((size > 0) & (x[np.minimum(start, len(x) - 1)] == 255))
-            owner = np.repeat(np.arange(len(words)), size)
-            plain = ~np.isin(owner, dense)
-            hist = np.bincount(owner[plain] * 128 + x[plain], minlength=len(words) * 128).reshape(-1, 128)
-            for i in dense.tolist():
-                hist[i] = np.frombuffer(beside[i][1:], np.uint32)
-            first = np.flatnonzero([i == 0 or words[i] != words[i - 1] for i in range(len(words))])
-            scores = np.add.reduceat(hist @ weights, first)
-            counts = np.add.reduceat(b.column(1).to_numpy(), first)
-            names = [words[i] for i in first.tolist()]
-            if names[0] == word:
-                scores[0] += score
-                counts[0] += n
-            elif word is not None:
-                yield rows([word], np.array([n]), score[None])
-            word, n, score = names[-1], int(counts[-1]), scores[-1]
-            if len(names) > 1:
-                yield rows(names[:-1], counts[:-1], scores[:-1])
-        if word is not None:
-            yield rows([word], np.array([n]), score[None])
-
-    return run
-
-
-def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each block that a task holds."""
-    have: dict[int, set[bytes]] = {}
-    held = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for k, s in have.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(s), pa.int64()), pa.array(list(s), pa.binary())], ["block", "word"])
-
-    for whole in batches:
-        for b in small(whole, 1):
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = have.setdefault(k, set())
-                held -= len(s)
-                s.update(tokens(t))
-                held += len(s)
-            if held > 700_000:
-                yield from out()
-                have, held = {}, 0
-    yield from out()
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as class strings. Rows come sorted by block, a block's words before its documents."""
-    block = None
-    number: dict[bytes, int] = {}
-    ns, codes, arrays = [], [], None
-    for whole in batches:
-        for b in small(whole, 3, 2_000_000):
-            if not b.num_rows:
-                continue
-            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
-            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            out = {k: [] for k in ("doc_id", "n_tokens", "n_known", "base", "emitted", "codes")}
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                if key[0, lo] != block:
-                    block, number, arrays = key[0, lo], {}, None
-                    ns, codes = [np.zeros(1)], [np.full(1, NEW)]
-                part = b.slice(lo, hi - lo)
-                if key[1, lo] == 0:
-                    n = part.column(5).to_numpy(zero_copy_only=False)
-                    at = sum(map(len, ns))  # several tasks may have asked for a word of the block
-                    number.update(zip(part.column(4).to_pylist(), range(at, at + len(n)), strict=True))
-                    ns.append(n)
-                    codes.append(part.column(6).to_numpy(zero_copy_only=False) + np.where(n == 1, ONCE, 0))
-                    continue
-                if arrays is None:
-                    x = np.concatenate(ns).astype(np.float64)
-                    arrays = np.log10(x + 1), np.log10(np.maximum(x, 1)), np.concatenate(codes).astype(np.uint8), x > 0
-                for doc_id, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    w = tokens(text)
-                    i = np.fromiter(map(number.get, w, repeat(0)), np.int64, len(w))
-                    out["doc_id"].append(doc_id)
-                    out["n_tokens"].append(len(w))
-                    out["n_known"].append(int(np.count_nonzero(arrays[3][i])))
-                    out["base"].append(float(arrays[0][i].sum()))
-                    out["emitted"].append(float(arrays[1][i].sum()))
-                    out["codes"].append(arrays[2][i].tobytes())
-            if out["doc_id"]:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
-
-
-def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 14, np.int64)
-    for b in batches:
-        for s in b.column(0).to_pylist():
-            x = np.frombuffer(b"\0" + s + b"\0", np.uint8).astype(np.int64)
-            total += np.bincount(x[:-1] << 7 | x[1:], minlength=1 << 14)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
-
-
 def probabilities(pairs: np.ndarray, classes: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """From counts of code pairs (128, 128): log10 of transitions by code (128, 128), and log10 of what each code's class emits in all (128).
+    """From counts of code pairs (2 * once, 2 * once): log10 of transitions by code (2 * once, 2 * once), and log10 of what each code's class emits in all.
 
     A token of a new word gets log10 of 1 / (vocabulary + 1) besides its transition.
     """
-    size = FIRST + classes
-    code = np.arange(128)
-    cls = np.where(code >= ONCE, code - ONCE, code)
+    size, once = FIRST + classes, len(pairs) // 2
+    code = np.arange(2 * once)
+    cls = np.where(code >= once, code - once, code)
     cls = np.where(cls < size, cls, NEW)
-    into = np.zeros((128, size))
+    into = np.zeros((2 * once, size))
     np.add.at(into.T, cls, pairs.T)  # by the class of the second
     n = np.zeros((size, size))
     np.add.at(n, cls, into)
-    n[NEW] += into[code >= ONCE].sum(0)  # words seen once stand for new ones, as what comes first
+    n[NEW] += into[code >= once].sum(0)  # words seen once stand for new ones, as what comes first
     new = np.zeros(size)
-    np.add.at(new, cls, pairs[:, code >= ONCE].sum(1))
-    new[NEW] += pairs[code >= ONCE][:, code >= ONCE].sum()
+    np.add.at(new, cls, pairs[:, code >= once].sum(1))
+    new[NEW] += pairs[code >= once][:, code >= once].sum()
     total = n.sum(1)
     p_new = (new + 0.5) / (total + 1)
     prior = n[np.arange(size) != NEW].sum(0) + 0.01
@@ -349,85 +464,113 @@ def probabilities(pairs: np.ndarray, classes: int, vocabulary: int) -> tuple[np.
     return logs[cls][:, cls], give[cls]
 
 
-def _scored(model):
+def _scored(own, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trans, give = model.value
-        for b in batches:
-            scores = []
-            for s, e in zip(b.column(5).to_pylist(), b.column(4).to_pylist(), strict=True):
-                x = np.frombuffer(b"\0" + s + b"\0", np.uint8)
-                scores.append(float(trans[x[:-1], x[1:]].sum() + give[x[1:]].sum() + e))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "n_known", "base", "score"])
+        of = _codes(own)
+        for block in _rows(batches, False):
+            x, _ = block.line(of(block))
+            docs = len(block.lengths)
+            word, place = np.repeat(np.arange(docs), block.lengths), np.repeat(np.arange(docs), block.lengths + 1)
+
+            def sums(values: np.ndarray, word=word, docs=docs, tokens=block.tokens) -> np.ndarray:
+                return np.bincount(word, values[tokens], docs)
+
+            score = np.bincount(place, trans[_before(x), x] + give[x], docs) + sums(np.log10(np.maximum(block.n, 1)))
+            yield _arrow({
+                "doc_id": (block.ids, pa.int64()), "n_tokens": (block.lengths, pa.int64()), "n_known": (sums(block.n > 0).astype(np.int64), pa.int64()),
+                "base": (sums(np.log10(block.n + 1.0)), pa.float64()), "score": (score, pa.float64()),
+            })
 
     return run
 
 
-def brown_scores(docs: DataFrame, is_training: Column, block: Column, top: int = TOP, classes: int = CLASSES) -> DataFrame:
+def brown_scores(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """See _brown_scores(); the shuffle files of its steps go as each step ends."""
+    with shuffles_removed(docs.sparkSession):
+        return _brown_scores(docs, *args, **kwargs)
+
+
+def _brown_scores(docs: DataFrame, is_training: Column, block: Column | None = None, top: int = TOP, classes: int | None = None, report: list | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability).
 
-    is_training tells (by doc_id) which rows are learned from. block deals the documents into blocks of some ten MB; any
-    expression gives the same result, one that follows the scan's splits moves the fewest words.
+    is_training tells (by doc_id) which rows are learned from. classes is classes_for() the vocabulary where it is not given. block changes
+    nothing: blocks are what a task reads. report collects a dict for each state of the classes (log-likelihood, words moved, words without a class).
     """
     spark = docs.sparkSession
     importable(spark)
     bc = spark.sparkContext.broadcast
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text", F.xxhash64(block).alias("block"))
-    docs = docs.withColumn("text", F.col("text").cast("binary"))  # spares Python the decoding
-    known = docs.where(is_training).select("text")
-    n_docs = known.count()
-    counts = known.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    first = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()]
-    first = [bytes(w) for w in first]
-    size = len(first) + 2
-    big = np.zeros((size, size), np.int64)
-    for r in known.mapInArrow(_bigrams(bc(first)), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most size**2 rows
-        big[r["a"], r["b"]] = r["n"]
-    own = exchange(big, classes)
-    # log-probabilities of the classes of neighbours, for the other words' step
-    n = np.zeros((classes + 2, classes + 2))
-    np.add.at(n, (own[:, None], own[None, :]), big)
-    inner = n[:-1, :-1] + 0.1
-    after = np.log(inner / inner.sum(1, keepdims=True))[:, 1:]  # of the class, after each class
-    before = np.log(inner / inner.sum(1, keepdims=True)).T[:, 1:]  # of each class, after the class
-    weights = np.zeros((128, classes))
-    weights[: classes + 1], weights[64 : 64 + classes + 1] = after, before
-    beside = known.mapInArrow(_contexts(bc((first, own, classes))), "word binary, n bigint, beside binary")
-    rest = beside.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_assign(bc(weights)), "word binary, n bigint, class int")
-    tops = [(w, int(big[:, i + 1].sum()), FIRST - 1 + int(own[i + 1])) for i, w in enumerate(first)]
-    model = written(rest.unionByName(spark.createDataFrame(tops, rest.schema)), "classes")
-    words = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = words["n"] + n_docs, words["v"] + (1 if n_docs else 0)
-    rows = docs.select("block", "doc_id", "text")
-    needs = rows.select("block", "text").mapInArrow(_needed, "block bigint, word binary")
-    entries = needs.join(model, "word").selectExpr("block", "0 as kind", "cast(null as bigint) as doc_id", "cast(null as binary) as text", "word", "n", "class")
-    both = rows.selectExpr("block", "1 as kind", "doc_id", "text", "cast(null as binary) as word", "cast(null as bigint) as n", "cast(null as int) as class").unionByName(entries)
-    strings = written(
-        both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(
-            _strings, "doc_id bigint, n_tokens bigint, n_known bigint, base double, emitted double, codes binary"
-        ), "strings",
-    )
-    pairs = np.zeros(1 << 14, np.int64)
-    for r in strings.where(is_training).select("codes").mapInArrow(_transitions, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 2**14 rows
-        pairs[r["pair"]] = r["n"]
-    chances = probabilities(pairs.reshape(128, 128), classes, v_all)
+    rows = docs.select("doc_id", F.coalesce(is_training, F.lit(False)).alias("training"), F.col("text").cast("binary").alias("text"))  # spares Python the decoding
+    coded = written(rows.mapInArrow(_coded(SLICES, BLOCK_WORDS), CODED), "coded")
+    n_docs = coded.where("slice < 0 and training").count()
+    words = coded.where("slice >= 0").select("slice", "block", "body", "n").repartition(parts, "slice").sortWithinPartitions("slice", "block")
+    indexed = written(words.mapInArrow(_indexed(top), INDEXED), "indexed")
+    sizes, best, v_all, n_all = np.zeros(SLICES, np.int64), [], 0, 0
+    for r in indexed.where("block < 0").collect():  # a row for each slice
+        sizes[r["slice"]] = r["words"]
+        v_all, n_all = v_all + r["known"], n_all + r["total"]
+        best += zip(np.frombuffer(r["n"], np.int64).tolist(), [r["slice"]] * top, np.frombuffer(r["number"], np.int32).tolist(), strict=False)
+    starts = np.cumsum(sizes) - sizes
+    classes = classes or classes_for(v_all)
+    size = FIRST + classes
+    v_known = v_all
+    v_all, n_all = v_all + (1 if n_docs else 0), n_all + n_docs
+    entries = indexed.where("block >= 0").selectExpr("block", "slice", "cast(null as bigint) as doc_id", "cast(null as boolean) as training", "number as body", "n")
+    both = coded.where("slice < 0").unionByName(entries).repartition(parts, "block").sortWithinPartitions("block", "slice")
+    blocks = written(both.mapInArrow(_joined(bc(starts)), BLOCKS), "blocks")
+    drop_written(coded)
+    drop_written(indexed)
+
+    def counted(of, size: int) -> np.ndarray:
+        out = np.zeros(size * size, np.int64)
+        found = blocks.mapInArrow(_pair_counts(of, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        for r in found.collect():  # at most size**2 rows
+            out[r["pair"]] = r["n"]
+        return out.reshape(size, size)
+
+    own = np.full(int(sizes.sum()), NEW, np.uint8)
+    best = sorted(best, key=lambda x: (-x[0], *x[1:]))[:top]
+    if best:
+        first = np.array([starts[k] + i for _, k, i in best])
+        order = np.argsort(first)
+        own[first] = 1 + exchange(counted(_tops(bc((first[order], order))), len(first) + 2), classes)[1:-1]
+    pairs = counted(_codes(bc(own)), 2 * ONCE)
+    now, step, moved, small_gains = log_likelihood(class_pairs(pairs, size)), 0, 0, 0
+
+    def note() -> None:
+        if report is not None:
+            report.append({"step": step, "likelihood": now, "moved": moved, "without": v_known - int((own != NEW).sum()), "known": v_known, "classes": classes})
+
+    note()
+    while v_known and small_gains < SHARE:
+        step += 1
+        weights = bc(weights_of(class_pairs(pairs, size)).astype(np.float32))
+        beside = blocks.mapInArrow(_contexts(bc(own), size, step), "slice int, number binary, n binary, beside binary, often binary, table binary")
+        steps = beside.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_steps(bc(own), weights, bc(starts), bc(sizes)), "slice int, codes binary")
+        new = own.copy()
+        for r in steps.collect():  # a byte a word
+            new[starts[r["slice"]] : starts[r["slice"]] + sizes[r["slice"]]] = np.frombuffer(r["codes"], np.uint8)
+        moved = int((new != own).sum())
+        if not moved:
+            small_gains += 1
+            continue
+        joined = bool(((own == NEW) & (new != NEW)).any())  # kept whatever the likelihood: it is not that of the same words
+        then = counted(_codes(bc(new)), 2 * ONCE)
+        better = log_likelihood(class_pairs(then, size))
+        small_gains = 0 if joined or better - now > GAIN * abs(now) else small_gains + 1
+        if joined or better > now:
+            own, pairs, now = new, then, better
+        note()
+    chances = probabilities(pairs, classes, v_all)
     base = F.col("base") + log10(n_docs + 1) - F.col("n_tokens") * log10(n_all + v_all + 1)
-    scored = strings.selectExpr("doc_id", "n_tokens + 1 as n_tokens", f"n_known + {1 if n_docs else 0} as n_known", "base", "emitted", "codes")
-    return scored.mapInArrow(_scored(bc(chances)), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double").select(
-        "doc_id", "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score"
-    )
-
-
-def scan_block(split_mb: int = 16) -> Column:
-    """Blocks that follow the scan: the split a row was read from, and a part of it by hash where splits are large."""
-    return F.concat_ws("|", F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(split_mb)))
+    scored = blocks.mapInArrow(_scored(bc(own), bc(chances)), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
+    scored = scored.selectExpr("doc_id", "n_tokens + 1 as n_tokens", f"n_known + {1 if n_docs else 0} as n_known", "base", "score")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op3_brown_lm(spark, sf_dir: str) -> DataFrame:
     """The contract's query over the whole documents table; it learns from rows that are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    mb = {"k": 1 / 1024, "m": 1, "g": 1024}.get(split.lower().rstrip("b")[-1:], 1 / 2**20) * float("".join(c for c in split if c.isdigit()) or 128)
     held = held_out("doc_id", 7, 2)
-    out = brown_scores(docs, ~held, scan_block(max(1, round(mb / 8))))
+    out = brown_scores(table(spark, sf_dir, "documents"), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -279,3 +279,14 @@ def test_transitions_and_emissions_are_probabilities():
     trans, give = brown_lm.probabilities(pairs, 3, 100)
     row = 10 ** trans[:, [0, 1, 2, 3, 4]]
     assert np.allclose(row[codes].sum(1), 1) and give[0] == 0 and give[2] == give[66]
+
+
+def test_moves_follow_the_likelihood():
+    n = np.zeros((4, 4))
+    n[2, 3], n[3, 2], n[0, 2], n[3, 0] = 50, 40, 10, 10
+    hist = np.zeros((4, 8), np.float32)
+    hist[0, 3] = hist[0, 4 + 3] = 5  # between words of the second class: of the first
+    hist[1, 2] = hist[1, 4 + 2] = 5
+    hist[2, 1] = hist[2, 4 + 1] = 5  # no neighbour has a class
+    hist[3] = hist[0]
+    assert brown_lm.moves(hist, brown_lm.weights_of(n), np.array([3, 1, 1, 1], np.uint8)).tolist() == [2, 3, 1, 2]

@@ -268,3 +268,26 @@ def test_pipeline(spark, sf_dir, documents):
             assert kept[name] == {d for d, t in before if not benchmark.judged(t)[1]}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(out) == kept["decontamination"] and all(len(r.ids) == r.n_tokens for r in out.values())
+
+
+def test_brown_classes_reach_words_without_top_neighbours(spark):
+    """Rare words of two kinds take turns and stand beside each other only, as the frequent ones do; few of the rare ones begin or end a text."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    line = lambda kinds, n: " ".join(kinds[k % 2] + str(r.randrange(n)) for k in range(60))
+    docs = spark.createDataFrame([(i, line("cd", 400)) for i in range(60)] + [(100 + i, line("ab", 40)) for i in range(200)], "doc_id bigint, text string").repartition(3)
+    score = lambda top: sum(x.score for x in brown_lm.brown_scores(docs, F.lit(True), F.lit(1), top).collect() if x.doc_id < 100)
+    assert score(80) > 1.1 * score(1000)  # scores are negative; the sequential exchange of all words stays some 6 % better
+
+
+def test_brown_steps_give_every_word_a_class_and_keep_no_step_that_lowers_the_likelihood(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs, report = spark.createDataFrame([(d, r.text) for d, r in documents.items()], "doc_id bigint, text string"), []
+    brown_lm.brown_scores(docs, F.lit(True), top=50, report=report).count()
+    assert report[-1]["without"] == 0 and report[0]["without"] == report[0]["known"] - 50
+    done = [x["likelihood"] for x in report if not x["without"]]
+    assert done == sorted(done) and len(report) > brown_lm.SHARE
