@@ -9,6 +9,7 @@ The items go to the tasks in blocks of BLOCK_WORDS words; documents never move,
 for any ordinary set of benchmarks).
 
 Cases: null texts count as empty and are clean; items without a word match nothing, items of fewer than MIN_MATCH words must appear whole;
+items with null ids count, but are not listed in item_ids;
 repeated items and documents are rows of their own; ties between items give all of them; empty tables give
 clean documents or an empty result; other columns are ignored.
 """
@@ -150,12 +151,12 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
 
 def _run(items, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = items.value.judged
+        judge, least = items.value.judged, items.value.coverage - 1e-12
         for whole in batches:
             for b in small(whole, 0):
                 found = [judge(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bool(i) for _, i in found], pa.bool_()), pa.array([c for c, _ in found], pa.float64()), pa.array([i for _, i in found], pa.list_(pa.int64())), *b.columns[1:]],
+                    [pa.array([c > 0 and c >= least for c, _ in found], pa.bool_()), pa.array([c for c, _ in found], pa.float64()), pa.array([i for _, i in found], pa.list_(pa.int64())), *b.columns[1:]],
                     ["contaminated", "coverage", "item_ids", *keep],
                 )
 
@@ -189,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("doc_id", "__key").agg(F.max("coverage").alias("c"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
     rows = keyed.select("doc_id", "__key").alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__key = f.__key"), "left")
-    return rows.selectExpr("d.doc_id", "coalesce(size(i) > 0, false) as contaminated", "coalesce(c, 0D) as coverage", "coalesce(i, cast(array() as array<bigint>)) as item_ids")
+    return rows.selectExpr("d.doc_id", f"coalesce(c >= {coverage - 1e-12!r}D, false) as contaminated", "coalesce(c, 0D) as coverage", "coalesce(i, cast(array() as array<bigint>)) as item_ids")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -291,3 +291,12 @@ def test_brown_steps_give_every_word_a_class_and_keep_no_step_that_lowers_the_li
     assert report[-1]["without"] == 0 and report[0]["without"] == report[0]["known"] - 50
     done = [x["likelihood"] for x in report if not x["without"]]
     assert done == sorted(done) and len(report) > brown_lm.SHARE
+
+
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 10])
+def test_items_without_id_contaminate(spark, block_words):
+    items = spark.createDataFrame([(None, "nothing like it at all here"), (5, "one two three four five six seven")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "So nothing like it at all here."), (2, "clean text")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.contaminated, r.coverage, r.item_ids) for r in decontaminate.decontaminate(docs, items, block_words=block_words).collect()}
+    assert got == {1: (True, 1.0, []), 2: (False, 0.0, [])}
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items, block_words=block_words).collect()] == [2]
