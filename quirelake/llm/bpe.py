@@ -16,12 +16,14 @@ encoded whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,25 +31,50 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import importable, small, table, tokenizer_path
 
-#: Entries of the memory of encoded pre-tokens in a Python worker; beyond it the memory is emptied.
+#: Entries of the memory of encoded pre-tokens in a Python worker; beyond it only those of the slice at hand stay.
 REMEMBERED = 350_000
 
 
 @cache
-def classes() -> dict[str, str]:
-    """Letters, numbers and white space as the installed tokenizers library knows them, as the insides of character classes.
+def classes() -> tuple[dict[str, str], str]:
+    """Letters, numbers and white space as the installed tokenizers library knows them, as the insides of character classes; and the characters
+    that the regex module puts elsewhere, or that Python lower-cases otherwise or (up to U+FFFF) does not know or normalizes to one beyond.
 
     Unicode versions differ in what is a letter; asking the library about every code point is the only rule that holds for all of them.
     """
-    from tokenizers import Regex, pre_tokenizers
+    from tokenizers import Regex, normalizers
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    out = {}
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    insides, odd = {}, set()
     for name in (r"\p{L}", r"\p{N}", r"\s"):
-        runs = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(text)
-        out[name] = "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for _, (a, b) in runs)
-    return out
+        ours = normalizers.Replace(Regex(f"[^{name}]+"), "").normalize_str(text)
+        runs, last = [], -2
+        for c in map(ord, ours):
+            if c != last + 1:
+                runs.append([c, c])
+            runs[-1][1] = last = c
+        insides[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+        odd |= set(ours) ^ set(regex.findall(name, text))
+    lower = normalizers.Lowercase().normalize_str
+    odd |= {c for c in text if c < "\U00010000" and (unicodedata.category(c) == "Cn" or unicodedata.normalize("NFC", c) >= "\U00010000")}
+    for lo in range(0, len(text), 4096):
+        part = text[lo : lo + 4096].replace("Σ", "")
+        if lower(part) != part.lower():
+            odd |= {c for c in part if lower(c) != c.lower()}
+    return insides, "".join(sorted(odd))
+
+
+def _ranges(inside: str) -> list[tuple[str, str]]:
+    """The first and last characters of the runs of a character class as classes() writes it."""
+    points = [chr(int(x, 16)) for x in re.findall(r"U([0-9a-f]{8})", inside)]
+    return list(zip(points[::2], points[1::2], strict=True))
+
+
+def _spelled(pattern: str, insides: dict[str, str]) -> str:
+    """A pattern with the classes' insides in place of their names."""
+    for name, inside in insides.items():
+        pattern = pattern.replace(f"[{name}]", f"[{inside}]").replace(name, inside)
+    return pattern
 
 
 def byte_alphabet() -> list[str]:
@@ -60,7 +87,7 @@ def byte_alphabet() -> list[str]:
 class Bpe:
     """A loaded vocabulary with the memory of one Python worker."""
 
-    def __init__(self, spec: dict, kinds: dict[str, str] | None = None):
+    def __init__(self, spec: dict, kinds: tuple[dict[str, str], str] | None = None):
         self.spec, self.classes = spec, kinds or classes()
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -82,44 +109,73 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        for name, inside in self.classes.items():
-            pattern = pattern.replace(f"[{name}]", f"[{inside}]").replace(name, inside)
-        self.pre = regex.compile(pattern, regex.V0).findall
-        self.spaces = regex.compile(f"[{self.classes[chr(92) + 's']}]+").sub
+        self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if not self.pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):  # no pre-token holds white space, so runs of it need not be made one
+            raise ValueError("not a splitting that leaves out white space")
+        insides, odd = self.classes
+        narrow = {k: "".join(f"\\u{ord(a):04x}-\\u{ord(min(b, chr(0xFFFF))):04x}" for a, b in _ranges(v) if a < chr(0x10000)) for k, v in insides.items()}
+        self.plain = re.compile(_spelled(self.pattern, narrow)).findall
+        self.wide = regex.compile(self.pattern, regex.V0).findall
+        self.odd = frozenset(odd)
+        self.may_differ = re.compile(f"[{re.escape(''.join(c for c in odd if c < chr(0x10000)))}\U00010000-\U0010ffff]").search
+        self.base = np.array(self.inner + self.final, object)  # each id is one object, so that texts share them
+        self.first = np.full((512, 512), -1, np.int32)  # the ranks of pairs of bytes
+        place = {t: i for i, t in enumerate(self.base.tolist())}
+        for r, (x, y, _) in enumerate(self.merge):
+            if x in place and y in place:
+                self.first[place[x], place[y]] = r
+        self.first[256:] = -1
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __reduce__(self):
         return Bpe, (self.spec, self.classes)
 
+    @cached_property
+    def exact(self):
+        """The pattern with the library's classes, and the library's own normalizer: for texts on which Python and the regex module differ."""
+        from tokenizers import Regex, normalizers
+
+        normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+        return regex.compile(_spelled(self.pattern, self.classes[0]), regex.V0).findall, normal.normalize_str
+
     def pretokens(self, text: str) -> list[str]:
-        """The pre-tokens of a text without special strings."""
+        """The pre-tokens of a text without special strings.
+
+        Classes spelled out are quick up to U+FFFF and slow beyond; so texts with characters beyond use the regex module's own classes,
+        unless a character stands elsewhere in them.
+        """
         if text.isascii():
-            return self.pre(text.lower())
-        text = self.spaces(" ", unicodedata.normalize("NFC", text))
-        # lower-casing is by character: a final sigma is none of its own
-        return self.pre(text.replace("Σ", "σ").lower())
+            return self.plain(text.lower())
+        if not self.may_differ(text):
+            # lower-casing is by character: a final sigma is none of its own
+            return self.plain(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.odd.isdisjoint(text) and "Cn" not in map(unicodedata.category, text):
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if self.odd.isdisjoint(text):
+                return self.wide(text)
+        find, normal = self.exact
+        return find(normal(text))
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct pre-tokens through one pair occurrence index, into the memory."""
-        sym: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            data = w.encode()
-            sym += [self.inner[b] for b in data[:-1]]
-            sym.append(self.final[data[-1]])
-            ends.append(len(sym))
-        n, rank = len(sym), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        start = 0
-        for e in ends:
-            before[start], after[e - 1] = -1, -1
-            for i in range(start, e - 1):
-                r = rank.get(sym[i] << 20 | sym[i + 1])
-                if r is not None:
-                    index.setdefault(r, []).append(i)
-            start = e
+        if not words:
+            return
+        data = [w.encode() for w in words]
+        ends = np.cumsum([len(d) for d in data])
+        kind = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        kind[ends - 1] += 256
+        sym = self.base[kind].tolist()
+        found = self.first[kind[:-1], kind[1:]]
+        at = np.flatnonzero(found >= 0)
+        at = at[np.argsort(found[at], kind="stable")]
+        ranks, starts = np.unique(found[at], return_index=True)
+        index: dict[int, list[int]] = {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(at, starts[1:]), strict=True)} if len(at) else {}
+        links = np.arange(1, len(kind) + 1)
+        links[ends - 1] = -1
+        after = links.tolist()
+        links = np.arange(-1, len(kind) - 1)
+        links[ends[:-1]] = -1
+        before, rank = links.tolist(), self.rank
         active = list(index)
         heapify(active)
         while active:
@@ -148,10 +204,10 @@ class Bpe:
                         else:
                             index[s] = [p]
                             heappush(active, s)
-        start = 0
-        for w, e in zip(words, ends, strict=True):
-            self.known[w] = tuple([s for s in sym[start:e] if s >= 0])
-            start = e
+        keep = np.array(sym) >= 0
+        cuts = np.concatenate([[0], np.cumsum(keep)[ends - 1]]).tolist()
+        left = tuple([s for s in sym if s >= 0])
+        self.known.update((w, left[a:b]) for w, (a, b) in zip(words, pairwise(cuts), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text."""
@@ -161,7 +217,7 @@ class Bpe:
             split.append([[p] if k % 2 else self.pretokens(p) for k, p in enumerate(parts)])
         words = set(chain.from_iterable(p for parts in split for p in parts[::2]))
         if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+            self.known = {w: self.known[w] for w in words if w in self.known}
         new = [w for w in words if w not in self.known]
         self.learn(new)
         known = self.known

@@ -290,3 +290,12 @@ def test_moves_follow_the_likelihood():
     hist[2, 1] = hist[2, 4 + 1] = 5  # no neighbour has a class
     hist[3] = hist[0]
     assert brown_lm.moves(hist, brown_lm.weights_of(n), np.array([3, 1, 1, 1], np.uint8)).tolist() == [2, 3, 1, 2]
+
+
+def test_bpe_equals_the_library_on_characters_that_unicode_versions_treat_differently(words):
+    ours, theirs = words
+    rng, odd = random.Random(3), sorted(ours.odd)
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.3 else rng.choice("ab 1é中\n'sΣ😀") for _ in range(20)) for _ in range(1500)]
+    texts += [" ".join(f"a{chr(c)}1" for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x20000, 64)]
+    for text, got in zip(texts, ours.encode(texts), strict=True):
+        assert got == theirs.encode(text, add_special_tokens=False).ids, text
