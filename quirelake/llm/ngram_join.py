@@ -1,16 +1,19 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Equal texts are one node. A node's set is its shingles of N words (lower-cased, split at white space). Each of TREES
-trees keeps LONGEST minima of the set, a byte of each, as one integer: sorted, these integers are a prefix trie. Matching starts at
-the longest prefix and shortens it until pairs at the threshold are found with the target recall (recall_at()). Nodes that
-share a prefix in a tree are linked to the smallest of them, so a bucket of any size gives one edge a node, and connected groups of such
-candidates are compared exactly: within a group that fits a task by products of its document-shingle matrix,
-and in larger groups block by block, for the pairs of blocks that share a bucket. Links are counted where they are
+trees keeps LONGEST minima of the set, a byte of each, as one integer. All integers are sorted by tree; that order is the trees' prefix
+tries, and one walk along it finds the branches, at any depth, that hold several nodes.
+
+Matching starts at the longest prefix and shortens it for every node until pairs at the threshold are found with the target recall (recall_at()).
+Nodes that then still have no link shorten it further, a byte at a time, down to SHORTEST. Two nodes are compared when they share a
+branch at the depth that one of them has reached; that rule is the same for groups of any size. A branch gives one
+edge a node, and connected groups of branches are compared exactly: within a group that fits a task by products of its document-shingle matrix,
+and in larger groups block by block, for the pairs of blocks that share a branch. Links are counted where they are
 found and passed on as spanning trees, so no list of pairs is ever made.
 
 Cases: null texts count as empty; texts without words link to nothing, copies of them are one class; texts of fewer than N
-words have one shingle, all their words; repeated ids and rows are rows of their own; an empty table gives an empty result;
-other columns are ignored.
+words have one shingle, all their words; very long texts are compared whole; repeated ids and rows are rows of their own; a class takes the largest
+of its ids (null ids are smallest); an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from quirelake.llm.common import importable, keep_rows, small, table, written
 from quirelake.llm.components import components
 
 N, THRESHOLD = 5, 0.8
-TREES, LONGEST, RECALL = 24, 8, 0.999
+TREES, LONGEST, SHORTEST, RECALL = 24, 8, 5, 0.999
 #: Words and nodes that one side of a comparison holds in a task (about: blocks are dealt by hash).
-BLOCK_WORDS, BLOCK_NODES = 1_000_000, 2500
+BLOCK_WORDS, BLOCK_NODES = 1_000_000, 400
 REMEMBERED = 300_000
 
 _rng = np.random.default_rng(8)
@@ -123,15 +126,27 @@ def shingle_rows(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return both // (int(s.max()) + 1), both % (int(s.max()) + 1)
 
 
-def compare(left: list[list[str]], right: list[list[str]] | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links of word lists among each other, or between the left and the right ones: (number of links, smallest member of its component) of each."""
+def shared(trees: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
+    """Whether nodes i and j share a branch of that depth in some tree; trees: (nodes, TREES), unsigned."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 100_000):
+        at = slice(lo, lo + 100_000)
+        out[at] = ((trees[i[at]] ^ trees[j[at]]) >> np.uint64(64 - 8 * depth) == 0).any(1)
+    return out
+
+
+def compare(left: list[list[str]], right: list[list[str]] | None, threshold: float = THRESHOLD, meet=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of word lists among each other, or between the left and the right ones: (number of links, smallest member of its component) of each.
+
+    meet(i, j) tells which pairs of places may link at all.
+    """
     lists = left + (right or [])
     m, a = len(lists), len(left)
     own, s = shingle_rows(lists)
     size = np.bincount(own, minlength=m).astype(np.float64)
-    shared = np.bincount(s) > 1 if len(s) else np.empty(0, bool)
-    keep = shared[s] if len(s) else np.empty(0, bool)
-    own, s = own[keep], (np.cumsum(shared) - 1)[s[keep]] if len(s) else s
+    several = np.bincount(s) > 1 if len(s) else np.empty(0, bool)
+    keep = several[s] if len(s) else np.empty(0, bool)
+    own, s = own[keep], (np.cumsum(several) - 1)[s[keep]] if len(s) else s
     order = np.argsort(s, kind="stable")
     own, s = own[order], s[order]
     rows, cols = (slice(0, a), slice(a, m)) if right is not None else (slice(0, m), slice(0, m))
@@ -144,15 +159,14 @@ def compare(left: list[list[str]], right: list[list[str]] | None, threshold: flo
         both += x[rows] @ x[cols].T
     similar = both >= threshold * (size[rows][:, None] + size[cols][None, :] - both) - 1e-9
     similar &= both > 0
-    if right is None:
-        np.fill_diagonal(similar, False)
-    links = np.zeros(m, np.int64)
-    links[rows] += similar.sum(1)
-    if right is not None:
-        links[cols] += similar.sum(0)
-    root = np.arange(m)
     i, j = np.nonzero(similar)
     i, j = i + rows.start, j + cols.start
+    keep = i < j
+    if meet is not None:
+        keep[keep] = meet(i[keep], j[keep])
+    i, j = i[keep], j[keep]
+    links = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
+    root = np.arange(m)
     while len(i):  # the smaller root of an edge wins, then roots are followed up
         old = root.copy()
         low = np.minimum(root[i], root[j])
@@ -165,36 +179,132 @@ def compare(left: list[list[str]], right: list[list[str]] | None, threshold: flo
     return links, root
 
 
-def _verify(threshold: float):
-    """Rows come sorted by (grp, bi, bj, side, node): the texts of a comparison one after another."""
+def _walk(depths: tuple[int, ...]):
+    """Along the sorted integers (tree, x, node) of a partition: of branches with several nodes their members as (depth, tree, node, hub), hub being the first of them.
+
+    The branches at both ends of a partition, which may go on in the next one, come besides as (depth, tree, prefix, hub, alone).
+    """
+    kinds = {"depth": pa.int32(), "tree": pa.int32(), "inner": pa.int32(), "node": pa.int64(), "hub": pa.int64(), "prefix": pa.int64(), "alone": pa.bool_()}
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.nulls(n, t) if k not in columns else pa.array([columns[k]] * n if np.isscalar(columns[k]) else columns[k], t) for k, t in kinds.items()]
+        return pa.RecordBatch.from_arrays(arrays, list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each depth the branch at hand: tree, prefix, first node and its next byte, whether it is alone, whether it is the partition's first
+        at: dict[int, tuple] = {}
+
+        def border(d: int) -> pa.RecordBatch:
+            tree, prefix, hub, _, alone, _ = at[d]
+            return rows(1, depth=d, tree=[tree], prefix=[prefix], hub=[hub], alone=[alone])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, x, node = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for d in depths:
+                prefix = x >> np.int64(64 - 8 * d)
+                inner = ((x >> np.int64(56 - 8 * d)) & 255 if d < LONGEST else np.zeros_like(x)).astype(np.int32)
+                start = np.ones(len(x), bool)
+                start[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])
+                if d in at:
+                    start[0] = at[d][:2] != (tree[0], prefix[0])
+                if d in at and start[0]:
+                    if at[d][5]:
+                        yield border(d)
+                first = np.flatnonzero(start)
+                # the branch that comes from the batch before, if it goes on, has number 0
+                number = np.cumsum(start) - (1 if start[0] else 0)
+                hubs = node[first] if start[0] else np.concatenate([[at[d][2]], node[first]])
+                size = np.bincount(number, minlength=len(hubs))
+                many = size > 1
+                if not start[0]:
+                    many[0] = True
+                    if at[d][4]:
+                        yield rows(1, depth=d, tree=[at[d][0]], inner=[at[d][3]], node=[at[d][2]], hub=[at[d][2]])
+                keep = many[number]
+                if keep.any():
+                    yield rows(int(keep.sum()), depth=d, tree=tree[keep], inner=inner[keep], node=node[keep], hub=hubs[number[keep]])
+                last = len(hubs) - 1
+                if not start[0]:
+                    if last:
+                        at[d] = (*at[d][:4], False, at[d][5])
+                        if at[d][5]:
+                            yield border(d)
+                elif last and d not in at:  # the partition's first branch ends in its first batch
+                    at[d] = (int(tree[0]), int(prefix[0]), int(hubs[0]), int(inner[0]), not many[0], True)
+                    yield border(d)
+                is_first = d not in at or (at[d][5] and not last and not start[0])
+                if last or start[0]:
+                    k = first[-1]
+                    at[d] = (int(tree[k]), int(prefix[k]), int(node[k]), int(inner[k]), not many[last], is_first)
+                else:
+                    at[d] = (*at[d][:4], False, at[d][5])
+        for d in at:
+            yield border(d)
+
+    return run
+
+
+def branches(nodes: DataFrame, depths: tuple[int, ...]) -> DataFrame:
+    """Of nodes(node, trees), the members of trie branches that hold several: (depth, tree, inner, node, hub).
+
+    hub is one of the branch's nodes and stands for it; inner is the member's next byte, which tells the branches below it apart.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("node", F.posexplode("trees").alias("tree", "x")).select("tree", "x", "node")
+    # the node is in the order so that a branch with any number of nodes can be dealt to several tasks
+    sorted_keys = keys.repartitionByRange(parts, "tree", "x", "node").sortWithinPartitions("tree", "x", "node")
+    walked = written(sorted_keys.mapInArrow(_walk(depths), "depth int, tree int, inner int, node bigint, hub bigint, prefix bigint, alone boolean"), "branches")
+    ends = walked.where("prefix is not null")
+    over = ends.groupBy("depth", "tree", "prefix").agg(F.min("hub").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # at most two rows a depth and partition
+    over = F.broadcast(ends.join(F.broadcast(over), ["depth", "tree", "prefix"]).select("depth", "tree", "hub", "top", "alone", "prefix"))
+    whole = walked.where("prefix is null").join(over.drop("alone", "prefix"), ["depth", "tree", "hub"], "left").select("depth", "tree", "inner", "node", F.coalesce("top", "hub").alias("hub"))
+    lone = over.where("alone").join(nodes.select(F.col("node").alias("hub"), "trees"), "hub")
+    inner = F.expr(f"cast(case when depth < {LONGEST} then shiftrightunsigned(trees[tree], 56 - 8 * depth) & 255 else 0 end as int)")
+    return written(whole.unionByName(lone.select("depth", "tree", inner.alias("inner"), F.col("hub").alias("node"), F.col("top").alias("hub"))), "members")
+
+
+def _verify(threshold: float, depth: int, again: bool):
+    """Rows come sorted by (grp, bi, bj, side, node): the texts of a comparison one after another.
+
+    Pairs link that share a branch of that depth. In a later round (again) those are left out that shared one a byte longer, and those of two nodes that are not open.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sides, lists = None, [], [], []
-        out: list[tuple[int, int, int, bool]] = []
+        at, nodes, sides, opened, trees, lists = None, [], [], [], [], []
+        out: list[tuple[int, int, int]] = []
 
         def close() -> None:
             if not nodes:
                 return
-            a = sides.count(0)
+            t, o, a = np.array(trees, np.int64).view(np.uint64).reshape(len(nodes), -1), np.array(opened), sides.count(0)
+
+            def meet(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = shared(t, i, j, depth)
+                return ok & (o[i] | o[j]) & ~shared(t, i, j, depth + 1) if again else ok
+
             one = at[1] == at[2]
-            links, root = compare(lists if one else lists[:a], None if one else lists[a:], threshold)
-            several = at[3]
-            out.extend((n, k, nodes[r], several) for n, k, r in zip(nodes, links.tolist(), root.tolist(), strict=True) if k or not several)
+            links, root = compare(lists if one else lists[:a], None if one else lists[a:], threshold, meet)
+            out.extend((n, k, nodes[r]) for n, k, r in zip(nodes, links.tolist(), root.tolist(), strict=True) if k)
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["node", "links", "root", "several"])
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
 
         for whole in batches:
-            for b in small(whole, 6):
-                for g, bi, bj, several, side, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if (g, bi, bj, several) != at:
+            for b in small(whole, 7):
+                for g, bi, bj, side, node, is_open, tree, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6, 7)), strict=True):
+                    if (g, bi, bj) != at:
                         close()
-                        at, nodes, sides, lists = (g, bi, bj, several), [], [], []
+                        at, nodes, sides, opened, trees, lists = (g, bi, bj), [], [], [], [], []
                     if nodes and node == nodes[-1] and side == sides[-1]:
                         continue  # a repeated row of the text's own document
                     nodes.append(node)
                     sides.append(side)
+                    opened.append(is_open)
+                    trees.append(tree)
                     lists.append(words(text))
                 if len(out) > 50_000:
                     yield batch()
@@ -205,7 +315,45 @@ def _verify(threshold: float):
     return run
 
 
-def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_words: int = BLOCK_WORDS, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def _compared(members: DataFrame, held: DataFrame, threshold: float, depth: int, again: bool, block_words: int, block_nodes: int) -> DataFrame:
+    """Links between nodes that share a branch of members(tree, node, hub, open): (node, links, root), a row for each comparison that found some.
+
+    held(node, mark, n_words, trees, text) has the texts; mark is a hash of the text, so that blocks do not rest on the order of rows.
+    """
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = written(components(members.selectExpr("node as a", "hub as b")), "candidates").withColumnRenamed("root", "grp")
+    opened = members.groupBy("node").agg(F.max("open").alias("open"))
+    # groups too large for a task fall into blocks: nodes of one branch of the first tree stay together, unless the branch alone is too large
+    about = held.select("node", "mark", "n_words", F.shiftrightunsigned(F.col("trees")[0], 64 - 8 * depth).alias("branch")).dropDuplicates(["node"])
+    weight = written(grouped.join(opened, "node").join(about, "node"), "weights")
+    parts_of = F.greatest(F.ceil(F.sum("n_words") / block_words), F.ceil(F.count("*") / block_nodes)).cast("int")
+    sizes = written(weight.groupBy("grp").agg(parts_of.alias("blocks")).where("blocks > 1"), "sizes")
+    zero, columns = F.lit(0).cast("bigint"), ("grp", "bi", "bj", "side", "node", "open")
+    roles = weight.join(sizes, "grp", "left_anti").select("grp", zero.alias("bi"), zero.alias("bj"), F.lit(0).alias("side"), "node", "open")
+    if sizes.limit(1).count():
+        grown = written(weight.join(sizes, "grp", "left_semi").groupBy("grp", "branch").agg(parts_of.alias("salts")), "salts")
+        by_branch = F.when(F.col("salts") > 1, F.xxhash64("branch", F.pmod("mark", F.col("salts")))).otherwise(F.pmod(F.xxhash64("branch"), 2 * F.col("blocks")))
+        # nodes that only others look for have blocks of their own, which need not meet each other
+        block = F.xxhash64(by_branch.cast("bigint"), F.col("open")).alias("block") if again else by_branch.cast("bigint").alias("block")
+        placed = written(weight.join(sizes, "grp").join(grown, ["grp", "branch"]).select("node", "grp", block, "open"), "placed")
+        # pairs of blocks that share a branch; every block meets itself besides
+        touched = members.select("tree", "hub", "node").join(placed, "node").groupBy("tree", "hub", "grp", "block").agg(F.max("open").alias("open"))
+        met = touched.groupBy("tree", "hub", "grp").agg(F.collect_set(F.struct("block", "open")).alias("bs"))
+        met = met.select("grp", F.explode("bs").alias("i"), "bs").select("grp", "i", F.explode("bs").alias("j")).where("i.block < j.block and (i.open or j.open)")
+        pairs = written(met.selectExpr("grp", "i.block as bi", "j.block as bj").distinct(), "pairs")
+        alone = placed.where("open") if again else placed
+        roles = roles.unionByName(alone.select("grp", F.col("block").alias("bi"), F.col("block").alias("bj"), F.lit(0).alias("side"), "node", "open"))
+        for side, name in ((0, "bi"), (1, "bj")):
+            both = placed.join(pairs.withColumnRenamed(name, "block"), ["grp", "block"]).withColumnRenamed("block", name)
+            roles = roles.unionByName(both.withColumn("side", F.lit(side)).select(*columns))
+    sent = roles.join(held.select("node", "trees", "text"), "node").select(*columns, "trees", "text")
+    sent = sent.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "side", "node")
+    return written(sent.mapInArrow(_verify(threshold, depth, again), "node bigint, links bigint, root bigint"), "found")
+
+
+def similar_groups(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_words: int = BLOCK_WORDS, block_nodes: int = BLOCK_NODES, shortest: int = SHORTEST
+) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, key (SHA-256 of the text), class_id, class_docs, n_copies, n_links, root (a number of the class).
 
     class_id is the largest doc_id of the documents that links join, class_docs their number, n_copies the number of documents with this very
@@ -213,7 +361,7 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     spark = docs.sparkSession
     importable(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "text")
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key")
     rows = written(docs.select("doc_id", key, "text").mapInArrow(_sketch, "doc_id bigint, key binary, n_words bigint, trees array<bigint>"), "sketches")
     nodes = written(
@@ -221,39 +369,26 @@ def similar_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         .withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
     depth = prefix_length(threshold, recall)
-    bands = nodes.select("node", F.posexplode("trees").alias("tree", "x")).select("node", "tree", F.shiftrightunsigned("x", 64 - 8 * depth).alias("prefix"))
-    buckets = written(bands.groupBy("tree", "prefix").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    members = bands.join(buckets, ["tree", "prefix"])
-    grouped = written(components(members.selectExpr("node as a", "hub as b")), "candidates").withColumnRenamed("root", "grp")
-    # groups too large for a task fall into blocks: nodes of one trie branch of the first tree stay together, unless the branch alone is too large
-    branch = F.shiftrightunsigned(F.col("trees")[0], 64 - 8 * depth).alias("branch")
-    weight = written(grouped.join(nodes.select("node", "n_words", "doc_id", "key", branch), "node"), "weights")
-    parts_of = F.greatest(F.ceil(F.sum("n_words") / block_words), F.ceil(F.count("*") / block_nodes)).cast("int")
-    sizes = written(weight.groupBy("grp").agg(parts_of.alias("blocks")).where("blocks > 1"), "sizes")
-    zero, columns = F.lit(0).cast("bigint"), ("node", "grp", "bi", "bj", "several", "side", "doc_id", "key")
-    roles = weight.join(sizes, "grp", "left_anti").select("node", "grp", zero.alias("bi"), zero.alias("bj"), F.lit(False).alias("several"), F.lit(0).alias("side"), "doc_id", "key")
-    large = sizes.limit(1).count() > 0
-    if large:
-        branches = written(weight.join(sizes, "grp", "left_semi").groupBy("grp", "branch").agg(parts_of.alias("salts")), "branches")
-        block = F.when(F.col("salts") > 1, F.xxhash64("branch", F.pmod(F.xxhash64("node"), F.col("salts")))).otherwise(F.pmod(F.xxhash64("branch"), 2 * F.col("blocks"))).cast("bigint")
-        placed = written(weight.join(sizes, "grp").join(branches, ["grp", "branch"]).select("node", "grp", block.alias("block"), F.lit(True).alias("several"), "doc_id", "key"), "placed")
-        # pairs of blocks that share a bucket; every block meets itself besides
-        touched = members.join(placed.select("node", "grp", "block"), "node").select("tree", "prefix", "grp", "block").distinct()
-        met = touched.groupBy("tree", "prefix", "grp").agg(F.collect_set("block").alias("bs"))
-        pairs = written(met.select("grp", F.explode("bs").alias("bi"), "bs").select("grp", "bi", F.explode("bs").alias("bj")).where("bi < bj").distinct(), "pairs")
-        roles = roles.unionByName(placed.select("node", "grp", F.col("block").alias("bi"), F.col("block").alias("bj"), "several", F.lit(0).alias("side"), "doc_id", "key"))
-        for side, name in ((0, "bi"), (1, "bj")):
-            both = placed.join(pairs.withColumnRenamed(name, "block"), ["grp", "block"]).withColumnRenamed("block", name)
-            roles = roles.unionByName(both.withColumn("side", F.lit(side)).select(*columns))
+    depths = tuple(range(depth, max(1, min(shortest, depth)) - 1, -1))
+    members = branches(nodes, depths)
+    candidates = members.select("node").distinct().join(nodes, "node").select("node", "doc_id", "key", "n_words", "trees")
     texts = docs.select(F.col("doc_id").alias("d"), key.alias("k"), "text")
-    sent = roles.join(texts, F.expr("key = k and doc_id <=> d")).select("grp", "bi", "bj", "several", "side", "node", "text")
-    sent = sent.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "side", "node")
-    found = written(sent.mapInArrow(_verify(threshold), "node bigint, links bigint, root bigint, several boolean"), "found")
-    single = found.where("not several").select("node", "links", "root")
-    if large:
-        over = found.where("several")
-        roots = components(over.selectExpr("node as a", "root as b"))
-        single = single.unionByName(over.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root")))
+    held = written(candidates.join(texts, F.expr("key = k and doc_id <=> d")).select("node", F.xxhash64("key").alias("mark"), "n_words", "trees", "text"), "held")
+    found = None
+    for d in depths:
+        own = members.where(F.col("depth") == d).select("tree", "inner", "node", "hub")
+        if found is None:
+            found = _compared(own.withColumn("open", F.lit(True)), held, threshold, d, False, block_words, block_nodes)
+            continue
+        # branches that hold more than one branch of the depth before, and a node without a link
+        linked = found.select("node").distinct().withColumn("closed", F.lit(True))
+        own = own.join(linked, "node", "left").select("tree", "inner", "node", "hub", F.col("closed").isNull().alias("open"))
+        grown = own.groupBy("tree", "hub").agg(F.min("inner").alias("lo"), F.max("inner").alias("hi"), F.max("open").alias("some")).where("lo < hi and some").select("tree", "hub")
+        more = written(own.join(grown, ["tree", "hub"], "left_semi"), "shorter")
+        if more.limit(1).count():
+            found = written(found.unionByName(_compared(more, held, threshold, d, True, block_words, block_nodes)), "links")
+    roots = components(found.selectExpr("node as a", "root as b"))
+    single = found.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left").select("node", "links", F.coalesce("root", "node").alias("root"))
     linked = written(nodes.select("node", "key", "doc_id", "n_copies").join(single, "node", "left").select("key", "doc_id", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root")), "linked")
     classes = written(linked.groupBy("root").agg(F.max("doc_id").alias("class_id"), F.sum("n_copies").alias("class_docs")), "classes")
     info = written(linked.drop("doc_id").join(classes, "root").select("key", "root", "class_id", "class_docs", "n_copies", "n_links"), "info")

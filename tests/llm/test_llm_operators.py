@@ -300,3 +300,58 @@ def test_items_without_id_contaminate(spark, block_words):
     got = {r.doc_id: (r.contaminated, r.coverage, r.item_ids) for r in decontaminate.decontaminate(docs, items, block_words=block_words).collect()}
     assert got == {1: (True, 1.0, []), 2: (False, 0.0, [])}
     assert [r.doc_id for r in decontaminate.without_leaks(docs, items, block_words=block_words).collect()] == [2]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_trie_walk(spark, batch):
+    """Branches found along the sorted order, over batches and partitions, against plain groups; one branch spans several partitions."""
+    import random
+
+    r, name = random.Random(batch), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    value = lambda hot: int.from_bytes(bytes([7] * 5 + [r.randrange(2) for _ in range(3)]) if hot else bytes(r.randrange(2) * 200 for _ in range(4)) + bytes(r.randrange(3) for _ in range(4)), "big", signed=True)
+    nodes = [(k, [value(k % 3 == 0 and t == 0) for t in range(2)]) for k in range(60)] + [(99, [])]
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        got = ngram_join.branches(spark.createDataFrame(nodes, "node bigint, trees array<bigint>"), (8, 6, 5)).collect()
+    finally:
+        spark.conf.set(name, before)
+    want, have = defaultdict(set), defaultdict(set)
+    for k, trees in nodes:
+        for t, x in enumerate(trees):
+            for d in (8, 6, 5):
+                want[d, t, x >> (64 - 8 * d)].add((k, x >> (56 - 8 * d) & 255 if d < 8 else 0))
+    for m in got:
+        have[m.depth, m.tree, m.hub].add((m.node, m.inner))
+    assert len(got) == sum(map(len, have.values()))
+    assert sorted((d, t, sorted(v)) for (d, t, _), v in have.items()) == sorted((d, t, sorted(v)) for (d, t, _), v in want.items() if len(v) > 1)
+    assert all(any(n == h for n, _ in v) for (_, _, h), v in have.items())
+
+
+def test_ngram_join_of_one_large_group_is_the_same_however_it_is_dealt(spark):
+    """A group of texts around the threshold, compared whole and in small blocks, from different partitions and orders of rows."""
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(70):
+        w = base[:]
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    want = slow_groups(rows)
+    for parts, limits in ((1, {}), (5, {"block_words": 1500, "block_nodes": 11}), (3, {"block_words": 10**9, "block_nodes": 69})):
+        docs = spark.createDataFrame(rows[::-1] if parts > 1 else rows, "doc_id bigint, text string").repartition(parts)
+        got = ngram_join.similar_groups(docs, **limits).drop("root").collect()
+        assert sorted(tuple(x) for x in got) == want
+
+
+def test_shorter_prefixes_find_links_of_documents_without_any(spark, documents):
+    """With trees that match too seldom at the first depth, the later rounds find what the first one missed."""
+    rows = [(d, t) for d, t in near_rows(documents) if d is not None and t and len(t) < 5000]
+    docs, want = spark.createDataFrame(rows, "doc_id bigint, text string"), {r[1]: r[5] for r in slow_groups(rows)}
+    share = lambda shortest: {r.key: r.n_links for r in ngram_join.similar_groups(docs, recall=0.0, shortest=shortest).collect()}
+    first, later = share(8), share(5)
+    assert all(first[k] <= later[k] <= want[k] for k in want)
+    assert sum(v > 0 for v in later.values()) == sum(v > 0 for v in want.values())
