@@ -10,7 +10,7 @@ It reads tokenizer files with a BPE model, a byte-level alphabet, an end-of-word
 splitting that the file names (NFC, white space to one space, lower case); other files are refused.
 
 Cases: null text counts as empty (no ids, empty text); special strings in texts give their own ids; texts of any length are
-encoded whole; an empty table gives an empty result.
+encoded whole, in slices; repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import importable, small, table, tokenizer_path
+from quirelake.llm.common import fresh, importable, small, table, tokenizer_path
 
 #: Entries of the memory of encoded pre-tokens in a Python worker; beyond it only those of the slice at hand stay.
 REMEMBERED = 350_000
@@ -247,15 +247,18 @@ def _encode(model):
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: the kept columns, ids (array<int>) and decoded (the text that decoding the ids gives).
+    """One row per row of docs: the kept columns (one named like a result gets an underscore), ids (array<int>) and decoded (the text that decoding the ids gives).
 
     The vocabulary (of fixed size) is broadcast.
     """
     spark = docs.sparkSession
     importable(spark)
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    rows = docs.select(F.col(text).alias("__text"), *keep)
-    return rows.mapInArrow(_encode(spark.sparkContext.broadcast(load(path))), f"{kept}ids array<int>, decoded string")
+    at = [f"c{i}" for i in range(len(keep))]  # kept columns may have any names
+    kept = "".join(f"{a} {docs.schema[c].dataType.simpleString()}, " for a, c in zip(at, keep, strict=True))
+    rows = docs.select(F.col(text).alias("body"), *[F.col(f"`{c}`").alias(a) for a, c in zip(at, keep, strict=True)])
+    out = rows.mapInArrow(_encode(spark.sparkContext.broadcast(load(path))), f"{kept}ids array<int>, decoded string")
+    names = fresh(["ids", "decoded"], *keep)
+    return out.toDF(*names, "ids", "decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

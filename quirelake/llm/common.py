@@ -83,15 +83,31 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like the given ones that are not taken (in any case of letters)."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
-    """The rows of docs that stay(doc_id, key) names, one for each; key is the expression over docs that stay.key holds."""
+    """The rows of docs that stay(doc_id, key) names, one for each; key is the expression over docs that stay.key holds.
+
+    Of rows that repeat id and text the one whose columns hash lowest stays. Columns of docs may have any names.
+    """
     stay = written(stay, "stay")
-    rows = docs.withColumn("__key", key)
-    kept = rows.alias("r").join(stay.alias("s"), F.expr("r.__key = s.key and r.doc_id <=> s.doc_id"), "left_semi")
-    if rows.select("doc_id", "__key").groupBy("doc_id", "__key").count().where("count > 1").limit(1).count():  # rows that repeat id and text
-        first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(1)))
-        kept = kept.withColumn("__n", first).where("__n = 1").drop("__n")
-    return kept.drop("__key")
+    k, n, h = fresh(docs.columns, "key", "n", "hash")
+    rows = docs.withColumn(k, key)
+    kept = rows.alias("r").join(stay.alias("s"), F.expr(f"r.`{k}` = s.key and r.doc_id <=> s.doc_id"), "left_semi")
+    if rows.select("doc_id", k).groupBy("doc_id", k).count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        whole = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c not in ("doc_id", "text")]
+        kept = kept.withColumn(h, F.xxhash64(*whole, F.lit(0)))
+        kept = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", k).orderBy(h, *whole))).where(F.col(n) == 1).drop(n, h)
+    return kept.drop(k)
 
 
 def crc_mod(col: Column | str, mod: int) -> Column:

@@ -2,12 +2,13 @@
 
 A text is cut where a rolling hash of its last 16 bytes has a given form, so equal passages give equal chunks
 wherever they stand. Each chunk is named by its SHA-256; one shuffle brings every distinct chunk's bytes (each
-task sends a chunk once) beside those of the same name and so proves that a name stands for one byte string.
+task sends a chunk once, told by its name, length and a second hash) beside those of the same name and so proves that a name stands for one byte string.
 From then on only the ordered lists of names move, never the documents.
 
 Cases: null text counts as empty (an empty list); texts are compared after lower-casing A-Z only; of equal
 texts the row with the largest doc_id stays (null ids are smallest; of rows that repeat the id too, exactly
-one stays); an empty table gives an empty result; other columns of the input are ignored.
+one stays); very long texts are read whole, a chunk never exceeds MAX bytes; an empty table gives an empty result; other columns of the input are ignored,
+or kept by distinct_documents(), whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import ascii_lower, importable, keep_rows, table, written
+from quirelake.llm.common import ascii_lower, importable, keep_rows, small, table, written
 
 #: Sizes in bytes: no cut before MIN, always one at MAX, and on average one in 2**BITS bytes between them.
 MIN, MAX, BITS = 1024, 32768, 12
@@ -64,7 +66,7 @@ def _normal(texts: pa.Array) -> Iterator[bytes]:
 
 def _recipes(key_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in small(whole, 1)):
             recipes, digests = [], []
             for data in _normal(b.column(1)):
                 recipes.append(b"".join(hashlib.sha256(c).digest()[:key_bytes] for c in chunks(data)))
@@ -76,15 +78,16 @@ def _recipes(key_bytes: int):
 
 def _chunk_rows(key_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
+        seen: dict[bytes, tuple[int, int]] = {}
+        for b in (s for whole in batches for s in small(whole, 0)):
             keys, parts, size = [], [], 0
             for data in _normal(b.column(0)):
                 for c in chunks(data):
                     full = hashlib.sha256(c).digest()
-                    if full in seen and key_bytes == 32:
+                    other = len(c), xxhash.xxh3_64_intdigest(c)
+                    if seen.get(full) == other and key_bytes == 32:
                         continue
-                    seen.add(full)
+                    seen[full] = other
                     if len(seen) > 500_000:  # a bound for memory only: a chunk sent twice changes nothing
                         seen.clear()
                     keys.append(full[:key_bytes])
@@ -126,7 +129,7 @@ def exact_dedup(docs: DataFrame, key_bytes: int = 32) -> DataFrame:
         same.append("whole")
     groups = written(recipes.groupBy(*same).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     joined = recipes.join(groups, same)
-    one = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1)))
+    one = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1)))  # such rows are equal in all columns here, so any of them will do
     return joined.select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (one == 1)).alias("kept"), "text_sha256",
         (F.length("recipe") / key_bytes).cast("int").alias("n_chunks"),

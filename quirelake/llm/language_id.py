@@ -6,7 +6,8 @@ whole text. It is trained in numpy by backpropagation through time, with the doc
 on a bounded sample: PER_LANG documents of each language (expected number), WINDOWS windows of each (more of each where documents are few).
 
 Cases: null texts and texts without a letter are `und` with score 0; ties go to the language that sorts first; texts of any
-length are read whole; if there is nothing to learn from, every text is `und`; an empty table gives an empty result.
+length are read whole, in slices; ids may be null or repeat, a repeated row is a row of its own (and is learned from once); if there is nothing to learn
+from, every text is `und`; an empty table gives an empty result; other columns are ignored, or kept by in_some_language(), whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import held_out, importable, small, table
@@ -27,8 +28,9 @@ HIDDEN, EPOCHS, BATCH = 8, 8, 128
 #: Passes over the sample go on until there were so many batches.
 LEAST_BATCHES = 300
 UNKNOWN = "und"
-#: The mean probability that some language must have for a document to stay in a corpus.
-LEAST_SCORE = 0.3
+#: How far the mean probability of a document's language must lie above that of the next one for it to stay in a corpus. Both are means of the same
+#: softmax, so the margin means the same for any number of languages; with one language it is the score itself. Chosen on held-out rows (README).
+LEAST_MARGIN = 0.3
 _letter = re.compile(r"[^\W\d_]").search
 
 
@@ -167,19 +169,19 @@ def windows(rows: list[tuple[str, list[str]]], langs: list[str]) -> tuple[np.nda
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> BiGru | None:
-    """Fit on docs(doc_id, text, lang). The sample is bounded by its expected size, per_lang documents of each language, chosen by a hash of the id."""
-    known = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
+    """Fit on docs(doc_id, text, lang). The sample has about per_lang distinct texts of each language, twice as many at most, drawn by a hash of the text."""
+    known = docs.select("text", "lang").where("text is not null and lang is not null")
+    # rows are drawn by a hash of text and language, so null or repeated ids change nothing
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
     pieces = min(32, max(WINDOWS, -(-PER_LANG * WINDOWS // min(per_lang, *counts.values(), PER_LANG))))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
-    place = f"1 + pmod(xxhash64(doc_id, i), greatest(length(text) - {WINDOW} + 1, 1))"
-    rows = (
-        known.where((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")])
-        .selectExpr("lang", f"transform(sequence(1, {pieces}), i -> substring(text, cast({place} as int), {WINDOW})) as pieces", "xxhash64(doc_id) as h")
-        .collect()
-    )
+    place = f"1 + pmod(xxhash64(h, i), greatest(length(text) - {WINDOW} + 1, 1))"
+    wanted = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
+    drawn = known.withColumn("h", F.xxhash64("text", "lang")).where((F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)) < wanted[F.col("lang")])
+    # equal texts teach nothing new, so one of each stays, and at most twice the expected number of a language: what a hot text is drawn for cannot fill the driver
+    drawn = drawn.dropDuplicates(["h"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit("order")), "h"))).where(f"n <= {2 * per_lang}")
+    rows = drawn.selectExpr("lang", f"transform(sequence(1, {pieces}), i -> substring(text, cast({place} as int), {WINDOW})) as pieces", "h").collect()
     langs = sorted(counts)
     data, mask, y = windows([(r["lang"], r["pieces"]) for r in sorted(rows, key=lambda r: r["h"])], langs)
     if not len(y):
@@ -196,34 +198,35 @@ def _run(model):
             for b in small(whole, 1, 2_000_000):
                 texts = b.column(1).to_pylist()
                 letters = [bool(net and t and _letter(t)) for t in texts]
-                langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                langs, scores, margins = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 at = [i for i, x in enumerate(letters) if x]
                 if at:
                     prob = net.predict([texts[i].encode() for i in at])
                     best = prob.argmax(1)
                     scores[at] = np.clip(prob.max(1), 0, 1)
+                    margins[at] = scores[at] - (np.partition(prob, -2, 1)[:, -2] if prob.shape[1] > 1 else 0)
                     for i, k in zip(at, best.tolist(), strict=True):
                         langs[i] = net.langs[k]
-                yield pa.RecordBatch.from_arrays([*b.columns[:1], pa.array(langs, pa.string()), pa.array(scores), *b.columns[2:]], ["doc_id", "lang_pred", "score", *b.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([*b.columns[:1], pa.array(langs, pa.string()), pa.array(scores), pa.array(margins), *b.columns[2:]], ["doc_id", "lang_pred", "score", "margin", *b.schema.names[2:]])
 
     return run
 
 
 def language_id(docs: DataFrame, model: BiGru | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs(doc_id, text, kept columns): doc_id, lang_pred, score, kept columns. The model (some 20 kB) is broadcast."""
+    """One row per row of docs(doc_id, text, kept columns): doc_id, lang_pred, score, margin (over the next language), kept columns. The model (some 20 kB) is broadcast."""
     spark = docs.sparkSession
     importable(spark)
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("doc_id", "text", *keep).mapInArrow(_run(spark.sparkContext.broadcast(model)), f"doc_id bigint, lang_pred string, score double{kept}")
+    return docs.select("doc_id", "text", *keep).mapInArrow(_run(spark.sparkContext.broadcast(model)), f"doc_id bigint, lang_pred string, score double, margin double{kept}")
 
 
-def in_some_language(docs: DataFrame, model: BiGru | None, least: float = LEAST_SCORE) -> DataFrame:
-    """docs(text, ...) without those that language ID rejects, all columns kept: `und`, or no language with a score of least."""
+def in_some_language(docs: DataFrame, model: BiGru | None, least: float = LEAST_MARGIN) -> DataFrame:
+    """docs(text, ...) without those that language ID rejects, all columns kept: `und`, or a language whose score is not least above that of the next one."""
     names = docs.columns
     at = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*at).withColumns({"text": F.col(f"c{names.index('text')}"), "doc_id": F.lit(None).cast("bigint")})
     judged = language_id(rows, model, tuple(at))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*at).toDF(*names)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("margin") >= least)).select(*at).toDF(*names)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 A text's bytes are cut into chunks of CHUNK bytes that overlap by OVERLAP and cover the whole text. Learned byte vectors go
 through FILTERS filters of WIDTH bytes, which step by STRIDE; each filter's responses are max-pooled over a chunk and joined
 to one log-odds; the mean over all chunks gives the text's probability. Training is by backpropagation in numpy on
-a bounded sample: PER_CLASS documents of each label (expected number), CHUNKS chunks of each.
+a bounded sample: about PER_CLASS documents of each label (twice as many at most), CHUNKS chunks of each.
 
-Cases: null counts as empty, an empty text as one chunk of padding; texts of any length are read whole; without labels of both
-kinds the score is the share of label 1 (0.5 without labels); an empty table gives an empty result.
+Cases: null counts as empty, an empty text as one chunk of padding; texts of any length are read whole, in slices; without labels of both
+kinds the score is the share of label 1 (0.5 without labels); ids may be null or repeat: null ids have no label, repeated rows are rows of their own (and are
+learned from once); a score at the threshold counts as 1; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import held_out, importable, small, table
@@ -113,7 +114,7 @@ def chunked(data: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ByteCnn:
-    """Fit on docs(doc_id, text) and labels(doc_id, quality). The sample is bounded by per_class documents of each label, chosen by a hash of the id."""
+    """Fit on docs(doc_id, text) and labels(doc_id, quality). The sample has at most 2 * per_class documents of each label, chosen by a hash of the id."""
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     model = ByteCnn()
@@ -121,12 +122,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
         model.base = float(next(iter(counts), 0.5))
         return model
     rate = F.when(F.col("quality") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    some = known.where((F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / (1 << 20)) < rate).limit(4 * per_class)
-    place = f"1 + pmod(xxhash64(doc_id, i), greatest(length(text) - {CHUNK} + 1, 1))"
+    first = lambda *order: F.row_number().over(Window.partitionBy("quality").orderBy(*order))
+    some = known.where((F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / (1 << 20)) < rate).distinct()
+    some = some.withColumn("n", first(F.xxhash64("doc_id", F.lit("order")), "doc_id")).where(f"n <= {2 * per_class}").drop("n")
+    place = f"1 + pmod(xxhash64(h, i), greatest(length(text) - {CHUNK} + 1, 1))"
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(some), "doc_id")  # at most 4 * per_class rows
-        .selectExpr("quality", f"transform(sequence(1, {CHUNKS}), i -> substring(text, cast({place} as int), {CHUNK})) as pieces", "xxhash64(doc_id) as h")
+        .withColumn("h", F.xxhash64("text"))
+        .selectExpr("quality", f"transform(sequence(1, {CHUNKS}), i -> substring(text, cast({place} as int), {CHUNK})) as pieces", "h")
+        .distinct()  # rows that repeat an id, or share a text
+        .withColumn("n", first(F.xxhash64("h", F.lit("order")), "h")).where(f"n <= {2 * per_class}")
         .collect()
     )
     if len({r["quality"] for r in rows}) < 2:

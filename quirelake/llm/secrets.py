@@ -4,10 +4,12 @@ A candidate is a maximal run of `[A-Za-z0-9+/_=-]` of at least WINDOW characters
 characters slides over it; the counts of its characters, and with them the sum of n*log2(n), are changed by the
 character that leaves and the one that enters, so a step costs the same for any window. A window is judged
 by the least class that holds all its characters (hex, alphanumeric, base64), each class with its own
-threshold; windows over the threshold join into spans. The allow list suppresses spans that look random but are
-not secret (UUIDs, digits only, ordered alphabets) or that carry no digit at all (long words).
+threshold; windows over the threshold join into spans. The allow list suppresses candidates and spans that look random but are
+not secret (UUIDs, digits only, paths of words and numbers) or that carry no digit at all (long words), and single windows that hold an ordered alphabet or
+one character eight times over; the rest of such a candidate is still judged.
 
-Cases: null text counts as empty; very long texts are scanned whole; an empty table gives an empty result.
+Cases: null text counts as empty; very long texts are scanned whole; of base spans that start together all stay, in the order of their kinds; repeated
+rows are rows of their own; an empty table gives an empty result; other columns are ignored, whatever their names.
 Offsets count code points, ends are exclusive.
 """
 
@@ -21,10 +23,10 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quirelake.llm.common import importable, table
+from quirelake.llm.common import importable, small, table
 
-#: The base patterns and the least lengths of what they must match.
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: The base patterns and the least lengths of what they must match. Only A-Z has another case (a: no long s, no Kelvin sign).
+ASSIGN = r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
@@ -41,7 +43,7 @@ ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9_+/=-]*",
     r"[^0-9]*",
-    r".*(?:0123456789|abcdefghij|ABCDEFGHIJ|(.)\1{7}).*",
+    r"0123456789|abcdefghij|ABCDEFGHIJ|(?P<one>.)(?P=one){7}",
     r"(?:[A-Za-z]{2,}[/_=-]|[0-9]{1,4}[/_=-])*(?:[A-Za-z]{2,}|[0-9]{1,4})",
 )
 
@@ -50,7 +52,7 @@ _access = re.compile(r"AKIA[A-Z0-9]{%d,}" % (LEAST["access"] - 4))  # a run's fi
 _hex = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 _candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 _allowed = re.compile("|".join(f"(?:{p})" for p in ALLOW[:3] + ALLOW[4:]))
-_ordered = re.compile(ALLOW[3])
+_ordered = re.compile(f"(?=(?P<all>{ALLOW[3]}))")
 
 
 @lru_cache(None)
@@ -58,8 +60,8 @@ def _nlogn(n: int) -> float:
     return n * log2(n) if n > 1 else 0.0
 
 
-def windows_over(s: str, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans of s made of windows whose entropy reaches the threshold of their class; overlapping ones are joined."""
+def windows_over(s: str, width: int = WINDOW, skip: bytearray | None = None) -> list[tuple[int, int]]:
+    """Spans of s made of windows whose entropy reaches the threshold of their class; overlapping ones are joined. Windows that start where skip is set do not count."""
     n = len(s)
     if n < width:
         return []
@@ -80,7 +82,7 @@ def windows_over(s: str, width: int = WINDOW) -> list[tuple[int, int]]:
             counts[o] = k - 1
             for j, (_, chars, _t) in enumerate(CLASSES):
                 outside[j] -= o not in chars
-        if i >= width - 1:
+        if i >= width - 1 and not (skip and skip[i - width + 1]):
             least = next((t for j, (_, _c, t) in enumerate(CLASSES) if not outside[j]), None)
             if least is not None and top - total / width >= least - 1e-9:
                 a = i - width + 1
@@ -91,9 +93,19 @@ def windows_over(s: str, width: int = WINDOW) -> list[tuple[int, int]]:
     return spans
 
 
+def ordered_windows(s: str, width: int = WINDOW) -> bytearray | None:
+    """Which windows hold an ordered alphabet or one character eight times over; None if none does."""
+    out = None
+    for m in _ordered.finditer(s):
+        out = out or bytearray(len(s))
+        lo, hi = max(0, m.end("all") - width), m.start() + 1  # the windows that hold the whole match
+        out[lo:hi] = b"\1" * (hi - lo) if hi > lo else b""
+    return out
+
+
 def allowed(s: str) -> bool:
-    """Whether the allow list suppresses s."""
-    return bool(_allowed.fullmatch(s) or _ordered.search(s))
+    """Whether the allow list suppresses the whole of s."""
+    return bool(_allowed.fullmatch(s))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -112,7 +124,7 @@ def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _candidate.finditer(text):
         if not allowed(m[0]):
-            out += [("entropy", m.start() + a, m.start() + b) for a, b in windows_over(m[0]) if not allowed(m[0][a:b])]
+            out += [("entropy", m.start() + a, m.start() + b) for a, b in windows_over(m[0], skip=ordered_windows(m[0])) if not allowed(m[0][a:b])]
     return out
 
 
@@ -127,7 +139,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
+    for b in (s for whole in batches for s in small(whole, 1)):
         spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t)] for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "found"])
 

@@ -8,7 +8,8 @@ Loading also proves which vocabulary strings encode alone as one token, by mergi
 (a string may be in the vocabulary and still be out of reach of the merges). Pre-tokens found there count one;
 the rest are merged by rank and remembered. Characters outside the vocabulary count their UTF-8 bytes.
 
-Cases: null text counts as empty (0 tokens); texts of any length are counted whole; an empty table gives an empty result.
+Cases: null text counts as empty (0 tokens); texts of any length are counted whole, in slices; ids may be null
+or repeat, each row is a row of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,11 +1,14 @@
 """Operators on small tables with nulls, empty and very long texts, ties, repeated rows, no rows, and extra columns; and brute-force versions over sf0.001."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 from math import log10
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -134,12 +137,32 @@ def test_secret_spans(spark, odd, none):
 
 
 def test_language_id(spark, odd, none, documents):
+    from pyspark.sql import functions as F
+
     rows = [r for r in documents.values()]
     docs = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id bigint, text string, lang string")
     model = language_id.train(docs.where("doc_id % 4 <> 2"))
     got = {r.doc_id: r for r in language_id.language_id(docs, model).collect()}
     held = [r for r in rows if r.doc_id % 4 == 2]
     assert sum(got[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.9 and all(0 <= r.score <= 1 for r in got.values())
+    wrong = [got[r.doc_id].margin for r in held if got[r.doc_id].lang_pred != r.lang]
+    right = [got[r.doc_id].margin for r in held if got[r.doc_id].lang_pred == r.lang]
+    assert sum(m >= language_id.LEAST_MARGIN for m in right) >= 0.97 * len(right) and (not wrong or min(wrong) < sorted(right)[len(right) // 2])
+    some = [got[r.doc_id] for r in rows[:40]]
+    for a, r in zip(some, rows[:40], strict=True):  # pooled by a plain forward pass over single windows
+        data, total = (r.text or "").encode(), 0
+        for i in range(0, len(data), language_id.WINDOW):
+            total = total + model.label(np.frombuffer(data[i : i + language_id.WINDOW].ljust(language_id.WINDOW, b"\0"), np.uint8)[:, None])[: len(data) - i].sum(0)[:, 0]
+        if a.lang_pred != "und":
+            pooled = sorted(total / len(data))
+            assert abs(pooled[-1] - a.score) < 1e-4 and abs(pooled[-1] - pooled[-2] - a.margin) < 1e-4
+    letters = random.Random(2)
+    noise = spark.createDataFrame([(k, "".join(letters.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600))) for k in range(30)], "doc_id bigint, text string")
+    judged = {r.doc_id: r for r in language_id.language_id(noise, model).collect()}
+    assert {r.doc_id for r in language_id.in_some_language(noise, model).collect()} == {k for k, r in judged.items() if r.margin >= language_id.LEAST_MARGIN}
+    assert language_id.in_some_language(noise, model).count() < 15 and language_id.in_some_language(docs, model).count() >= 0.97 * len(rows)
+    same = language_id.train(docs.where("doc_id % 4 <> 2").withColumn("doc_id", F.lit(None).cast("bigint")))
+    assert all((same.p[k] == model.p[k]).all() for k in model.p)  # ids are no part of the sample
     pred = language_id.language_id(odd, model).collect()
     assert len(pred) == len(ODD) and sum(r.lang_pred == "und" for r in pred) == 3
     kept = language_id.in_some_language(odd, model)
@@ -155,6 +178,12 @@ def test_quality(spark, sf_dir, odd, none):
     held = labels.where("doc_id % 5 = 0").collect()
     good, bad = [got[r.doc_id] for r in held if r.quality], [got[r.doc_id] for r in held if not r.quality]
     assert not bad or sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.8
+    for r in docs.limit(30).collect():  # pooled by a plain forward pass over single chunks
+        cut = quality.chunked((r.text or "").encode())
+        odds = [float(model.odds(c[None])[0]) for c in cut]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.mean(odds)))) < 1e-4
+    twice = quality.train(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels).where("doc_id % 5 <> 0"))
+    assert all((twice.p[k] == model.p[k]).all() for k in model.p)  # rows that repeat are learned from once
     scores = [r.score for r in quality.quality_scores(odd, model).collect()]
     assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores)
     assert quality.train(docs, labels.where("quality = 1")).base == 1.0 and quality.train(docs, labels.where("false")).base == 0.5
@@ -248,6 +277,18 @@ def test_contract_columns(spark, sf_dir):
     assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_columns_of_any_name(spark):
+    """Columns named like those that operators make inside."""
+    rows = spark.createDataFrame([(1, "a b", "x", 1, 2, "p"), (1, "a b", "y", 1, 3, "q"), (2, "a B", "x", 0, 4, "r"), (3, "c d", "z", 0, 5, "s")], "doc_id bigint, text string, __key string, key int, ids int, decoded string")
+    kept = exact_dedup.distinct_documents(rows)
+    assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    twice = rows.where("doc_id = 1")
+    assert len({exact_dedup.distinct_documents(twice.orderBy(F.col("ids") * k).repartition(k + 2)).first() for k in (1, -1, 2)}) == 1
+    out = bpe.bpe_encode(rows, tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "ids", "decoded"))
+    assert out.columns == ["doc_id", "ids_", "decoded_", "ids", "decoded"] and sorted(r.ids_ for r in out.collect()) == [2, 3, 4, 5]
+    assert ngram_join.one_of_each(rows).columns == rows.columns and decontaminate.without_leaks(rows, spark.createDataFrame([], "item_id bigint, text string")).columns == rows.columns
+
+
 def test_pipeline(spark, sf_dir, documents):
     """Stage by stage against brute force on what the stage before kept."""
     benchmark = decontaminate.Items([(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()])
@@ -272,8 +313,6 @@ def test_pipeline(spark, sf_dir, documents):
 
 def test_brown_classes_reach_words_without_top_neighbours(spark):
     """Rare words of two kinds take turns and stand beside each other only, as the frequent ones do; few of the rare ones begin or end a text."""
-    import random
-
     from pyspark.sql import functions as F
 
     r = random.Random(5)
@@ -330,8 +369,6 @@ def test_trie_walk(spark, batch):
 
 def test_ngram_join_of_one_large_group_is_the_same_however_it_is_dealt(spark):
     """A group of texts around the threshold, compared whole and in small blocks, from different partitions and orders of rows."""
-    import random
-
     r = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     rows = []
