@@ -1,14 +1,15 @@
 """URL filters: rules, then naive Bayes over segmented hosts and path tokens.
 
 Host names run words together. A unigram model of words, counted over the visible text of all pages, splits each
-name: every substring that may be a word is looked up by a join, and a Viterbi pass takes the split of highest
-probability. The tokens of hosts and paths (runs of digits count as one token) then enter multinomial naive Bayes, learned
+name: every substring is looked up by a join, and a Viterbi pass takes the split of highest
+probability; an unknown string of n letters has the probability of 10 / (N * 10**n) of N words. The tokens of hosts and paths (runs of digits count as one token) then enter multinomial naive Bayes, learned
 from all urls that a rule decides; it judges the urls that no rule fits. Urls are aggregated by host and
 path shape first, so a host with a third of all pages costs no more than another one.
 
 Cases: a null url or one without `://` has empty host and path, fits no rule, and has the prior's verdict; repeated page ids are
-rows of their own; with no urls to learn from, or of one kind only, the verdict is that kind's, or allow; an
-empty table gives an empty result; other columns are ignored.
+rows of their own; with no urls to learn from, or of one kind only, the verdict is that kind's, or allow; odds of 0 allow; of splits of equal
+probability the one with the shorter last word wins; hosts, words and paths may have any length; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from quirelake.llm.common import ascii_lower, importable, table, written
 
 #: Fixed values: (action, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: The longest substring that may be a word. Unknown strings of n letters have the probability of 10 / (N * 10**n) of N words.
-LONGEST = 24
+#: Substrings up to this length are looked up as they are; longer words are looked up by their first SHORT letters. The result is that of looking up all.
+SHORT = 24
+#: Names are cut into pieces of this length (and SHORT more) before their substrings are made, so that a name of any length stays many small rows.
+PIECE = 512
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,19 +54,26 @@ def word_counts(pages: DataFrame) -> DataFrame:
     """How often each word (of letters) stands in the visible text of all pages: (word, n)."""
     visible = F.regexp_replace(F.col("html"), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
     words = F.explode(F.split(ascii_lower(visible), r"[^\p{L}]+"))
-    return pages.select(words.alias("word")).where(f"length(word) between 1 and {LONGEST}").groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(words.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The split of name into words of the highest probability; unknown pieces are possible at a price by their length."""
+    """The split of name into words of the highest probability; unknown pieces of any length are possible at a price by their length."""
+    lengths = sorted({len(w) for w in counts})
+    letter, start = log(10), log(10 / max(total, 10))
+    score = {w: log(n / total) for w, n in counts.items()}
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown = (float("-inf"), 0)  # the best split that ends here in an unknown piece, and where that piece starts
     for j in range(1, len(name) + 1):
-        options = []
-        for i in range(max(0, j - LONGEST), j):
-            n = counts.get(name[i:j])
-            p = log(n / total) if n else log(10 / max(total, 10)) - (j - i) * log(10)
-            options.append((best[i][0] + p, i))
-        best.append(max(options))
+        unknown = max((unknown[0] - letter, unknown[1]), (best[-1][0] + start - letter, j - 1))  # a word is never less likely than an unknown string
+        top = unknown
+        for k in lengths:
+            if k > j:
+                break
+            p = score.get(name[j - k : j])
+            if p is not None:
+                top = max(top, (best[j - k][0] + p, j - k))
+        best.append(top)
     out, j = [], len(name)
     while j:
         i = best[j][1]
@@ -73,16 +83,24 @@ def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def _split(total: int):
+    """Rows come sorted by id, the name first and then the words found in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        names, words = [], []
-        for name, own in groupby(rows, key=lambda r: r[0]):
+        names, words, size = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
+
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            name = next(own)[1]
             names.append(name)
-            words.append(viterbi(name, {w: n for _, w, n in own if n}, total))
-            if len(names) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
-                names, words = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
+            words.append(viterbi(name, {w: n for _, _, w, n in own}, total))
+            size += len(name)
+            if size > 1_000_000:
+                yield batch()
+                names, words, size = [], [], 0
+        yield batch()
 
     return run
 
@@ -90,10 +108,18 @@ def _split(total: int):
 def segmented(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Names (distinct) with the words that they split into: (name, words). No list of words is broadcast: each name's substrings are joined to the counts."""
     n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = names.select("name", F.explode(F.array_distinct(F.expr(
-        f"flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST}, length(name) - i + 1)), k -> substring(name, i, k))))"
+    keyed = names.select(F.unhex(F.sha2("name", 256)).alias("id"), "name")
+    cut = keyed.select("id", F.explode(F.expr(f"transform(sequence(1, length(name), {PIECE}), s -> substring(name, s, {PIECE + SHORT - 1}))")).alias("piece"))
+    parts = cut.select("id", F.explode(F.array_distinct(F.expr(
+        f"flatten(transform(sequence(1, length(piece)), i -> transform(sequence(1, least({SHORT}, length(piece) - i + 1)), k -> substring(piece, i, k))))"
     ))).alias("word"))
-    rows = pieces.join(counts, "word", "left").select("name", "word", "n").repartition(n, "name").sortWithinPartitions("name")
+    found = parts.join(counts.where(f"length(word) <= {SHORT}"), "word").select("id", "word", "n")
+    longer = counts.where(f"length(word) > {SHORT}").selectExpr(f"substring(word, 1, {SHORT}) as start", "word as whole", "n")
+    begun = parts.where(f"length(word) = {SHORT}").join(longer, F.col("word") == F.col("start")).join(keyed, "id").where("contains(name, whole)").selectExpr("id", "whole as word", "n")
+    nothing = F.lit(None)
+    rows = keyed.select("id", "name", nothing.cast("string").alias("word"), nothing.cast("bigint").alias("n")).unionByName(
+        found.unionByName(begun).distinct().select("id", nothing.cast("string").alias("name"), "word", "n"))
+    rows = rows.repartition(n, "id").sortWithinPartitions("id", F.col("name").asc_nulls_last(), "word")
     return rows.mapInArrow(_split(total), "name string, words array<string>")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -262,6 +263,43 @@ def test_url_filter(spark, sf_dir):
     assert {r.verdict for r in url_filter.classify(docs.where("url = 'http://x.org'")).collect()} == {"allow"}
 
 
+def test_url_filter_of_long_hosts_and_words(spark):
+    """A word of more than SHORT letters is a word like any other, and a name of any length is split."""
+    word, long = "rindfleischetikettierungsueberwachung", "spamfarm" * 2500
+    html = "<p>" + " ".join([word] * 5 + ["spam", "farm"] * 20) + "</p>"
+    rows = spark.createDataFrame([(1, f"http://my{word}farm.org/", html), (2, f"http://{long}.org/x", html), (3, "http://net/es/1", None)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.words for r in url_filter.classify(rows).collect()}
+    assert got[1][:3] == ["my", word, "farm"] and got[2][:-1] == ["spam", "farm"] * 2500
+
+
+def slow_verdicts(rows):
+    """Naive Bayes with plain counts, given the words of each host."""
+    from math import log
+
+    def tokens(r):
+        return ["h:" + w for w in r.words] + ["p:" + t for t in re.split(r"[^a-z0-9\u00df-\uffff]+", re.sub("[0-9]+", "0", r.path).lower()) if t]
+
+    action = {h + p: a for a, h, p in url_filter.RULES}
+    counts, n = {"allow": Counter(), "block": Counter()}, Counter()
+    for r in rows:
+        if r.rule:
+            counts[action[r.rule]].update(tokens(r))
+            n[action[r.rule]] += 1
+    known = set(counts["allow"]) | set(counts["block"])
+    total = {k: sum(c.values()) + len(known) for k, c in counts.items()}
+    weight = lambda t: log((counts["block"][t] + 1) / total["block"]) - log((counts["allow"][t] + 1) / total["allow"]) if t in known else 0.0
+    return {r.page_id: log(n["block"] / n["allow"]) + sum(map(weight, tokens(r))) for r in rows}
+
+
+def test_naive_bayes_verdicts(spark, sf_dir):
+    rows = url_filter.op1_url_filter(spark, sf_dir).collect()
+    want = slow_verdicts(rows)
+    assert any(r.rule is None for r in rows)
+    for r in rows:
+        assert abs(r.block_odds - want[r.page_id]) < 1e-6
+        assert r.rule or r.verdict == ("block" if want[r.page_id] > 0 else "allow")
+
+
 def test_contract_columns(spark, sf_dir):
     want = {
         "op1_url_filter": ["page_id", "host", "path", "rule", "verdict"], "op2_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op3_brown_lm": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
