@@ -503,7 +503,7 @@ def _brown_scores(docs: DataFrame, is_training: Column, block: Column | None = N
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(is_training, F.lit(False)).alias("training"), F.col("text").cast("binary").alias("text"))  # spares Python the decoding
     coded = written(rows.mapInArrow(_coded(SLICES, BLOCK_WORDS), CODED), "coded")
-    n_docs = coded.where("slice < 0 and training").count()
+    n_docs, n_blocks, tasks = coded.where("slice < 0").agg(F.count_if("training"), F.countDistinct("block"), F.max(F.shiftright("block", 32)) + 1).first()
     words = coded.where("slice >= 0").select("slice", "block", "body", "n").repartition(parts, "slice").sortWithinPartitions("slice", "block")
     indexed = written(words.mapInArrow(_indexed(top), INDEXED), "indexed")
     sizes, best, v_all, n_all = np.zeros(SLICES, np.int64), [], 0, 0
@@ -517,7 +517,10 @@ def _brown_scores(docs: DataFrame, is_training: Column, block: Column | None = N
     v_known = v_all
     v_all, n_all = v_all + (1 if n_docs else 0), n_all + n_docs
     entries = indexed.where("block >= 0").selectExpr("block", "slice", "cast(null as bigint) as doc_id", "cast(null as boolean) as training", "number as body", "n")
-    both = coded.where("slice < 0").unionByName(entries).repartition(parts, "block").sortWithinPartitions("block", "slice")
+    # blocks are dealt one after another, not by hash, and some four to a task at most, so that no task gets many and none grows with the input
+    at = F.shiftright("block", 32) + (F.col("block").bitwiseAND((1 << 32) - 1)) * int(tasks or 1)
+    dealt = max(parts, -(-n_blocks // 4))
+    both = coded.where("slice < 0").unionByName(entries).repartitionById(dealt, F.pmod(at, F.lit(dealt)).cast("int")).sortWithinPartitions("block", "slice")
     blocks = written(both.mapInArrow(_joined(bc(starts)), BLOCKS), "blocks")
     drop_written(coded)
     drop_written(indexed)

@@ -9,9 +9,9 @@ The items go to the tasks in blocks of BLOCK_WORDS words; documents never move,
 for any ordinary set of benchmarks).
 
 Cases: null texts count as empty and are clean; items without a word match nothing, items of fewer than MIN_MATCH words must appear whole;
-items with null ids count, but are not listed in item_ids;
+items with null ids count, but are not listed in item_ids; very long texts are read whole, in slices of rows;
 repeated items and documents are rows of their own; ties between items give all of them; empty tables give
-clean documents or an empty result; other columns are ignored.
+clean documents or an empty result; other columns are ignored, or kept by without_leaks(), whatever their names.
 """
 
 from __future__ import annotations
@@ -55,13 +55,15 @@ def _rolling(seq: list[int], free: bytearray, n: int) -> Iterator[tuple[int, int
 
 
 def _runs(item: list[int], doc: list[int], free_i: bytearray, free_d: bytearray, n: int) -> list[tuple[int, int, int]]:
-    """(length, start in doc, start in item) of the common runs of n or more free words, as far as they go to the right."""
+    """(length, start in doc, start in item) of the common runs of n or more free words, as far as they go to both sides."""
     at: dict[int, list[int]] = {}
     for i, h in _rolling(item, free_i, n):
         at.setdefault(h, []).append(i)
     found = []
     for d, h in _rolling(doc, free_d, n) if at else ():
         for i in at.get(h, ()):
+            if i and d and item[i - 1] == doc[d - 1] >= 0 and free_i[i - 1] and free_d[d - 1]:
+                continue  # part of the run that began a word before
             k = 0
             while i + k < len(item) and d + k < len(doc) and item[i + k] == doc[d + k] >= 0 and free_i[i + k] and free_d[d + k]:
                 k += 1
@@ -198,7 +200,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     names = docs.columns
     at = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*at)
-    for items in blocks(benchmark, block_words):
+    for k, items in enumerate(blocks(benchmark, block_words)):
+        if k:  # one block at a time: its pass is done before the next block goes to the tasks
+            rows = written(rows, "clean")
         judged = _pass(rows.withColumn("text", F.col(at[names.index("text")])), items, at, least, coverage)
         rows = judged.where("not contaminated").select(*at)
     return rows.toDF(*names)

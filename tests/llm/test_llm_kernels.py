@@ -149,6 +149,32 @@ def test_tiles(item, doc, least):
     assert decontaminate.tiles(item, doc, least) == slow_tiles(item, doc, least)
 
 
+def test_repetitive_texts_are_tiled_in_bounded_time():
+    import time
+
+    began = time.time()
+    for words in (["ha"], ["ha", "ho"], ["a", "b", "c"]):
+        judge = decontaminate.Items([(1, " ".join(words * (200 // len(words))))])
+        assert judge.judged(" ".join(words * 4000)) == (1.0, [1])
+    assert time.time() - began < 20
+
+
+def test_coverage_equals_a_plain_tiling_of_the_whole_text():
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(k, [rng.choice(vocab) for _ in range(rng.randrange(1, 25))]) for k in range(12)]
+    judge = decontaminate.Items([(k, " ".join(w)) for k, w in items])
+    for _ in range(150):
+        doc = []
+        for _ in range(rng.randrange(6)):
+            _, w = rng.choice(items)
+            a = rng.randrange(len(w))
+            doc += w[a : a + rng.randrange(3, 20)] + [rng.choice([*vocab, "other"]) for _ in range(rng.randrange(4))]
+        number = {w: i for i, w in enumerate(dict.fromkeys([*vocab, "other"]))}
+        share = {k: sum(n for _, _, n in slow_tiles([number[x] for x in w], [number[x] for x in doc], min(5, len(w)))) / len(w) for k, w in items}
+        assert judge.judged(" ".join(doc))[1] == sorted(k for k, c in share.items() if c >= decontaminate.COVERAGE - 1e-12)
+
+
 def test_reordered_passages_are_caught():
     item = [f"w{i}" for i in range(30)]
     moved = item[20:] + ["x"] * 9 + item[10:20] + ["y"] + item[:10]
