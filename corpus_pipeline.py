@@ -1,8 +1,8 @@
 """A corpus pipeline: documents in some language, without exact and near copies and benchmark passages, encoded as tokens.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage but the last returns the
-columns that it was given. Models and decisions rest on the stage's own input. Null texts, repeated rows, empty tables and extra columns
-are handled as the operators' modules say.
+columns that it was given. Models and decisions rest on the stage's own input. Null texts, very long ones, ties, repeated rows, empty tables and extra
+columns (of any name) are handled as the operators' modules say; null and empty texts go in the first stage, which finds no language in them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from quirelake.llm.common import held_out, table, tokenizer_path, written
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (2): documents that it rejects go."""
+    """Language ID (2): documents that it rejects go, those without a letter and those in which no language stands out (language_id.LEAST_MARGIN)."""
     return language_id.in_some_language(docs, language_id.train(docs.where(~held_out("doc_id", 4, 2))))
 
 
@@ -35,7 +35,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding (7): doc_id, lang, source, n_tokens, ids and the hash of the decoded text."""
+    """BPE encoding and decoding (7): doc_id, lang, source (null where docs lack them), n_tokens, ids and the hash of the decoded text."""
+    docs = docs.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source") if c not in docs.columns})
     rows = bpe.bpe_encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
