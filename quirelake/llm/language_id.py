@@ -30,7 +30,7 @@ LEAST_BATCHES = 300
 UNKNOWN = "und"
 #: How far the mean probability of a document's language must lie above that of the next one for it to stay in a corpus. Both are means of the same
 #: softmax, so the margin means the same for any number of languages; with one language it is the score itself. Chosen on held-out rows (README).
-LEAST_MARGIN = 0.3
+LEAST_MARGIN = 0.1
 _letter = re.compile(r"[^\W\d_]").search
 
 

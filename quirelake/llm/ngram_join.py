@@ -322,7 +322,7 @@ def _compared(members: DataFrame, held: DataFrame, threshold: float, depth: int,
     """
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = written(components(members.selectExpr("node as a", "hub as b")), "candidates").withColumnRenamed("root", "grp")
-    opened = members.groupBy("node").agg(F.max("open").alias("open"))
+    opened = members.groupBy("node").agg(F.max("open").alias("open"), F.collect_list(F.struct("tree", "hub")).alias("at"))  # a branch for each tree at most
     # groups too large for a task fall into blocks: nodes of one branch of the first tree stay together, unless the branch alone is too large
     about = held.select("node", "mark", "n_words", F.shiftrightunsigned(F.col("trees")[0], 64 - 8 * depth).alias("branch")).dropDuplicates(["node"])
     weight = written(grouped.join(opened, "node").join(about, "node"), "weights")
@@ -335,16 +335,16 @@ def _compared(members: DataFrame, held: DataFrame, threshold: float, depth: int,
         by_branch = F.when(F.col("salts") > 1, F.xxhash64("branch", F.pmod("mark", F.col("salts")))).otherwise(F.pmod(F.xxhash64("branch"), 2 * F.col("blocks")))
         # nodes that only others look for have blocks of their own, which need not meet each other
         block = F.xxhash64(by_branch.cast("bigint"), F.col("open")).alias("block") if again else by_branch.cast("bigint").alias("block")
-        placed = written(weight.join(sizes, "grp").join(grown, ["grp", "branch"]).select("node", "grp", block, "open"), "placed")
+        placed = written(weight.join(sizes, "grp").join(grown, ["grp", "branch"]).select("node", "grp", block, "open", "at"), "placed")
         # pairs of blocks that share a branch; every block meets itself besides
-        touched = members.select("tree", "hub", "node").join(placed, "node").groupBy("tree", "hub", "grp", "block").agg(F.max("open").alias("open"))
+        touched = placed.select("grp", "block", "open", F.inline("at")).groupBy("tree", "hub", "grp", "block").agg(F.max("open").alias("open"))
         met = touched.groupBy("tree", "hub", "grp").agg(F.collect_set(F.struct("block", "open")).alias("bs"))
         met = met.select("grp", F.explode("bs").alias("i"), "bs").select("grp", "i", F.explode("bs").alias("j")).where("i.block < j.block and (i.open or j.open)")
         pairs = written(met.selectExpr("grp", "i.block as bi", "j.block as bj").distinct(), "pairs")
         alone = placed.where("open") if again else placed
         roles = roles.unionByName(alone.select("grp", F.col("block").alias("bi"), F.col("block").alias("bj"), F.lit(0).alias("side"), "node", "open"))
         for side, name in ((0, "bi"), (1, "bj")):
-            both = placed.join(pairs.withColumnRenamed(name, "block"), ["grp", "block"]).withColumnRenamed("block", name)
+            both = placed.drop("at").join(pairs.withColumnRenamed(name, "block"), ["grp", "block"]).withColumnRenamed("block", name)
             roles = roles.unionByName(both.withColumn("side", F.lit(side)).select(*columns))
     sent = roles.join(held.select("node", "trees", "text"), "node").select(*columns, "trees", "text")
     sent = sent.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "side", "node")
