@@ -28,28 +28,29 @@ def kept_text(c: Column) -> Column:
 
 
 def unique_grams(rows: DataFrame) -> DataFrame:
-    """Runs of K characters that stand once in a text: rows(id, text of letters a-z and digits) → id, gram (its number in base 36), pos. A text's runs are counted where it is, so nothing is shuffled."""
+    """Runs of K characters that stand once in a text: rows(id of any type, text of letters a-z and digits) → id, gram (its number in base 36), pos. A text's runs are counted where it is, so nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, grams, at, held = [], [], [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own, grams, at, held = [], [], [], 0
+            for n, text in enumerate(b.column(1).to_pylist()):
                 g, i = once(_DIGIT[np.minimum(np.frombuffer((text or "").encode("ascii", "ignore"), np.uint8), 128)])
-                ids.append(np.full(len(g), key, np.int64))
+                own.append(np.full(len(g), n, np.int64))
                 grams.append(g.view(np.int64))
                 at.append(i)
                 held += len(g)
                 if held > 500_000:
-                    yield _gram_batch(ids, grams, at)
-                    ids, grams, at, held = [], [], [], 0
-            if ids:
-                yield _gram_batch(ids, grams, at)
+                    yield _gram_batch(b.column(0), own, grams, at)
+                    own, grams, at, held = [], [], [], 0
+            if own:
+                yield _gram_batch(b.column(0), own, grams, at)
 
-    return rows.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, gram bigint, pos bigint")
+    return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, gram bigint, pos bigint")
 
 
-def _gram_batch(ids: list, grams: list, at: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, grams, at)], ["id", "gram", "pos"])
+def _gram_batch(ids: pa.Array, own: list, grams: list, at: list) -> pa.RecordBatch:
+    own, grams, at = (pa.array(np.concatenate(x).astype(np.int64)) for x in (own, grams, at))
+    return pa.RecordBatch.from_arrays([ids.take(own), grams, at], ["id", "gram", "pos"])
 
 
 def gram_anchors(left: DataFrame, right: DataFrame) -> DataFrame:

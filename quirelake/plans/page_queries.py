@@ -109,31 +109,46 @@ def sentence_lines(spark, sf_dir):
     return G.sentence_boxes(units, segments, nodes).select("unit_id", F.posexplode("lines").alias("nth", "l")).select("unit_id", "nth", "l.*")
 
 
-HEADS = [(1, 0, "I. INTRODUCTION"), (1, 1, "A. Data"), (1, 2, "B. Model"), (1, 3, "C. Residual Module"), (1, 4, "1) Part"), (1, 5, "V. CONCLUSION"), (2, 0, "2.1 Sub"), (2, 1, "3. Top"), (2, 2, "2.1.1.1.1 Deep"), (2, 3, "Unnumbered"), (2, 4, "H. Item"), (2, 5, "I. Item nine"), (3, 0, "Overview"), (3, 1, "1. First"), (3, 2, "1.1 Second")]
-LEVELS = [1, 2, 2, 2, 3, 1, 2, 1, 4, 1, 2, 2, 1, 1, 2]
-DEPTHS = [0, 1, 1, 1, 2, 0, 1, 0, 3, 0, 1, 1, 1, 0, 1]
-KIDS = [True, False, False, True, False, False, False, True, False, True, False, False, False, True, False]
+NUMBERS = ("I. ", "A. ", "B. ", "C. ", "1) ", "2.1 ", "3. ", "V. ", "", "2.1.1.1.1 ")
 
 
-def _heads(spark, level: int):
-    rows = frame(spark, HEADS, "doc_id bigint, ord bigint, text string")
-    return rows.select("doc_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), F.lit("heading").alias("kind"), F.lit(level).alias("level"), F.lit(None).cast("string").alias("role"), "text", F.lit(False).alias("inline_math"), F.array().cast(f"array<{RECT}>").alias("rects"))
+def _heads(spark, sf_dir):
+    """Turns as headings under numbers of all kinds; the unnumbered ones have levels of their own."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "text")
+    number = F.array(*map(F.lit, NUMBERS))[F.pmod(F.col("doc_id") * 7 + F.col("ord") * F.col("ord") * 3 + F.col("ord"), F.lit(len(NUMBERS))).cast("int")]
+    return t.select("doc_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), F.lit("heading").alias("kind"), (1 + F.col("ord") % 3).cast("int").alias("level"), F.lit(None).cast("string").alias("role"), F.concat(number, "text").alias("text"), F.lit(False).alias("inline_math"), F.array().cast(f"array<{RECT}>").alias("rects"))
 
 
 def heading_levels(spark, sf_dir):
-    return C.with_levels(_heads(spark, 9)).select("doc_id", "ord", "level")
+    return C.with_levels(_heads(spark, sf_dir)).select("doc_id", "ord", "level")
 
 
 def outline(spark, sf_dir):
-    rows = _heads(spark, 1).withColumn("level", F.when(F.col("text") == "Overview", 2).otherwise(1))
-    return C.outline(rows).select("doc_id", "ord", "depth", "has_children")
+    return C.outline(_heads(spark, sf_dir)).select("doc_id", "ord", "depth", "has_children")
 
 
-FOLDED = [(1, 0, 0, True), (1, 1, 1, False), (1, 2, 2, True), (1, 3, 0, False), (1, 4, 1, True), (1, 5, 2, False), (1, 6, 1, False)]
+def _levels_sql(all_numbered: bool) -> str:
+    """Level and last letter, heading by heading; t is the heading, own its own level, c what stands before the text."""
+    counts = "true" if all_numbered else "c <> '' OR regexp_matches(t, '^\\s*([IVXLC]+\\.|[A-Z]\\.|\\d+\\)|\\d+(\\.\\d+)*\\.?)\\s')"
+    level = "CASE WHEN NOT counts THEN own WHEN a <> '' AND letter <> '' AND ord(a) = ord(letter) + 1 THEN 2 WHEN regexp_matches(t, '^[IVXLC]+\\.\\s') THEN 1 WHEN a <> '' THEN 2 WHEN regexp_matches(t, '^\\d+\\)\\s') THEN 3 WHEN d <> '' THEN least(4, len(string_split(d, '.'))) ELSE 1 END"
+    after = "CASE WHEN NOT counts THEN letter WHEN lv = 2 THEN a WHEN lv = 1 THEN '' ELSE letter END"
+    numbers = ", ".join(f"'{n}'" for n in NUMBERS)
+    return f"""RECURSIVE h0 AS (SELECT conv_id AS doc_id, turn AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, 1 + turn % 3 AS own, ([{numbers}])[1 + (conv_id * 7 + turn * turn * 3 + turn) % {len(NUMBERS)}] AS c, trim(c || text) AS t FROM conversations),
+h AS (SELECT *, {counts} AS counts, regexp_extract(t, '^([A-Z])\\.\\s', 1) AS a, regexp_extract(t, '^(\\d+(?:\\.\\d+)*)\\.?\\s', 1) AS d FROM h0 WHERE t <> ''),
+z AS (SELECT doc_id, 0::BIGINT AS i, -1::BIGINT AS o, 0::BIGINT AS lv, '' AS letter FROM (SELECT DISTINCT doc_id FROM h)
+  UNION ALL SELECT doc_id, i, o, lv, {after} FROM (SELECT h.*, z.letter, ({level})::BIGINT AS lv FROM z JOIN h ON h.doc_id = z.doc_id AND h.i = z.i + 1)), levels AS (SELECT doc_id, o AS ord, lv FROM z WHERE i > 0)"""
 
 
 def fold_visibility(spark, sf_dir):
-    return C.visible(frame(spark, FOLDED, "doc_id bigint, ord bigint, depth int, folded boolean"))
+    """Turns as headings of an outline, some of them folded."""
+    t = table(spark, sf_dir, "conversations")
+    return C.visible(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), ((F.col("conv_id") + F.col("turn") * F.col("turn")) % 4).cast("int").alias("depth"), ((F.col("conv_id") + F.col("turn")) % 3 == 0).alias("folded")))
+
+
+_FOLDS = """
+WITH h AS (SELECT conv_id AS doc_id, turn AS ord, (conv_id + turn * turn) % 4 AS depth, (conv_id + turn) % 3 = 0 AS folded FROM conversations)
+SELECT doc_id, ord, EXISTS (SELECT 1 FROM h f WHERE f.doc_id = h.doc_id AND f.ord < h.ord AND f.folded AND NOT EXISTS (SELECT 1 FROM h m WHERE m.doc_id = h.doc_id AND m.ord > f.ord AND m.ord <= h.ord AND m.depth <= f.depth)) AS hidden FROM h
+"""
 
 
 ITEMS = [
@@ -266,9 +281,9 @@ ORACLES = {
     "sort_keys": f"WITH {_BOXES} SELECT doc_id, ord, lpad(a.page::VARCHAR, 5, '0') || '|' || lpad(least(999999, floor(a.x1 * 1000)::BIGINT)::VARCHAR, 6, '0') || '|' || lpad(greatest(0, floor(a.y1)::BIGINT - 100)::VARCHAR, 5, '0') AS key, {_r('a.x1 - 200')} AS x FROM boxes",
     "text_maps": f"SELECT * FROM {values(DECODED, 'id integer, nth integer, page integer, x1 double, y1 double, x2 double, y2 double')}",
     "sentence_lines": f"SELECT * FROM {values([('b:0', 0, 0, 0.0, 0.0, 20.0, 10.0), ('b:1', 0, 0, 30.0, 0.0, 50.0, 10.0), ('b:1', 1, 0, 0.0, 20.0, 20.0, 30.0)], 'unit_id varchar, nth integer, page integer, x1 double, y1 double, x2 double, y2 double')}",
-    "heading_levels": f"SELECT * FROM {values([(d, o, v) for (d, o, _), v in zip(HEADS, LEVELS, strict=True)], 'doc_id bigint, ord bigint, level integer')}",
-    "outline": f"SELECT * FROM {values([(d, o, v, k) for (d, o, _), v, k in zip(HEADS, DEPTHS, KIDS, strict=True)], 'doc_id bigint, ord bigint, depth integer, has_children boolean')}",
-    "fold_visibility": f"SELECT * FROM {values([(1, i, h) for i, h in enumerate([False, True, True, False, False, True, False])], 'doc_id bigint, ord bigint, hidden boolean')}",
+    "heading_levels": f"WITH {_levels_sql(True)} SELECT doc_id, ord, lv::INTEGER AS level FROM levels",
+    "outline": f"WITH {_levels_sql(False)} SELECT doc_id, ord, (lv - min(lv) OVER (PARTITION BY doc_id))::INTEGER AS depth, coalesce(lead(lv) OVER (PARTITION BY doc_id ORDER BY ord) > lv, false) AS has_children FROM levels",
+    "fold_visibility": _FOLDS,
     "content_blocks": f"SELECT * FROM {values([(i, k, t, r or '', v or -1, x or '', 720.0 if i == 'm0' else -1.0) for i, k, t, r, v, x in ITEM_BLOCKS], 'block_id varchar, kind varchar, text varchar, role varchar, level integer, latex varchar, top double')}",
     "sdt_blocks": f"SELECT * FROM {values(SDT_BLOCKS, 'block_id varchar, kind varchar, text varchar, role varchar, level integer, parts varchar, n_rects integer')}",
     "sdt_pages": f"SELECT * FROM {values([(0, 612.0, 792.0, 'i'), (1, 100.0, 200.0, '')], 'page integer, width double, height double, label varchar')}",

@@ -127,37 +127,55 @@ def changed_rows(spark, sf_dir):
 
 _SIDES = ", ".join(f"{n} AS (SELECT user_id, event_type, max(event_id) - max(event_id) % 4 AS t, arg_max(value, event_id) AS value FROM events WHERE event_id % 2 = {r} GROUP BY ALL)" for n, r in (("a", 0), ("b", 1)))
 
-# (file, pos, unit_id, zh) and (unit_id, en, math)
-FILES = [("parts/1.json", 0, "b1:0", "风电。"), ("parts/1.json", 1, "b1:1", "预测"), ("parts/2.json", 0, "b1:1", " 预测很重要。 "), ("parts/2.json", 1, "b9:9", "多余"), ("zz.json", 0, "b1:0", "Wind power is growing in many countries"), ("zz.json", 1, "b2:0", "")]
-EXPECTED = [("b1:0", "Wind power is growing in many countries.", False), ("b1:1", "Forecasts matter.", False), ("b2:0", "See $x$ there.", True), ("b3:0", "Never delivered.", False)]
-FILE_RESULT = [("b1:0", "Wind power is growing in many countries", "not translated"), ("b1:1", "预测很重要。", None), ("b2:0", "", "empty translation")]
-
-
 def later_file_wins(spark, sf_dir):
-    return S.later_file_wins(frame(spark, FILES, "file string, pos int, unit_id string, zh string"), frame(spark, EXPECTED, "unit_id string, en string, math boolean"))
+    """Events as entries of ten files that deliver renderings of users' sentences; some are blank, some are left as they were, some are of unexpected units."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    zh = F.when(k % 9 == 0, "  ").when(k % 9 == 1, F.concat(F.lit("See the windy event of user "), "user_id")).otherwise(F.concat(F.lit(" 译"), k, F.lit(" ")))
+    files = e.select(F.concat(F.lit("parts/"), k % 10, F.lit(".json")).alias("file"), k.alias("pos"), F.col("user_id").cast("string").alias("unit_id"), zh.alias("zh"))
+    expected = e.where("user_id % 4 <> 0").select(F.col("user_id").cast("string").alias("unit_id"), F.concat(F.lit("See the windy event of user "), "user_id").alias("en"), (F.col("user_id") % 2 == 0).alias("math")).distinct()
+    return S.later_file_wins(files, expected)
+
+
+_FILES = """
+WITH f AS (SELECT user_id, arg_max(CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'See the windy event of user ' || user_id ELSE '译' || event_id END, {'f': 'parts/' || event_id % 10 || '.json', 'p': event_id}) AS zh FROM events WHERE user_id % 4 <> 0 GROUP BY user_id)
+SELECT user_id::VARCHAR AS unit_id, zh, CASE WHEN zh = '' THEN 'empty translation' WHEN starts_with(zh, 'See') THEN 'not translated' END AS problem FROM f
+"""
 
 
-STORE = [("h1", "一", "e", "p4", "", 10), ("h2", "二", "e", "p4", "", 20), ("h4", "四", "e", "p4", "", 40)]
-GROUPS = [("g1", "h1"), ("g1", "h3"), ("g2", "h2"), ("g2", "h5")]
-_CACHED = "hash string, zh string, engine string, prompt string, glossary string, t bigint"
+def _cache(spark, sf_dir, condition: str):
+    """The last of some events by user and type, as rows of a store; and the groups, all types of a user."""
+    e = table(spark, sf_dir, "events").withColumn("hash", F.concat_ws("|", "user_id", "event_type"))
+    row = F.max_by(F.struct(F.concat(F.lit("v"), "event_id").alias("zh"), F.concat(F.lit("e"), F.col("event_id") % 3).alias("engine"), F.lit("p4").alias("prompt"), F.lit("").alias("glossary"), F.col("event_id").alias("t")), "event_id")
+    return e.where(condition).groupBy("hash").agg(row.alias("r")).select("hash", "r.*"), e.select(F.col("user_id").alias("grp"), "hash").distinct()
 
 
 def store_put(spark, sf_dir):
-    new = frame(spark, [("h3", "三", "m", "p4", "", 50)], _CACHED)
-    return S.put(frame(spark, STORE, _CACHED), new, frame(spark, GROUPS, "grp string, hash string"))
+    """New rows overwrite those of their whole group."""
+    store, groups = _cache(spark, sf_dir, "event_id % 2 = 0")
+    return S.put(store, _cache(spark, sf_dir, "event_id % 41 = 1")[0], groups)
 
 
 def store_removed(spark, sf_dir):
-    return S.removed(frame(spark, STORE, _CACHED), frame(spark, [("h5",)], "hash string"), frame(spark, GROUPS, "grp string, hash string")).select("hash", "zh")
+    store, groups = _cache(spark, sf_dir, "event_id % 2 = 0")
+    return S.removed(store, table(spark, sf_dir, "events").where("event_id % 53 = 3").select(F.concat_ws("|", "user_id", "event_type").alias("hash")), groups).select("hash", "zh")
 
 
 def store_rendered(spark, sf_dir):
-    rows = frame(spark, [("a", "h1"), ("b", "h3"), ("c", "h5"), ("d", "h6")], "unit_id string, hash string")
-    return S.rendered(rows, frame(spark, STORE, _CACHED), frame(spark, GROUPS, "grp string, hash string")).select("unit_id", "zh")
+    """Events as sentences: some have rows of their own, some get that of another type of their user, some none."""
+    store, groups = _cache(spark, sf_dir, "event_id % 7 = 0")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("unit_id"), F.concat_ws("|", "user_id", "event_type").alias("hash"))
+    return S.rendered(rows, store, groups).select("unit_id", "zh")
 
 
 def store_edited(spark, sf_dir):
-    return S.edited(frame(spark, STORE, _CACHED), frame(spark, [("h1", " 壹 ", 60), ("h2", "  ", 61), ("h9", "九", 62)], "hash string, zh string, t bigint")).select("hash", "zh", "engine", "t")
+    store, _ = _cache(spark, sf_dir, "event_id % 2 = 0")
+    edits = _cache(spark, sf_dir, "event_id % 10 = 5")[0].select("hash", F.when(F.col("t") % 3 == 0, F.lit(" \n ")).otherwise(F.concat(F.lit("  "), "zh", F.lit(" "))).alias("zh"), "t")
+    return S.edited(store, edits).select("hash", "zh", "engine", "t")
+
+
+def _cached(name: str, condition: str) -> str:
+    return f"{name} AS (SELECT user_id, user_id || '|' || event_type AS hash, 'v' || max(event_id) AS zh, 'e' || max(event_id) % 3 AS engine, 'p4' AS prompt, '' AS glossary, max(event_id) AS t FROM events WHERE {condition} GROUP BY user_id, event_type)"
 
 
 def progress_by_doc(spark, sf_dir):
@@ -225,16 +243,21 @@ t AS (SELECT doc_id, mark_id, b, ord FROM n WHERE rank IS NOT NULL QUALIFY row_n
 SELECT m.doc_id, m.mark_id, coalesce(t.b, '') AS resolved, coalesce(t.ord, -1) AS ord FROM m LEFT JOIN t USING (doc_id, mark_id)
 """
 
-TASKS = [(1, False, 0, 10, False, 0), (2, True, 0, 10, False, 400_000), (3, True, 4, 10, False, 90_000), (4, True, 10, 10, False, 7_300_000), (5, True, 12, 10, True, 29_499), (6, False, 0, 0, False, 59_500)]
-TASK_RESULT = [(1, "waiting", False, "0 秒前"), (2, "glossary", True, "7 分钟前"), (3, "translating", False, "2 分钟前"), (4, "checking", True, "2 小时前"), (5, "done", False, "29 秒前"), (6, "waiting", False, "1 分钟前")]
-
-
 def task_status(spark, sf_dir):
-    rows = frame(spark, TASKS, "id int, glossary boolean, delivered int, todo int, report boolean, age_ms bigint")
+    """Events as task folders with some files, the last of which is up to some hours old."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(k.alias("id"), (k % 3 > 0).alias("glossary"), (k % 13).alias("delivered"), F.when(k % 6 == 0, 0).otherwise(10).alias("todo"), (k % 5 == 0).alias("report"), (k * 977 % 9_000_000).alias("age_ms"))
     phase = V.task_phase(F.col("glossary"), F.col("delivered"), F.col("todo"), F.col("report"))
     return rows.select("id", phase.alias("phase"), V.stalled(phase, F.lit(True), F.lit(0), F.col("age_ms")).alias("stalled"), V.age(F.col("age_ms")).alias("age"))
 
 
+_STATUS = """
+WITH r AS (SELECT event_id AS id, event_id % 13 AS d, CASE WHEN event_id % 6 = 0 THEN 0 ELSE 10 END AS todo, event_id * 977 % 9000000 AS ms FROM events),
+p AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'done' WHEN d >= todo AND todo > 0 THEN 'checking' WHEN d > 0 THEN 'translating' WHEN id % 3 > 0 THEN 'glossary' ELSE 'waiting' END AS phase, floor(ms / 1000 + 0.5)::BIGINT AS s FROM r), q AS (SELECT *, floor(s / 60 + 0.5)::BIGINT AS m FROM p)
+SELECT id, phase, phase <> 'done' AND ms > 300000 AS stalled, CASE WHEN s < 60 THEN s || ' 秒前' WHEN m < 60 THEN m || ' 分钟前' ELSE floor(m / 60 + 0.5)::BIGINT || ' 小时前' END AS age FROM q
+"""
+
+
 ANSWERS = [
     (1, '```json\n{"translations":[{"id":"b:0","zh":"好"},{"id":"b:1","zh":"甲"},{"id":"b:1","zh":"乙"},{"id":"x","zh":"?"}]}\n```'), (2, 'Here you are: {"translations":[{"id":"c:0","zh":" 完成 "}]} done'), (3, "no answer"), (4, '{"translations":[{"id":"d:0","zh":5},{"id":"d:1","zh":"See it"}]}'),
 ]
@@ -260,8 +283,11 @@ def glossaries(spark, sf_dir):
 
 
 def comments(spark, sf_dir):
-    rows = frame(spark, [(1, " n ", ["一", "二"]), (2, "", ["一", None]), (3, "", ["一"]), (4, "x", [None])], "id int, note string, zh array<string>")
-    return rows.select("id", V.comment(F.col("note"), F.col("zh")).alias("comment"))
+    """A user's turns as notes on the turns that follow; every third note is blank, and every fifth rendering is missing."""
+    t = _turns(spark, sf_dir)
+    rows = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.when(F.col("turn") % 5 < 4, F.col("text")).alias("z")))).alias("z"), F.min_by("text", "turn").alias("note"))
+    note = F.when(F.col("conv_id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "note", F.lit("\n")))
+    return rows.select("conv_id", V.comment(note, F.transform("z", lambda x: x["z"])).alias("comment"))
 
 
 def prompts(spark, sf_dir):
@@ -303,11 +329,11 @@ ORACLES = {
     "newest_wins": f"WITH {_SIDES}, u AS (SELECT *, 1 AS own FROM a UNION ALL SELECT *, 0 FROM b) SELECT user_id, event_type, t, value FROM u QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY t DESC, own DESC) = 1",
     "existing_wins": f"WITH {_SIDES} SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.event_type = b.event_type)",
     "changed_rows": f"WITH {_SIDES} SELECT b.user_id || '|' || b.event_type AS k, floor(b.value)::BIGINT AS v FROM b LEFT JOIN a USING (user_id, event_type) WHERE a.user_id IS NULL OR floor(a.value) IS DISTINCT FROM floor(b.value)",
-    "later_file_wins": f"SELECT * FROM {values(FILE_RESULT, 'unit_id varchar, zh varchar, problem varchar')}",
-    "store_put": f"SELECT * FROM {values([('h1', '三', 'm', 'p4', '', 50), ('h3', '三', 'm', 'p4', '', 50), STORE[1], STORE[2]], 'hash varchar, zh varchar, engine varchar, prompt varchar, glossary varchar, t bigint')}",
-    "store_removed": f"SELECT * FROM {values([('h1', '一'), ('h4', '四')], 'hash varchar, zh varchar')}",
-    "store_rendered": f"SELECT * FROM {values([('a', '一'), ('b', '一'), ('c', '二'), ('d', None)], 'unit_id varchar, zh varchar')}",
-    "store_edited": f"SELECT * FROM {values([('h1', '壹', 'manual', 60), ('h9', '九', 'manual', 62), ('h2', '二', 'e', 20), ('h4', '四', 'e', 40)], 'hash varchar, zh varchar, engine varchar, t bigint')}",
+    "later_file_wins": _FILES,
+    "store_put": f"WITH {_cached('o', 'event_id % 2 = 0')}, {_cached('n', 'event_id % 41 = 1')}, l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC) = 1), g AS (SELECT DISTINCT user_id, user_id || '|' || event_type AS hash FROM events) SELECT g.hash, zh, engine, prompt, glossary, t FROM g JOIN l USING (user_id) UNION ALL SELECT hash, zh, engine, prompt, glossary, t FROM o WHERE user_id NOT IN (SELECT user_id FROM n)",
+    "store_removed": f"WITH {_cached('o', 'event_id % 2 = 0')} SELECT hash, zh FROM o WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 53 = 3)",
+    "store_rendered": f"WITH {_cached('o', 'event_id % 7 = 0')}, m AS (SELECT user_id, arg_min(zh, hash) AS z FROM o GROUP BY user_id) SELECT e.event_id AS unit_id, coalesce(o.zh, m.z) AS zh FROM events e LEFT JOIN o ON o.hash = e.user_id || '|' || e.event_type LEFT JOIN m ON m.user_id = e.user_id",
+    "store_edited": f"WITH {_cached('o', 'event_id % 2 = 0')}, {_cached('n', 'event_id % 10 = 5')}, w AS (SELECT * FROM n WHERE t % 3 <> 0) SELECT hash, zh, 'manual' AS engine, t FROM w UNION ALL SELECT hash, zh, engine, t FROM o WHERE hash NOT IN (SELECT hash FROM w)",
     "progress_by_doc": "SELECT source, count(*) AS total, count(*) FILTER (quality = 1) AS done, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality = 1) = count(*) AS complete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "section_as_of": f"WITH {BLOCKS} SELECT doc_id, ord, coalesce(last_value(CASE WHEN kind = 'heading' AND trim(text) <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS section FROM blocks",
     "sections": f"WITH {BLOCKS}, s AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER w AS section_no, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER w, '(front matter)') AS heading FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT doc_id, section_no::BIGINT AS section_no, heading, count(*)::INTEGER AS n, sum(length(text))::INTEGER AS chars FROM s GROUP BY doc_id, section_no, heading",
@@ -316,10 +342,10 @@ ORACLES = {
     "tints": "WITH u AS (SELECT event_id, event_type, user_id AS unit_id FROM events UNION ALL SELECT event_id, event_type, user_id + 1 FROM events) SELECT unit_id, arg_max(event_type, event_id) AS color FROM u GROUP BY unit_id",
     "joined_selection": "SELECT conv_id AS sel_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY b) AS paragraph, text FROM (SELECT conv_id, turn // 2 AS b, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2)",
     "notes_order": f"WITH {LINES}, n AS (SELECT doc_id, i AS annotation_id, 7 - 2 * i AS o FROM documents, range(0, 4) AS r(i)), p AS (SELECT n.doc_id, annotation_id, o * 1000 AS pl FROM n JOIN lines ON lines.doc_id = n.doc_id AND lines.ord = o) SELECT doc_id, annotation_id::INTEGER AS annotation_id, pl::BIGINT AS \"at\", row_number() OVER (PARTITION BY doc_id ORDER BY pl, annotation_id)::INTEGER AS nth FROM p",
-    "task_status": f"SELECT * FROM {values(TASK_RESULT, 'id integer, phase varchar, stalled boolean, age varchar')}",
+    "task_status": _STATUS,
     "answered": f"SELECT * FROM {values(ANSWERED, 'batch bigint, unit_id varchar, zh varchar, problem varchar')}",
     "glossaries": f"SELECT id, merged, parsed FROM {values(GLOSSARY_RESULT, 'id integer, merged varchar, parsed varchar, tag varchar')}",
-    "comments": f"""SELECT * FROM {values([(1, 'n' + chr(10) + '【译】一二'), (2, ''), (3, '【译】一'), (4, 'x')], 'id integer, comment varchar')}""",
+    "comments": f"WITH c AS (SELECT conv_id, count(*) FILTER (turn % 5 = 4) AS gaps, string_agg(text, '' ORDER BY turn) AS z, count(*) FILTER (text = '') AS blank, regexp_replace(arg_min(text, turn), '^{WS}+|{WS}+$', '', 'g') AS n FROM conversations GROUP BY conv_id) SELECT conv_id, concat_ws(chr(10), CASE WHEN conv_id % 3 > 0 AND n <> '' THEN n END, CASE WHEN gaps = 0 AND blank = 0 THEN '【译】' || z END) AS comment FROM c",
     "prompts": f"SELECT * FROM {values([(1, PROMPT)], 'id integer, prompt varchar')}",
     "work_queue": "SELECT event_id AS unit_id, user_id AS hash FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND (NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = events.user_id AND c.user_id % 3 = 0) OR event_id % 17 = 0)",
 }

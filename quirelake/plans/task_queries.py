@@ -25,9 +25,13 @@ def queue_priority(spark, sf_dir):
     return K.prioritized(rows, rows.where("seq between 4 and 6")).select("doc_id", "block_id", "seq")
 
 
+FILE_NAMES = ("units.json", "parts/1.json", "glossary.md", "report.md", "fix.json", "zz.json")
+
+
 def last_activity(spark, sf_dir):
-    files = [("a", "units.json", 90), ("a", "parts/1.json", 40), ("a", "glossary.md", 50), ("b", "report.md", 7), ("b", "fix.json", 9)]
-    return K.last_activity(frame(spark, files, "folder string, name string, modified bigint"))
+    """Events as files of their users' folders."""
+    name = F.array(*map(F.lit, FILE_NAMES))[(F.col("event_id") * 5 % 7 % len(FILE_NAMES)).cast("int")]
+    return K.last_activity(table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("folder"), name.alias("name"), F.col("event_id").alias("modified")))
 
 
 def job_summary(spark, sf_dir):
@@ -68,9 +72,10 @@ def new_annotations(spark, sf_dir):
 
 
 def annotation_changes(spark, sf_dir):
-    notes = frame(spark, [(1, "red", "a"), (2, "blue", "b"), (3, "green", "c")], "annotation_id int, color string, comment string")
-    changed = K.updated(notes, frame(spark, [(1, None, "new"), (2, "red", None)], "annotation_id int, color string, comment string"))
-    return K.deleted(changed, frame(spark, [(3,)], "annotation_id int"))
+    """Events as highlights, of which some get another colour, some another comment, and some go."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("annotation_id"), F.col("event_type").alias("color"), F.concat(F.lit("c"), "user_id").alias("comment"))
+    new = e.where("annotation_id % 4 = 1").select("annotation_id", F.when(F.col("annotation_id") % 8 == 1, "red").alias("color"), F.when(F.col("annotation_id") % 3 == 0, "new").alias("comment"))
+    return K.deleted(K.updated(e, new), e.where("annotation_id % 9 = 2").select("annotation_id"))
 
 
 def english_view(spark, sf_dir):
@@ -108,13 +113,13 @@ QUERIES = {
 ORACLES = {
     "queue_round": f"WITH {BLOCKS}, q AS (SELECT doc_id, ord AS seq, (CASE WHEN ord % 11 = 3 THEN 0 ELSE length(text) END)::INTEGER AS chars FROM blocks), s AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM q WHERE chars > 0) SELECT doc_id, seq, chars FROM s WHERE b < 900",
     "queue_priority": f"WITH {BLOCKS} SELECT doc_id, block_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN ord BETWEEN 4 AND 6 THEN 0 ELSE 1 END, ord) - 1 AS seq FROM blocks",
-    "last_activity": f"SELECT * FROM {values([('a', 50, False, True), ('b', 7, True, False)], 'folder varchar, last_write bigint, report boolean, glossary boolean')}",
+    "last_activity": f"WITH f AS (SELECT 'u' || user_id AS folder, ([{', '.join(repr(n) for n in FILE_NAMES)}])[1 + event_id * 5 % 7 % {len(FILE_NAMES)}] AS name, event_id FROM events) SELECT folder, max(event_id) AS last_write, bool_or(name = 'report.md') AS report, bool_or(name = 'glossary.md') AS glossary FROM f WHERE name NOT IN ('units.json', 'TASK.md', 'FIX.md', 'job.json', 'fix.json') GROUP BY folder",
     "job_summary": "WITH t AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS d, count(*) FILTER (length(text) < 40) AS f FROM conversations GROUP BY conv_id) SELECT count(*) AS papers, count(*) FILTER (n % 2 = 0) AS finished, coalesce(sum(d), 0)::BIGINT AS sentences, coalesce(sum(f), 0)::BIGINT AS failed FROM t",
     "active_source": f"WITH {BLOCKS}, b AS (SELECT doc_id, 'sdt' AS source FROM blocks UNION ALL SELECT doc_id, 'mineru' FROM blocks WHERE doc_id % 3 = 0 AND ord % 2 = 0) SELECT doc_id, source, count(*) AS n FROM b WHERE source = CASE WHEN doc_id IN (SELECT doc_id FROM b WHERE source = 'mineru') THEN 'mineru' ELSE 'sdt' END GROUP BY doc_id, source",
     "unit_places": f"SELECT * FROM {values([('b:0', 1, 0, 1.0), ('m1:0', 1, 1, 3.0), ('m2:0', 1, 1, 5.0)], 'unit_id varchar, n integer, page integer, x1 double')}",
     "positions": f"SELECT * FROM {values([(1, 'b', -1), (2, '', 3), (3, '', -1), (4, 'b', -1), (5, 'a@b', -1)], 'doc_id bigint, block_id varchar, page integer')}",
     "new_annotations": f"SELECT * FROM {values([(1, 0, '#ffd400', 'n', 'One. Two.', '10.000,700.000,50.000,710.000,10.000,690.000,50.000,699.500', '00000|000120|00090'), (1, 1, '#ffd400', 'n', 'Two.', '10.000,780.000,50.000,790.000', '00001|000126|00010')], 'request_id integer, page integer, color varchar, comment varchar, text varchar, rects varchar, sort_index varchar')}",
-    "annotation_changes": f"SELECT * FROM {values([(1, 'red', 'new'), (2, 'red', 'b')], 'annotation_id integer, color varchar, comment varchar')}",
+    "annotation_changes": "SELECT event_id AS annotation_id, CASE WHEN event_id % 8 = 1 THEN 'red' ELSE event_type END AS color, CASE WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'new' ELSE 'c' || user_id END AS comment FROM events WHERE event_id % 9 <> 2",
     "english_view": f"WITH {BLOCKS}, w AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{9,}}') AS word FROM blocks), p AS (SELECT *, CASE WHEN word <> '' THEN strpos(text, word) - 1 END AS s FROM w) SELECT doc_id, sum(CASE WHEN word = '' THEN 1 ELSE 1 + CASE WHEN s > 0 THEN 1 ELSE 0 END + CASE WHEN s + length(word) < length(text) THEN 1 ELSE 0 END END)::BIGINT AS runs, count(*) FILTER (word <> '') AS units, sum(length(text))::BIGINT AS chars FROM p GROUP BY doc_id",
     "names_and_specs": f"SELECT * FROM {values([('1-AB.json', chr(39) + 'it' + chr(39) * 2 + 's' + chr(39), 'api', 'gpt', 'low'), ('7-Q.json', chr(39) * 2, 'grok', '', '')], 'file varchar, quoted varchar, kind varchar, model varchar, effort varchar')}",
     "opened_settings": f"SELECT * FROM {values([('a', 'x', 'y'), ('b', 'g', 'p'), ('c', '', '-')], 'attachment varchar, glossary varchar, position varchar')}",

@@ -125,7 +125,7 @@ def document_progress(spark, sf_dir):
 
 def unique_gram_join(spark, sf_dir):
     left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), align.kept_text(F.col("text")).alias("text"))
-    right = lines(spark, sf_dir).select((F.col("doc_id") * 100000 + F.col("ord")).alias("id"), align.kept_text(F.col("text")).alias("text"))
+    right = lines(spark, sf_dir).select(F.concat_ws(":", "doc_id", "ord").alias("id"), align.kept_text(F.col("text")).alias("text"))
     return align.gram_anchors(left, right)
 
 
@@ -135,7 +135,7 @@ def _grams(name: str, source: str) -> str:
 
 _KEPT = "regexp_replace(lower(regexp_replace(text, '\\$[^$]+\\$', '', 'g')), '[^a-z0-9]', '', 'g')"
 _GRAMS = f"""
-WITH {LINES}, bt AS (SELECT item_id AS id, {_KEPT} AS t FROM benchmark), lt AS (SELECT doc_id * 100000 + ord AS id, {_KEPT} AS t FROM lines), {_grams("a", "bt")}, {_grams("b", "lt")}
+WITH {LINES}, bt AS (SELECT item_id AS id, {_KEPT} AS t FROM benchmark), lt AS (SELECT doc_id || ':' || ord AS id, {_KEPT} AS t FROM lines), {_grams("a", "bt")}, {_grams("b", "lt")}
 SELECT a.id AS left_id, b.id AS right_id, count(*) AS anchors, min(a.pos) AS first_left, min(b.pos) AS first_right FROM a JOIN b USING (gram) GROUP BY 1, 2
 """
 
@@ -152,9 +152,9 @@ def alignment(spark, sf_dir):
 
 # (id, source, rendering, formulas marked by dollars)
 UNITS = [
-    (1, "Wind power was shown to grow considerably [3].", "风电显著增长。", False), (2, "Wind power was shown to grow considerably [3].", "风电显著增长[3]。", False), (3, "Wind power was shown to grow considerably here.", "Wind power was shown", False),
+    (1, "The tide gauges were read twice in every storm [3].", "风电显著增长。", False), (2, "The tide gauges were read twice in every storm [3].", "风电显著增长[3]。", False), (3, "The tide gauges were read twice in every storm here.", "The tide gauges were read", False),
     (4, "Short one.", "Short one.", False), (5, "A. Smith, B. Jones, and C. de Vries", "A. Smith, B. Jones", False), (6, "John Smith, Mary Jones, Peter Brown and Ann White", "John Smith", False), (7, "the input $x_t$ and $[1]$", "输入 $x_t$", True), (8, "the input $x_t$ and $[1]$", "输入 $ x_t $ 与 $[1]$", True),
-    (9, "costs 0.078 $/kWh, or 105 $ per month", "成本 0.078", False), (10, "The output lies in [01] and nowhere else", "输出在区间内", False), (11, "see [3]-[5], [12, 14–16] and ［7］", "见 [3]、[12]", False), (12, "anything", "   ", False),
+    (9, "rents for 12.5 $/day, or 80 $ per week", "成本 0.078", False), (10, "The share stays within [01] at all times", "输出在区间内", False), (11, "see [3]-[5], [12, 14–16] and ［7］", "见 [3]、[12]", False), (12, "anything", "   ", False),
 ]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,14 +74,14 @@ def flattened(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).cast("bigint").alias("ord"), "key", "path", "kind")
 
 
-def part_chains(heads: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+def part_chains(heads: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each head (doc_id, key) with the parts that continue it: doc_id, head, hop, key. A chain ends at a missing node and where it would come back to one it holds."""
     from quirelake.sources.tables import scratch
 
     link = nodes.where("not is_text").select("doc_id", "key", F.when(F.col("next_part") != "", F.col("next_part")).alias("next_part"))
     step = heads.select("doc_id", F.col("key").alias("head"), "key", F.lit(0).alias("hop"), F.array("key").alias("seen"))
     out = step
-    for hop in range(1, most + 1):
+    for hop in count(1):  # as many steps as the longest chain has parts: no chain comes back to a part it holds
         at = step.join(link, ["doc_id", "key"]).where("next_part is not null and not array_contains(seen, next_part)")
         step = scratch(at.join(link.select("doc_id", F.col("key").alias("next_part")), ["doc_id", "next_part"], "left_semi").select("doc_id", "head", F.col("next_part").alias("key"), F.lit(hop).alias("hop"), F.concat("seen", F.array("next_part")).alias("seen")), "parts")
         if step.isEmpty():

@@ -1,4 +1,4 @@
-"""Sinks. A write goes to a new path and becomes visible by one rename of a small pointer, so readers never see half of it."""
+"""Sinks. A write goes to a new path and becomes visible by one rename that makes a new small pointer, so readers never see half of it, nor nothing."""
 
 from __future__ import annotations
 
@@ -16,43 +16,64 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """The pointers of a store, oldest first; the newest one counts."""
+    fs, p, _ = _fs(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((n for n in names if n.startswith("CURRENT-")), key=lambda n: int(n.removeprefix("CURRENT-")))
+
+
 def snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     """The store's present table; None before the first write."""
-    fs, p, _ = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(p):
-        return None
-    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/CURRENT').first()[0]}")
+    names = _pointers(spark, root)
+    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/{names[-1]}').first()[0]}") if names else None
+
 
+def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
+    """Write a table and point to it; the one before stays until it is deleted by vacuum().
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a table and point to it; the one before stays until it is deleted by vacuum()."""
+    Each write makes a pointer of its own, numbered one higher, by one rename. Nothing is deleted on the way, so a crash at any step leaves the pointer before in force.
+    after is the number that the caller has read; where another writer has come in between, the write fails instead of losing that one's rows.
+    """
     spark = df.sparkSession
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
+    number = (_last(spark, root) if after is None else after) + 1
     fs, p, jvm = _fs(spark, f"{root}/.{name}")
     out = fs.create(p, True)
     out.write(bytearray(name.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(p, target)
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT-{number}")
+    if fs.exists(target) or not fs.rename(p, target):
+        fs.delete(p, False)
+        raise RuntimeError(f"another writer has written {root}")
     return name
 
 
+def _last(spark: SparkSession, root: str) -> int:
+    names = _pointers(spark, root)
+    return int(names[-1].removeprefix("CURRENT-")) if names else 0
+
+
 def merge_store(new: DataFrame, root: str, policy: str = "newest") -> None:
     """Merge rows (hash, META) into the store by `newest`, `existing` or `replace`."""
+    number = _last(new.sparkSession, root)
     now = snapshot(new.sparkSession, root)
     rows = new.select("hash", *META)
     if now is not None and policy != "replace":
         rows = newest_wins(now, rows, ["hash"]) if policy == "newest" else existing_wins(now, rows, ["hash"])
-    write_snapshot(rows, root)
+    write_snapshot(rows, root, number)
 
 
 def vacuum(spark: SparkSession, root: str) -> None:
-    """Delete tables that CURRENT does not name."""
+    """Delete the pointers before the newest one, and then the tables that it does not name."""
     fs, p, jvm = _fs(spark, root)
-    keep = spark.read.text(f"{root}/CURRENT").first()[0]
+    names = _pointers(spark, root)
+    if not names:
+        return
+    keep = spark.read.text(f"{root}/{names[-1]}").first()[0]
+    for n in names[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}"), False)
     for s in fs.listStatus(p):
         if s.getPath().getName().startswith("v-") and s.getPath().getName() != keep:
             fs.delete(s.getPath(), True)

@@ -204,3 +204,23 @@ def test_models_runs_and_text_runs(spark, tmp_path):
     text = spark.range(1).select(K.task_text(F.lit("/d"), F.lit(3), F.lit(True), F.lit(True), F.lit("a = b"))).first()[0]
     assert "/d" in text and "3 others" in text and "a = b" in text and "dollar" in text
     assert K.merged_settings({"a": 1, "b": 2}, {"a": None, "b": 3}, {"c": 4}) == {"a": 1, "b": 3, "c": 4} and K.free_id(["p1", "p3"]) == "p4"
+
+
+def test_snapshot_survives_a_crash_at_any_step_and_loses_no_other_writer(spark, tmp_path, monkeypatch):
+    from quirelake.sources import writers
+
+    root, kind = str(tmp_path / "store"), "hash string, zh string, engine string, prompt string, glossary string, t bigint"
+    row = lambda k, t: spark.createDataFrame([(k, "z", "", "", "", t)], kind)
+    assert writers.snapshot(spark, root) is None
+    writers.merge_store(row("a", 1), root)
+    (tmp_path / "store" / ".v-half").write_text("v-half")  # a crash before the rename leaves a table and a hidden file
+    assert [r.hash for r in writers.snapshot(spark, root).collect()] == ["a"]
+    writers.merge_store(row("b", 1), root)
+    assert sorted(r.hash for r in writers.snapshot(spark, root).collect()) == ["a", "b"]
+    with pytest.raises(RuntimeError):
+        writers.write_snapshot(row("c", 1), root, after=1)  # what was read is not the newest any more
+    assert sorted(r.hash for r in writers.snapshot(spark, root).collect()) == ["a", "b"]
+    writers.vacuum(spark, root)
+    assert sorted(r.hash for r in writers.snapshot(spark, root).collect()) == ["a", "b"]
+    writers.merge_store(row("c", 1), root)
+    assert writers.snapshot(spark, root).count() == 3
