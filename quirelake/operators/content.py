@@ -114,6 +114,20 @@ def outline(blocks: DataFrame) -> DataFrame:
     )
 
 
+def titles(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Title and id of documents(doc_id, source, attachment, pdf_hash, version, title): title is that of the outline's first entry, or of the base parse.
+
+    The first parse prefers its outline's title to its first heading; content lists prefer their first heading to the title of the base parse.
+    """
+    first = blocks.where("kind = 'heading'").groupBy("doc_id").agg(F.min_by("text", "ord").alias("__h"))
+    sdt = F.col("source") == "sdt"
+    parser = F.when(sdt, F.concat(F.lit("sdt"), "version")).otherwise("mineru")
+    return documents.join(first, "doc_id", "left").select(
+        "doc_id", F.when(sdt, F.coalesce("title", "__h")).otherwise(F.coalesce("__h", "title")).alias("title"),
+        F.concat_ws("|", "attachment", F.coalesce("pdf_hash", F.lit("")), parser).alias("document_id"),
+    )
+
+
 def visible(headings: DataFrame) -> DataFrame:
     """Which headings of an outline (doc_id, ord, depth, folded) show: not those below a folded one."""
     rows = headings.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "depth", "folded"))).alias("h"))

@@ -18,21 +18,26 @@ UNIT = "struct<id:string,en:string>"
 def pack(paragraphs: DataFrame, by: list[str], max_chars: int = 2600, max_units: int = 45) -> DataFrame:
     """Number the batches of paragraphs(by..., ord, chars, units): a fold that starts a new batch where a budget would be passed.
 
-    A paragraph is never split; one beyond the budget is a batch of its own. Only three numbers of each paragraph enter the fold. Returns by..., ord, batch.
+    A paragraph is never split; one beyond the budget is a batch of its own. Only three numbers of each paragraph enter the fold, which keeps
+    the places where batches start; those cut the list into batches once. Returns by..., ord, batch.
     """
     rows = paragraphs.where("units > 0").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("chars").cast("bigint").alias("c"), F.col("units").cast("bigint").alias("u")))).alias("p"))
     zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("n"), zero.alias("c"), zero.alias("u"), F.array().cast("array<struct<ord:bigint,batch:bigint>>").alias("out"))
+    start = F.struct(F.lit(1).alias("i"), zero.alias("c"), zero.alias("u"), F.array(F.lit(1)).alias("starts"))
 
     def step(a: Column, p: Column) -> Column:
         full = (a["u"] > 0) & ((a["c"] + p["c"] > max_chars) | (a["u"] + p["u"] > max_units))
-        n = a["n"] + F.when(full, 1).otherwise(0)
         return F.struct(
-            n.alias("n"), (F.when(full, 0).otherwise(a["c"]) + p["c"]).alias("c"), (F.when(full, 0).otherwise(a["u"]) + p["u"]).alias("u"),
-            F.concat(a["out"], F.array(F.struct(p["ord"].cast("bigint").alias("ord"), n.alias("batch")))).alias("out"),
+            (a["i"] + 1).alias("i"), (F.when(full, 0).otherwise(a["c"]) + p["c"]).alias("c"), (F.when(full, 0).otherwise(a["u"]) + p["u"]).alias("u"),
+            F.when(full, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"),
         )
 
-    return rows.select(*by, F.explode(F.aggregate("p", start, step, lambda a: a["out"])).alias("r")).select(*by, "r.ord", "r.batch")
+    def batch(s: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("p") + 1)
+        return F.transform(F.slice("p", s, end - s), lambda x: F.struct(x["ord"].cast("bigint").alias("ord"), k.cast("bigint").alias("batch")))
+
+    cut = rows.withColumn("starts", F.aggregate("p", start, step, lambda a: a["starts"]))
+    return cut.select(*by, F.explode(F.flatten(F.transform("starts", batch))).alias("r")).select(*by, "r.ord", "r.batch")
 
 
 def wanted_batches(sentences: DataFrame, blocks: DataFrame, max_chars: int = 2600, max_units: int = 45) -> DataFrame:

@@ -65,9 +65,9 @@ def removed(store: DataFrame, hashes: DataFrame, groups: DataFrame) -> DataFrame
     return store.join(hashes.select("hash").unionByName(spread).distinct(), "hash", "left_anti")
 
 
-def cleared(store: DataFrame) -> DataFrame:
-    """No rows."""
-    return store.where("false")
+def cleared(store: DataFrame, active: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """No rows; given the sentences(hash) of the source on screen and the groups of all, the rows that they leave."""
+    return store.where("false") if active is None else removed(store, active.select("hash").distinct(), groups)
 
 
 def edited(store: DataFrame, edits: DataFrame) -> DataFrame:

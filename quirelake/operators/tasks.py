@@ -75,6 +75,37 @@ def restored_position(positions: DataFrame, blocks: DataFrame, markers: DataFram
     return rows.select("doc_id", F.when(F.col("__own"), F.col("b")).alias("block_id"), F.when(F.col("__own").isNull(), F.col("__page")).alias("page"))
 
 
+def annotations(raw: DataFrame) -> DataFrame:
+    """Highlights and underlines of raw(annotation_id, type, color, comment, position): annotation_id, color, comment, page, rects.
+
+    A position is JSON with a number pageIndex and an array rects; rows with another one are skipped.
+    """
+    rows = raw.where(F.col("type").isin("highlight", "underline")).withColumn("__v", F.try_parse_json("position"))
+    part = {k: F.try_variant_get("__v", f"$.{k}", "variant") for k in ("pageIndex", "rects")}
+    number = F.schema_of_variant(part["pageIndex"]).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    rows = rows.where(number & F.schema_of_variant(part["rects"]).startswith("ARRAY"))
+    return rows.select("annotation_id", "color", "comment", F.try_variant_get("__v", "$.pageIndex", "int").alias("page"), F.try_variant_get("__v", "$.rects", "array<array<double>>").alias("rects"))
+
+
+def first_highlight(highlights: DataFrame) -> DataFrame:
+    """The first highlight of each unit: highlights(annotation_id, nth, unit_ids, comment) → unit_id, annotation_id, comment. One shuffle of partial minima."""
+    rows = highlights.select(F.explode("unit_ids").alias("unit_id"), "nth", "annotation_id", "comment")
+    return rows.groupBy("unit_id").agg(F.min_by(F.struct("annotation_id", "comment"), F.struct("nth", "annotation_id")).alias("h")).select("unit_id", "h.*")
+
+
+def still_busy(waiting: DataFrame, answered: DataFrame, running: bool = True) -> DataFrame:
+    """Paragraphs that wait(block_id, unit_id) for answers: block_id and units left. One with none left is out; when nothing runs, all are."""
+    rows = waiting if running else waiting.where("false")
+    return rows.join(answered.select("unit_id"), "unit_id", "left_anti").groupBy("block_id").agg(F.count_distinct("unit_id").alias("left"))
+
+
+def last_problems(problems: DataFrame, by: list[str], n: int = 3) -> DataFrame:
+    """The last problems(by..., ord, problem) of each group, in order; partitions cut theirs to n before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(F.col("ord").desc())
+    last = problems.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    return last.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "problem"))), lambda x: x["problem"]), "\n").alias("problems"))
+
+
 def new_annotations(requests: DataFrame, boxes: DataFrame) -> DataFrame:
     """Highlights from requests(request_id, color, comment) and their pieces' boxes(request_id, nth, text, lines, page_height, offset): one annotation a page.
 

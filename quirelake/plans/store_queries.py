@@ -161,6 +161,13 @@ def store_removed(spark, sf_dir):
     return S.removed(store, table(spark, sf_dir, "events").where("event_id % 53 = 3").select(F.concat_ws("|", "user_id", "event_type").alias("hash")), groups).select("hash", "zh")
 
 
+def store_cleared(spark, sf_dir):
+    """Events of a type on screen; other types of their users go with them."""
+    store, groups = _cache(spark, sf_dir, "event_id % 2 = 0")
+    shown = table(spark, sf_dir, "events").where("event_id % 5 = 0 and user_id % 4 = 1").select(F.concat_ws("|", "user_id", "event_type").alias("hash"))
+    return S.cleared(store, shown, groups).select("hash", "zh")
+
+
 def store_rendered(spark, sf_dir):
     """Events as sentences: some have rows of their own, some get that of another type of their user, some none."""
     store, groups = _cache(spark, sf_dir, "event_id % 7 = 0")
@@ -310,7 +317,7 @@ def work_queue(spark, sf_dir):
 
 QUERIES = {
     "batch_packing": batch_packing, "wanted_batches": wanted_batches, "budgeted_limit": budgeted_limit, "glossary_source": glossary_source, "granularity_groups": granularity, "translation_join": translation_join, "find_hits": find_hits, "mode_view": mode_view,
-    "run_batches": run_batches, "newest_wins": newest_wins, "existing_wins": existing_wins, "changed_rows": changed_rows, "later_file_wins": later_file_wins, "store_put": store_put, "store_removed": store_removed, "store_rendered": store_rendered, "store_edited": store_edited,
+    "run_batches": run_batches, "newest_wins": newest_wins, "existing_wins": existing_wins, "changed_rows": changed_rows, "later_file_wins": later_file_wins, "store_put": store_put, "store_removed": store_removed, "store_cleared": store_cleared, "store_rendered": store_rendered, "store_edited": store_edited,
     "progress_by_doc": progress_by_doc, "section_as_of": section_as_of, "sections": sections, "blind_scores": blind_scores, "blind_sample": blind_sample, "bench_rows": bench_rows, "tints": tints, "joined_selection": joined_selection, "notes_order": notes_order,
     "bookmarks": bookmarks, "task_status": task_status, "answered": answered, "glossaries": glossaries, "comments": comments, "prompts": prompts, "work_queue": work_queue,
 }
@@ -332,6 +339,7 @@ ORACLES = {
     "later_file_wins": _FILES,
     "store_put": f"WITH {_cached('o', 'event_id % 2 = 0')}, {_cached('n', 'event_id % 41 = 1')}, l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC) = 1), g AS (SELECT DISTINCT user_id, user_id || '|' || event_type AS hash FROM events) SELECT g.hash, zh, engine, prompt, glossary, t FROM g JOIN l USING (user_id) UNION ALL SELECT hash, zh, engine, prompt, glossary, t FROM o WHERE user_id NOT IN (SELECT user_id FROM n)",
     "store_removed": f"WITH {_cached('o', 'event_id % 2 = 0')} SELECT hash, zh FROM o WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 53 = 3)",
+    "store_cleared": f"WITH {_cached('o', 'event_id % 2 = 0')} SELECT hash, zh FROM o WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 5 = 0 AND user_id % 4 = 1)",
     "store_rendered": f"WITH {_cached('o', 'event_id % 7 = 0')}, m AS (SELECT user_id, arg_min(zh, hash) AS z FROM o GROUP BY user_id) SELECT e.event_id AS unit_id, coalesce(o.zh, m.z) AS zh FROM events e LEFT JOIN o ON o.hash = e.user_id || '|' || e.event_type LEFT JOIN m ON m.user_id = e.user_id",
     "store_edited": f"WITH {_cached('o', 'event_id % 2 = 0')}, {_cached('n', 'event_id % 10 = 5')}, w AS (SELECT * FROM n WHERE t % 3 <> 0) SELECT hash, zh, 'manual' AS engine, t FROM w UNION ALL SELECT hash, zh, engine, t FROM o WHERE hash NOT IN (SELECT hash FROM w)",
     "progress_by_doc": "SELECT source, count(*) AS total, count(*) FILTER (quality = 1) AS done, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality = 1) = count(*) AS complete FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirelake.operators import content as C
 from quirelake.operators import tasks as K
 from quirelake.plans.base import BLOCKS, frame, line_blocks, table, values
 from quirelake.schemas import RECT
@@ -78,6 +79,44 @@ def annotation_changes(spark, sf_dir):
     return K.deleted(K.updated(e, new), e.where("annotation_id % 9 = 2").select("annotation_id"))
 
 
+def annotations(spark, sf_dir):
+    """Events as annotations: some are of another kind, some have no position that can be read."""
+    k = F.col("event_id")
+    good = F.concat(F.lit('{"pageIndex": '), k % 9, F.lit(', "rects": [[1, 2.5, '), k, F.lit(", 4], [0, 0, 1, 1]]}"))
+    position = F.when(k % 7 == 0, "{").when(k % 7 == 1, '{"pageIndex": "2", "rects": []}').when(k % 7 == 2, '{"pageIndex": 2, "rects": {}}').when(k % 7 == 3, '{"rects": []}').when(k % 7 == 4, F.lit(None)).otherwise(good)
+    kind = F.when(k % 4 == 0, "ink").when(k % 4 == 1, "underline").otherwise("highlight")
+    raw = table(spark, sf_dir, "events").select(k.alias("annotation_id"), kind.alias("type"), F.col("event_type").alias("color"), F.concat(F.lit("c"), "user_id").alias("comment"), position.alias("position"))
+    return K.annotations(raw).select("annotation_id", "color", "comment", "page", F.size("rects").alias("n"), F.col("rects")[0][1].alias("y1"), F.col("rects")[0][2].alias("x2"))
+
+
+def first_highlight(spark, sf_dir):
+    """Events as highlights of two users' sentences each; the lists are in falling order of ids."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("annotation_id"), (-F.col("event_id")).alias("nth"), F.array("user_id", F.col("user_id") + 1).alias("unit_ids"), F.col("event_type").alias("comment"))
+    return K.first_highlight(e)
+
+
+def still_busy(spark, sf_dir):
+    """Documents' lines as units that paragraphs of five lines wait for; two of three are answered."""
+    units = line_blocks(spark, sf_dir).select(F.concat_ws(":", "doc_id", F.floor(F.col("ord") / 5)).alias("block_id"), F.concat_ws(":", "doc_id", "ord").alias("unit_id"), "ord")
+    return K.still_busy(units, units.where("ord % 3 > 0"))
+
+
+def last_problems(spark, sf_dir):
+    """Short lines of documents as problems of their source."""
+    rows = line_blocks(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where("kind = 'heading'")
+    return K.last_problems(rows.select("source", F.struct("doc_id", "ord").alias("ord"), F.col("text").alias("problem")), ["source"])
+
+
+def document_titles(spark, sf_dir):
+    """Documents of even ids as first parses; every third has a title of its own."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(k % 2 == 0, "sdt").otherwise("mineru").alias("source"), F.concat(F.lit("A"), k).alias("attachment"), F.when(k % 5 > 0, F.md5(F.col("doc_id").cast("string"))).alias("pdf_hash"),
+        (k % 4).cast("string").alias("version"), F.when(k % 3 == 0, F.concat(F.lit("Title "), k)).alias("title"),
+    )
+    return C.titles(line_blocks(spark, sf_dir), docs)
+
+
 def english_view(spark, sf_dir):
     """Lines, with every word of over eight letters taken as a sentence of its own."""
     blocks = line_blocks(spark, sf_dir).select("doc_id", "block_id", "text")
@@ -107,6 +146,7 @@ def blind_sheet(spark, sf_dir):
 
 QUERIES = {
     "queue_round": queue_round, "queue_priority": queue_priority, "last_activity": last_activity, "job_summary": job_summary, "active_source": active_source, "unit_places": unit_places, "positions": positions, "new_annotations": new_annotations,
+    "annotations": annotations, "first_highlight": first_highlight, "still_busy": still_busy, "last_problems": last_problems, "document_titles": document_titles,
     "annotation_changes": annotation_changes, "english_view": english_view, "names_and_specs": names_and_specs, "opened_settings": opened_settings, "blind_sheet": blind_sheet,
 }
 
@@ -120,6 +160,11 @@ ORACLES = {
     "positions": f"SELECT * FROM {values([(1, 'b', -1), (2, '', 3), (3, '', -1), (4, 'b', -1), (5, 'a@b', -1)], 'doc_id bigint, block_id varchar, page integer')}",
     "new_annotations": f"SELECT * FROM {values([(1, 0, '#ffd400', 'n', 'One. Two.', '10.000,700.000,50.000,710.000,10.000,690.000,50.000,699.500', '00000|000120|00090'), (1, 1, '#ffd400', 'n', 'Two.', '10.000,780.000,50.000,790.000', '00001|000126|00010')], 'request_id integer, page integer, color varchar, comment varchar, text varchar, rects varchar, sort_index varchar')}",
     "annotation_changes": "SELECT event_id AS annotation_id, CASE WHEN event_id % 8 = 1 THEN 'red' ELSE event_type END AS color, CASE WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'new' ELSE 'c' || user_id END AS comment FROM events WHERE event_id % 9 <> 2",
+    "annotations": "SELECT event_id AS annotation_id, event_type AS color, 'c' || user_id AS comment, (event_id % 9)::INTEGER AS page, 2::INTEGER AS n, 2.5::DOUBLE AS y1, event_id::DOUBLE AS x2 FROM events WHERE event_id % 4 > 0 AND event_id % 7 > 4",
+    "first_highlight": "WITH u AS (SELECT event_id, event_type, user_id AS unit_id FROM events UNION ALL SELECT event_id, event_type, user_id + 1 FROM events) SELECT unit_id, max(event_id) AS annotation_id, arg_max(event_type, event_id) AS comment FROM u GROUP BY unit_id",
+    "still_busy": f"WITH {BLOCKS} SELECT doc_id || ':' || ord // 5 AS block_id, count(*) AS \"left\" FROM blocks WHERE ord % 3 = 0 GROUP BY 1",
+    "last_problems": f"WITH {BLOCKS}, p AS (SELECT d.source, blocks.text, doc_id, ord FROM blocks JOIN documents d USING (doc_id) WHERE kind = 'heading' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, ord DESC) <= 3) SELECT source, string_agg(text, chr(10) ORDER BY doc_id, ord) AS problems FROM p GROUP BY source",
+    "document_titles": f"WITH {BLOCKS}, h AS (SELECT doc_id, arg_min(text, ord) AS h FROM blocks WHERE kind = 'heading' GROUP BY doc_id), d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id END AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(t, h) ELSE coalesce(h, t) END AS title, 'A' || doc_id || '|' || CASE WHEN doc_id % 5 > 0 THEN md5(doc_id::VARCHAR) ELSE '' END || '|' || CASE WHEN doc_id % 2 = 0 THEN 'sdt' || doc_id % 4 ELSE 'mineru' END AS document_id FROM d LEFT JOIN h USING (doc_id)",
     "english_view": f"WITH {BLOCKS}, w AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{9,}}') AS word FROM blocks), p AS (SELECT *, CASE WHEN word <> '' THEN strpos(text, word) - 1 END AS s FROM w) SELECT doc_id, sum(CASE WHEN word = '' THEN 1 ELSE 1 + CASE WHEN s > 0 THEN 1 ELSE 0 END + CASE WHEN s + length(word) < length(text) THEN 1 ELSE 0 END END)::BIGINT AS runs, count(*) FILTER (word <> '') AS units, sum(length(text))::BIGINT AS chars FROM p GROUP BY doc_id",
     "names_and_specs": f"SELECT * FROM {values([('1-AB.json', chr(39) + 'it' + chr(39) * 2 + 's' + chr(39), 'api', 'gpt', 'low'), ('7-Q.json', chr(39) * 2, 'grok', '', '')], 'file varchar, quoted varchar, kind varchar, model varchar, effort varchar')}",
     "opened_settings": f"SELECT * FROM {values([('a', 'x', 'y'), ('b', 'g', 'p'), ('c', '', '-')], 'attachment varchar, glossary varchar, position varchar')}",
