@@ -114,6 +114,13 @@ def outline(blocks: DataFrame) -> DataFrame:
     )
 
 
+def rendered_outline(headings: DataFrame, sentences: DataFrame) -> DataFrame:
+    """An outline with its headings' renderings: sentences(doc_id, block_id, idx, zh) of each are joined in order. Adds zh, empty where there is none."""
+    have = sentences.where("zh <> ''").groupBy("doc_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("idx", "zh"))).alias("s"))
+    zh = F.coalesce(F.array_join(F.transform("s", lambda x: x["zh"]), ""), F.lit(""))
+    return headings.join(have, ["doc_id", "block_id"], "left").withColumn("zh", zh).drop("s")
+
+
 def titles(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """Title and id of documents(doc_id, source, attachment, pdf_hash, version, title): title is that of the outline's first entry, or of the base parse.
 

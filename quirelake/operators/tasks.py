@@ -157,6 +157,13 @@ def shown_blocks(blocks: DataFrame, enrichment: DataFrame) -> DataFrame:
     return blocks.where("kind <> 'math'").join(covered, ["doc_id", "block_id"], "left_anti").unionByName(blocks.where("kind = 'math'"))
 
 
+def api_engines(providers: DataFrame) -> DataFrame:
+    """Engines of providers(id, name, base, key, models), one a model: id, label, ready (with an address and a key), note."""
+    rows = providers.select("id", "name", F.coalesce("base", F.lit("")).alias("base"), F.coalesce("key", F.lit("")).alias("key"), F.explode("models").alias("model"))
+    ready = (F.col("base") != "") & (F.col("key") != "")
+    return rows.select(F.concat(F.lit("api:"), "id", F.lit(":"), "model").alias("id"), F.concat("name", F.lit(" · "), "model").alias("label"), ready.alias("ready"), F.when(F.col("key") != "", F.col("base")).otherwise("no API key").alias("note"))
+
+
 def cache_file(library: Column, key: Column) -> Column:
     return F.concat(library.cast("string"), F.lit("-"), key, F.lit(".json"))
 

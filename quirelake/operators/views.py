@@ -138,6 +138,22 @@ def age(ms: Column) -> Column:
     return F.when(s < 60, F.concat(s.cast("string"), F.lit(" 秒前"))).when(m < 60, F.concat(m.cast("string"), F.lit(" 分钟前"))).otherwise(F.concat(F.floor(m / 60 + 0.5).cast("string"), F.lit(" 小时前")))
 
 
+def selected_units(selections: DataFrame, spans: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Units of which a selection covers at least one character that is not white space: doc_id, sel_id, unit_id.
+
+    selections(doc_id, sel_id, from_ord, from_at, to_ord, to_at) run from a place in a block to one in the same or a later block; spans(doc_id, ord,
+    unit_id, start, end); blocks(doc_id, ord, text). A selection is dealt to its blocks, so the joins are on equal keys.
+    """
+    forward = selections.where("from_ord <= to_ord")
+    parts = forward.select("doc_id", "sel_id", F.explode(F.sequence("from_ord", "to_ord")).alias("ord"), "from_ord", "from_at", "to_ord", "to_at")
+    rows = parts.join(spans, ["doc_id", "ord"]).join(blocks.select("doc_id", "ord", "text"), ["doc_id", "ord"])
+    left = F.when(F.col("ord") == F.col("from_ord"), F.greatest("start", "from_at")).otherwise(F.col("start"))
+    right = F.when(F.col("ord") == F.col("to_ord"), F.least("end", "to_at")).otherwise(F.col("end"))
+    rows = rows.withColumns({"__l": left.cast("int"), "__r": right.cast("int")}).where("__l < __r")
+    covered = F.col("text").substr(F.col("__l") + 1, F.col("__r") - F.col("__l"))
+    return rows.where(T.strip(covered) != "").select("doc_id", "sel_id", "unit_id").distinct()
+
+
 def paragraph_action(busy: Column, failed: Column, total: Column, done: Column) -> Column:
     """What can be done with a paragraph."""
     return F.when(busy, "busy").when(failed > 0, "retry").when(done >= total, "retranslate").otherwise("translate")

@@ -127,6 +127,14 @@ def outline(spark, sf_dir):
     return C.outline(_heads(spark, sf_dir)).select("doc_id", "ord", "depth", "has_children")
 
 
+def rendered_outline(spark, sf_dir):
+    """Turns as headings of two sentences each, of which every third has no rendering."""
+    heads = _heads(spark, sf_dir)
+    parts = heads.select("doc_id", "block_id", "ord", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"))
+    zh = F.when((F.col("ord") + F.col("idx")) % 3 > 0, F.concat(F.lit("z"), "ord", F.lit("."), "idx"))
+    return C.rendered_outline(C.outline(heads), parts.select("doc_id", "block_id", "idx", zh.alias("zh"))).select("doc_id", "ord", "depth", "zh")
+
+
 def _levels_sql(all_numbered: bool) -> str:
     """Level and last letter, heading by heading; t is the heading, own its own level, c what stands before the text."""
     counts = "true" if all_numbered else "c <> '' OR regexp_matches(t, '^\\s*([IVXLC]+\\.|[A-Z]\\.|\\d+\\)|\\d+(\\.\\d+)*\\.?)\\s')"
@@ -265,7 +273,7 @@ def style_runs(spark, sf_dir):
 
 
 QUERIES = {
-    "overlap_match": overlap_match, "crop_rects": crop_rects, "page_markers": page_markers, "sort_keys": sort_keys, "units_under": units_under, "line_boxes": line_boxes, "text_maps": text_maps, "sentence_lines": sentence_lines, "heading_levels": heading_levels, "outline": outline,
+    "overlap_match": overlap_match, "crop_rects": crop_rects, "page_markers": page_markers, "sort_keys": sort_keys, "units_under": units_under, "line_boxes": line_boxes, "text_maps": text_maps, "sentence_lines": sentence_lines, "heading_levels": heading_levels, "outline": outline, "rendered_outline": rendered_outline,
     "fold_visibility": fold_visibility, "content_blocks": content_blocks, "html_blocks": html_blocks, "sdt_blocks": sdt_blocks, "sdt_pages": sdt_pages, "recovered_tables": recovered_tables, "table_tsv": table_tsv, "small_files": small_files, "delivered_entries": delivered_entries, "style_runs": style_runs,
 }
 
@@ -282,6 +290,7 @@ ORACLES = {
     "text_maps": f"SELECT * FROM {values(DECODED, 'id integer, nth integer, page integer, x1 double, y1 double, x2 double, y2 double')}",
     "sentence_lines": f"SELECT * FROM {values([('b:0', 0, 0, 0.0, 0.0, 20.0, 10.0), ('b:1', 0, 0, 30.0, 0.0, 50.0, 10.0), ('b:1', 1, 0, 0.0, 20.0, 20.0, 30.0)], 'unit_id varchar, nth integer, page integer, x1 double, y1 double, x2 double, y2 double')}",
     "heading_levels": f"WITH {_levels_sql(True)} SELECT doc_id, ord, lv::INTEGER AS level FROM levels",
+    "rendered_outline": f"WITH {_levels_sql(False)} SELECT doc_id, ord, (lv - min(lv) OVER (PARTITION BY doc_id))::INTEGER AS depth, CASE ord % 3 WHEN 0 THEN '' ELSE 'z' || ord || '.0' END || CASE ord % 3 WHEN 2 THEN '' ELSE 'z' || ord || '.1' END AS zh FROM levels",
     "outline": f"WITH {_levels_sql(False)} SELECT doc_id, ord, (lv - min(lv) OVER (PARTITION BY doc_id))::INTEGER AS depth, coalesce(lead(lv) OVER (PARTITION BY doc_id ORDER BY ord) > lv, false) AS has_children FROM levels",
     "fold_visibility": _FOLDS,
     "content_blocks": f"SELECT * FROM {values([(i, k, t, r or '', v or -1, x or '', 720.0 if i == 'm0' else -1.0) for i, k, t, r, v, x in ITEM_BLOCKS], 'block_id varchar, kind varchar, text varchar, role varchar, level integer, latex varchar, top double')}",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quirelake.operators import content as C
 from quirelake.operators import tasks as K
+from quirelake.operators import views as V
 from quirelake.plans.base import BLOCKS, frame, line_blocks, table, values
 from quirelake.schemas import RECT
 
@@ -117,6 +118,26 @@ def document_titles(spark, sf_dir):
     return C.titles(line_blocks(spark, sf_dir), docs)
 
 
+def api_engines(spark, sf_dir):
+    """Customers as providers of two models; some have no key, some no address."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.col("c_name").alias("name"), F.when(k % 3 > 0, F.concat(F.lit("http://"), k)).alias("base"), F.when(k % 4 > 0, F.col("c_name")).otherwise("").alias("key"),
+        F.array(F.lit("m"), F.col("c_mktsegment")).alias("models"),
+    )
+    return K.api_engines(rows)
+
+
+def selected_units(spark, sf_dir):
+    """Each document has a selection from its second line to its fifth; units are the first ten characters of a line and the rest."""
+    blocks = line_blocks(spark, sf_dir).select("doc_id", "ord", "text")
+    size = F.length("text")
+    cut = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("start"), F.least(size, F.lit(10)).alias("end")), F.struct(F.lit(1).alias("n"), F.lit(10).alias("start"), size.alias("end")))
+    spans = blocks.select("doc_id", "ord", F.explode(cut).alias("s")).select("doc_id", "ord", F.concat_ws(":", "ord", "s.n").alias("unit_id"), "s.start", "s.end").where("start < end")
+    place = {"sel_id": F.lit(0), "from_ord": F.lit(1).cast("bigint"), "from_at": F.lit(4), "to_ord": F.lit(4).cast("bigint"), "to_at": F.lit(11)}
+    return V.selected_units(table(spark, sf_dir, "documents").select("doc_id").withColumns(place), spans, blocks).select("doc_id", "unit_id")
+
+
 def english_view(spark, sf_dir):
     """Lines, with every word of over eight letters taken as a sentence of its own."""
     blocks = line_blocks(spark, sf_dir).select("doc_id", "block_id", "text")
@@ -146,7 +167,7 @@ def blind_sheet(spark, sf_dir):
 
 QUERIES = {
     "queue_round": queue_round, "queue_priority": queue_priority, "last_activity": last_activity, "job_summary": job_summary, "active_source": active_source, "unit_places": unit_places, "positions": positions, "new_annotations": new_annotations,
-    "annotations": annotations, "first_highlight": first_highlight, "still_busy": still_busy, "last_problems": last_problems, "document_titles": document_titles,
+    "annotations": annotations, "first_highlight": first_highlight, "still_busy": still_busy, "last_problems": last_problems, "document_titles": document_titles, "api_engines": api_engines, "selected_units": selected_units,
     "annotation_changes": annotation_changes, "english_view": english_view, "names_and_specs": names_and_specs, "opened_settings": opened_settings, "blind_sheet": blind_sheet,
 }
 
@@ -165,6 +186,8 @@ ORACLES = {
     "still_busy": f"WITH {BLOCKS} SELECT doc_id || ':' || ord // 5 AS block_id, count(*) AS \"left\" FROM blocks WHERE ord % 3 = 0 GROUP BY 1",
     "last_problems": f"WITH {BLOCKS}, p AS (SELECT d.source, blocks.text, doc_id, ord FROM blocks JOIN documents d USING (doc_id) WHERE kind = 'heading' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, ord DESC) <= 3) SELECT source, string_agg(text, chr(10) ORDER BY doc_id, ord) AS problems FROM p GROUP BY source",
     "document_titles": f"WITH {BLOCKS}, h AS (SELECT doc_id, arg_min(text, ord) AS h FROM blocks WHERE kind = 'heading' GROUP BY doc_id), d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id END AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(t, h) ELSE coalesce(h, t) END AS title, 'A' || doc_id || '|' || CASE WHEN doc_id % 5 > 0 THEN md5(doc_id::VARCHAR) ELSE '' END || '|' || CASE WHEN doc_id % 2 = 0 THEN 'sdt' || doc_id % 4 ELSE 'mineru' END AS document_id FROM d LEFT JOIN h USING (doc_id)",
+    "api_engines": "SELECT 'api:' || c_custkey || ':' || m AS id, c_name || ' · ' || m AS label, c_custkey % 3 > 0 AND c_custkey % 4 > 0 AS ready, CASE WHEN c_custkey % 4 = 0 THEN 'no API key' WHEN c_custkey % 3 = 0 THEN '' ELSE 'http://' || c_custkey END AS note FROM (SELECT *, unnest(['m', c_mktsegment]) AS m FROM customer)",
+    "selected_units": f"WITH {BLOCKS}, u AS (SELECT doc_id, ord, 0 AS n, text[1 + CASE WHEN ord = 1 THEN 4 ELSE 0 END : 10] AS t FROM blocks UNION ALL SELECT doc_id, ord, 1, CASE WHEN ord = 4 THEN text[11:11] ELSE text[11:] END FROM blocks) SELECT doc_id, ord || ':' || n AS unit_id FROM u WHERE ord BETWEEN 1 AND 4 AND trim(t) <> ''",
     "english_view": f"WITH {BLOCKS}, w AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{9,}}') AS word FROM blocks), p AS (SELECT *, CASE WHEN word <> '' THEN strpos(text, word) - 1 END AS s FROM w) SELECT doc_id, sum(CASE WHEN word = '' THEN 1 ELSE 1 + CASE WHEN s > 0 THEN 1 ELSE 0 END + CASE WHEN s + length(word) < length(text) THEN 1 ELSE 0 END END)::BIGINT AS runs, count(*) FILTER (word <> '') AS units, sum(length(text))::BIGINT AS chars FROM p GROUP BY doc_id",
     "names_and_specs": f"SELECT * FROM {values([('1-AB.json', chr(39) + 'it' + chr(39) * 2 + 's' + chr(39), 'api', 'gpt', 'low'), ('7-Q.json', chr(39) * 2, 'grok', '', '')], 'file varchar, quoted varchar, kind varchar, model varchar, effort varchar')}",
     "opened_settings": f"SELECT * FROM {values([('a', 'x', 'y'), ('b', 'g', 'p'), ('c', '', '-')], 'attachment varchar, glossary varchar, position varchar')}",

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import align, blocks as B, geometry as G, protocol as P, store as S, views as V
+from quirelake.operators import align, blocks as B, geometry as G, protocol as P, store as S, tasks as K, views as V
 from quirelake.schemas import BLOCKS
 from quirelake.streaming import watch
 
@@ -224,3 +224,35 @@ def test_snapshot_survives_a_crash_at_any_step_and_loses_no_other_writer(spark,
     assert sorted(r.hash for r in writers.snapshot(spark, root).collect()) == ["a", "b"]
     writers.merge_store(row("c", 1), root)
     assert writers.snapshot(spark, root).count() == 3
+
+
+def test_annotations_skip_what_they_cannot_place(spark):
+    raw = [
+        (1, "highlight", '{"pageIndex": 2, "rects": [[1, 2, 3, 4.5]]}'), (2, "underline", '{"pageIndex": 0, "rects": []}'), (3, "ink", '{"pageIndex": 0, "rects": []}'), (4, "highlight", None),
+        (5, "highlight", ""), (6, "highlight", "{"), (7, "highlight", '{"pageIndex": "1", "rects": []}'), (8, "highlight", '{"pageIndex": 1, "rects": null}'), (9, None, '{"pageIndex": 1, "rects": []}'), (10, "highlight", "null"),
+    ]
+    frame = spark.createDataFrame([(i, t, "c", None, p) for i, t, p in raw], "annotation_id int, type string, color string, comment string, position string")
+    assert {r.annotation_id: (r.page, r.rects) for r in K.annotations(frame).collect()} == {1: (2, [[1.0, 2.0, 3.0, 4.5]]), 2: (0, [])}
+
+
+def test_busy_paragraphs_end_with_their_answers_or_the_run(spark):
+    waiting = spark.createDataFrame([("a", "a:0"), ("a", "a:1"), ("b", "b:0")], "block_id string, unit_id string")
+    answered = spark.createDataFrame([("a:0",), ("b:0",), ("c:0",)], "unit_id string")
+    assert [tuple(r) for r in K.still_busy(waiting, answered).collect()] == [("a", 1)]
+    assert K.still_busy(waiting, answered, running=False).count() == 0
+
+
+def test_selected_units_need_a_covered_character(spark):
+    blocks = spark.createDataFrame([(1, 0, "One.  Two."), (1, 1, ""), (1, 2, "Three.")], "doc_id int, ord int, text string")
+    spans = spark.createDataFrame([(1, 0, "x:0", 0, 6), (1, 0, "x:1", 6, 10), (1, 1, "y:0", 0, 0), (1, 2, "z:0", 0, 6)], "doc_id int, ord int, unit_id string, start int, end int")
+    # the first takes only spaces of x:0; the second has no length; the third runs backwards
+    picks = spark.createDataFrame([(1, 0, 0, 4, 2, 1), (1, 1, 0, 2, 0, 2), (1, 2, 2, 0, 0, 3)], "doc_id int, sel_id int, from_ord int, from_at int, to_ord int, to_at int")
+    assert sorted(tuple(r) for r in V.selected_units(picks, spans, blocks).collect()) == [(1, 0, "x:1"), (1, 0, "z:0")]
+
+
+def test_clearing_by_scope(spark):
+    store = spark.createDataFrame([(h, h, "e", "p4", "", 1) for h in "abc"], "hash string, zh string, engine string, prompt string, glossary string, t int")
+    groups = spark.createDataFrame([("g", "a"), ("g", "b")], "grp string, hash string")
+    active = spark.createDataFrame([("a",), ("a",)], "hash string")
+    assert [r.hash for r in S.cleared(store, active, groups).collect()] == ["c"]
+    assert S.cleared(store, active.where("false"), groups).count() == 3
