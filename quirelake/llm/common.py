@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -131,6 +132,19 @@ def small(batch: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterato
         start = end
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes, limit: int = 4_000_000) -> Iterator[bytes]:
+    """data in pieces of some limit bytes that end before white space, so that no word is cut."""
+    start = 0
+    while start < len(data):
+        cut = _SPACE.search(data, start + limit) if start + limit < len(data) else None
+        end = cut.start() if cut else len(data)
+        yield data[start:end] if end - start < len(data) else data
+        start = end
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer's file; operators take any path as a parameter."""
     import public_tokenizers
