@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, filter_audit, language_id, ngram_join, quality, secrets, token_counts, url_filter
+from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, filter_audit, language_id, ngram_join, quality, resampling, secrets, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_importance_resampling": resampling.ORACLE_SQL,
 }
