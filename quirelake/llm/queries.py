@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, filter_audit, language_id, ngram_join, quality, resampling, secrets, token_counts, url_filter
+from quirelake.llm import bpe, brown_lm, decontaminate, exact_dedup, filter_audit, language_id, ngram_join, quality, resampling, secrets, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
     "op12_importance_resampling": resampling.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
