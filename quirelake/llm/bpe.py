@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import fresh, importable, small, table, tokenizer_path
+from quirelake.llm.common import fresh, importable, quoted, small, table, tokenizer_path
 
 #: Entries of the memory of encoded pre-tokens in a Python worker; beyond it only those of the slice at hand stay.
 REMEMBERED = 350_000
@@ -255,7 +255,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
     importable(spark)
     at = [f"c{i}" for i in range(len(keep))]  # kept columns may have any names
     kept = "".join(f"{a} {docs.schema[c].dataType.simpleString()}, " for a, c in zip(at, keep, strict=True))
-    rows = docs.select(F.col(text).alias("body"), *[F.col(f"`{c}`").alias(a) for a, c in zip(at, keep, strict=True)])
+    rows = docs.select(quoted(text).alias("body"), *[quoted(c).alias(a) for a, c in zip(at, keep, strict=True)])
     out = rows.mapInArrow(_encode(spark.sparkContext.broadcast(load(path))), f"{kept}ids array<int>, decoded string")
     names = fresh(["ids", "decoded"], *keep)
     return out.toDF(*names, "ids", "decoded")

@@ -6,7 +6,7 @@ training corpus:
 1. Each task codes its documents in blocks: a block has its own list of words (some 45,000), and documents are numbers in it, two bytes a token.
    Words are dealt to SLICES slices by hash; a slice numbers its words and counts them. Words cross the network once, texts never.
 2. The TOP most frequent words get first classes by exchange clustering on their bigram counts (a table of at most
-   (TOP + 2)**2 numbers): words move, one at a time, to the class that raises the likelihood of the class bigrams most, until none moves.
+   (TOP + 2)**2 numbers): words move, one at a time, to the class that raises the likelihood of the class bigrams most, ROUNDS times at most; the parallel steps go on from there.
 3. Then all words, the top ones too, make exchange steps in parallel: the counts of the present classes of ALL neighbours are gathered by word,
    and a word moves to the class that raises the likelihood most (to first order). A word without a class joins as soon as a neighbour has
    one. In a step every SHARE-th word may move, so that neighbours do not swap; a step that lowers the likelihood is taken back. It ends when SHARE steps

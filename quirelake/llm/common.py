@@ -32,9 +32,16 @@ def importable(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the warehouse where that is unset (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/quirelake-scratch"
+    """The application's own folder in one that all executors share: spark.checkpoint.dir, or, where that is unset, the warehouse.
+
+    A warehouse on a machine's own disk serves where all tasks run on that machine; elsewhere this refuses it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and (root.startswith("file:") or "://" not in root):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/quirelake-scratch/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -84,6 +91,11 @@ def ascii_lower(col: Column | str) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Column names like the given ones that are not taken (in any case of letters)."""
     low, out = {c.lower() for c in taken}, []
@@ -105,7 +117,7 @@ def keep_rows(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
     rows = docs.withColumn(k, key)
     kept = rows.alias("r").join(stay.alias("s"), F.expr(f"r.`{k}` = s.key and r.doc_id <=> s.doc_id"), "left_semi")
     if rows.select("doc_id", k).groupBy("doc_id", k).count().where("count > 1").limit(1).count():  # rows that repeat id and text
-        whole = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c not in ("doc_id", "text")]
+        whole = [F.to_json(F.struct(quoted(c).alias("v"))) for c in docs.columns if c not in ("doc_id", "text")]
         kept = kept.withColumn(h, F.xxhash64(*whole, F.lit(0)))
         kept = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", k).orderBy(h, *whole))).where(F.col(n) == 1).drop(n, h)
     return kept.drop(k)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -175,19 +175,13 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], keep: list[str], least:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, contaminated, coverage (the largest of any item with enough seeds, else 0), item_ids (of the items found)."""
-    first, parts = None, []
-    for items in blocks(benchmark, block_words):
-        if first is None:
-            first = items
-            continue
-        if not parts:
-            parts.append(first)
-        parts.append(items)
-    if not parts:
-        return _pass(docs, first or [], ["doc_id"], least, coverage).select("doc_id", "contaminated", "coverage", "item_ids")
-    keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("__key"))
+    each = blocks(benchmark, block_words)
+    first, second = next(each, []), next(each, None)
+    if second is None:
+        return _pass(docs, first, ["doc_id"], least, coverage).select("doc_id", "contaminated", "coverage", "item_ids")
+    keyed = written(docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("__key")), "texts")  # read once a block
     found = None
-    for items in parts:
+    for items in chain((first, second), each):  # a block is in the driver while its own pass runs; only the first two are there together
         hits = written(_pass(keyed, items, ["doc_id", "__key"], least, coverage).where("coverage > 0"), "hits").distinct()
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("doc_id", "__key").agg(F.max("coverage").alias("c"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))

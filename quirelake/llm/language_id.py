@@ -12,7 +12,6 @@ from, every text is `und`; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,11 @@ UNKNOWN = "und"
 #: How far the mean probability of a document's language must lie above that of the next one for it to stay in a corpus. Both are means of the same
 #: softmax, so the margin means the same for any number of languages; with one language it is the score itself. Chosen on held-out rows (README).
 LEAST_MARGIN = 0.1
-_letter = re.compile(r"[^\W\d_]").search
+
+
+def _letter(text: str) -> bool:
+    """Whether the text has a letter (Unicode categories L*)."""
+    return any(map(str.isalpha, text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

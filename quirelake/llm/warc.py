@@ -220,7 +220,7 @@ def _writer(folder: str, dictionary: bytes, archive_bytes: int, level: int):
                 for page_id, url, payload, revisit, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if out is None:
                         name, n, size = f"pages-{uuid.uuid4().hex}.warc.zst", 0, len(lead)
-                        out = store.open_output_stream(f"{root}/{name}")
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)  # the name would make pyarrow compress it again
                         out.write(lead)
                     frame = zip_.compress(record(page_id, url, payload or b"", revisit, refers_to))
                     out.write(frame)
@@ -274,7 +274,7 @@ def _reader(payload: bool, schema: pa.Schema):
             for path in b.column(0).to_pylist():
                 store, file = pafs.FileSystem.from_uri(path)
                 held, size = [], 0
-                with store.open_input_stream(file) as stream:
+                with store.open_input_stream(file, compression=None) as stream:
                     for r in records(stream):
                         r["archive"] = path
                         if not payload:
