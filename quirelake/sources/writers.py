@@ -1,9 +1,10 @@
-"""Sinks. A write goes to a new path and becomes visible by one rename that makes a new small pointer, so readers never see half of it, nor nothing."""
+"""Sinks. A write goes to a new path and becomes visible by one step that makes a new small pointer, so readers never see half of it, nor nothing."""
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,66 +17,93 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _pointers(spark: SparkSession, root: str) -> list[str]:
-    """The pointers of a store, oldest first; the newest one counts."""
+def pointers(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of a store's pointers, lowest first; the highest one counts."""
     fs, p, _ = _fs(spark, root)
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted((n for n in names if n.startswith("CURRENT-")), key=lambda n: int(n.removeprefix("CURRENT-")))
+    return sorted(int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-"))
 
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The store's present table; None before the first write."""
-    names = _pointers(spark, root)
-    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/{names[-1]}').first()[0]}") if names else None
+def pointed(spark: SparkSession, root: str, number: int) -> str:
+    """The text of a pointer (small)."""
+    fs, p, jvm = _fs(spark, f"{root}/CURRENT-{number}")
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, root: str, number: int, text: str) -> bool:
+    """Make a pointer with its whole text in one step; False where another writer has made that one.
+
+    On a local file system the step is a hard link, which fails where the name is there. Elsewhere it is a rename, which must not overwrite (as in HDFS and stores with its semantics).
+    """
+    fs, p, jvm = _fs(spark, f"{root}/.{uuid.uuid4().hex}")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT-{number}")
+    try:
+        if fs.getScheme() != "file":
+            return not fs.exists(target) and fs.rename(p, target)
+        link, held = (jvm.java.io.File(x.toUri().getPath()).toPath() for x in (target, p))
+        try:
+            jvm.java.nio.file.Files.createLink(link, held)
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(p, False)
+
+
+def snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame | None:
+    """The store's present table, or that of a pointer; None before the first write."""
+    number = last_number(spark, root) if number is None else number
+    return spark.read.parquet(f"{root}/{pointed(spark, root, number)}") if number else None
 
 
 def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
     """Write a table and point to it; the one before stays until it is deleted by vacuum().
 
-    Each write makes a pointer of its own, numbered one higher, by one rename. Nothing is deleted on the way, so a crash at any step leaves the pointer before in force.
+    Each write makes a pointer of its own, numbered one higher, in one step. Nothing is deleted on the way, so a crash at any step leaves the pointer before in force.
     after is the number that the caller has read; where another writer has come in between, the write fails instead of losing that one's rows.
     """
     spark = df.sparkSession
+    after = last_number(spark, root) if after is None else after
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    number = (_last(spark, root) if after is None else after) + 1
-    fs, p, jvm = _fs(spark, f"{root}/.{name}")
-    out = fs.create(p, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT-{number}")
-    if fs.exists(target) or not fs.rename(p, target):
-        fs.delete(p, False)
+    if not publish(spark, root, after + 1, name):
         raise RuntimeError(f"another writer has written {root}")
     return name
 
 
-def _last(spark: SparkSession, root: str) -> int:
-    names = _pointers(spark, root)
-    return int(names[-1].removeprefix("CURRENT-")) if names else 0
+def last_number(spark: SparkSession, root: str) -> int:
+    """The number of the pointer in force; 0 before the first write."""
+    return max(pointers(spark, root), default=0)
 
 
 def merge_store(new: DataFrame, root: str, policy: str = "newest") -> None:
     """Merge rows (hash, META) into the store by `newest`, `existing` or `replace`."""
-    number = _last(new.sparkSession, root)
-    now = snapshot(new.sparkSession, root)
+    number = last_number(new.sparkSession, root)
+    now = snapshot(new.sparkSession, root, number)
     rows = new.select("hash", *META)
     if now is not None and policy != "replace":
         rows = newest_wins(now, rows, ["hash"]) if policy == "newest" else existing_wins(now, rows, ["hash"])
     write_snapshot(rows, root, number)
 
 
-def vacuum(spark: SparkSession, root: str) -> None:
-    """Delete the pointers before the newest one, and then the tables that it does not name."""
+def vacuum(spark: SparkSession, root: str, keep: int = 1) -> None:
+    """Delete all pointers but the newest ones, and then the tables that those do not name."""
     fs, p, jvm = _fs(spark, root)
-    names = _pointers(spark, root)
-    if not names:
-        return
-    keep = spark.read.text(f"{root}/{names[-1]}").first()[0]
-    for n in names[:-1]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}"), False)
-    for s in fs.listStatus(p):
-        if s.getPath().getName().startswith("v-") and s.getPath().getName() != keep:
+    numbers = pointers(spark, root)
+    named = {pointed(spark, root, n) for n in numbers[-keep:]}
+    for n in numbers[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT-{n}"), False)
+    for s in fs.listStatus(p) if numbers else ():
+        if s.getPath().getName().startswith("v-") and s.getPath().getName() not in named:
             fs.delete(s.getPath(), True)
 
 

@@ -1,52 +1,135 @@
-"""Streams: folders and caches that grow, and write logs merged as they come.
+"""Streams: folders and write logs as they grow, merged into stores that are written behind.
 
-A file source sees each path once, so a producer that rewrites a file uses a new name; each micro-batch merges what is new into a
-snapshot. Merging is idempotent, so a batch that runs again after a failure changes nothing.
+A file source sees each path once, so a producer that rewrites a file uses a new name. Each micro-batch adds one delta with its number, so a batch that runs again after a failure changes nothing, and
+costs what it brings; buckets with many deltas are merged on the way. A job over a folder keeps what it waits for beside its store: it can be stopped by a marker, and taken up again from its checkpoint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quirelake.operators.store import META
+from quirelake.operators.store import META, later_file_wins
+from quirelake.sources.deltas import append_delta, compact, current
 from quirelake.sources.readers import entries
-from quirelake.sources.writers import merge_store, snapshot, write_snapshot
+from quirelake.sources.writers import _fs
+
+#: Deltas a bucket may have before a trigger merges them.
+DELTAS = 8
+STOPPED = "the folder's job was stopped by its marker"
+_RESULTS = (["unit_id"], ("file", "pos"))
+_LOG = (["hash"], ("t",))
 
 
-def watch_folder(spark: SparkSession, path: str, expected: DataFrame, root: str, checkpoint: str, every: str | None = "3 seconds") -> StreamingQuery:
-    """Results of a task folder: each new file's entries of expected units(unit_id, en, math) go to the snapshot at root (unit_id, zh, problem, file, pos); the later file wins.
+def _started(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
+    out = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
 
-    every: the trigger; None takes what is there and ends.
+def watch_folder(spark: SparkSession, path: str, expected: DataFrame, root: str, checkpoint: str, every: str | None = "3 seconds", files_at_once: int | None = None) -> StreamingQuery:
+    """Results of a task folder: each new file's entries of expected units(unit_id, en, math) go to the store at root; see folder_results().
+
+    every: the trigger; None takes what is there and ends. While the job's stop marker is there no batch is taken.
     """
-    from quirelake.operators.store import later_file_wins
+    reader = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    reader = reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader
+    files = reader.load(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
 
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    def merge(batch: DataFrame, number: int) -> None:
+        if _marked(batch.sparkSession, root):
+            raise RuntimeError(STOPPED)
+        rows = entries(batch).select("unit_id", "file", "pos", "zh").join(expected.select("unit_id"), "unit_id", "left_semi")
+        append_delta(rows, root, *_RESULTS, writer=checkpoint, batch=number)
+        compact(batch.sparkSession, root, *_RESULTS, most=DELTAS)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        rows = entries(batch).select("file", "pos", "unit_id", "zh")
-        before = snapshot(batch.sparkSession, root)
-        if before is not None:
-            rows = rows.unionByName(before.select("file", "pos", "unit_id", "zh"))
-        last = rows.groupBy("unit_id").agg(F.max_by(F.struct("file", "pos", "zh"), F.struct("file", "pos")).alias("r")).select("unit_id", "r.*")
-        checked = later_file_wins(last, expected)
-        write_snapshot(checked.join(last.select("unit_id", "file", "pos"), "unit_id"), root)
+    return _started(files, merge, checkpoint, every)
 
-    out = files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+def folder_results(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame | None:
+    """What a folder has delivered of expected units(unit_id, en, math): unit_id, zh, problem, file, pos; the later file wins. None before the first batch."""
+    rows = current(spark, root, *_RESULTS)
+    return rows if rows is None else later_file_wins(rows, expected).join(rows.select("unit_id", "file", "pos"), "unit_id")
 
 
 def watch_log(log: DataFrame, root: str, checkpoint: str, generation: int | None = None, every: str | None = "5 seconds") -> StreamingQuery:
-    """A stream of store rows (hash, META; with a column generation where one is given) merged by newest wins. Rows of other generations are results of cancelled work, and are dropped."""
+    """A stream of store rows (hash, META; with a column generation where one is given) into the store at root, newest wins. Rows of other generations are results of cancelled work, and are dropped."""
     rows = log.where(F.col("generation") == generation) if generation is not None else log
 
-    def merge(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("hash").agg(F.max_by(F.struct(*META), "t").alias("r")).select("hash", "r.*")
-        merge_store(last, root)
+    def merge(batch: DataFrame, number: int) -> None:
+        append_delta(batch.select("hash", *META), root, *_LOG, writer=checkpoint, batch=number)
+        compact(batch.sparkSession, root, *_LOG, most=DELTAS)
 
-    out = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+    return _started(rows, merge, checkpoint, every)
+
+
+def logged(spark: SparkSession, root: str) -> DataFrame | None:
+    """The rows that a log has led to: hash, META; None before the first batch."""
+    rows = current(spark, root, *_LOG)
+    return rows if rows is None else rows.select("hash", *META)
+
+
+# ---- jobs over a folder ------------------------------------------------------
+
+
+def _marked(spark: SparkSession, root: str) -> bool:
+    fs, p, _ = _fs(spark, f"{root}/STOP")
+    return fs.exists(p)
+
+
+def stop_job(spark: SparkSession, root: str) -> None:
+    """Put the marker that each batch reads first: what is merged stays, what is not yet merged waits."""
+    fs, p, _ = _fs(spark, f"{root}/STOP")
+    fs.create(p, True).close()
+
+
+def start_job(units: DataFrame, root: str) -> None:
+    """Keep the ids that a job waits for: units(unit_id)."""
+    units.select("unit_id").distinct().write.parquet(f"{root}/todo")
+
+
+def expected_of(spark: SparkSession, root: str, source: DataFrame) -> DataFrame | None:
+    """Of a source's units(unit_id, en, math) those that the job waits for; None where there are none, as for another source than the job was made from."""
+    units = source.join(spark.read.parquet(f"{root}/todo"), "unit_id", "left_semi")
+    return None if units.isEmpty() else units
+
+
+def resume_job(spark: SparkSession, path: str, root: str, source: DataFrame, every: str | None = "3 seconds", files_at_once: int | None = None) -> StreamingQuery | None:
+    """Watch a job's folder from where the job stood: its checkpoint lies beside its store. None where the source has none of its units. Takes the stop marker away."""
+    expected = expected_of(spark, root, source)
+    if expected is None:
+        return None
+    fs, p, _ = _fs(spark, f"{root}/STOP")
+    fs.delete(p, False)
+    return watch_folder(spark, path, expected, root, f"{root}/checkpoint", every, files_at_once)
+
+
+def ended(query: StreamingQuery) -> str:
+    """Wait for a query's end: `done`, or `stopped` where the marker ended it. Other failures are raised."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if STOPPED in str(e):
+            return "stopped"
+        raise
+    return "done"
+
+
+def job_state(spark: SparkSession, root: str, source: DataFrame) -> DataFrame:
+    """One row: todo, delivered, bad (with a problem), stopped, finished."""
+    expected = expected_of(spark, root, source)
+    expected = source.where("false") if expected is None else expected
+    found = folder_results(spark, root, expected)
+    done = expected.select("unit_id", F.lit(False).alias("here"), F.lit(False).alias("bad")).where("false") if found is None else found.select("unit_id", F.lit(True).alias("here"), F.col("problem").isNotNull().alias("bad"))
+    both = expected.select("unit_id").join(done, "unit_id", "left")
+    out = both.agg(F.count("*").alias("todo"), F.count_if(F.expr("here and not bad")).alias("delivered"), F.count_if("bad").alias("bad"))
+    return out.select("*", F.lit(_marked(spark, root)).alias("stopped"), F.expr("todo > 0 and delivered = todo").alias("finished"))
+
+
+# ---- queues ------------------------------------------------------------------
 
 
 def pending(units: DataFrame, cached: DataFrame, in_flight: DataFrame, failed: DataFrame, forced: DataFrame | None = None) -> DataFrame:

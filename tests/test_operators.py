@@ -129,9 +129,7 @@ def test_folder_stream(spark, tmp_path):
 
     def step():
         watch.watch_folder(spark, str(box), expected, root, str(tmp_path / "cp"), every=None).awaitTermination()
-        from quirelake.sources.writers import snapshot
-
-        now = snapshot(spark, root)
+        now = watch.folder_results(spark, root, expected)
         return {r.unit_id: r.zh for r in now.collect()} if now is not None else {}
 
     (box / "1.json").write_text('{"u1": "一", "x": "?"}')
@@ -142,16 +140,16 @@ def test_folder_stream(spark, tmp_path):
 
 
 def test_log_stream_drops_old_generations(spark, tmp_path):
-    from quirelake.sources.writers import snapshot, vacuum
+    from quirelake.sources.deltas import sweep
 
     kind = "hash string, zh string, engine string, prompt string, glossary string, t bigint, generation int"
     log, root = str(tmp_path / "log"), str(tmp_path / "store")
     for part in ([("a", "1", "", "", "", 1, 1), ("a", "2", "", "", "", 2, 1), ("b", "x", "", "", "", 9, 0)], [("a", "0", "", "", "", 1, 1), ("c", "3", "", "", "", 1, 1)]):
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(log)
         watch.watch_log(spark.readStream.schema(kind).parquet(log), root, str(tmp_path / "cp"), 1, every=None).awaitTermination()
-    assert {r.hash: r.zh for r in snapshot(spark, root).collect()} == {"a": "2", "c": "3"}
-    vacuum(spark, root)
-    assert snapshot(spark, root).count() == 2
+    assert {r.hash: r.zh for r in watch.logged(spark, root).collect()} == {"a": "2", "c": "3"}
+    sweep(spark, root)
+    assert watch.logged(spark, root).count() == 2
 
 
 def test_sources(spark, tmp_path):
