@@ -37,7 +37,7 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive ends when it has this many bytes. The date of records, as pages have none.
 ARCHIVE_BYTES, DATE = 64_000_000, "2024-01-01T00:00:00Z"
-#: The dictionary's size and what it is trained on: the pages whose ids hash lowest, a bounded start of each. It serves compression only.
+#: The dictionary's size and what it is trained on: so many pages, drawn by a hash, a bounded start of each. It serves compression only.
 DICT_BYTES, DICT_PAGES, DICT_CHARS = 32_768, 800, 4096
 
 _MANIFEST = "path string, records bigint, bytes bigint"
@@ -196,9 +196,11 @@ def records(stream: BinaryIO) -> Iterator[dict]:
 
 
 def trained_dictionary(pages: DataFrame, size: int = DICT_BYTES) -> bytes:
-    """A dictionary of size bytes at most, from the starts of DICT_PAGES pages; empty where they are too few or too alike to train one."""
-    at = F.xxhash64("page_id")
-    rows = pages.where("length(html) > 0").select(at.alias("at"), F.substring("html", 1, DICT_CHARS).alias("start")).orderBy("at", "start").limit(DICT_PAGES).collect()
+    """A dictionary of size bytes at most, from the starts of about DICT_PAGES different pages, drawn by a hash; empty where they are too few or too alike to train one."""
+    share = min(1.0, DICT_PAGES / max(pages.count(), 1))
+    at = F.xxhash64("page_id", "html")
+    drawn = pages.where("length(html) > 0").select(at.alias("at"), F.substring("html", 1, DICT_CHARS).alias("start")).where(F.pmod("at", F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = drawn.dropDuplicates(["at"]).orderBy("at").limit(2 * DICT_PAGES).collect()  # drawn first, so that tasks send few rows
     samples = [r.start.encode() for r in rows]
     if len(samples) < 16:
         return b""
