@@ -106,24 +106,40 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in lists], pa.int64()), trees], ["doc_id", "key", "n_words", "trees"])
 
 
-def shingle_rows(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of word lists as distinct (text, shingle) numbers; shingles have one number exactly where all their words are equal."""
-    number: dict[str, int] = {}
-    ids = [[number.setdefault(w, len(number) + 1) for w in ws] for ws in lists]
-    owner, rows = [], []
-    for k, x in enumerate(ids):
-        if x:
-            a = np.array(x + [0] * (N - len(x)), np.int64)  # 0 is no word
-            rows.append(np.lib.stride_tricks.sliding_window_view(a, N))
-            owner.append(np.full(len(rows[-1]), k))
-    if not rows:
+class Numbers(dict):
+    """Numbers of words from 1 on, in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+    def of(self, text: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, text), np.int32, len(text))
+
+
+def shingle_rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of lists of word numbers as distinct (text, shingle) numbers; shingles have one number exactly where all their words are equal."""
+    spans = np.array([max(len(x), N) if len(x) else 0 for x in lists], np.int64)  # shorter lists are padded: 0 is no word
+    total = int(spans.sum())
+    if not total:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    w, own = np.concatenate(rows), np.concatenate(owner)
-    s, size = w[:, 0], len(number) + 1
+    flat, ends = np.zeros(total + N, np.int64), np.cumsum(spans)
+    for x, end, n in zip(lists, ends.tolist(), spans.tolist(), strict=True):
+        flat[end - n : end - n + len(x)] = x
+    inside = np.ones(total, bool)
+    for k in range(1, N):
+        inside[ends[spans > 0] - k] = False
+    s, size = flat[:total].copy(), int(flat.max()) + 1
     for k in range(1, N):  # numbers of pairs stay exact: each step renumbers
-        s = np.unique(s * size + w[:, k], return_inverse=True)[1].reshape(-1)
-    both = np.unique(own * (int(s.max()) + 1) + s)
-    return both // (int(s.max()) + 1), both % (int(s.max()) + 1)
+        s *= size
+        s += flat[k : k + total]
+        s = np.unique(s, return_inverse=True)[1].reshape(-1)
+    del flat
+    s = s[inside]
+    width = int(s.max()) + 1
+    s += np.repeat(np.arange(len(lists)) * width, spans)[inside]
+    s = np.unique(s)
+    return s // width, s % width
 
 
 def shared(trees: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
@@ -135,8 +151,8 @@ def shared(trees: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.nd
     return out
 
 
-def compare(left: list[list[str]], right: list[list[str]] | None, threshold: float = THRESHOLD, meet=None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of word lists among each other, or between the left and the right ones: (number of links, smallest member of its component) of each.
+def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float = THRESHOLD, meet=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of lists of word numbers among each other, or between the left and the right ones: (number of links, smallest member of its component) of each.
 
     meet(i, j) tells which pairs of places may link at all.
     """
@@ -273,7 +289,7 @@ def _verify(threshold: float, depth: int, again: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sides, opened, trees, lists = None, [], [], [], [], []
+        at, nodes, sides, opened, trees, lists, number = None, [], [], [], [], [], Numbers()
         out: list[tuple[int, int, int]] = []
 
         def close() -> None:
@@ -298,14 +314,14 @@ def _verify(threshold: float, depth: int, again: bool):
                 for g, bi, bj, side, node, is_open, tree, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6, 7)), strict=True):
                     if (g, bi, bj) != at:
                         close()
-                        at, nodes, sides, opened, trees, lists = (g, bi, bj), [], [], [], [], []
+                        at, nodes, sides, opened, trees, lists, number = (g, bi, bj), [], [], [], [], [], Numbers()
                     if nodes and node == nodes[-1] and side == sides[-1]:
                         continue  # a repeated row of the text's own document
                     nodes.append(node)
                     sides.append(side)
                     opened.append(is_open)
                     trees.append(tree)
-                    lists.append(words(text))
+                    lists.append(number.of(words(text)))  # four bytes a word while the comparison is gathered
                 if len(out) > 50_000:
                     yield batch()
                     out.clear()

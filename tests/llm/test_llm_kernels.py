@@ -212,9 +212,11 @@ def test_compare_equals_all_pairs():
     for _ in range(30):
         lists = texts(rng, 14)
         near = [[i != j and jaccard(a, b) >= 0.8 for j, b in enumerate(lists)] for i, a in enumerate(lists)]
-        links, _ = ngram_join.compare(lists, None)
+        numbers = ngram_join.Numbers()
+        ids = [numbers.of(x) for x in lists]
+        links, _ = ngram_join.compare(ids, None)
         assert links.tolist() == [sum(r) for r in near]
-        links, _ = ngram_join.compare(lists[:6], lists[6:])
+        links, _ = ngram_join.compare(ids[:6], ids[6:])
         assert links.tolist() == [sum(r[6:]) for r in near[:6]] + [sum(r[:6]) for r in near[6:]]
 
 
