@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import text as T
 from quirelake.operators.blocks import mark_front_matter, mark_references, merge_split_paragraphs
 
+# The types of items that give no block, and the numbers that headings start with.
 SKIPPED = ("header", "footer", "page_number", "aside_text", "discarded")
 NUMBERED = r"^\s*([IVXLC]+\.|[A-Z]\.|\d+\)|\d+(\.\d+)*\.?)\s"
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.schemas import RECTS_TYPE
+from quirelake.schemas import RECTS_TYPE, RUNS_TYPE
 
 
 def area(r: Column) -> Column:
@@ -189,9 +190,48 @@ def sort_index(page: Column, offset: Column, top: Column) -> Column:
     return F.concat_ws("|", pad(page, 5), pad(offset, 6), pad(top, 5))
 
 
+@F.pandas_udf(RUNS_TYPE)
+def page_runs(maps: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The pages of decoded() characters, in order, as runs (page, n)."""
+    for s in maps:
+        yield pd.Series([[{"page": p, "n": sum(1 for _ in g)} for p, g in groupby(c[0] for c in decoded(t))] for t in s], dtype=object)
+
+
 def page_offsets(nodes: DataFrame) -> DataFrame:
     """Before each text node, the positioned characters of its page: nodes(doc_id, ord, node_key, text_map) → doc_id, node_key, page, before."""
-    chars = nodes.select("doc_id", "ord", "node_key", F.explode(decode_text_map("text_map")).alias("c"))
-    per = chars.groupBy("doc_id", "ord", "node_key", F.col("c.page").alias("page")).agg(F.count("*").alias("n"))
+    per = nodes.select("doc_id", "ord", "node_key", F.inline(page_runs("text_map"))).groupBy("doc_id", "ord", "node_key", "page").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("doc_id", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return per.select("doc_id", "node_key", "page", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+
+
+def position_offsets(positions: DataFrame, segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How many positioned characters of its page stand before a position: positions(doc_id, block_id, start) → doc_id, block_id, start, page, offset.
+
+    The page is that of the first positioned character at or after the position in its block; offset is 0 where there is none, and where the position's own text node has no character on that page.
+    segments(doc_id, block_id, node_key, start, node_start, length), nodes(doc_id, ord, node_key, text, text_map). Characters stay runs in the row of their node: pages are counted by node, summed over the
+    nodes of a page, and what stands before a position in its own node is counted in its row.
+    """
+
+    def solid(c: Column) -> Column:
+        return F.length(F.regexp_replace(c, T.WS, ""))
+
+    seg = segments.withColumnRenamed("start", "at").join(nodes.select("doc_id", "node_key", "text", page_runs("text_map").alias("runs")), ["doc_id", "node_key"])
+    seg = seg.withColumns({"a": solid(F.expr("substring(text, 1, node_start)")), "b": solid(F.expr("substring(text, 1, node_start + length)"))})
+
+    def page_at(i: Column) -> Column:
+        start = F.struct(i.cast("bigint").alias("left"), F.lit(None).cast("int").alias("page"))
+        step = lambda x, r: F.when(x["page"].isNotNull(), x).when(x["left"] < r["n"], F.struct(x["left"].alias("left"), r["page"].alias("page"))).otherwise(F.struct((x["left"] - r["n"]).alias("left"), x["page"].alias("page")))
+        return F.aggregate("runs", start, step, lambda x: x["page"])
+
+    def before_in_node(i: Column, page: Column) -> Column:
+        start = F.struct(i.cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("n"))
+        step = lambda x, r: F.struct(F.greatest(F.lit(0).cast("bigint"), x["left"] - r["n"]).alias("left"), (x["n"] + F.when(r["page"] == page, F.least(x["left"], r["n"].cast("bigint"))).otherwise(0)).alias("n"))
+        return F.aggregate("runs", start, step, lambda x: x["n"])
+
+    later = Window.partitionBy("doc_id", "block_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    seg = seg.withColumn("first", F.when(F.col("a") < F.col("b"), page_at(F.col("a")))).withColumn("next", F.first("first", ignorenulls=True).over(later))
+    own = positions.join(seg, ["doc_id", "block_id"]).where("start < at + length").groupBy("doc_id", "block_id", "start").agg(F.min_by(F.struct("at", "node_key", "text", "node_start", "runs", "b", "next"), "at").alias("s"))
+    own = own.select("doc_id", "block_id", "start", "s.*").withColumn("i", solid(F.expr("substring(text, 1, node_start + greatest(0, start - at))")))
+    own = own.withColumn("page", F.coalesce(F.when(F.col("i") < F.col("b"), page_at(F.col("i"))), "next")).withColumn("within", before_in_node(F.col("i"), F.col("page")))
+    found = own.join(page_offsets(nodes), ["doc_id", "node_key", "page"], "left").select("doc_id", "block_id", "start", "page", F.coalesce(F.col("before") + F.col("within"), F.lit(0)).alias("offset"))
+    return positions.select("doc_id", "block_id", "start").distinct().join(found, ["doc_id", "block_id", "start"], "left").withColumn("offset", F.coalesce("offset", F.lit(0)))

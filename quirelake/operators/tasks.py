@@ -204,6 +204,21 @@ def task_text(folder: Column, todo: Column, partial: Column, math: Column, gloss
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n\n")
 
 
+def task_folders(sections: DataFrame, root: str, started: int = 0, glossary: Column | None = None) -> DataFrame:
+    """What a task folder of each document holds: sections(doc_id, section_no, heading, paragraphs) → doc_id, units, task, job, for the data source of sources.folders. Documents without a unit to do get none.
+
+    units are all sections; the job names the units that have no rendering yet.
+    """
+    section = F.struct("section_no", F.struct("heading", "paragraphs").alias("s"))
+    whole = sections.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(section)), lambda x: x["s"]).alias("sections"))
+    units = F.flatten(F.flatten(F.transform("sections", lambda s: F.transform(s["paragraphs"], lambda p: p["units"]))))
+    rows = whole.withColumn("units", units).withColumn("todo", F.transform(F.filter("units", lambda u: u["zh"].isNull()), lambda u: u["id"])).where("size(todo) > 0")
+    folder = F.concat(F.lit(f"{root}/"), F.col("doc_id").cast("string"))
+    math = F.exists("units", lambda u: F.contains(u["en"], F.lit("$")))
+    text = task_text(folder, F.size("todo"), F.size("todo") < F.size("units"), math, F.lit(None).cast("string") if glossary is None else glossary)
+    return rows.select("doc_id", F.to_json(F.struct("sections")).alias("units"), text.alias("task"), F.to_json(F.struct(F.lit(started).cast("bigint").alias("startedAt"), "todo")).alias("job"))
+
+
 def merged_settings(defaults: dict, saved: dict | None, patch: dict | None = None) -> dict:
     """Settings: defaults, over them what was saved, over that a patch; values of None do not count."""
     return defaults | {k: v for part in (saved, patch) for k, v in (part or {}).items() if v is not None}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake import schemas as S
+from quirelake.functions import text as T
 
 HEADING_CHARS = 12
 
@@ -37,6 +38,19 @@ LINES = "lines AS (SELECT doc_id, i - 1 AS ord, s AS text FROM (SELECT doc_id, u
 BLOCKS = f"{LINES}, blocks AS (SELECT doc_id, ord, 'b' || ord AS block_id, CASE WHEN length(text) <= {HEADING_CHARS} THEN 'heading' ELSE 'paragraph' END AS kind, text FROM lines)"
 
 
+def line_nodes(spark: SparkSession, sf_dir: str, kinds: int = 4) -> DataFrame:
+    """Lines as text nodes, five a page, with a text map for all characters but white space: doc_id, ord, node_key, text, n, text_map. Of `kinds` of maps every second lacks its last character, and every third and fourth is upright."""
+    rows = lines(spark, sf_dir).withColumn("n", F.length(F.regexp_replace("text", T.WS, ""))).where("n > 0")
+    text_map = F.expr(f"concat('[[', ord % {kinds}, ',', floor(ord / 5), ',', ord, ',2,', ord + n, ',12,[2,1]', repeat(',1', n - 1), ']]')")
+    return rows.select("doc_id", "ord", F.col("ord").cast("string").alias("node_key"), "text", "n", text_map.alias("text_map"))
+
+
+def line_nodes_sql() -> str:
+    """The same with the number of their boxes, and the number of characters but white space in their first half."""
+    all_, half = (f"length(regexp_replace({x}, '{T.WS}', '', 'g'))" for x in ("text", "substr(text, 1, length(text) // 2)"))
+    return f"{LINES}, nodes AS (SELECT doc_id, ord, text, {all_} AS n, {all_} - ord % 2 AS boxes, ord // 5 AS page, {half} AS half FROM lines WHERE {all_} > 0)"
+
+
 def literal(v) -> str:
     if v is None:
         return "NULL"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quirelake.operators import protocol as P, store as S, views as V
-from quirelake.plans.base import BLOCKS, LINES, frame, line_blocks, lines, table, values
+from quirelake.plans.base import BLOCKS, LINES, line_blocks, lines, table
 from quirelake.plans.text_queries import WS
 
 
@@ -265,30 +265,6 @@ SELECT id, phase, phase <> 'done' AND ms > 300000 AS stalled, CASE WHEN s < 60 T
 """
 
 
-ANSWERS = [
-    (1, '```json\n{"translations":[{"id":"b:0","zh":"好"},{"id":"b:1","zh":"甲"},{"id":"b:1","zh":"乙"},{"id":"x","zh":"?"}]}\n```'), (2, 'Here you are: {"translations":[{"id":"c:0","zh":" 完成 "}]} done'), (3, "no answer"), (4, '{"translations":[{"id":"d:0","zh":5},{"id":"d:1","zh":"See it"}]}'),
-]
-ASKED = [(1, "b:0", "Good.", False), (1, "b:1", "Twice.", False), (1, "b:2", "Missing.", False), (2, "c:0", "Done.", False), (3, "e:0", "Nothing.", False), (4, "d:0", "Number.", False), (4, "d:1", "This one is left as it was written [3].", False)]
-ANSWERED = [
-    (1, "b:0", "好", None), (1, "b:1", None, "duplicate id"), (1, "b:2", None, None), (1, "x", None, "unexpected id"), (2, "c:0", "完成", None), (3, "e:0", None, None), (4, "d:0", None, "empty translation"), (4, "d:1", None, "not translated"),
-]
-
-
-def answered(spark, sf_dir):
-    return P.answered(frame(spark, ANSWERS, "batch bigint, response string"), frame(spark, ASKED, "batch bigint, unit_id string, en string, math boolean"))
-
-
-GLOSSARIES = [
-    (1, "Wind farm = 风场\nnote", "wind farm = 风电场\nramp event = 爬坡事件", '{"terms":[{"en":"a","zh":"甲"},{"en":" ","zh":"乙"},{"en":"b","zh":3},{"en":" c ","zh":" 丙 "}]}'), (2, "", "x = y\r\nz", '```json\n{"terms":[]}\n```'), (3, "A=1", "a = 2", 'Sure: {"terms":[{"en":"q","zh":"问"}]} ok'), (4, "", "", "none"),
-]
-GLOSSARY_RESULT = [(1, "Wind farm = 风场\nramp event = 爬坡事件", "a = 甲\nc = 丙", "49d9c2aa"), (2, "x = y", "", ""), (3, "A=1", "q = 问", ""), (4, "", "", "")]
-
-
-def glossaries(spark, sf_dir):
-    rows = frame(spark, GLOSSARIES, "id int, own string, paper string, answer string")
-    return rows.select("id", S.merged_glossary(F.col("own"), F.col("paper")).alias("merged"), S.parsed_glossary(F.col("answer")).alias("parsed"))
-
-
 def comments(spark, sf_dir):
     """A user's turns as notes on the turns that follow; every third note is blank, and every fifth rendering is missing."""
     t = _turns(spark, sf_dir)
@@ -297,15 +273,6 @@ def comments(spark, sf_dir):
     return rows.select("conv_id", V.comment(note, F.transform("z", lambda x: x["z"])).alias("comment"))
 
 
-def prompts(spark, sf_dir):
-    part = [{"ord": 0, "block_id": "b", "kind": "paragraph", "units": [{"id": "b:1", "en": "Two."}], "full_text": "One. Two.", "total_units": 2, "math": False}, {"ord": 1, "block_id": "c", "kind": "heading", "units": [{"id": "c:0", "en": "End"}], "full_text": "End", "total_units": 1, "math": False}]
-    rows = frame(spark, [(1, part, 2)], "id int, p array<struct<ord:bigint,block_id:string,kind:string,units:array<struct<id:string,en:string>>,full_text:string,total_units:int,math:boolean>>, n int")
-    return rows.select("id", P.user_prompt(F.col("p"), F.col("n"), F.lit("T")).alias("prompt"))
-
-
-PROMPT = 'Translate these units. Return {"translations":[...]} with 2 items.\n{"paper":"T","paragraphs":[{"type":"paragraph","context":"One. Two.","units":[{"id":"b:1","en":"Two."}]},{"type":"heading","units":[{"id":"c:0","en":"End"}]}]}'
-
-
 def work_queue(spark, sf_dir):
     """Events as units: in flight, failed and cached ones need no work, but for those that are forced."""
     from quirelake.streaming.watch import pending
@@ -319,7 +286,7 @@ QUERIES = {
     "batch_packing": batch_packing, "wanted_batches": wanted_batches, "budgeted_limit": budgeted_limit, "glossary_source": glossary_source, "granularity_groups": granularity, "translation_join": translation_join, "find_hits": find_hits, "mode_view": mode_view,
     "run_batches": run_batches, "newest_wins": newest_wins, "existing_wins": existing_wins, "changed_rows": changed_rows, "later_file_wins": later_file_wins, "store_put": store_put, "store_removed": store_removed, "store_cleared": store_cleared, "store_rendered": store_rendered, "store_edited": store_edited,
     "progress_by_doc": progress_by_doc, "section_as_of": section_as_of, "sections": sections, "blind_scores": blind_scores, "blind_sample": blind_sample, "bench_rows": bench_rows, "tints": tints, "joined_selection": joined_selection, "notes_order": notes_order,
-    "bookmarks": bookmarks, "task_status": task_status, "answered": answered, "glossaries": glossaries, "comments": comments, "prompts": prompts, "work_queue": work_queue,
+    "bookmarks": bookmarks, "task_status": task_status, "comments": comments, "work_queue": work_queue,
 }
 
 _BUDGET = "SELECT *, sum(n) OVER (PARTITION BY k ORDER BY o ROWS UNBOUNDED PRECEDING) AS t FROM s"
@@ -351,9 +318,6 @@ ORACLES = {
     "joined_selection": "SELECT conv_id AS sel_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY b) AS paragraph, text FROM (SELECT conv_id, turn // 2 AS b, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2)",
     "notes_order": f"WITH {LINES}, n AS (SELECT doc_id, i AS annotation_id, 7 - 2 * i AS o FROM documents, range(0, 4) AS r(i)), p AS (SELECT n.doc_id, annotation_id, o * 1000 AS pl FROM n JOIN lines ON lines.doc_id = n.doc_id AND lines.ord = o) SELECT doc_id, annotation_id::INTEGER AS annotation_id, pl::BIGINT AS \"at\", row_number() OVER (PARTITION BY doc_id ORDER BY pl, annotation_id)::INTEGER AS nth FROM p",
     "task_status": _STATUS,
-    "answered": f"SELECT * FROM {values(ANSWERED, 'batch bigint, unit_id varchar, zh varchar, problem varchar')}",
-    "glossaries": f"SELECT id, merged, parsed FROM {values(GLOSSARY_RESULT, 'id integer, merged varchar, parsed varchar, tag varchar')}",
     "comments": f"WITH c AS (SELECT conv_id, count(*) FILTER (turn % 5 = 4) AS gaps, string_agg(text, '' ORDER BY turn) AS z, count(*) FILTER (text = '') AS blank, regexp_replace(arg_min(text, turn), '^{WS}+|{WS}+$', '', 'g') AS n FROM conversations GROUP BY conv_id) SELECT conv_id, concat_ws(chr(10), CASE WHEN conv_id % 3 > 0 AND n <> '' THEN n END, CASE WHEN gaps = 0 AND blank = 0 THEN '【译】' || z END) AS comment FROM c",
-    "prompts": f"SELECT * FROM {values([(1, PROMPT)], 'id integer, prompt varchar')}",
     "work_queue": "SELECT event_id AS unit_id, user_id AS hash FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND (NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = events.user_id AND c.user_id % 3 = 0) OR event_id % 17 = 0)",
 }

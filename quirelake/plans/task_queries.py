@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from quirelake.operators import content as C
 from quirelake.operators import tasks as K
 from quirelake.operators import views as V
-from quirelake.plans.base import BLOCKS, frame, line_blocks, table, values
-from quirelake.schemas import RECT
-
-
-def _rect(p, a, b, c, d):
-    return {"page": p, "x1": float(a), "y1": float(b), "x2": float(c), "y2": float(d)}
+from quirelake.plans.base import BLOCKS, line_blocks, table
 
 
 def queue_round(spark, sf_dir):
@@ -49,30 +44,6 @@ def active_source(spark, sf_dir):
     return K.active_source(both).groupBy("doc_id", "source").agg(F.count("*").alias("n"))
 
 
-def unit_places(spark, sf_dir):
-    """A unit of the base text, one of the second parse with two pieces, and one whose pieces have no lines."""
-    units = frame(spark, [(1, "b:0", 0, 5), (1, "m1:0", 0, 9), (1, "m2:0", 0, 4)], "doc_id bigint, unit_id string, start int, end int")
-    spans = frame(spark, [(1, "m1:0", 0, "b:0", "b", 2, 5), (1, "m1:0", 1, "c:0", "c", 0, 4), (1, "m1:0", -1, "b:0", "b", 0, 0), (1, "m2:0", 0, "c:1", "c", 5, 9)], "doc_id bigint, unit_id string, nth int, other_unit string, other_block string, start int, end int")
-    boxes = frame(spark, [(1, "b", 0, [_rect(0, 1, 1, 2, 2)]), (1, "b", 2, []), (1, "c", 0, [_rect(1, 3, 3, 4, 4)])], f"doc_id bigint, block_id string, start int, lines array<{RECT}>")
-    blocks = frame(spark, [(1, "b", [_rect(0, 0, 0, 9, 9)]), (1, "c", [_rect(1, 5, 5, 6, 6), _rect(2, 0, 0, 1, 1)])], f"doc_id bigint, block_id string, rects array<{RECT}>")
-    out = K.located(K.pieces(units, spans), boxes, blocks)
-    return out.select("unit_id", F.size("place").alias("n"), F.col("place")[0]["page"].alias("page"), F.col("place")[0]["x1"].alias("x1"))
-
-
-def positions(spark, sf_dir):
-    rows = frame(spark, [(1, "b@0"), (2, "gone@3"), (3, "gone@9"), (4, "b"), (5, "a@b@2")], "doc_id bigint, position string")
-    blocks = frame(spark, [(1, "b"), (2, "x"), (4, "b"), (5, "a@b")], "doc_id bigint, block_id string")
-    markers = frame(spark, [(1, 0), (2, 3), (3, 1)], "doc_id bigint, page int")
-    return K.restored_position(rows, blocks, markers).select("doc_id", F.coalesce("block_id", F.lit("")).alias("block_id"), F.coalesce("page", F.lit(-1)).alias("page"))
-
-
-def new_annotations(spark, sf_dir):
-    """A highlight over two pages."""
-    requests = frame(spark, [(1, "#ffd400", "n")], "request_id int, color string, comment string")
-    boxes = frame(spark, [(1, 0, " One. ", [_rect(0, 10.00049, 700, 50, 710)], 800.0, 120), (1, 1, "Two.", [_rect(0, 10, 690, 50, 699.5), _rect(1, 10, 780, 50, 790)], 800.0, 126)], f"request_id int, nth int, text string, lines array<{RECT}>, page_height double, offset int")
-    return K.new_annotations(requests, boxes).select("request_id", "page", "color", "comment", "text", F.array_join(F.transform(F.flatten("rects"), lambda v: v.cast("decimal(10,3)").cast("string")), ",").alias("rects"), "sort_index")
-
-
 def annotation_changes(spark, sf_dir):
     """Events as highlights, of which some get another colour, some another comment, and some go."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("annotation_id"), F.col("event_type").alias("color"), F.concat(F.lit("c"), "user_id").alias("comment"))
@@ -147,16 +118,6 @@ def english_view(spark, sf_dir):
     return K.english_view(blocks, units).groupBy("doc_id").agg(F.count("*").alias("runs"), F.count("unit_id").alias("units"), F.sum(F.length("run")).alias("chars"))
 
 
-def names_and_specs(spark, sf_dir):
-    rows = frame(spark, [(1, "AB", "it's", "api:gpt:low"), (7, "Q", "", "grok")], "lib int, k string, dir string, spec string")
-    return rows.select(K.cache_file(F.col("lib"), F.col("k")).alias("file"), K.quoted(F.col("dir")).alias("quoted"), K.engine_spec(F.col("spec")).alias("s")).select("file", "quoted", "s.*")
-
-
-def opened_settings(spark, sf_dir):
-    kind = "attachment string, glossary string, position string"
-    return K.opened_settings(frame(spark, [("a", None, None), ("b", "g", "p"), ("c", "", None)], kind), frame(spark, [("a", "x", "y"), ("b", "x", "y"), ("c", "x", "")], kind)).na.fill("-")
-
-
 def blind_sheet(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("unit_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.col("text").alias("en"))
     runs = t.select("unit_id", "en", F.explode(F.array(F.lit("x"), F.lit("y"), F.lit("z"))).alias("engine")).withColumn("zh", F.upper("en"))
@@ -166,9 +127,9 @@ def blind_sheet(spark, sf_dir):
 
 
 QUERIES = {
-    "queue_round": queue_round, "queue_priority": queue_priority, "last_activity": last_activity, "job_summary": job_summary, "active_source": active_source, "unit_places": unit_places, "positions": positions, "new_annotations": new_annotations,
+    "queue_round": queue_round, "queue_priority": queue_priority, "last_activity": last_activity, "job_summary": job_summary, "active_source": active_source,
     "annotations": annotations, "first_highlight": first_highlight, "still_busy": still_busy, "last_problems": last_problems, "document_titles": document_titles, "api_engines": api_engines, "selected_units": selected_units,
-    "annotation_changes": annotation_changes, "english_view": english_view, "names_and_specs": names_and_specs, "opened_settings": opened_settings, "blind_sheet": blind_sheet,
+    "annotation_changes": annotation_changes, "english_view": english_view, "blind_sheet": blind_sheet,
 }
 
 ORACLES = {
@@ -177,9 +138,6 @@ ORACLES = {
     "last_activity": f"WITH f AS (SELECT 'u' || user_id AS folder, ([{', '.join(repr(n) for n in FILE_NAMES)}])[1 + event_id * 5 % 7 % {len(FILE_NAMES)}] AS name, event_id FROM events) SELECT folder, max(event_id) AS last_write, bool_or(name = 'report.md') AS report, bool_or(name = 'glossary.md') AS glossary FROM f WHERE name NOT IN ('units.json', 'TASK.md', 'FIX.md', 'job.json', 'fix.json') GROUP BY folder",
     "job_summary": "WITH t AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS d, count(*) FILTER (length(text) < 40) AS f FROM conversations GROUP BY conv_id) SELECT count(*) AS papers, count(*) FILTER (n % 2 = 0) AS finished, coalesce(sum(d), 0)::BIGINT AS sentences, coalesce(sum(f), 0)::BIGINT AS failed FROM t",
     "active_source": f"WITH {BLOCKS}, b AS (SELECT doc_id, 'sdt' AS source FROM blocks UNION ALL SELECT doc_id, 'mineru' FROM blocks WHERE doc_id % 3 = 0 AND ord % 2 = 0) SELECT doc_id, source, count(*) AS n FROM b WHERE source = CASE WHEN doc_id IN (SELECT doc_id FROM b WHERE source = 'mineru') THEN 'mineru' ELSE 'sdt' END GROUP BY doc_id, source",
-    "unit_places": f"SELECT * FROM {values([('b:0', 1, 0, 1.0), ('m1:0', 1, 1, 3.0), ('m2:0', 1, 1, 5.0)], 'unit_id varchar, n integer, page integer, x1 double')}",
-    "positions": f"SELECT * FROM {values([(1, 'b', -1), (2, '', 3), (3, '', -1), (4, 'b', -1), (5, 'a@b', -1)], 'doc_id bigint, block_id varchar, page integer')}",
-    "new_annotations": f"SELECT * FROM {values([(1, 0, '#ffd400', 'n', 'One. Two.', '10.000,700.000,50.000,710.000,10.000,690.000,50.000,699.500', '00000|000120|00090'), (1, 1, '#ffd400', 'n', 'Two.', '10.000,780.000,50.000,790.000', '00001|000126|00010')], 'request_id integer, page integer, color varchar, comment varchar, text varchar, rects varchar, sort_index varchar')}",
     "annotation_changes": "SELECT event_id AS annotation_id, CASE WHEN event_id % 8 = 1 THEN 'red' ELSE event_type END AS color, CASE WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'new' ELSE 'c' || user_id END AS comment FROM events WHERE event_id % 9 <> 2",
     "annotations": "SELECT event_id AS annotation_id, event_type AS color, 'c' || user_id AS comment, (event_id % 9)::INTEGER AS page, 2::INTEGER AS n, 2.5::DOUBLE AS y1, event_id::DOUBLE AS x2 FROM events WHERE event_id % 4 > 0 AND event_id % 7 > 4",
     "first_highlight": "WITH u AS (SELECT event_id, event_type, user_id AS unit_id FROM events UNION ALL SELECT event_id, event_type, user_id + 1 FROM events) SELECT unit_id, max(event_id) AS annotation_id, arg_max(event_type, event_id) AS comment FROM u GROUP BY unit_id",
@@ -189,6 +147,4 @@ ORACLES = {
     "api_engines": "SELECT 'api:' || c_custkey || ':' || m AS id, c_name || ' · ' || m AS label, c_custkey % 3 > 0 AND c_custkey % 4 > 0 AS ready, CASE WHEN c_custkey % 4 = 0 THEN 'no API key' WHEN c_custkey % 3 = 0 THEN '' ELSE 'http://' || c_custkey END AS note FROM (SELECT *, unnest(['m', c_mktsegment]) AS m FROM customer)",
     "selected_units": f"WITH {BLOCKS}, u AS (SELECT doc_id, ord, 0 AS n, text[1 + CASE WHEN ord = 1 THEN 4 ELSE 0 END : 10] AS t FROM blocks UNION ALL SELECT doc_id, ord, 1, CASE WHEN ord = 4 THEN text[11:11] ELSE text[11:] END FROM blocks) SELECT doc_id, ord || ':' || n AS unit_id FROM u WHERE ord BETWEEN 1 AND 4 AND trim(t) <> ''",
     "english_view": f"WITH {BLOCKS}, w AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{9,}}') AS word FROM blocks), p AS (SELECT *, CASE WHEN word <> '' THEN strpos(text, word) - 1 END AS s FROM w) SELECT doc_id, sum(CASE WHEN word = '' THEN 1 ELSE 1 + CASE WHEN s > 0 THEN 1 ELSE 0 END + CASE WHEN s + length(word) < length(text) THEN 1 ELSE 0 END END)::BIGINT AS runs, count(*) FILTER (word <> '') AS units, sum(length(text))::BIGINT AS chars FROM p GROUP BY doc_id",
-    "names_and_specs": f"SELECT * FROM {values([('1-AB.json', chr(39) + 'it' + chr(39) * 2 + 's' + chr(39), 'api', 'gpt', 'low'), ('7-Q.json', chr(39) * 2, 'grok', '', '')], 'file varchar, quoted varchar, kind varchar, model varchar, effort varchar')}",
-    "opened_settings": f"SELECT * FROM {values([('a', 'x', 'y'), ('b', 'g', 'p'), ('c', '', '-')], 'attachment varchar, glossary varchar, position varchar')}",
 }

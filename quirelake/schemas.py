@@ -24,3 +24,4 @@ CELLS_TYPE = t.ArrayType(t.ArrayType(t.StringType()))
 ITEMS_TYPE = t.ArrayType(t.StructType([
     t.StructField("type", t.StringType()), t.StructField("text", t.StringType()), t.StructField("text_level", t.IntegerType()), t.StructField("list_items", t.ArrayType(t.StringType())),
 ]))
+RUNS_TYPE = t.ArrayType(t.StructType([t.StructField("page", t.IntegerType()), t.StructField("n", t.IntegerType())]))
