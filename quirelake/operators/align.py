@@ -11,11 +11,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.functions import text as T
+
 K = 12
 SPANS = "doc_id bigint, unit_id string, nth int, other_unit string, other_block string, start int, end int"
 _formula = re.compile(r"\$[^$]+\$")
@@ -60,27 +61,41 @@ def gram_anchors(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "gram").groupBy("left_id", "right_id").agg(F.count("*").alias("anchors"), F.min("a").alias("first_left"), F.min("b").alias("first_right"))
 
 
+#: A block as the kernel takes it: its id, its text, and the ranges of its sentences.
+Block = tuple[str, str, list[tuple[int, int]]]
+
+
 class Stream:
-    """The kept characters of a document's sentences as digits in base 36, with the unit and offset of each."""
-
-    def __init__(self, rows: pd.DataFrame, drop_math: bool):
-        rows = rows.sort_values(["ord", "idx"])
-        self.ids, self.blocks = rows["unit_id"].tolist(), rows["block_id"].tolist()
-        self.bounds = list(zip(rows["start"].tolist(), rows["end"].tolist(), strict=True))
-        self.math, digits, unit, offset = [], [], [], []
-        for u, (text, start, whole) in enumerate(zip(rows["text"], rows["start"], rows["block_text"], strict=True)):
-            inside = [m.span() for m in _formula.finditer(whole)] if drop_math and "$" in whole else []
-            first = start + len(text) - len(text.lstrip())
-            last = start + len(_tail.sub("", text)) - 1
-            self.math.append(tuple(any(a <= x < b for a, b in inside) for x in (first, last)))
-            d = _DIGIT[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 128)]
+    """The kept characters of a document's sentences as digits in base 36, with the unit and offset of each. A block is turned into digits once, whatever sentences it has."""
+
+    def __init__(self, blocks: list[Block], drop_math: bool):
+        self.ids, self.blocks, self.bounds, self.math = [], [], [], []
+        digits, unit, offset = [], [], []
+        for name, text, ranges in blocks:
+            if not ranges:
+                continue
+            d = _DIGIT[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
+            inside = [m.span() for m in _formula.finditer(text)] if drop_math and "$" in text else []
             for a, b in inside:
-                d = d.copy()
-                d[max(a - start, 0) : max(b - start, 0)] = -1
+                d[a:b] = -1
+            for k, (start, end) in enumerate(ranges):
+                self.ids.append(f"{name}:{k}")
+                self.blocks.append(name)
+                self.bounds.append((start, end))
+                if inside:
+                    part = text[start:end]
+                    first, last = start + len(part) - len(part.lstrip()), start + len(_tail.sub("", part)) - 1
+                    self.math.append(tuple(any(a <= x < b for a, b in inside) for x in (first, last)))
+                else:
+                    self.math.append((False, False))
             at = np.flatnonzero(d >= 0)
-            digits.append(d[at])
-            unit.append(np.full(len(at), u))
-            offset.append(at + start)
+            starts, ends = np.array(ranges, np.int64).T
+            own = np.searchsorted(starts, at, "right") - 1
+            at, own = at[own >= 0], own[own >= 0]
+            held = at < ends[own]
+            digits.append(d[at[held]])
+            unit.append(own[held] + (len(self.ids) - len(ranges)))
+            offset.append(at[held])
         none = [np.empty(0, np.int64)]
         self.digits, self.unit, self.offset = (np.concatenate(x or none).astype(np.int64) for x in (digits, unit, offset))
 
@@ -129,8 +144,8 @@ def _agree(m: np.ndarray, s: np.ndarray, to: np.ndarray, back: np.ndarray) -> in
     return n
 
 
-def aligned(base: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-    """Spans in base's sentences for each unit of other; rows with nth = -1 map units of base back (other_unit is base's)."""
+def aligned(base: list[Block], other: list[Block]) -> list[tuple[str, int, str, str, int, int]]:
+    """Spans in base's sentences for each unit of other: unit_id, nth, other_unit, other_block, start, end; rows with nth = -1 map units of base back (other_unit is base's)."""
     s, m = Stream(base, False), Stream(other, True)
     to = matched(m.digits, s.digits)
     hit = np.flatnonzero(to >= 0)
@@ -171,7 +186,7 @@ def aligned(base: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
     by_block: dict[str, list[int]] = {}
     for u, b in enumerate(s.blocks):
         by_block.setdefault(b, []).append(u)
-    text = {r.block_id: r.block_text for r in base.itertuples()}
+    text = {name: t for name, t, _ in base}
     later: list[int | None] = [None] * (len(m.ids) + 1)
     for mu in range(len(m.ids) - 1, -1, -1):
         later[mu] = mu if mu in spans else later[mu + 1]
@@ -189,17 +204,25 @@ def aligned(base: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if mu in spans:
             previous = mu
     out = [(m.ids[mu], k, s.ids[su], s.blocks[su], int(a), int(b)) for mu in sorted(spans) for k, (su, a, b) in enumerate(spans[mu])]
-    out += [(m.ids[mu], -1, s.ids[su], s.blocks[su], 0, 0) for mu, su in back]
-    return pd.DataFrame(out, columns=["unit_id", "nth", "other_unit", "other_block", "start", "end"])
+    return out + [(m.ids[mu], -1, s.ids[su], s.blocks[su], 0, 0) for mu, su in back]
+
+
+def align_blocks(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Both are blocks(doc_id, ord, block_id, kind, text) that have sentences (see blocks.with_sentences) → SPANS: where each unit of other stands in base (nth 0, 1, ...), and the units of base that it mostly covers (nth -1).
 
+    Blocks are shuffled once, by document; they are split and aligned in one task, and no sentence leaves it but as a span. Null doc_ids are one document.
+    """
 
-def align_documents(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Both are sentences(doc_id, ord, block_id, idx, unit_id, start, end, text, block_text) → SPANS: where each unit of other stands in base (nth 0, 1, ...), and the units of base that it mostly covers (nth -1)."""
+    def blocks(t: pa.Table) -> list[Block]:
+        rows = sorted(zip(t["ord"].to_pylist(), t["block_id"].to_pylist(), t["kind"].to_pylist(), t["text"].to_pylist(), strict=True), key=lambda r: r[0])
+        return [(name, text or "", [(0, len(text or ""))] if kind == "heading" else T.sentence_ranges(text or "")) for _, name, kind, text in rows]
 
-    def kernel(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = aligned(a, b)
-        out.insert(0, "doc_id", key[0])
-        return out
+    def kernel(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        found = aligned(blocks(a), blocks(b)) if a.num_rows and b.num_rows else []
+        columns = list(zip(*found, strict=True)) or [()] * 6
+        types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(found), key[0].type), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[c.split(" ")[0] for c in SPANS.split(", ")])
 
-    other = other.toDF(*other.columns)  # both may come from one plan
-    return base.groupBy("doc_id").cogroup(other.groupBy("doc_id")).applyInPandas(kernel, SPANS)
+    columns = ("doc_id", "ord", "block_id", "kind", "text")
+    left, right = base.select(*columns), other.select(*columns).toDF(*columns)  # both may come from one plan
+    return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInArrow(kernel, SPANS)

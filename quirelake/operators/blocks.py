@@ -95,9 +95,14 @@ def merge_split_paragraphs(blocks: DataFrame, only_mid_sentence: bool = False) -
     return rows.withColumns({"text": glued, "rects": F.flatten(F.transform("__p", lambda p: p["rects"]))}).select(*blocks.columns)
 
 
+def with_sentences(blocks: DataFrame) -> DataFrame:
+    """The blocks that have sentences to translate."""
+    return blocks.where(translatable(F.col("kind"), F.col("role"), F.col("text")))
+
+
 def to_sentences(blocks: DataFrame) -> DataFrame:
     """Blocks → sentences, one row each, with their ids and hashes. A heading is one sentence as it stands."""
-    body = blocks.where(translatable(F.col("kind"), F.col("role"), F.col("text")))
+    body = with_sentences(blocks)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
     ranges = F.when(F.col("kind") == "heading", whole).otherwise(T.sentences("text"))
     rows = body.select("doc_id", "ord", "block_id", "text", F.posexplode(ranges).alias("idx", "r"))

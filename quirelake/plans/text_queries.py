@@ -143,11 +143,8 @@ SELECT a.id AS left_id, b.id AS right_id, count(*) AS anchors, min(a.pos) AS fir
 def alignment(spark, sf_dir):
     """Each document's sentences against a second parse of it, which lost every seventh block and its line-end hyphens."""
     blocks = line_blocks(spark, sf_dir)
-    text = blocks.select("doc_id", "block_id", F.col("text").alias("block_text"))
-    base = B.to_sentences(blocks).join(text, ["doc_id", "block_id"])
     second = blocks.where("ord % 7 <> 6").withColumns({"text": F.regexp_replace("text", "-", ""), "block_id": F.concat(F.lit("m"), "ord")})
-    other = B.to_sentences(second).join(second.select("doc_id", "block_id", F.col("text").alias("block_text")), ["doc_id", "block_id"])
-    return align.align_documents(base, other).where("nth >= 0").select("doc_id", "unit_id", "nth", "other_unit", "start", "end")
+    return align.align_blocks(B.with_sentences(blocks), B.with_sentences(second)).where("nth >= 0").select("doc_id", "unit_id", "nth", "other_unit", "start", "end")
 
 
 # (id, source, rendering, formulas marked by dollars)

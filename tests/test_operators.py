@@ -2,10 +2,10 @@
 
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quirelake.functions import text as T
 from quirelake.operators import align, blocks as B, geometry as G, protocol as P, store as S, tasks as K, views as V
 from quirelake.schemas import BLOCKS
 from quirelake.streaming import watch
@@ -70,22 +70,59 @@ def test_packing(spark):
 
 
 def test_alignment_recovers_a_text():
+    """Blocks in another order, with other white space: every sentence is found whole."""
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
-    base, other = [], []
+    base, other, want = [], [], []
     for b in range(6):
         parts = [" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(3)]
-        whole, at = " ".join(parts), 0
+        places, wide, at, there = [], [], 0, 0
         for i, p in enumerate(parts):
-            base.append((1, b, f"b{b}", i, f"b{b}:{i}", at, at + len(p), p, whole))
-            other.append((1, 5 - b, f"m{b}", i, f"m{b}:{i}", at, at + len(p), p.replace(" ", "  ", 1), whole))
-            at += len(p) + 1
-    columns = ["doc_id", "ord", "block_id", "idx", "unit_id", "start", "end", "text", "block_text"]
-    out = align.aligned(pd.DataFrame(base, columns=columns), pd.DataFrame(other, columns=columns))
-    spans = out[out.nth >= 0]
-    assert [(u, o) for u, o in zip(spans.unit_id, spans.other_unit, strict=True)] == [(u, u.replace("m", "b")) for u in spans.unit_id] and len(spans) == 18
-    ends = {r[4]: (r[5], r[6]) for r in base}
-    assert all(ends[r.other_unit] == (r.start, r.end) for r in spans.itertuples())
+            places.append((at, at + len(p)))
+            wide.append((there, there + len(p) + 1))
+            want.append((f"m{b}:{i}", 0, f"b{b}:{i}", f"b{b}", *places[-1]))
+            at, there = at + len(p) + 1, there + len(p) + 2
+        base.append((f"b{b}", " ".join(parts), places))
+        other.insert(0, (f"m{b}", " ".join(p.replace(" ", "  ", 1) for p in parts), wide))
+    found = align.aligned(base, other)
+    assert sorted(r for r in found if r[1] >= 0) == sorted(want)
+    assert sorted((r[0], r[2]) for r in found if r[1] < 0) == sorted((w[0], w[2]) for w in want)
+
+
+def test_alignment_of_a_document_from_its_parts(spark):
+    """Sentences of ever other cuts: a sentence of the other parse spans those parts of base's sentences that hold its letters, formulas apart; what has none takes the gap between its neighbours."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(rng.randint(4, 9)))
+    for _ in range(40):
+        words = [word() for _ in range(60)]
+        text, starts = "", []
+        for w in words:
+            starts.append(len(text))
+            text += w + " "
+        cut = lambda: [0, *sorted(rng.sample(range(6, 55, 7), rng.randint(1, 5))), 60]
+        ours, theirs = cut(), cut()
+        place = lambda a, z: (starts[a], starts[z - 1] + len(words[z - 1]))
+        base = [("b", text, [place(a, z) for a, z in zip(ours, ours[1:], strict=False)])]
+        other = [("m", text, [place(a, z) for a, z in zip(theirs, theirs[1:], strict=False)])]
+        want = set()
+        for k, (a, z) in enumerate(zip(theirs, theirs[1:], strict=False)):
+            shared = [(u, max(a, x), min(z, y)) for u, (x, y) in enumerate(zip(ours, ours[1:], strict=False)) if max(a, x) < min(z, y)]
+            want |= {(f"m:{k}", f"b:{u}", *place(x, y)) for u, x, y in shared}
+        assert {(r[0], r[2], r[4], r[5]) for r in align.aligned(base, other) if r[1] >= 0} == want
+    formula = "$a+b$ $c$"
+    both = [("b", "Alpha beta gamma delta. x y z. Epsilon zeta eta theta.", [(0, 23), (24, 30), (31, 54)])], [("m", f"Alpha beta gamma delta. {formula} Epsilon zeta eta theta.", [(0, 23), (24, 33), (34, 57)])]
+    assert [r for r in align.aligned(*both) if r[0] == "m:1"] == [("m:1", 0, "b:1", "b", 24, 30)]
+
+
+def test_alignment_in_spark_equals_the_kernel(spark):
+    rows = [(d, o, f"b{o}", "heading" if o == 0 else "paragraph", f"Words of part {d} {o} stand here alone. And more of {o}{d} follows them.") for d in (1, None) for o in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, ord bigint, block_id string, kind string, text string")
+    other = frame.where("ord <> 1").withColumn("block_id", F.concat(F.lit("m"), "ord"))
+    got = sorted(tuple(r)[1:] for r in align.align_blocks(frame, other).where("doc_id = 1").collect())
+    cut = lambda name, text, kind: (name, text, [(0, len(text))] if kind == "heading" else T.sentence_ranges(text))
+    kernel = align.aligned([cut(b, t, k) for d, _, b, k, t in rows if d == 1], [cut(f"m{o}", t, k) for d, o, _, k, t in rows if d == 1 and o != 1])
+    assert got == sorted(kernel) and len(got) > 5
+    assert align.align_blocks(frame, other).where("doc_id is null").count() > 5 and align.align_blocks(frame, other.where("false")).count() == 0
 
 
 def test_lines():
