@@ -93,6 +93,19 @@ def user_prompt(paragraphs: Column, n_ids: Column, title: Column) -> Column:
     return F.concat(F.lit('Translate these units. Return {"translations":[...]} with '), n_ids.cast("string"), F.lit(" items.\n"), payload)
 
 
+def combined_prompt(paragraphs: Column, n_ids: Column, title: Column, glossary: str = "", lang: str = "简体中文") -> Column:
+    """Both prompts as one message, for engines that take one."""
+    return F.concat(F.lit(system_prompt(glossary, lang) + "\n\nDo not use any tools; answer directly.\n\n"), user_prompt(paragraphs, n_ids, title))
+
+
+def sub_batch(batches: DataFrame, ids: DataFrame) -> DataFrame:
+    """Batches(batch, p: paragraphs with units(id, ...)) with the units of ids(batch, unit_id) only; paragraphs and batches that keep none go."""
+    wanted = ids.groupBy("batch").agg(F.collect_set("unit_id").alias("__ids"))  # a batch has a bounded number of units
+    kept = F.transform("p", lambda p: p.withField("units", F.filter(p["units"], lambda u: F.array_contains("__ids", u["id"]))))
+    rows = batches.join(wanted, "batch").withColumn("p", F.filter(kept, lambda p: F.size(p["units"]) > 0))
+    return rows.where(F.size("p") > 0).select(*batches.columns)
+
+
 # ---- answers ---------------------------------------------------------------
 
 

@@ -34,17 +34,6 @@ def later_file_wins(files: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("unit_id", "zh", T.unit_problem(F.col("en"), F.col("zh"), F.coalesce("math", F.lit(False))).alias("problem"))
 
 
-def sibling_links(sentences: DataFrame) -> DataFrame:
-    """(hash, sibling) for distinct hashes with one loose key in a document: sentences(doc_id, text, hash).
-
-    Links are (hash, smallest hash) in both directions, so that a key with many spellings makes one link each; group() gives the whole group.
-    """
-    keyed = grouped(sentences)
-    hub = F.min("hash").over(Window.partitionBy("doc_id", "loose_key"))
-    pairs = keyed.withColumn("hub", hub).where("hash <> hub").select("doc_id", "hash", F.col("hub").alias("sibling"))
-    return pairs.unionByName(pairs.selectExpr("doc_id", "sibling as hash", "hash as sibling"))
-
-
 def grouped(sentences: DataFrame) -> DataFrame:
     """Distinct hashes of groups with at least two: doc_id, loose_key, hash."""
     keyed = sentences.withColumn("loose_key", T.loose_key(F.col("text"))).where("loose_key is not null").select("doc_id", "loose_key", "hash").distinct()

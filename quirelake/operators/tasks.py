@@ -76,15 +76,48 @@ def restored_position(positions: DataFrame, blocks: DataFrame, markers: DataFram
 
 
 def annotations(raw: DataFrame) -> DataFrame:
-    """Highlights and underlines of raw(annotation_id, type, color, comment, position): annotation_id, color, comment, page, rects.
+    """Highlights and underlines of raw(annotation_id, type, color, comment, text, page_label, position): annotation_id, kind, color, comment (null where empty), text, page_label, page, rects, next_rects.
 
-    A position is JSON with a number pageIndex and an array rects; rows with another one are skipped.
+    A position is JSON with a number pageIndex and an array rects; rows with another one are skipped. next_rects are boxes on the following page, for highlights that go on there; a page
+    without a label has its number, from 1.
     """
     rows = raw.where(F.col("type").isin("highlight", "underline")).withColumn("__v", F.try_parse_json("position"))
     part = {k: F.try_variant_get("__v", f"$.{k}", "variant") for k in ("pageIndex", "rects")}
     number = F.schema_of_variant(part["pageIndex"]).rlike("^(BIGINT|DOUBLE|DECIMAL)")
     rows = rows.where(number & F.schema_of_variant(part["rects"]).startswith("ARRAY"))
-    return rows.select("annotation_id", "color", "comment", F.try_variant_get("__v", "$.pageIndex", "int").alias("page"), F.try_variant_get("__v", "$.rects", "array<array<double>>").alias("rects"))
+    page, boxes = F.try_variant_get("__v", "$.pageIndex", "int"), "array<array<double>>"
+    label = F.coalesce(F.nullif(F.col("page_label"), F.lit("")), (page + 1).cast("string"))
+    return rows.select(
+        "annotation_id", F.col("type").alias("kind"), "color", F.nullif(F.col("comment"), F.lit("")).alias("comment"), "text", label.alias("page_label"), page.alias("page"),
+        F.try_variant_get("__v", "$.rects", boxes).alias("rects"), F.try_variant_get("__v", "$.nextPageRects", boxes).alias("next_rects"),
+    )
+
+
+def both_sources(base: DataFrame, second: DataFrame) -> DataFrame:
+    """Blocks(doc_id, ord, block_id, ...) of both parses of documents in one space of ids: those of the second have ids that start with m. Adds source."""
+    marked = second.withColumn("block_id", F.when(F.col("block_id").startswith("m"), F.col("block_id")).otherwise(F.concat(F.lit("m"), "block_id")))
+    return base.withColumn("source", F.lit("sdt")).unionByName(marked.withColumn("source", F.lit("mineru")))
+
+
+def expected_units(sentences: DataFrame, todo: DataFrame) -> DataFrame:
+    """Of sentences(doc_id, unit_id, text, inline_math) those that a job waits for, todo(doc_id, unit_id): doc_id, unit_id, en, math."""
+    rows = sentences.join(todo.select("doc_id", "unit_id"), ["doc_id", "unit_id"], "left_semi")
+    return rows.select("doc_id", "unit_id", F.col("text").alias("en"), F.coalesce("inline_math", F.lit(False)).alias("math"))
+
+
+def settings_put(settings: DataFrame, changes: DataFrame, key: str = "attachment") -> DataFrame:
+    """Settings(key, ...) after changes(key, some of the columns): a value that is not null replaces the old one whole, and texts of white space only clear it; new keys are added."""
+    columns = [c for c in settings.columns if c != key]
+    given = [c for c in columns if c in changes.columns]
+    new = changes.select(key, F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in given])
+    both = settings.withColumn("__old", F.lit(True)).join(new, key, "full")
+
+    def value(c: str) -> Column:
+        put = F.col(f"__{c}")
+        cleared = (T.strip(put) == "") if settings.schema[c].dataType.simpleString() == "string" else F.lit(False)
+        return F.when(put.isNull(), F.col(c)).when(cleared, F.lit(None)).otherwise(put)
+
+    return both.select(key, *[(value(c) if c in given else F.col(c)).alias(c) for c in columns])
 
 
 def first_highlight(highlights: DataFrame) -> DataFrame:

@@ -88,6 +88,11 @@ def resolved_bookmarks(bookmarks: DataFrame, blocks: DataFrame) -> DataFrame:
     return marks.join(best, ["doc_id", "mark_id"], "left").select("doc_id", "mark_id", F.col("r.b").alias("resolved"), F.col("r.ord").alias("ord"))
 
 
+def bookmarks_in_order(resolved: DataFrame) -> DataFrame:
+    """Resolved bookmarks(doc_id, mark_id, resolved, ord) in the order of the document, those that point nowhere last, as they were set: adds nth."""
+    return resolved.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("ord").asc_nulls_last(), "mark_id")))
+
+
 def toggled(bookmarks: DataFrame, resolved: DataFrame, block: DataFrame, t: int) -> DataFrame:
     """Bookmarks(doc_id, mark_id, block_id, text, page, t) after one is set at, or taken from, a block(doc_id, block_id, text, page): marks that resolve to it go, else a new one comes."""
     here = resolved.join(block.selectExpr("doc_id", "block_id as resolved"), ["doc_id", "resolved"], "left_semi").select("doc_id", "mark_id")

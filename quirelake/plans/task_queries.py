@@ -52,13 +52,15 @@ def annotation_changes(spark, sf_dir):
 
 
 def annotations(spark, sf_dir):
-    """Events as annotations: some are of another kind, some have no position that can be read."""
+    """Events as annotations: some are of another kind, some have no position that can be read, some go on to the next page."""
     k = F.col("event_id")
-    good = F.concat(F.lit('{"pageIndex": '), k % 9, F.lit(', "rects": [[1, 2.5, '), k, F.lit(", 4], [0, 0, 1, 1]]}"))
+    good = F.concat(F.lit('{"pageIndex": '), k % 9, F.lit(', "rects": [[1, 2.5, '), k, F.lit(", 4], [0, 0, 1, 1]]"), F.when(k % 3 == 0, ', "nextPageRects": [[5, 6, 7, 8]]').otherwise(""), F.lit("}"))
     position = F.when(k % 7 == 0, "{").when(k % 7 == 1, '{"pageIndex": "2", "rects": []}').when(k % 7 == 2, '{"pageIndex": 2, "rects": {}}').when(k % 7 == 3, '{"rects": []}').when(k % 7 == 4, F.lit(None)).otherwise(good)
     kind = F.when(k % 4 == 0, "ink").when(k % 4 == 1, "underline").otherwise("highlight")
-    raw = table(spark, sf_dir, "events").select(k.alias("annotation_id"), kind.alias("type"), F.col("event_type").alias("color"), F.concat(F.lit("c"), "user_id").alias("comment"), position.alias("position"))
-    return K.annotations(raw).select("annotation_id", "color", "comment", "page", F.size("rects").alias("n"), F.col("rects")[0][1].alias("y1"), F.col("rects")[0][2].alias("x2"))
+    label = F.when(k % 5 == 0, F.concat(F.lit("p"), k)).when(k % 5 == 1, "")
+    raw = table(spark, sf_dir, "events").select(k.alias("annotation_id"), kind.alias("type"), F.col("event_type").alias("color"), F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("c"), "user_id")).alias("comment"), F.col("props").alias("text"), label.alias("page_label"), position.alias("position"))
+    found = K.annotations(raw)
+    return found.select("annotation_id", "kind", "color", "comment", "text", "page_label", "page", F.size("rects").alias("n"), F.col("rects")[0][1].alias("y1"), F.col("rects")[0][2].alias("x2"), F.coalesce(F.get(F.get("next_rects", F.lit(0)), F.lit(2)), F.lit(-1.0)).alias("next_x2"))
 
 
 def first_highlight(spark, sf_dir):
@@ -139,7 +141,7 @@ ORACLES = {
     "job_summary": "WITH t AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'assistant') AS d, count(*) FILTER (length(text) < 40) AS f FROM conversations GROUP BY conv_id) SELECT count(*) AS papers, count(*) FILTER (n % 2 = 0) AS finished, coalesce(sum(d), 0)::BIGINT AS sentences, coalesce(sum(f), 0)::BIGINT AS failed FROM t",
     "active_source": f"WITH {BLOCKS}, b AS (SELECT doc_id, 'sdt' AS source FROM blocks UNION ALL SELECT doc_id, 'mineru' FROM blocks WHERE doc_id % 3 = 0 AND ord % 2 = 0) SELECT doc_id, source, count(*) AS n FROM b WHERE source = CASE WHEN doc_id IN (SELECT doc_id FROM b WHERE source = 'mineru') THEN 'mineru' ELSE 'sdt' END GROUP BY doc_id, source",
     "annotation_changes": "SELECT event_id AS annotation_id, CASE WHEN event_id % 8 = 1 THEN 'red' ELSE event_type END AS color, CASE WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'new' ELSE 'c' || user_id END AS comment FROM events WHERE event_id % 9 <> 2",
-    "annotations": "SELECT event_id AS annotation_id, event_type AS color, 'c' || user_id AS comment, (event_id % 9)::INTEGER AS page, 2::INTEGER AS n, 2.5::DOUBLE AS y1, event_id::DOUBLE AS x2 FROM events WHERE event_id % 4 > 0 AND event_id % 7 > 4",
+    "annotations": "SELECT event_id AS annotation_id, CASE WHEN event_id % 4 = 1 THEN 'underline' ELSE 'highlight' END AS kind, event_type AS color, CASE WHEN event_id % 2 = 1 THEN 'c' || user_id END AS comment, props AS text, CASE WHEN event_id % 5 = 0 THEN 'p' || event_id ELSE (event_id % 9 + 1)::VARCHAR END AS page_label, (event_id % 9)::INTEGER AS page, 2::INTEGER AS n, 2.5::DOUBLE AS y1, event_id::DOUBLE AS x2, CASE WHEN event_id % 3 = 0 THEN 7 ELSE -1 END::DOUBLE AS next_x2 FROM events WHERE event_id % 4 > 0 AND event_id % 7 > 4",
     "first_highlight": "WITH u AS (SELECT event_id, event_type, user_id AS unit_id FROM events UNION ALL SELECT event_id, event_type, user_id + 1 FROM events) SELECT unit_id, max(event_id) AS annotation_id, arg_max(event_type, event_id) AS comment FROM u GROUP BY unit_id",
     "still_busy": f"WITH {BLOCKS} SELECT doc_id || ':' || ord // 5 AS block_id, count(*) AS \"left\" FROM blocks WHERE ord % 3 = 0 GROUP BY 1",
     "last_problems": f"WITH {BLOCKS}, p AS (SELECT d.source, blocks.text, doc_id, ord FROM blocks JOIN documents d USING (doc_id) WHERE kind = 'heading' QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, ord DESC) <= 3) SELECT source, string_agg(text, chr(10) ORDER BY doc_id, ord) AS problems FROM p GROUP BY source",

@@ -254,6 +254,29 @@ def providers(rows: DataFrame) -> DataFrame:
     )
 
 
+# What a single provider of older settings was, and the name that it gets.
+OLD_BASE, OLD_CONCURRENCY, OLD_NAME = "https://api.openai.com/v1", 4, "OpenAI 兼容 API"
+
+
+def loaded_providers(settings: DataFrame) -> DataFrame:
+    """Providers of settings(owner, providers JSON, key, base, model, concurrency), in normal form: the list where it is one, else, with a key, the one provider that older settings knew.
+
+    Returns owner and the columns of providers(). A provider without an id gets p and its place in the list.
+    """
+    entry = "struct<id: string, name: string, base: string, key: string, models: array<string>, concurrency: double, effort: string>"
+    rows = settings.withColumn("__l", F.try_variant_get(F.try_parse_json("providers"), "$", "array<variant>"))
+    listed_ = rows.where("__l is not null").select("owner", F.posexplode("__l").alias("at", "v")).select("owner", "at", F.try_variant_get("v", "$", entry).alias("p")).select("owner", "at", "p.*")
+    listed_ = listed_.withColumns({"id": F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(F.lit("p"), (F.col("at") + 1).cast("string"))), "concurrency": F.col("concurrency").cast("int")})
+    some = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    old = rows.where("__l is null and key <> ''").select(
+        "owner", F.lit(0).alias("at"), F.lit("p1").alias("id"), F.lit(OLD_NAME).alias("name"), some("base", OLD_BASE).alias("base"), "key", F.filter(F.array(some("model", "")), lambda m: m != "").alias("models"),
+        F.when(F.coalesce("concurrency", F.lit(0)) == 0, OLD_CONCURRENCY).otherwise(F.col("concurrency")).cast("int").alias("concurrency"), F.lit("").alias("effort"),
+    )
+    both = listed_.unionByName(old)
+    tagged = both.withColumn("id", F.struct("owner", "id"))
+    return providers(tagged).select("id.owner", F.col("id.id").alias("id"), "name", "base", "key", "models", "concurrency", "effort")
+
+
 def resolved_engines(ids: DataFrame, known: DataFrame) -> DataFrame:
     """Engine ids `api:<provider>:<model>` → engine_id, provider, model, config (what a cached row depends on); unknown ones go. Models may hold colons."""
     parts = ids.select("engine_id", F.regexp_extract("engine_id", r"^api:([^:]+):(.+)$", 1).alias("id"), F.regexp_extract("engine_id", r"^api:([^:]+):(.+)$", 2).alias("model")).where("model <> ''")

@@ -112,13 +112,6 @@ def json_documents(df: DataFrame, value: str, path: str) -> None:
     df.select(F.to_json(value)).write.mode("overwrite").text(path)
 
 
-def units_files(sections: DataFrame, path: str) -> None:
-    """Task export: a line of units JSON for each document, in its own partition folder."""
-    whole = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_no", "heading", "paragraphs"))).alias("s"))
-    body = F.to_json(F.struct(F.transform("s", lambda x: F.struct(x["heading"].alias("heading"), x["paragraphs"].alias("paragraphs"))).alias("sections")))
-    whole.select("doc_id", body.alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
-
-
 def fix_items(expected: DataFrame, checked: DataFrame) -> DataFrame:
     """Units still to be done: expected(unit_id, en) without a usable row in checked(unit_id, zh, problem): unit_id, en, previous, problem."""
     return expected.select("unit_id", "en").join(checked, "unit_id", "left").where("zh is null or problem is not null").select("unit_id", "en", F.col("zh").alias("previous"), F.coalesce("problem", F.lit("")).alias("problem"))

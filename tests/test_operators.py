@@ -266,7 +266,7 @@ def test_annotations_skip_what_they_cannot_place(spark):
         (1, "highlight", '{"pageIndex": 2, "rects": [[1, 2, 3, 4.5]]}'), (2, "underline", '{"pageIndex": 0, "rects": []}'), (3, "ink", '{"pageIndex": 0, "rects": []}'), (4, "highlight", None),
         (5, "highlight", ""), (6, "highlight", "{"), (7, "highlight", '{"pageIndex": "1", "rects": []}'), (8, "highlight", '{"pageIndex": 1, "rects": null}'), (9, None, '{"pageIndex": 1, "rects": []}'), (10, "highlight", "null"),
     ]
-    frame = spark.createDataFrame([(i, t, "c", None, p) for i, t, p in raw], "annotation_id int, type string, color string, comment string, position string")
+    frame = spark.createDataFrame([(i, t, "c", None, "t", None, p) for i, t, p in raw], "annotation_id int, type string, color string, comment string, text string, page_label string, position string")
     assert {r.annotation_id: (r.page, r.rects) for r in K.annotations(frame).collect()} == {1: (2, [[1.0, 2.0, 3.0, 4.5]]), 2: (0, [])}
 
 
