@@ -218,8 +218,8 @@ def bench_rows(spark, sf_dir):
 
 
 def tints(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.lit(0).alias("doc_id"), F.col("event_id").alias("highlight_ord"), F.col("event_type").alias("color"), F.array(F.col("user_id"), F.col("user_id") + 1).alias("unit_ids"))
-    return V.tints(e).select("unit_id", "color")
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 7).alias("doc_id"), F.col("event_id").alias("highlight_ord"), F.col("event_type").alias("color"), F.array(F.col("user_id"), F.col("user_id") + 1).alias("unit_ids"))
+    return V.tints(e).select("doc_id", "unit_id", "color")
 
 
 def joined_selection(spark, sf_dir):
@@ -314,7 +314,7 @@ ORACLES = {
     "sections": f"WITH {BLOCKS}, s AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER w AS section_no, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER w, '(front matter)') AS heading FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT doc_id, section_no::BIGINT AS section_no, heading, count(*)::INTEGER AS n, sum(length(text))::INTEGER AS chars FROM s GROUP BY doc_id, section_no, heading",
     "blind_scores": "WITH s AS (SELECT source AS engine, 1 + 3 * quality + toxic AS s FROM labels JOIN documents USING (doc_id)) SELECT engine, count(*) AS rated, round(avg(s), 6) AS mean, round(avg(CASE WHEN s = 5 THEN 1.0 ELSE 0.0 END), 6) AS share_5, round(avg(CASE WHEN s <= 3 THEN 1.0 ELSE 0.0 END), 6) AS share_le3 FROM s GROUP BY engine",
     "bench_rows": "SELECT event_type AS engine, count(*) AS sentences, 60.0::DOUBLE AS seconds, floor(count(*) FILTER (event_id % 5 > 0) / 60.0 * 60 + 0.5)::BIGINT AS sentences_per_min, 8 AS requests, count(*) FILTER (event_id % 5 = 0) AS failed, count(*) FILTER (event_id % 7 = 0) AS problems FROM events GROUP BY event_type",
-    "tints": "WITH u AS (SELECT event_id, event_type, user_id AS unit_id FROM events UNION ALL SELECT event_id, event_type, user_id + 1 FROM events) SELECT unit_id, arg_max(event_type, event_id) AS color FROM u GROUP BY unit_id",
+    "tints": "WITH u AS (SELECT event_id, event_type, user_id AS unit_id FROM events UNION ALL SELECT event_id, event_type, user_id + 1 FROM events) SELECT event_id % 7 AS doc_id, unit_id, arg_max(event_type, event_id) AS color FROM u GROUP BY 1, 2",
     "joined_selection": "SELECT conv_id AS sel_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY b) AS paragraph, text FROM (SELECT conv_id, turn // 2 AS b, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1, 2)",
     "notes_order": f"WITH {LINES}, n AS (SELECT doc_id, i AS annotation_id, 7 - 2 * i AS o FROM documents, range(0, 4) AS r(i)), p AS (SELECT n.doc_id, annotation_id, o * 1000 AS pl FROM n JOIN lines ON lines.doc_id = n.doc_id AND lines.ord = o) SELECT doc_id, annotation_id::INTEGER AS annotation_id, pl::BIGINT AS \"at\", row_number() OVER (PARTITION BY doc_id ORDER BY pl, annotation_id)::INTEGER AS nth FROM p",
     "task_status": _STATUS,

@@ -53,11 +53,11 @@ def text_forms(spark, sf_dir):
 
 
 def sibling_groups(spark, sf_dir):
-    rows = lines(spark, sf_dir).select(F.lit(0).alias("doc_id"), "text", F.md5("text").alias("hash"))
-    both = rows.unionByName(table(spark, sf_dir, "benchmark").select(F.lit(0).alias("doc_id"), "text", F.md5("text").alias("hash")))
+    """Lines and benchmark items, dealt to ten documents by their ids."""
     from quirelake.operators.store import grouped
 
-    return grouped(both).select("loose_key", "hash")
+    rows = lines(spark, sf_dir).select((F.col("doc_id") % 10).alias("doc_id"), "text", F.md5("text").alias("hash"))
+    return grouped(rows.unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("doc_id"), "text", F.md5("text").alias("hash")))).select("doc_id", "loose_key", "hash")
 
 
 _KEY = "CASE WHEN NOT contains(text, '$') THEN regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '^(table|figure|fig)\\d+', '') END"
@@ -185,7 +185,7 @@ ORACLES = {
     "text_hash": _HASH,
     "text_forms": f"""WITH {LINES}, k AS (SELECT *, {_KEY} AS k, trim(regexp_replace(text, '{WS}+', ' ', 'g')) AS c FROM lines)
 SELECT doc_id, ord, CASE WHEN length(k) >= 6 THEN k END AS loose_key, regexp_replace(regexp_replace(lower(text), '\\$[^$]*\\$', '', 'g'), '[^a-z0-9]', '', 'g') AS letters, regexp_replace(lower(text), '{WS}+', ' ', 'g') AS search_form, CASE WHEN length(c) > 20 THEN substring(c, 1, 20) || '…' ELSE c END AS snippet FROM k""",
-    "sibling_groups": f"WITH {LINES}, t AS (SELECT text FROM lines UNION ALL SELECT text FROM benchmark), k AS (SELECT DISTINCT {_KEY} AS loose_key, md5(text) AS hash FROM t) SELECT loose_key, hash FROM k WHERE length(loose_key) >= 6 QUALIFY count(*) OVER (PARTITION BY loose_key) > 1",
+    "sibling_groups": f"WITH {LINES}, t AS (SELECT doc_id % 10 AS doc_id, text FROM lines UNION ALL SELECT item_id % 10, text FROM benchmark), k AS (SELECT DISTINCT doc_id, {_KEY} AS loose_key, md5(text) AS hash FROM t) SELECT doc_id, loose_key, hash FROM k WHERE length(loose_key) >= 6 QUALIFY count(*) OVER (PARTITION BY doc_id, loose_key) > 1",
     "reference_tagging": f"WITH {_TAGGED} SELECT doc_id, ord, role FROM r",
     "front_matter": f"WITH {_ALL} SELECT doc_id, ord, CASE WHEN kind IN ('paragraph', 'listitem') AND length(text) <= 600 AND (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in FRONT).replace(r"\z", "$") + ") THEN 'footnote' END AS role FROM b",
     "translatable": f"WITH {_TAGGED} SELECT doc_id, count(*) FILTER (regexp_matches(text, '[A-Za-z]{{2,}}') AND role IS NULL AND kind IN ('paragraph', 'listitem', 'caption', 'heading')) AS n_translatable, count(*) AS n_blocks FROM r GROUP BY doc_id",
