@@ -94,11 +94,12 @@ def mode_view(spark, sf_dir):
 
 
 def run_batches(spark, sf_dir):
-    """User turns through the mock engine."""
+    """User turns through an engine that is known by its name."""
+    P.register_engine("mock", P.mock_engine, concurrency=4)
     rows = _turns(spark, sf_dir).where("role = 'user'").select(
         F.col("conv_id").alias("batch"), F.concat(F.lit("b"), "turn", F.lit(":0")).alias("unit_id"), F.lit("paragraph").alias("kind"), F.col("text").alias("en"), F.col("text").alias("full_text"), F.lit(1).alias("total_units"), F.lit(False).alias("math")
     )
-    return P.run_batches(rows, P.mock_engine, parallel=4)
+    return P.run_batches(rows, P.ENGINES["mock"], parallel=P.concurrency("mock"))
 
 
 def _logs(spark, sf_dir):
