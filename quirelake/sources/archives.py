@@ -1,6 +1,7 @@
 """Zip archives of parses: entries are listed where the archives are, the wanted one is picked by its name, and each is read by a task of its own.
 
 Listing reads the ends of archives only (their directory of entries), in tasks; what is picked is dealt out again, so that one large archive does not hold up the others that its task has listed.
+Tasks hand on what they read in batches of a bounded size, so that many small archives cost neither a task nor a batch each.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ from quirelake.sources.folders import opened
 # The names that the list of content items may have; its second version (content_list_v2.json) has another shape.
 CONTENT_LIST = r"(^|/)([^/]*_)?content_list\.json\z"
 
+#: Entries that a task reads once all cores have some, and rows and characters that a batch holds before it is handed on.
+TASK_ENTRIES, BATCH_ROWS, BATCH_CHARS = 1000, 1000, 4_000_000
+#: Archives that a task lists at least.
+LIST_AT_ONCE = 64
+
 
 def archives_in(spark: SparkSession, folder: str) -> DataFrame:
     """The archives below a folder: (path). Their contents are not read."""
@@ -42,7 +48,20 @@ class _File:
         return getattr(self.file, name)
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], chars: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of BATCH_ROWS at most, that end where the texts of column chars come to BATCH_CHARS."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[chars] or "") if chars is not None else 0
+        if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for path in b.column(0).to_pylist():
             store, file = opened(path)
@@ -51,14 +70,17 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found, problem = z.infolist(), None
             except (zipfile.BadZipFile, OSError) as e:
                 found, problem = [], str(e)
-            rows = [(path, n, x.filename, x.file_size, None) for n, x in enumerate(found)] or [(path, None, None, None, problem)]
-            types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "nth", "entry", "size", "problem"])
+            yield from [(path, n, x.filename, x.file_size, None) for n, x in enumerate(found)] or [(path, None, None, None, problem)]
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batched(_listed(batches), ["path", "nth", "entry", "size", "problem"], [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string()])
 
 
 def zip_entries(paths: DataFrame) -> DataFrame:
     """The entries of archives paths(path), in their order: path, nth, entry, size, problem. An archive without entries, or that cannot be read, is one row without an entry."""
-    return paths.select("path").mapInArrow(_list, "path string, nth int, entry string, size bigint, problem string")
+    paths = paths.select("path")
+    return paths.repartition(reading_tasks(paths, paths.count(), LIST_AT_ONCE)).mapInArrow(_list, "path string, nth int, entry string, size bigint, problem string")
 
 
 def picked(entries: DataFrame, pattern: str = CONTENT_LIST) -> DataFrame:
@@ -67,7 +89,7 @@ def picked(entries: DataFrame, pattern: str = CONTENT_LIST) -> DataFrame:
     return entries.groupBy("path").agg(F.max_by("entry", F.when(fits, F.col("nth"))).alias("entry"), F.max("problem").alias("problem"))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for path, entry in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             store, file = opened(path)
@@ -77,13 +99,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     text = z.read(entry).decode()
             except (zipfile.BadZipFile, OSError, ValueError, KeyError, EOFError) as e:
                 problem = str(e)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, entry, text, problem)], ["path", "entry", "value", "problem"])
+            yield path, entry, text, problem
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batched(_texts(batches), ["path", "entry", "value", "problem"], [pa.string()] * 4, 2)
 
 
 def zip_texts(entries: DataFrame, at_once: int = 4) -> DataFrame:
-    """The texts of entries(path, entry): path, entry, value, problem. A task reads some at_once entries, one after another."""
+    """The texts of entries(path, entry): path, entry, value, problem. A task reads some at_once entries, one after another; where that were more tasks than four a core, some TASK_ENTRIES."""
     entries = entries.select("path", "entry").where("entry is not null")
-    return entries.repartition(max(1, -(-entries.count() // at_once))).mapInArrow(_read, "path string, entry string, value string, problem string")
+    return entries.repartition(reading_tasks(entries, entries.count(), at_once)).mapInArrow(_read, "path string, entry string, value string, problem string")
+
+
+def reading_tasks(df: DataFrame, n: int, at_once: int) -> int:
+    """Tasks that read n files: at_once files each, but no more than four a core while a task has under TASK_ENTRIES."""
+    few = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(-(-n // at_once), max(few, -(-n // TASK_ENTRIES))))
 
 
 def content_items(texts: DataFrame) -> DataFrame:

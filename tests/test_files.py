@@ -5,6 +5,7 @@ import random
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from quirelake.operators import protocol as P
 from quirelake.sources import archives as A
 from quirelake.sources import folders, parses
 from quirelake.sources import readers as R
+from quirelake.sources.tables import scratch
 
 # ---- task folders -------------------------------------------------------------
 
@@ -96,6 +98,20 @@ def test_the_right_list_is_picked(spark, tmp_path):
     assert items == [(0, "text", "é one", 2, None), (1, "table", None, None, ["T"])]
 
 
+def test_many_small_archives_take_few_tasks_and_batches(spark, tmp_path):
+    rows = spark.range(2500).selectExpr("cast(id as string) as name", "array(struct('content_list.json' as entry, concat('[', id, ']') as value)) as entries").repartition(2)
+    made = scratch(A.write_zips(rows, f"file://{tmp_path}/zips"), "archives")
+    entries = scratch(A.zip_entries(made), "entries")
+    texts = A.zip_texts(A.picked(entries))
+    assert texts.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    got = texts.join(made, "path").select("name", "value", "problem").collect()
+    assert sorted((int(r.name), r.value, r.problem) for r in got) == [(n, f"[{n}]", None) for n in range(2500)]
+    assert A.reading_tasks(rows, 10**6, 4) == 1000 and A.reading_tasks(rows, 3, 4) == 1
+    table = pa.table({"path": made.toPandas()["path"], "entry": ["content_list.json"] * 2500})
+    sizes = [b.num_rows for b in A._read(iter(table.to_batches()))]
+    assert sum(sizes) == 2500 and max(sizes) == A.BATCH_ROWS and len(sizes) == 3
+
+
 # ---- part chains -----------------------------------------------------------------
 
 
