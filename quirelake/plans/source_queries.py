@@ -13,17 +13,18 @@ from quirelake.plans.base import BLOCKS, LINES, line_blocks, lines, table
 from quirelake.plans.derived_queries import _trees
 from quirelake.sources import readers as R
 from quirelake.sources import writers as W
+from quirelake.sources.files import write_files
 from quirelake.sources.tables import fresh_folder
 from quirelake.streaming import watch
 
-_NAME = r"name=([^/]+)/"
+_NAME = r"name=([^/]+)\.txt$"
 
 
 def _files(rows: DataFrame, name: str) -> str:
-    """rows(name, value) as text files, one a folder; the path's pattern."""
+    """rows(name, value) as text files of one line; their folder."""
     root = fresh_folder(rows.sparkSession, name)
-    rows.write.partitionBy("name").text(root)
-    return f"{root}/name=*"
+    write_files(rows.select(F.concat(F.lit("name="), F.col("name").cast("string"), F.lit(".txt")).alias("name"), F.concat("value", F.lit("\n")).alias("value")), root)
+    return root
 
 
 def cache_files(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType, MapType, StringType
 
 from quirelake import schemas as S
 from quirelake.functions import text as T
+from quirelake.sources import files as many
 
 # ---- structured text -------------------------------------------------------
 
@@ -21,7 +22,7 @@ KINDS = {"paragraph": "paragraph", "heading": "heading", "caption": "caption", "
 
 def structured_text(spark: SparkSession, path: str) -> DataFrame:
     """Structured-text files as (path, doc): JSON files only (first byte a brace); others are left out."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = many.texts(spark, path)
     return files.where(F.ltrim(F.col("value")).startswith("{")).select("path", F.try_parse_json("value").alias("doc")).where("doc is not null")
 
 
@@ -171,23 +172,23 @@ def _struct(ddl: str) -> str:
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of files: path, sha."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha"))
+    return many.contents(many.files_below(spark, path, False)).select("path", F.sha2("content", 256).alias("sha"))
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """Files below a folder: path, modified, size. Contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return many.files_below(spark, path)
 
 
 def caches(spark: SparkSession, path: str) -> DataFrame:
     """Renderings in cache files of version 1: path, attachment, hash, META. Files of other versions, or that do not parse, give nothing."""
-    rows = spark.read.schema(S.CACHE_FILE).json(path, multiLine=True, mode="PERMISSIVE").withColumn("path", F.col("_metadata.file_path")).where("version = 1 and units is not null")
+    rows = many.json_rows(spark, path, _struct(S.CACHE_FILE)).where("version = 1 and units is not null")
     return rows.select("path", F.col("attachmentKey").alias("attachment"), F.explode("units").alias("hash", "u")).select("path", "attachment", "hash", "u.*")
 
 
 def delivered(spark: SparkSession, path: str) -> DataFrame:
     """Entries of result files, {id: text} or {"translations": [{id, zh}]}: file, pos, unit_id, zh. Half-written files give nothing until they are whole."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    files = many.texts(spark, path).select(F.col("path").alias("file"), F.try_parse_json("value").alias("v"))
     return entries(files)
 
 
@@ -424,8 +425,8 @@ def tool_models(caches_: DataFrame) -> DataFrame:
 
 def bench_runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs kept as JSON files (blind files and files without translations give nothing): spec, seconds, requests, unit_id, en, zh."""
-    kind = "spec string, seconds double, requests int, translations map<string, struct<en: string, zh: string>>"
-    rows = spark.read.schema(kind).json(path, multiLine=True).where(~F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).startswith("blind") & F.col("translations").isNotNull())
+    kind = "spec: string, seconds: double, requests: int, translations: map<string, struct<en: string, zh: string>>"
+    rows = many.json_rows(spark, path, kind).where(~F.element_at(F.split("path", "/"), -1).startswith("blind") & F.col("translations").isNotNull())
     return rows.select("spec", "seconds", "requests", F.explode("translations").alias("unit_id", "t")).select("spec", "seconds", "requests", "unit_id", "t.*")
 
 

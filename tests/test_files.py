@@ -13,7 +13,7 @@ from quirelake.operators import geometry as G
 from quirelake.operators import once
 from quirelake.operators import protocol as P
 from quirelake.sources import archives as A
-from quirelake.sources import folders, parses
+from quirelake.sources import files, folders, parses
 from quirelake.sources import readers as R
 from quirelake.sources.tables import scratch
 
@@ -284,3 +284,44 @@ def test_a_new_parse_makes_only_its_own_stale(spark, tmp_path):
 
     assert [r.attachment for r in parses.stale(built, now).collect()] == ["b"]
     assert sorted((r.attachment, r.v) for r in parses.refreshed(built, now, build).collect()) == [("a", 1), ("b", 2), ("c", 1), ("d", 2)] and asked == ["b", "d"]
+
+
+# ---- many small files -------------------------------------------------------------
+
+
+def test_files_are_written_listed_and_read_in_tasks(spark, tmp_path):
+    import hashlib
+
+    rows = spark.range(500).selectExpr("concat('a b%20', id, '.txt') as name", "if(id = 7, '', concat('é', id)) as value").repartition(3)
+    assert files.write_files(rows, str(tmp_path / "x")) == 500
+    folders_ = list((tmp_path / "x").glob("*/*"))
+    assert len(folders_) <= 3 and not list((tmp_path / "x").glob(".staging*"))  # no folder a file
+    (folders_[0] / "_hidden").write_text("no")
+    (folders_[0] / "sub").mkdir()
+    (folders_[0] / "sub" / "deep.txt").write_text("deep")
+    listed = {r.path.rsplit("/", 1)[1]: r.size for r in R.listed(spark, str(tmp_path / "x")).collect()}
+    want = {f"a b%20{i}.txt": "" if i == 7 else f"é{i}" for i in range(500)}
+    assert listed == {k: len(v.encode()) for k, v in want.items()} | {"deep.txt": 4}
+    hashes = R.file_hashes(spark, str(tmp_path / "x"))
+    assert {r.path.rsplit("/", 1)[1]: r.sha for r in hashes.collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}  # a folder that is no key=value is not gone into
+    texts = files.texts(spark, f"{tmp_path}/x/job=*/task=*")
+    assert {r.path.rsplit("/", 1)[1]: r.value for r in texts.collect()} == want | {"deep.txt": "deep"}
+    found = R.listed(spark, f"{folders_[0]}/sub/deep.txt").collect()
+    assert [(r.path, r.modified.timestamp() > 0) for r in found] == [(f"file:{folders_[0]}/sub/deep.txt", True)]
+    with pytest.raises(FileNotFoundError):
+        R.listed(spark, str(tmp_path / "none"))
+
+
+def test_a_failed_write_of_files_shows_none(spark, tmp_path):
+    rows = spark.range(10).selectExpr("concat('f', id) as name", "if(id = 9, raise_error('x'), 'v') as value").repartition(2)
+    with pytest.raises(Exception, match="x"):
+        files.write_files(rows, str(tmp_path / "y"))
+    (tmp_path / "y").mkdir(exist_ok=True)
+    assert R.listed(spark, str(tmp_path / "y")).count() == 0
+
+
+def test_json_files_of_objects_lists_and_nonsense(spark, tmp_path):
+    for name, text in (("a.json", '{"spec": "a", "requests": 1}'), ("b.json", ' [{"spec": "b"},\n {"spec": "c"}]'), ("c.json", "bad"), ("d.json", "")):
+        (tmp_path / name).write_text(text)
+    got = sorted((r.path.rsplit("/", 1)[1], r.spec or "", r.requests or 0) for r in files.json_rows(spark, str(tmp_path), "spec: string, requests: int").collect())
+    assert got == [("a.json", "a", 1), ("b.json", "b", 0), ("b.json", "c", 0), ("c.json", "", 0), ("d.json", "", 0)]
