@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,23 +109,90 @@ def decoded(text_map: str | None) -> list[tuple[int, float, float, float, float]
     return out
 
 
-@F.pandas_udf(RECTS_TYPE)
-def decode_text_map(maps: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """decoded() over a column."""
-    keys = ("page", "x1", "y1", "x2", "y2")
+#: Of the boxes of one text map: their pages, and x1, y1, x2, y2.
+Boxes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Boxes that a batch holds before it is handed on.
+BATCH_BOXES = 100_000
+_PLAIN = {int, float}
+
+
+def _boxes(chars: list[tuple]) -> Boxes:
+    columns = list(zip(*chars, strict=True)) or [()] * 5
+    return np.array(columns[0], np.int32), *(np.array(c, np.float64) for c in columns[1:])
+
+
+def decoded_columns(text_map: str | None) -> Boxes:
+    """decoded() as columns. Runs of numbers are summed as arrays, in the same order; maps with anything else go through decoded()."""
+    try:
+        runs = json.loads(text_map or "")
+    except ValueError:
+        return _boxes([])
+    out = []
+    for run in runs if isinstance(runs, list) else ():
+        if not isinstance(run, list) or len(run) < 6:
+            continue
+        widths = run[6:]
+        if type(run[0]) is not int or type(run[1]) is not int or not set(map(type, run[2:6])) <= _PLAIN:
+            return _boxes(decoded(text_map))
+        steps = np.zeros(2 * len(widths) + 1)
+        try:
+            plain = np.asarray(widths)
+        except ValueError:  # numbers and pairs
+            plain = None
+        if plain is not None and plain.ndim == 1 and plain.dtype.kind in "if":
+            steps[2::2] = plain
+        elif all(type(w) in _PLAIN or (type(w) is list and len(w) == 2 and set(map(type, w)) <= _PLAIN) for w in widths):
+            steps[1::2], steps[2::2] = zip(*(w if type(w) is list else (0, w) for w in widths), strict=True)
+        else:
+            return _boxes(decoded(text_map))
+        upright = run[0] >> 1 & 1
+        x1, y1, x2, y2 = map(float, run[2:6])
+        steps[0] = (x1, y1)[upright]
+        places = np.cumsum(steps)
+        a, b = (places[1::2], places[2::2]) if widths else (np.array([(x1, y1)[upright]]), np.array([(x2, y2)[upright]]))
+        n = len(a) - (run[0] & 1)
+        a, b = a[:n], b[:n]
+        if not (np.isfinite(a).all() and np.isfinite(b).all()):
+            kept = np.isfinite(a) & np.isfinite(b)
+            a, b = a[kept], b[kept]
+        full = lambda v: np.full(len(a), v)  # noqa: B023, E731
+        out.append((np.full(len(a), run[1], np.int32), *((full(x1), a, full(x2), b) if upright else (a, full(y1), b, full(y2)))))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else _boxes([])
+
+
+def _rects(rows: list[Boxes]) -> pa.Array:
+    """The boxes of each row as an array of rectangles."""
+    offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else _boxes([])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c) for c in columns], ["page", "x1", "y1", "x2", "y2"]))
+
+
+def _in_batches(rows: Iterator[Boxes]) -> Iterator[pa.Array]:
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += len(r[0]) + 1
+        if n >= BATCH_BOXES:
+            yield _rects(held)
+            held, n = [], 0
+    if held:
+        yield _rects(held)
+
+
+@F.arrow_udf(RECTS_TYPE)
+def decode_text_map(maps: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """decoded() over a column, handed on in batches of a bounded number of boxes."""
     for s in maps:
-        yield pd.Series([[dict(zip(keys, c, strict=True)) for c in decoded(t)] for t in s], dtype=object)
+        yield from _in_batches(decoded_columns(t.as_py()) for t in s)
 
 
-def rects_of_range(text: Column, chars: Column, start: Column, end: Column) -> Column:
-    """The boxes of the characters [start, end) of a text, whose characters other than white space own the boxes in order; null without any box."""
+def solid_range(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The characters other than white space before start and in [start, end) of a text; these own a text map's boxes in order."""
 
     def solid(c: Column) -> Column:
         return F.length(F.regexp_replace(c, T.WS, ""))
 
-    before = solid(F.substring(text, F.lit(1), start))
-    n = solid(F.substring(text, start + 1, end - start))
-    return F.when(F.size(chars) > 0, F.slice(chars, before + 1, n))
+    return solid(F.substring(text, F.lit(1), start)), solid(F.substring(text, start + 1, end - start))
 
 
 def lines_of(chars: list[tuple]) -> list[tuple]:
@@ -141,25 +209,55 @@ def lines_of(chars: list[tuple]) -> list[tuple]:
     return [(p, *line) for p in sorted(pages) for line in pages[p]]
 
 
-@F.pandas_udf(RECTS_TYPE)
-def merge_lines(chars: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _tuples(boxes: Boxes, start: int = 0, end: int | None = None) -> list[tuple]:
+    return list(zip(*(c[start:end].tolist() for c in boxes), strict=True))
+
+
+@F.arrow_udf(RECTS_TYPE)
+def merge_lines(chars: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """lines_of() over a column of array<rect>: pages ascending, lines in the order in which they began."""
-    keys = ("page", "x1", "y1", "x2", "y2")
     for s in chars:
-        yield pd.Series([[dict(zip(keys, r, strict=True)) for r in lines_of([tuple(c[k] for k in keys) for c in row])] if row is not None else [] for row in s], dtype=object)
+        yield from _in_batches(_boxes(lines_of([tuple(c.values()) for c in row.as_py() or ()])) for row in s)
+
+
+def lines_of_parts(parts: list[dict]) -> list[tuple] | None:
+    """The lines of a sentence's parts (seg_start, text_map, before, n): n characters of each text map, from the one after `before` on, in the order of seg_start; None without any positioned text."""
+    found = []
+    for p in parts:
+        boxes = decoded_columns(p["text_map"])
+        if len(boxes[0]):
+            found.append((p["seg_start"], _tuples(boxes, p["before"], p["before"] + p["n"])))
+    found.sort(key=itemgetter(0) if len({f[0] for f in found}) == len(found) else None)
+    return lines_of([c for _, chars in found for c in chars]) if found else None
+
+
+@F.arrow_udf(RECTS_TYPE)
+def merge_parts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """lines_of_parts() over a column; where there is no positioned text, one box without a page (null)."""
+    for s in parts:
+        rows = (lines_of_parts(row.as_py()) for row in s)
+        yield from _in_batches(_NONE if r is None else _boxes(r) for r in rows)
+
+
+#: Stands for a sentence without positioned text.
+_NONE = _boxes([(-1, math.nan, 0.0, 0.0, 0.0)])
 
 
 def sentence_boxes(sentences: DataFrame, segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lines of each sentence: doc_id, unit_id, lines. segments(doc_id, block_id, node_key, start, node_start, length), nodes(doc_id, node_key, text, text_map)."""
+    """Lines of each sentence: doc_id, unit_id, lines. segments(doc_id, block_id, node_key, start, node_start, length), nodes(doc_id, node_key, text, text_map).
+
+    Characters stay in their text maps through both shuffles, by node and by sentence; boxes are made where they are merged, and only lines leave the task.
+    """
     s = sentences.select("doc_id", "block_id", "unit_id", "start", "end").alias("s")
     g = segments.withColumnRenamed("start", "seg_start").alias("g")
     parts = s.join(g, ["doc_id", "block_id"]).withColumns({"a": F.greatest("start", "seg_start"), "b": F.least("end", F.col("seg_start") + F.col("length"))}).where("a < b")
     placed = parts.join(nodes, ["doc_id", "node_key"])
     shift = F.col("node_start") - F.col("seg_start")
-    boxes = rects_of_range(F.col("text"), decode_text_map("text_map"), F.col("a") + shift, F.col("b") + shift)
-    found = placed.select("doc_id", "unit_id", "seg_start", boxes.alias("r")).where("r is not null")
-    chars = found.groupBy("doc_id", "unit_id").agg(F.sort_array(F.collect_list(F.struct("seg_start", "r"))).alias("p"))
-    return chars.select("doc_id", "unit_id", merge_lines(F.flatten(F.transform("p", lambda p: p["r"]))).alias("lines"))
+    before, n = solid_range(F.col("text"), F.col("a") + shift, F.col("b") + shift)
+    found = placed.select("doc_id", "unit_id", "seg_start", "text_map", before.alias("before"), n.alias("n")).where("text_map is not null and before is not null and n is not null")
+    maps = found.groupBy("doc_id", "unit_id").agg(F.collect_list(F.struct("seg_start", "text_map", "before", "n")).alias("p"))
+    lines = maps.select("doc_id", "unit_id", merge_parts("p").alias("lines"))
+    return lines.where((F.size("lines") != 1) | ~F.isnan(F.col("lines")[0]["x1"]))
 
 
 def units_under(boxes: DataFrame, annotations: DataFrame, least: float = 0.3) -> DataFrame:
@@ -190,16 +288,28 @@ def sort_index(page: Column, offset: Column, top: Column) -> Column:
     return F.concat_ws("|", pad(page, 5), pad(offset, 6), pad(top, 5))
 
 
-@F.pandas_udf(RUNS_TYPE)
-def page_runs(maps: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(RUNS_TYPE)
+def page_runs(maps: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The pages of decoded() characters, in order, as runs (page, n)."""
     for s in maps:
-        yield pd.Series([[{"page": p, "n": sum(1 for _ in g)} for p, g in groupby(c[0] for c in decoded(t))] for t in s], dtype=object)
+        offsets, pages, numbers = [0], [], []
+        for t in s:
+            page = decoded_columns(t.as_py())[0]
+            starts = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]])) if len(page) else np.empty(0, np.int64)
+            pages.append(page[starts])
+            numbers.append(np.diff(np.append(starts, len(page))))
+            offsets.append(offsets[-1] + len(starts))
+        pages, numbers = (pa.array(np.concatenate(x or [[]]).astype(np.int32)) for x in (pages, numbers))
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pages, numbers], ["page", "n"]))
 
 
 def page_offsets(nodes: DataFrame) -> DataFrame:
     """Before each text node, the positioned characters of its page: nodes(doc_id, ord, node_key, text_map) → doc_id, node_key, page, before."""
-    per = nodes.select("doc_id", "ord", "node_key", F.inline(page_runs("text_map"))).groupBy("doc_id", "ord", "node_key", "page").agg(F.sum("n").alias("n"))
+    return _offsets(nodes.select("doc_id", "ord", "node_key", page_runs("text_map").alias("runs")))
+
+
+def _offsets(runs: DataFrame) -> DataFrame:
+    per = runs.select("doc_id", "ord", "node_key", F.inline("runs")).groupBy("doc_id", "ord", "node_key", "page").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("doc_id", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return per.select("doc_id", "node_key", "page", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
 
@@ -209,13 +319,16 @@ def position_offsets(positions: DataFrame, segments: DataFrame, nodes: DataFrame
 
     The page is that of the first positioned character at or after the position in its block; offset is 0 where there is none, and where the position's own text node has no character on that page.
     segments(doc_id, block_id, node_key, start, node_start, length), nodes(doc_id, ord, node_key, text, text_map). Characters stay runs in the row of their node: pages are counted by node, summed over the
-    nodes of a page, and what stands before a position in its own node is counted in its row.
+    nodes of a page, and what stands before a position in its own node is counted in its row. Text maps are read once, and only their runs of pages are written.
     """
+    from quirelake.sources.tables import scratch
+
+    runs = scratch(nodes.select("doc_id", "ord", "node_key", page_runs("text_map").alias("runs")), "runs")
 
     def solid(c: Column) -> Column:
         return F.length(F.regexp_replace(c, T.WS, ""))
 
-    seg = segments.withColumnRenamed("start", "at").join(nodes.select("doc_id", "node_key", "text", page_runs("text_map").alias("runs")), ["doc_id", "node_key"])
+    seg = segments.withColumnRenamed("start", "at").join(nodes.select("doc_id", "node_key", "text"), ["doc_id", "node_key"]).join(runs.drop("ord"), ["doc_id", "node_key"])
     seg = seg.withColumns({"a": solid(F.expr("substring(text, 1, node_start)")), "b": solid(F.expr("substring(text, 1, node_start + length)"))})
 
     def page_at(i: Column) -> Column:
@@ -233,5 +346,5 @@ def position_offsets(positions: DataFrame, segments: DataFrame, nodes: DataFrame
     own = positions.join(seg, ["doc_id", "block_id"]).where("start < at + length").groupBy("doc_id", "block_id", "start").agg(F.min_by(F.struct("at", "node_key", "text", "node_start", "runs", "b", "next"), "at").alias("s"))
     own = own.select("doc_id", "block_id", "start", "s.*").withColumn("i", solid(F.expr("substring(text, 1, node_start + greatest(0, start - at))")))
     own = own.withColumn("page", F.coalesce(F.when(F.col("i") < F.col("b"), page_at(F.col("i"))), "next")).withColumn("within", before_in_node(F.col("i"), F.col("page")))
-    found = own.join(page_offsets(nodes), ["doc_id", "node_key", "page"], "left").select("doc_id", "block_id", "start", "page", F.coalesce(F.col("before") + F.col("within"), F.lit(0)).alias("offset"))
+    found = own.join(_offsets(runs), ["doc_id", "node_key", "page"], "left").select("doc_id", "block_id", "start", "page", F.coalesce(F.col("before") + F.col("within"), F.lit(0)).alias("offset"))
     return positions.select("doc_id", "block_id", "start").distinct().join(found, ["doc_id", "block_id", "start"], "left").withColumn("offset", F.coalesce("offset", F.lit(0)))

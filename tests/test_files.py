@@ -325,3 +325,28 @@ def test_json_files_of_objects_lists_and_nonsense(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = sorted((r.path.rsplit("/", 1)[1], r.spec or "", r.requests or 0) for r in files.json_rows(spark, str(tmp_path), "spec: string, requests: int").collect())
     assert got == [("a.json", "a", 1), ("b.json", "b", 0), ("b.json", "c", 0), ("c.json", "", 0), ("d.json", "", 0)]
+
+
+def test_text_maps_as_columns_equal_one_at_a_time():
+    r = random.Random(5)
+    maps = [None, "", "bad", "{}", "[1, [2]]", "[[0,1,0,0,9,9]]", "[[1,1,0,0,9,9]]", "[[0,1,0,0,9,9,1,[2,3],NaN,1]]", "[[3,2,0,0,9,9,0.1,0.2,[0.3,0.7]],[0,3,1,1,2,2,5]]", '[["0",1,0,0,9,9,1]]', "[[0,1,0,0,9,9,Infinity,1]]"]
+    for _ in range(200):
+        maps.append(json.dumps([[r.randrange(8), r.randrange(4), *[r.uniform(0, 9) for _ in range(4)], *[r.choice([r.uniform(0, 3), r.randrange(4), [r.uniform(-1, 1), r.uniform(0, 2)]]) for _ in range(r.randrange(9))]] for _ in range(r.randrange(4))]))
+    for m in maps:
+        assert list(zip(*[c.tolist() for c in G.decoded_columns(m)], strict=True)) == [(p, *map(float, c)) for p, *c in G.decoded(m)], m
+
+
+def test_decoded_boxes_leave_in_bounded_batches():
+    long = json.dumps([[0, 0, 0, 0, 1, 1, *[1] * 30_000]])
+    sizes = [len(a.flatten()) for a in G._in_batches(G.decoded_columns(long) for _ in range(20))]
+    assert sum(sizes) == 600_000 and max(sizes) <= G.BATCH_BOXES + 30_000
+
+
+def test_sentences_keep_text_maps_until_their_lines(spark):
+    nodes = spark.createDataFrame([(1, "a", "ab cd", "[[0,0,0,0,4,10,1,1,1,1]]"), (1, "b", "ef", "[[0,0,4,0,6,10,1,1]]"), (1, "c", "gh", None), (1, "d", "ij", "[]")], "doc_id bigint, node_key string, text string, text_map string")
+    segments = spark.createDataFrame([(1, "x", "b", 5, 0, 2), (1, "x", "a", 0, 0, 5), (1, "x", "c", 7, 0, 2), (1, "y", "d", 0, 0, 2)], "doc_id bigint, block_id string, node_key string, start int, node_start int, length int")
+    units = spark.createDataFrame([(1, "x", "x:0", 3, 9), (1, "x", "x:1", 2, 3), (1, "x", "x:2", 7, 9), (1, "y", "y:0", 0, 2)], "doc_id bigint, block_id string, unit_id string, start int, end int")
+    out = G.sentence_boxes(units, segments, nodes)
+    assert {r.unit_id: [tuple(x) for x in r.lines] for r in out.collect()} == {"x:0": [(0, 2.0, 0.0, 6.0, 10.0)], "x:1": []}  # white space has a place, but no box
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "decode_text_map" not in plan  # no box is shuffled
