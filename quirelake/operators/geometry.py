@@ -264,14 +264,37 @@ def units_under(boxes: DataFrame, annotations: DataFrame, least: float = 0.3) ->
     """Sentences under annotations: annotation_id, doc_id, unit_id, where the shared area reaches a share of the sentence's lines on that page.
 
     boxes(doc_id, unit_id, lines); annotations(annotation_id, doc_id, page, rects, next_rects): next_rects continue on the next page.
+    A pair is judged in the row where the two meet, with all their rectangles of the page, and told on the first page that suffices: no pair is kept, sorted or grouped. The sentences of a page meet in
+    blocks of about UNITS_AT_ONCE, so that a page of any size is dealt out. The pairs themselves are the result.
     """
-    lines = boxes.select("doc_id", "unit_id", F.explode("lines").alias("l")).withColumn("page", F.col("l.page"))
-    total = lines.groupBy("doc_id", "unit_id", "page").agg(F.sum(area(F.col("l"))).alias("total"))
-    parts = annotations.select("annotation_id", "doc_id", "page", F.explode("rects").alias("q")).unionByName(
-        annotations.where("next_rects is not null").select("annotation_id", "doc_id", (F.col("page") + 1).alias("page"), F.explode("next_rects").alias("q"))
+    lines = boxes.select("doc_id", "unit_id", F.explode("lines").alias("r")).withColumn("page", F.col("r.page"))
+    parts = annotations.select("annotation_id", "doc_id", "page", F.explode("rects").alias("r")).unionByName(
+        annotations.where("next_rects is not null").select("annotation_id", "doc_id", (F.col("page") + 1).alias("page"), F.explode("next_rects").alias("r"))
     )
-    met = lines.join(parts, ["doc_id", "page"]).groupBy("annotation_id", "doc_id", "unit_id", "page").agg(F.sum(common_area(F.col("l"), F.col("q"))).alias("shared"))
-    return met.join(total, ["doc_id", "unit_id", "page"]).where((F.col("total") > 0) & (F.col("shared") / F.col("total") >= least)).select("annotation_id", "doc_id", "unit_id").distinct()
+    lines, parts = _by_page(lines, "unit_id"), _by_page(parts, "annotation_id")
+    blocks = lines.groupBy("doc_id", "page").agg(F.ceil(F.count("*") / UNITS_AT_ONCE).cast("int").alias("blocks"))
+    units = lines.join(blocks, ["doc_id", "page"]).select("doc_id", "page", F.pmod(F.xxhash64("unit_id"), "blocks").cast("int").alias("block"), "unit_id", F.col("here").alias("l"), F.col("earlier").alias("l0"))
+    notes = parts.join(blocks, ["doc_id", "page"]).select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "annotation_id", F.col("here").alias("q"), F.col("earlier").alias("q0"))
+
+    def enough(ls: Column, qs: Column) -> Column:
+        total = F.aggregate(ls, F.lit(0.0), lambda x, r: x + area(r))
+        shared = F.aggregate(ls, F.lit(0.0), lambda x, r: F.aggregate(qs, x, lambda y, q: y + common_area(r, q)))
+        return (total > 0) & (shared / total >= least)
+
+    told = F.exists("l0", lambda a: F.exists("q0", lambda b: (a["page"] == b["page"]) & enough(a["here"], b["here"])))
+    met = notes.join(units.hint("merge"), ["doc_id", "page", "block"]).where(enough(F.col("l"), F.col("q"))).where(~told)
+    return met.select("annotation_id", "doc_id", "unit_id")
+
+
+#: Sentences of a page that a join's group holds.
+UNITS_AT_ONCE = 10_000
+
+
+def _by_page(rects: DataFrame, name: str) -> DataFrame:
+    """rects(doc_id, name, page, r) as a row a page: here, and earlier, the rectangles of the pages before it by page."""
+    pages = rects.where("page is not null").groupBy("doc_id", name, "page").agg(F.collect_list("r").alias("here"))
+    whole = pages.groupBy("doc_id", name).agg(F.collect_list(F.struct("page", "here")).alias("all")).select("doc_id", name, "all", F.explode("all").alias("p"))
+    return whole.select("doc_id", name, "p.page", "p.here", F.filter("all", lambda a: a["page"] < F.col("p.page")).alias("earlier"))
 
 
 def rounded(c: Column) -> Column:

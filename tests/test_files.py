@@ -350,3 +350,46 @@ def test_sentences_keep_text_maps_until_their_lines(spark):
     assert {r.unit_id: [tuple(x) for x in r.lines] for r in out.collect()} == {"x:0": [(0, 2.0, 0.0, 6.0, 10.0)], "x:1": []}  # white space has a place, but no box
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "decode_text_map" not in plan  # no box is shuffled
+
+
+def test_units_under_annotations_of_two_pages_once_and_in_blocks(spark, monkeypatch):
+    rect = "array<struct<page:int,x1:double,y1:double,x2:double,y2:double>>"
+    r = random.Random(8)
+
+    def boxes(page, n):
+        return [(page, x := r.uniform(0, 9), y := r.uniform(0, 9), x + r.uniform(0, 5), y + r.uniform(0, 5)) for _ in range(n)]
+
+    units = [(d, f"u{i}", boxes(i % 3, 2) + boxes(i % 3 + 1, r.randrange(3))) for d in range(2) for i in range(40)] + [(0, "none", [])]
+    notes = [(i, i % 2, i % 4, boxes(i % 4, 2), boxes(i % 4 + 1, 2) if i % 3 else None) for i in range(30)] + [(3, 1, 2, boxes(2, 1), None)]
+    cut = lambda a, b: max(0.0, min(a[3], b[3]) - max(a[1], b[1])) * max(0.0, min(a[4], b[4]) - max(a[2], b[2]))
+    want = set()
+    for a, d, _, _, _ in notes:
+        quads = [(p, q) for b, e, page, now, then in notes if (b, e) == (a, d) for p, qs in ((page, now), (page + 1, then or [])) for q in qs]
+        for doc, u, ls in units:
+            for page in {x[0] for x in ls} if doc == d else ():
+                here = [x for x in ls if x[0] == page]
+                total = sum((x[3] - x[1]) * (x[4] - x[2]) for x in here)
+                if total > 0 and sum(cut(x, q) for x in here for p, q in quads if p == page) / total >= 0.3:
+                    want.add((a, d, u))
+    left = spark.createDataFrame(units, f"doc_id bigint, unit_id string, lines {rect}")
+    right = spark.createDataFrame(notes, f"annotation_id bigint, doc_id bigint, page int, rects {rect}, next_rects {rect}")
+    for size in (10_000, 3):
+        monkeypatch.setattr(G, "UNITS_AT_ONCE", size)
+        out = G.units_under(left, right)
+        assert sorted(tuple(x) for x in out.collect()) == sorted(want) and len(want) > 50
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # nothing is grouped after the pairs have met
+
+
+def test_part_chains_broadcast_nothing(spark, monkeypatch):
+    seen = []
+    from quirelake.sources import tables
+
+    def noted(df, name, write=tables.scratch):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(tables, "scratch", noted)
+    link = {(0, str(k)): str(k + 1) for k in range(20)}
+    assert chains(spark, [(0, "0")], link) == plain_chains([(0, "0")], link)
+    assert seen and not any("BroadcastHashJoin" in p for p in seen)
