@@ -79,21 +79,21 @@ def part_chains(heads: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each head (doc_id, key) with the parts that continue it: doc_id, head, hop, key. A chain ends at a missing node and where it would come back to one it holds.
 
     Pointers are doubled: a round knows where 2**k steps lead, adds them to all places found so far, and keeps the first visit of each part; it ends when a round finds no new part. A chain of n parts
-    takes log2(n) + 1 rounds, a cycle of n parts as many, and what is written in all rounds is some twice the result.
+    takes log2(n) + 1 rounds, a cycle of n parts as many, and what is written in all rounds is some twice the result. All its joins are shuffled: small as the files of pointers are, none goes through the driver.
     """
     from quirelake.sources.tables import scratch
 
     link = nodes.where("not is_text").select("doc_id", "key", F.when(F.col("next_part") != "", F.col("next_part")).alias("to"))
-    jump = scratch(link.where("to is not null").join(link.select("doc_id", F.col("key").alias("to")), ["doc_id", "to"], "left_semi").select("doc_id", "key", "to"), "jump")
+    jump = scratch(link.where("to is not null").join(link.select("doc_id", F.col("key").alias("to")).hint("merge"), ["doc_id", "to"], "left_semi").select("doc_id", "key", "to"), "jump")
     found = scratch(heads.select("doc_id", F.col("key").alias("head"), F.lit(0).cast("bigint").alias("hop"), "key"), "parts")
     n = found.count()
     for k in count():
-        further = found.join(jump, ["doc_id", "key"]).select("doc_id", "head", (F.col("hop") + (1 << k)).alias("hop"), F.col("to").alias("key"))
+        further = found.join(jump.hint("merge"), ["doc_id", "key"]).select("doc_id", "head", (F.col("hop") + (1 << k)).alias("hop"), F.col("to").alias("key"))
         found = scratch(found.unionByName(further).groupBy("doc_id", "head", "key").agg(F.min("hop").alias("hop")), "parts")
         before, n = n, found.count()
         if n == before:
             return found.select("doc_id", "head", F.col("hop").cast("int").alias("hop"), "key")
-        jump = scratch(jump.join(jump.select("doc_id", F.col("key").alias("to"), F.col("to").alias("end")), ["doc_id", "to"]).select("doc_id", "key", F.col("end").alias("to")), "jump")
+        jump = scratch(jump.join(jump.select("doc_id", F.col("key").alias("to"), F.col("to").alias("end")).hint("merge"), ["doc_id", "to"]).select("doc_id", "key", F.col("end").alias("to")), "jump")
 
 
 def sdt_blocks(docs: DataFrame) -> DataFrame:
