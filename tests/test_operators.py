@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,33 @@ def test_alignment_in_spark_equals_the_kernel(spark):
     assert align.align_blocks(frame, other).where("doc_id is null").count() > 5 and align.align_blocks(frame, other.where("false")).count() == 0
 
 
+def test_alignment_runs_over_sorted_partitions(spark):
+    """Documents share batches of rows: none costs a group of its own, and both parses come in one shuffle."""
+    frame = spark.createDataFrame([(1, 0, "b0", "paragraph", "Some words of a text.")], "doc_id bigint, ord bigint, block_id string, kind string, text string")
+    plan = align.align_blocks(frame, frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_matched_equals_single_anchors():
+    """Anchors one after another, each grown a character at a time."""
+    rng = random.Random(11)
+    for _ in range(300):
+        s = [rng.randrange(rng.choice((2, 36))) for _ in range(rng.randint(0, 60))]
+        m = s[rng.randint(0, 9) :] + s[: rng.randint(0, 30)] + [rng.randrange(3) for _ in range(rng.randint(0, 9))]
+        runs = [[tuple(x[i : i + 3]) for i in range(len(x) - 2)] for x in (m, s)]
+        to, back = [-1] * len(m), [-1] * len(s)
+        for a, run in enumerate(runs[0]):
+            if runs[0].count(run) != 1 or runs[1].count(run) != 1:
+                continue
+            b = runs[1].index(run)
+            if to[a] >= 0 or back[b] >= 0:
+                continue
+            for step, x, y in ((-1, a - 1, b - 1), (1, a, b)):
+                while 0 <= x < len(m) and 0 <= y < len(s) and m[x] == s[y] and to[x] < 0 and back[y] < 0:
+                    to[x], back[y], x, y = y, x, x + step, y + step
+        assert align.matched(np.array(m, np.int64), np.array(s, np.int64), 3).tolist() == to
+
+
 def test_lines():
     line = [(0, float(x), 10.0, float(x + 5), 20.0) for x in (0, 6, 12)]
     assert G.lines_of([*line, (0, 100.0, 10.0, 105.0, 20.0), (1, 0.0, 0.0, 5.0, 5.0), (0, 18.0, 11.0, 22.0, 20.0)]) == [(0, 0.0, 10.0, 22.0, 20.0), (0, 100.0, 10.0, 105.0, 20.0), (1, 0.0, 0.0, 5.0, 5.0)]
