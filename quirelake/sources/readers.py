@@ -27,52 +27,54 @@ def structured_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sdt_nodes(docs: DataFrame) -> DataFrame:
-    """Trees (doc_id, doc VARIANT) → one row a node: doc_id, path, key, parent, type, is_text, flow, reference, previous_part, next_part, text, style, rects, text_map, n_children.
+    """Trees (doc_id, doc VARIANT) → one row a node: doc_id, path, key, parent, type, is_text, flow, reference, previous_part, next_part, text, style, rects, text_map, n_children, and
+    outline, the document's (JSON) in the row of its first node.
 
-    The walk goes down level by level: each step explodes the children of all documents at once, until none is left; its depth is that of the deepest tree.
+    The walk goes down level by level: each step explodes the children of all documents at once, until none is left; its depth is that of the deepest tree. What is known of a node is read from its
+    tree once, and written with what lies below it; the rows that come back hold no trees.
     """
     from quirelake.sources.tables import scratch
 
-    level = docs.select("doc_id", F.col("doc").alias("n"), F.array().cast("array<int>").alias("path"))
-    out = None
-    while True:
-        kids = F.try_variant_get("n", "$.content", "array<variant>")
-        level = scratch(level.select("doc_id", F.posexplode(kids).alias("i", "n"), "path").select("doc_id", "n", F.concat("path", F.array("i")).alias("path")), "level")
-        if level.isEmpty():
-            break
-        out = level if out is None else out.unionByName(level)
-    if out is None:
-        out = level
-
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get("n", path, kind)
 
     style = F.struct(*[F.coalesce(get(f"$.style.{k}", "boolean"), F.lit(False)).alias(k) for k in ("bold", "italic", "sub", "sup", "monospace")])
     rects = F.transform(F.coalesce(get("$.anchor.pageRects", "array<array<double>>"), F.array().cast("array<array<double>>")), lambda r: F.struct(r[0].cast("int").alias("page"), *[r[i].alias(k) for i, k in ((1, "x1"), (2, "y1"), (3, "x2"), (4, "y2"))]))
-    return out.select(
+    known = [
         "doc_id", "path", F.array_join(F.col("path").cast("array<string>"), ".").alias("key"), F.array_join(F.slice("path", 1, F.size("path") - 1).cast("array<string>"), ".").alias("parent"),
         get("$.type", "string").alias("type"), (get("$.text", "string").isNotNull() & get("$.type", "string").isNull()).alias("is_text"), get("$.flowClass", "string").alias("flow"),
         F.coalesce(get("$.reference", "boolean"), F.lit(False)).alias("reference"), get("$.previousPart", "array<int>").alias("previous_part"), F.array_join(get("$.nextPart", "array<string>"), ".").alias("next_part"),
         get("$.text", "string").alias("text"), style.alias("style"), rects.alias("rects"), get("$.anchor.textMap", "string").alias("text_map"), F.coalesce(F.size(get("$.content", "array<variant>")), F.lit(0)).alias("n_children"),
-    )
+    ]
+    below = docs.select("doc_id", F.try_variant_get("doc", "$.content", "variant").alias("content"), F.array().cast("array<int>").alias("path"), F.to_json(F.try_variant_get("doc", "$.catalog.outline", "variant")).alias("outline"))
+    out = None
+    while True:
+        kids = below.select("doc_id", F.posexplode(F.try_variant_get("content", "$", "array<variant>")).alias("i", "n"), "path", "outline")
+        level = scratch(kids.select("doc_id", "n", F.concat("path", F.array("i")).alias("path"), F.when(F.col("i") == 0, F.col("outline")).alias("outline")).select(*known, "outline", get("$.content", "variant").alias("content")), "level")
+        if out is not None and level.isEmpty():
+            return out
+        out = level.drop("content") if out is None else out.unionByName(level.drop("content"))
+        below = level.where("content is not null").select("doc_id", "content", "path", F.lit(None).cast("string").alias("outline"))
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
-    """Nodes that become blocks, in reading order: doc_id, ord, key, path, kind.
+    """Nodes that become blocks, in reading order: doc_id, ord, key, path, kind, reference.
 
     Excluded subtrees, and parts that continue another block, go; images and tables are leaves, and so are text kinds with only text below.
     Whether an ancestor stops the walk is an anti-join on the keys of ancestors.
     """
+    from quirelake.sources.tables import scratch
+
     text_kids = nodes.where("is_text").groupBy("doc_id", F.col("parent").alias("key")).agg(F.count("*").alias("t"))
     n = nodes.where("not is_text").join(text_kids, ["doc_id", "key"], "left")
     kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     kind = F.when(F.col("type").isin("image", "table"), F.col("type")).when((F.col("n_children") == 0) | (F.coalesce("t", F.lit(0)) == F.col("n_children")), F.try_element_at(kinds, "type"))
-    n = n.withColumns({"kind": kind, "gone": (F.coalesce("flow", F.lit("")) == "excluded") | F.col("previous_part").isNotNull()})
+    n = scratch(n.select("doc_id", "key", "path", kind.alias("kind"), ((F.coalesce("flow", F.lit("")) == "excluded") | F.col("previous_part").isNotNull()).alias("gone"), "reference"), "walk")
     stops = n.where("gone or kind is not null").select("doc_id", F.col("key").alias("ancestor"))
     above = n.select("doc_id", "key", F.explode_outer(F.expr("transform(sequence(1, size(path) - 1), i -> array_join(cast(slice(path, 1, i) as array<string>), '.'))")).alias("ancestor")).where("ancestor is not null and size(split(key, '[.]')) > 1")
     hidden = above.join(stops, ["doc_id", "ancestor"]).select("doc_id", "key").distinct()
     rows = n.where("not gone and kind is not null").join(hidden, ["doc_id", "key"], "left_anti")
-    return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).cast("bigint").alias("ord"), "key", "path", "kind")
+    return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).cast("bigint").alias("ord"), "key", "path", "kind", "reference")
 
 
 def part_chains(heads: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -98,11 +100,18 @@ def part_chains(heads: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def sdt_blocks(docs: DataFrame) -> DataFrame:
     """Structured text (doc_id, doc VARIANT) → blocks, with segments (node_key, start, length) into their text nodes, before tagging and merging."""
+    from quirelake.sources.tables import scratch
+
     nodes = sdt_nodes(docs)
-    flat = flattened(nodes)
+    flat = scratch(flattened(nodes), "flat")
     parts = part_chains(flat, nodes)
     texts = nodes.where("is_text and text <> ''").select("doc_id", F.col("parent").alias("key"), F.element_at("path", -1).alias("i"), F.col("key").alias("node_key"), "text", "style")
-    pieces = parts.join(texts, ["doc_id", "key"]).groupBy("doc_id", "head").agg(F.sort_array(F.collect_list(F.struct("hop", "i", "node_key", "text", "style"))).alias("p"))
+    own = nodes.where("not is_text").select("doc_id", "key", "rects")
+    # a part meets its texts and its own row (where i is null) in one join
+    held = parts.join(texts.unionByName(own, allowMissingColumns=True), ["doc_id", "key"]).groupBy("doc_id", F.col("head").alias("key")).agg(*[
+        F.sort_array(F.collect_list(F.when(kept, F.struct(*columns)))).alias(name)
+        for name, kept, columns in (("p", F.col("i").isNotNull(), ("hop", "i", "node_key", "text", "style")), ("r", F.col("i").isNull(), ("hop", "rects")), ("k", F.col("i").isNull(), ("hop", "key")))
+    ])
     start = F.struct(F.lit("").alias("text"), F.array().cast(f"array<struct<node_key:string,start:int,length:int,style:{S.STYLE}>>").alias("segments"))
 
     def glue(a: Column, p: Column) -> Column:
@@ -111,10 +120,9 @@ def sdt_blocks(docs: DataFrame) -> DataFrame:
         seg = F.struct(p["node_key"].alias("node_key"), F.length(before).alias("start"), F.length(p["text"]).alias("length"), p["style"].alias("style"))
         return F.struct(F.concat(before, p["text"]).alias("text"), F.concat(a["segments"], F.array(seg)).alias("segments"))
 
-    body = pieces.select("doc_id", F.col("head").alias("key"), F.aggregate("p", start, glue).alias("b"))
-    boxes = parts.join(nodes.select("doc_id", "key", "rects"), ["doc_id", "key"]).groupBy("doc_id", F.col("head").alias("key")).agg(F.sort_array(F.collect_list(F.struct("hop", "rects"))).alias("r"), F.sort_array(F.collect_list(F.struct("hop", "key"))).alias("k"))
-    levels = docs.select("doc_id", F.explode(outline_levels(F.col("doc"))).alias("key", "level"))
-    rows = flat.join(body, ["doc_id", "key"], "left").join(boxes, ["doc_id", "key"], "left").join(levels, ["doc_id", "key"], "left").join(nodes.select("doc_id", "key", "reference"), ["doc_id", "key"])
+    body = held.select("doc_id", "key", "r", "k", F.when(F.size("p") > 0, F.aggregate("p", start, glue)).alias("b"))
+    levels = nodes.where("outline is not null").select("doc_id", F.explode(_levels("outline")).alias("key", "level"))
+    rows = flat.join(body, ["doc_id", "key"], "left").join(levels, ["doc_id", "key"], "left")
     role = F.when(F.col("kind") == "caption", "caption").when(F.col("reference"), "reference")
     return rows.select(
         "doc_id", "ord", F.col("key").alias("block_id"), "kind", F.when(F.col("kind") == "heading", F.coalesce("level", F.lit(2))).cast("int").alias("level"), role.alias("role"), F.coalesce("b.text", F.lit("")).alias("text"),

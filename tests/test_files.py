@@ -393,3 +393,11 @@ def test_part_chains_broadcast_nothing(spark, monkeypatch):
     link = {(0, str(k)): str(k + 1) for k in range(20)}
     assert chains(spark, [(0, "0")], link) == plain_chains([(0, "0")], link)
     assert seen and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_trees_are_read_once(spark):
+    """What the blocks of structured text need of its trees is read on the walk; the plan that is left joins parts once, with their texts and boxes together."""
+    tree = '{"catalog":{"outline":[{"ref":[0]}]},"content":[{"type":"heading","content":[{"text":"A"}]},{"type":"paragraph","content":[]}]}'
+    out = R.sdt_blocks(spark.sql(f"select 1 as doc_id, parse_json('{tree}') as doc"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+    assert [(r.kind, r.level, r.text, r.segments and len(r.segments)) for r in out.orderBy("ord").collect()] == [("heading", 1, "A", 1), ("paragraph", None, "", None)]
