@@ -25,54 +25,57 @@ def content_hash(annotations: dict[str, str]) -> str:
 
 
 class Feed(StatefulProcessor):
-    """One attachment: pending events by (time, seq), annotations by key, and the hash told last."""
+    """One attachment: pending events, annotations, and the hash told last. Each state is read and written whole, in one call a batch, and of the ends of bursts only the first has a timer."""
 
     def __init__(self, quiet: int = QUIET) -> None:
         self.quiet = quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "ms bigint, seq bigint", "annotation string, content string")
-        self.content = handle.getMapState("content", "annotation string", "content string")
+        self.pending = handle.getListState("pending", "ms bigint, seq bigint, annotation string, content string")
+        self.content = handle.getListState("content", "annotation string, content string")
         self.told = handle.getValueState("told", "hash string")
 
+    def _ends(self, events: list[tuple]) -> Iterator[int]:
+        """Which events, in order, end a burst: no other follows within the quiet time."""
+        return (i for i, e in enumerate(events) if i + 1 == len(events) or events[i + 1][0] - e[0] >= self.quiet)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = sorted(((r.ms, r.seq, r.annotation, r.content) for r in rows), key=lambda x: x[:2])
-        for ms, seq, annotation, content in new:
-            self.pending.updateValue((ms, seq), (annotation, content))
-        # a timer where a burst of these events ends; the ends of others are followed too soon to count
-        for (ms, *_), after in zip(new, [*new[1:], None], strict=True):
-            if after is None or after[0] - ms >= self.quiet:
-                self.handle.registerTimer(ms + self.quiet)
+        self.pending.appendList(new)
+        # an end of all pending events is one of the new events, or was one before them, so none comes before the first of either
+        self.handle.registerTimer(new[next(self._ends(new))][0] + self.quiet)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = timerValues.getCurrentWatermarkInMs()  # no event at or before it can come any more
-        events = sorted(((k[0], k[1], v[0], v[1]) for k, v in self.pending.iterator()), key=lambda x: x[:2])
-        ends = [i for i, e in enumerate(events) if e[0] + self.quiet <= known and (i + 1 == len(events) or events[i + 1][0] - e[0] >= self.quiet)]
+        events = [(*k, *v) for k, v in sorted({tuple(e[:2]): tuple(e[2:]) for e in self.pending.get()}.items())]
+        if not events:
+            return iter([])
+        every = list(self._ends(events))
+        ends = [i for i in every if events[i][0] + self.quiet <= known]
+        if len(ends) < len(every):
+            self.handle.registerTimer(events[every[len(ends)]][0] + self.quiet)
         if not ends:
             return iter([])
-        now = {k[0]: v[0] for k, v in self.content.iterator()}
+        now = dict(tuple(e) for e in self.content.get())
         last, out, at = (self.told.get() or [None])[0], [], 0
-        touched = set()
         for end in ends:
-            for ms, seq, annotation, content in events[at : end + 1]:
-                touched.add(annotation)
+            for _, _, annotation, content in events[at : end + 1]:
                 if content is None:
                     now.pop(annotation, None)
                 else:
                     now[annotation] = content
-                self.pending.removeKey((ms, seq))
             at = end + 1
             h = content_hash(now)
             if h != last:
                 out.append(Row(attachment=key[0], at=events[end][0], annotations=len(now), hash=h))
                 last = h
-        for annotation in touched:
-            if annotation in now:
-                self.content.updateValue((annotation,), (now[annotation],))
-            elif self.content.containsKey((annotation,)):
-                self.content.removeKey((annotation,))
+        for state, left in ((self.pending, events[at:]), (self.content, list(now.items()))):
+            if left:
+                state.put(left)
+            else:
+                state.clear()
         if out:
             self.told.update((last,))
         return iter(out)

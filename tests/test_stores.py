@@ -176,6 +176,55 @@ def test_events_out_of_order_within_the_delay(spark, tmp_path):
     assert got == plain_feed(events, 300, 7000) and [g[1] for g in got] == [250, 700, 5000]
 
 
+class Counted:
+    """The states and timers of one attachment in memory, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.timers, self.rows = 0, set(), {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        return State(self, name)
+
+    getMapState = getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.add(ms)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+        handle.rows[name] = []
+
+    def __getattr__(self, call):
+        def run(*args):
+            self.handle.calls += 1
+            held = self.handle.rows[self.name]
+            if call == "get":
+                return iter(held) if self.name != "told" else held or None
+            self.handle.rows[self.name] = [] if call == "clear" else held + args[0] if call == "appendList" else args[0]
+
+        return run
+
+
+def test_the_feed_takes_few_calls_however_many_events(spark):
+    """One attachment with 400 events in 200 bursts: some ten calls to its state, and what is told equals a plain replay."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    events = [(1, f"n{i % 3}", 1000 * (i // 2), i, "xyz"[i % 7 % 3] if i % 5 else None) for i in range(400)]
+    handle, feed, got = Counted(), changes.Feed(300), []
+    feed.init(handle)
+    feed.handleInputRows((1,), iter([Row(ms=e[2], seq=e[3], annotation=e[1], content=e[4]) for e in events]), None)
+    for known in (50_300, 199_300):
+        assert min(handle.timers) <= known
+        handle.timers = {t for t in handle.timers if t > known}
+        got += [tuple(r) for r in feed.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda known=known: known), None)]
+    assert got == plain_feed(events, 300, 199_300) and handle.calls < 20 and handle.rows["pending"] == []
+
+
 # ---- jobs over a folder --------------------------------------------------------
 
 
