@@ -50,17 +50,23 @@ def _bucket(keys: list[str], buckets: int) -> Column:
 
 
 def _write(rows: DataFrame, root: str) -> str:
-    """Rows with a bucket as a segment, a file a bucket."""
+    """Rows with a bucket, dealt out by it, as a segment, a file a bucket."""
     name = f"d-{uuid.uuid4().hex}"
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/data/segment={name}")
+    rows.write.partitionBy("bucket").parquet(f"{root}/data/segment={name}")
     return name
 
 
 def _present(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row a key, the greatest by order; ties go to the greatest row."""
-    rest = [c for c in rows.columns if c not in keys]
+    """Rows with a bucket: one a key, the greatest by order; ties go to the greatest row. A bucket holds all rows of its keys, so that rows are dealt out by it once, for this and for the write."""
+    rest = [c for c in rows.columns if c not in (*keys, "bucket")]
     best = F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("r"))).alias("best")
-    return rows.groupBy(*keys).agg(best).select(*keys, "best.r.*")
+    return rows.repartition("bucket").groupBy("bucket", *keys).agg(best).select("bucket", *keys, "best.r.*")
+
+
+def _newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows of segments: one a key, the greatest by order, which differs between the rows of a key. Columns that nobody reads are neither read nor shuffled."""
+    by = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return rows.groupBy(*keys).agg(*[F.max_by(c, by).alias(c) for c in rows.columns if c not in keys])
 
 
 def append_delta(new: DataFrame, root: str, keys: list[str], by: tuple[str, ...] = ("t",), buckets: int = BUCKETS, writer: str | None = None, batch: int | None = None, replace: bool = False) -> bool:
@@ -78,7 +84,7 @@ def append_delta(new: DataFrame, root: str, keys: list[str], by: tuple[str, ...]
         return False
     n = state["buckets"] or buckets
     rows = new if "gone" in new.columns else new.withColumn("gone", F.lit(False))
-    rows = _present(rows, keys, _order(by)).withColumn("bucket", _bucket(keys, n))
+    rows = _present(rows.withColumn("bucket", _bucket(keys, n)), keys, _order(by))
     name = _write(rows, root)
 
     def change(s: dict) -> dict | None:
@@ -109,7 +115,7 @@ def current(spark: SparkSession, root: str, keys: list[str], by: tuple[str, ...]
     _, state = _state(spark, root)
     if not state["segments"]:
         return None
-    rows = _present(_rows(spark, root, state["segments"]), keys, [*_order(by), -F.col("seq")])
+    rows = _newest(_rows(spark, root, state["segments"]), keys, [*_order(by), -F.col("seq")])
     return rows.where("not gone").drop("gone", "bucket", "seq")
 
 

@@ -42,8 +42,9 @@ def stale(built: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def to_build(built: DataFrame, present: DataFrame) -> DataFrame:
-    """Present parses that nothing is built from yet: COLUMNS."""
-    return present.join(built.select("attachment", "parse_key").distinct(), ["attachment", "parse_key"], "left_anti").select(*COLUMNS)
+    """Present parses that nothing is built from yet: COLUMNS. They meet the keys of what is built by attachment, as they are dealt out already."""
+    known = built.where("parse_key is not null").groupBy("attachment").agg(F.collect_set("parse_key").alias("known"))
+    return present.join(known, "attachment", "left").where(~F.coalesce(F.array_contains("known", F.col("parse_key")), F.lit(False))).select(*COLUMNS)
 
 
 def refreshed(built: DataFrame, present: DataFrame, build) -> DataFrame:

@@ -108,6 +108,22 @@ def test_writers_that_meet_lose_nothing(spark, tmp_path, monkeypatch):
     assert not writers.publish(spark, root, 1, "{}")  # a pointer is made once
 
 
+def test_what_nobody_reads_of_a_store_is_not_shuffled(spark, tmp_path):
+    """Keys and small columns of a store are read without its texts, and what is to be built meets what is built without another shuffle of texts."""
+    from quirelake.sources import parses
+
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, "p", f"s{i}", "long text", 1) for i in range(20)], "attachment bigint, provider string, pdf_sha string, content string, completed_at bigint")
+    parses.store_parses(rows, root, 2)
+    parses.store_parses(rows.where("attachment < 5").withColumn("content", F.lit("new")).withColumn("completed_at", F.lit(2).cast("bigint")), root)
+    now = parses.parses(spark, root)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(content" in plan(now) and "max_by(content" not in plan(now.select("attachment", "parse_key"))
+    built = now.select("attachment", "parse_key").where("attachment > 2")
+    assert sorted(r.attachment for r in parses.to_build(built, now).collect()) == [0, 1, 2]
+    assert sorted((r.attachment, r.content) for r in now.where("attachment in (1, 9)").collect()) == [(1, "new"), (9, "long text")]
+
+
 # ---- the feed of changes -------------------------------------------------------
 
 EVENTS = "attachment bigint, annotation string, time timestamp, seq bigint, content string"
