@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
-from operator import itemgetter
+from functools import reduce
+from operator import and_, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,29 @@ def match_boxes(blocks: DataFrame, items: DataFrame, least: float = 0.5, fragmen
 
     blocks(doc_id, ord, block_id, kind, text, rects) and items(doc_id, ord, kind 'equation' | 'table', rect) share their coordinates. A formula block takes the equation,
     a table or image block the table of the largest overlap of at least `least`; the first block to take an item owns it, later ones are covered
-    by the owner. Short text that lies in an owned equation is covered too. The join is by document and page.
+    by the owner. Short text that lies in an owned equation is covered too. The join is by document and page, where items meet in blocks of about ITEMS_AT_ONCE. Pairs are judged where they meet, and
+    neither kept, sorted nor shuffled: the first time they give each rectangle's largest score, the second time the first item that reaches it.
     """
     want = F.when(F.col("kind").isin("table", "image"), "table").otherwise("equation")
     rects = blocks.where(F.col("kind").isin("math", "table", "image") | (F.length("text") <= fragment_chars)).select(
         "doc_id", F.col("ord").alias("block_ord"), "block_id", F.col("kind").alias("block_kind"), want.alias("item_kind"), F.posexplode("rects").alias("rect_ord", "a")
     )
-    things = items.select("doc_id", F.col("ord").alias("item_ord"), F.col("kind").alias("item_kind"), F.col("rect").alias("b"))
-    near = rects.withColumn("page", F.col("a.page")).join(things.withColumn("page", F.col("b.page")), ["doc_id", "page", "item_kind"])
-    scored = near.withColumn("score", overlap(F.col("a"), F.col("b"))).where("score > 0")
-    best = F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy(F.desc("score"), "rect_ord", "item_ord"))
-    top = scored.withColumn("n", best).where("n = 1").select("doc_id", "block_ord", "block_id", "block_kind", "item_ord", "score")
+    rects = rects.withColumn("page", F.col("a.page"))
+    things = items.select("doc_id", F.col("ord").alias("item_ord"), F.col("kind").alias("item_kind"), F.col("rect").alias("b"), F.col("rect.page").alias("page"))
+    place, rect = ["doc_id", "page", "item_kind"], ["doc_id", "block_id", "block_ord", "block_kind", "rect_ord"]
+    parts = things.groupBy(*place).agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).cast("int").alias("parts"))
+    dealt = things.join(parts, place).withColumn("part", F.pmod(F.xxhash64("item_ord"), "parts").cast("int")).drop("parts").hint("merge")
     body = F.col("block_kind").isin("math", "table", "image")
+
+    def scored(some: DataFrame) -> DataFrame:
+        spread = some.join(parts, place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        enough = F.col("score") >= F.when(body, least).otherwise(fragment)  # what is below counts nowhere
+        return spread.join(dealt, [*place, "part"]).withColumn("score", overlap(F.col("a"), F.col("b"))).where((F.col("score") > 0) & enough)
+
+    best = scored(rects).groupBy(*rect).agg(F.max("score").alias("best")).toDF(*[f"of_{c}" for c in rect], "best")
+    again = rects.join(best, reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in rect])).drop(*best.columns[:-1])
+    first = scored(again).where(F.col("score") == F.col("best")).groupBy(*rect, "best").agg(F.min("item_ord").alias("item_ord"))
+    top = first.groupBy("doc_id", "block_id").agg(F.max(F.struct(F.col("best").alias("score"), -F.col("rect_ord"), -F.col("item_ord"), "block_ord", "block_kind", "item_ord")).alias("t")).select("doc_id", "block_id", "t.block_ord", "t.block_kind", "t.item_ord", "t.score")
     owns = F.first(F.when(body & (F.col("score") >= least), F.col("block_id")), ignorenulls=True).over(
         Window.partitionBy("doc_id", "item_ord").orderBy("block_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
@@ -57,6 +69,10 @@ def match_boxes(blocks: DataFrame, items: DataFrame, least: float = 0.5, fragmen
     return kept.select("doc_id", "block_id", F.when(own, F.col("item_ord")).alias("item_ord"), F.when(~own, F.col("owner")).alias("covered_by"))
 
 
+#: Items of a page that a join's group holds.
+ITEMS_AT_ONCE = 10_000
+
+
 def crop_rect(rects: Column, pad: float = 3.0) -> Column:
     """The padded union of a block's rectangles on the page of its first; null without rectangles."""
     first = F.get(rects, F.lit(0))["page"]

@@ -159,6 +159,37 @@ def test_lines():
     assert G.decoded("[[6,0,0,0,10,10,2,[1,2]]]") == [(0, 0, 0, 10, 2), (0, 0, 3, 10, 5)]
 
 
+def test_boxes_are_matched_as_by_plain_loops(spark, monkeypatch):
+    """Many equal scores, several rectangles a block, and pages whose items meet in small blocks: the first rectangle and item of the largest score count. Pairs are in no window."""
+    monkeypatch.setattr(G, "ITEMS_AT_ONCE", 3)
+    rng = random.Random(5)
+    box = lambda: (rng.randrange(2), *(float(x) for x in (lambda x, y: (x, y, x + rng.choice((10, 20)), y + 10))(10 * rng.randrange(4), 10 * rng.randrange(3))))
+    blocks = [(d, o, f"b{o}", rng.choice(("math", "table", "paragraph")), "short", [box() for _ in range(rng.randint(0, 3))]) for d in range(3) for o in range(15)]
+    items = [(d, o, rng.choice(("table", "equation")), box()) for d in range(3) for o in range(20)]
+
+    def score(a, b):
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        return max(w, 0) * max(h, 0) / min((r[3] - r[1]) * (r[4] - r[2]) for r in (a, b)) if a[0] == b[0] else 0.0
+
+    top = {}
+    for d, o, name, kind, _, rects in blocks:
+        pairs = [(-score(a, b), k, io) for k, a in enumerate(rects) for e, io, ik, b in items if e == d and ik == ("table" if kind == "table" else "equation") and score(a, b) > 0]
+        if pairs:
+            top[d, o] = (min(pairs), name, kind)
+    owner, want = {}, []
+    for (d, _), ((s, _, io), name, kind) in sorted(top.items()):
+        if kind != "paragraph" and -s >= 0.5:
+            owner.setdefault((d, io), name)
+    for (d, _), ((s, _, io), name, kind) in top.items():
+        o = owner.get((d, io))
+        if kind != "paragraph" and -s >= 0.5 or kind == "paragraph" and -s >= 0.8 and o:
+            want.append((d, name, io if o == name else None, None if o == name else o))
+    rect = "struct<page:int,x1:double,y1:double,x2:double,y2:double>"
+    out = G.match_boxes(spark.createDataFrame(blocks, f"doc_id bigint, ord bigint, block_id string, kind string, text string, rects array<{rect}>"), spark.createDataFrame(items, f"doc_id bigint, ord bigint, kind string, rect {rect}"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
 def test_policies_differ(spark):
     kind = "hash string, zh string, t bigint"
     mine, theirs = spark.createDataFrame([("a", "1", 5), ("b", "1", 5), ("c", "1", 5)], kind), spark.createDataFrame([("a", "2", 6), ("b", "2", 5), ("d", "2", None)], kind)
