@@ -34,6 +34,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ TOP, CLASSES, ROUNDS = 768, 20, 8
 #: Codes of tokens: the end, an unknown word (or one without a class yet), then the classes; ONCE is added for words seen once.
 END, NEW, FIRST, ONCE = 0, 1, 2, 128
 SMOOTH = 1.0
-#: Slices of the vocabulary; distinct words at which a task closes a block; numbers that a task holds of a slice before it adds them up.
-SLICES, BLOCK_WORDS, HELD = 256, 45_000, 4_000_000
+#: Slices of the vocabulary; distinct words or documents at which a task closes a block; numbers that a task holds before it adds them up.
+SLICES, BLOCK_WORDS, BLOCK_DOCS, HELD = 256, 45_000, 20_000, 1_000_000
 #: A parallel step moves one in SHARE of the words, and small gains are under this share of the log-likelihood.
 SHARE, GAIN = 3, 1e-4
 
@@ -55,9 +56,22 @@ def classes_for(vocabulary: int) -> int:
     return min(ONCE - FIRST, max(CLASSES, round(vocabulary**0.25)))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a text in UTF-8: bytes.lower() changes A-Z only, bytes.split() splits at 0x20 and 0x09-0x0D only."""
-    return text.lower().split() if text else []
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of texts in UTF-8: their distinct words by first appearance, each token as its word's place there, and where each text's tokens end.
+
+    Arrow's ascii_lower changes A-Z only, and its white space is 0x20 and 0x09-0x0D. Null is empty.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    words, ends = lists.flatten(), lists.offsets.to_numpy()[1:]
+    full = pc.not_equal(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty word there
+    ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends]
+    coded = words.filter(full).dictionary_encode()
+    return coded.dictionary.view(pa.binary()), coded.indices.to_numpy(), ends
+
+
+def _lists(words: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Words up to each end as one value, a line end between them (no word holds one)."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), words), b"\n")
 
 
 CODED = "block bigint, slice int, doc_id bigint, training boolean, body binary, n binary"
@@ -71,45 +85,63 @@ def _width(words: int) -> type:
     return np.uint16 if words <= 1 << 16 else np.uint32
 
 
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column: the values up to the first end, from there to the second, and so on."""
+    offsets = np.concatenate([[0], ends * (values.nbytes // max(len(values), 1))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
 def _coded(slices: int, block_words: int):
     """Documents as numbers of their block's words (slice -1), and each block's words by slice with their training counts; words of a slice have adjacent numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, blocks = TaskContext.get().partitionId(), count()
-        ids: defaultdict[bytes, int] = defaultdict(count().__next__)
-        docs: list[tuple[int | None, bool, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            block = task << 32 | next(blocks)
-            words = list(ids)
-            part = np.fromiter((crc32(w) % slices for w in words), np.int64, len(words))
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(words), _width(len(words)))
-            place[order] = np.arange(len(words))
-            learned = [x for _, t, x in docs if t]
-            n = np.bincount(np.concatenate(learned), minlength=len(words))[order] if learned else np.zeros(len(words), np.int64)
-            ends = np.searchsorted(part[order], np.arange(slices + 1)).tolist()
-            at = order.tolist()
-            have = [k for k in range(slices) if ends[k] < ends[k + 1]]
-            bodies = [place[x].tobytes() for _, _, x in docs] + [b"\n".join([words[i] for i in at[ends[k] : ends[k + 1]]]) for k in have]  # no word holds a line end
-            m = len(docs)
-            return _arrow({
-                "block": ([block] * (m + len(have)), pa.int64()), "slice": ([-1] * m + have, pa.int32()), "doc_id": ([d for d, _, _ in docs] + [None] * len(have), pa.int64()),
-                "training": ([t for _, t, _ in docs] + [None] * len(have), pa.bool_()), "body": (bodies, pa.binary()),
-                "n": ([None] * m + [n[ends[k] : ends[k + 1]].astype(np.int64).tobytes() for k in have], pa.binary()),
-            })
+        # of the documents that no block has yet: their words by first appearance, the slices of these, tokens as places among them, where documents end
+        words, part, x, ends = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        doc_ids: list[int | None] = []
+        training: list[bool] = []
+
+        def out(m: int) -> pa.RecordBatch:
+            nonlocal words, part, x, ends, doc_ids, training
+            end = int(ends[m - 1])
+            size = int(x[:end].max(initial=-1)) + 1
+            order = np.argsort(part[:size], kind="stable")
+            place = np.empty(size, _width(size))
+            place[order] = np.arange(size)
+            bounds = np.searchsorted(part[order], np.arange(slices), "right")
+            have = np.flatnonzero(np.diff(bounds, prepend=0))
+            learned = np.repeat(np.array(training[:m], bool), np.diff(ends[:m], prepend=0))
+            n = np.bincount(x[:end][learned], minlength=size)[order].astype(np.int64)
+            block, none = task << 32 | next(blocks), len(have)
+            rows = pa.RecordBatch.from_arrays([
+                pa.array(np.full(m + none, block), pa.int64()), pa.array(np.concatenate([np.full(m, -1), have]), pa.int32()), pa.array(doc_ids[:m] + [None] * none, pa.int64()), pa.array(training[:m] + [None] * none, pa.bool_()),
+                pa.concat_arrays([_binaries(place[x[:end]], ends[:m]), _lists(words.take(pa.array(order)), bounds[have])]), pa.concat_arrays([pa.nulls(m, pa.binary()), _binaries(n, bounds[have])]),
+            ], ["block", "slice", "doc_id", "training", "body", "n"])
+            rest, first = x[end:], np.full(len(words), -1)
+            first[rest[::-1]] = np.arange(len(rest))[::-1]
+            left = np.flatnonzero(first >= 0)
+            left = left[np.argsort(first[left])]
+            first[left] = np.arange(len(left))
+            words, part, x, ends, doc_ids, training = words.take(pa.array(left)), part[left], first[rest], ends[m:] - end, doc_ids[m:], training[m:]
+            return rows
 
         for whole in batches:
             for b in small(whole, 2):
-                for d, t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    w = tokens(text)
-                    docs.append((d, t, np.fromiter(map(ids.__getitem__, w), np.int64, len(w)).astype(np.int32)))
-                    if len(ids) >= block_words or len(docs) >= 20_000:
-                        yield out()
-                        ids.clear()
-                        ids.default_factory, docs = count().__next__, []
-        if docs:
-            yield out()
+                new, codes, stops = tokens(b.column(2))
+                both = pa.concat_arrays([words, new]).dictionary_encode()
+                added = _lists(both.dictionary.slice(len(words)), np.array([len(both.dictionary) - len(words)]))[0].as_py()
+                if len(both.dictionary) > len(words):
+                    part = np.concatenate([part, np.fromiter(map(crc32, added.split(b"\n")), np.int64) % slices])
+                x, ends = np.concatenate([x, both.indices.to_numpy()[len(words) :][codes]]), np.concatenate([ends, stops + len(x)])
+                words = both.dictionary
+                doc_ids, training = doc_ids + b.column(0).to_pylist(), training + b.column(1).to_pylist()
+                while len(words) >= block_words or len(ends) >= BLOCK_DOCS:
+                    m = min(len(ends), BLOCK_DOCS)
+                    if len(words) >= block_words:  # the document that has the last of so many words is the block's last
+                        m = min(m, int(np.searchsorted(ends, np.argmax(x == block_words - 1), "right")) + 1)
+                    yield out(m)
+        if len(ends):
+            yield out(len(ends))
 
     return run
 
@@ -155,26 +187,38 @@ def _indexed(top: int):
     return run
 
 
-BLOCKS = "number binary, n binary, slices binary, doc_ids array<bigint>, training array<boolean>, lengths array<bigint>, body binary"
+BLOCKS = "number binary, n binary, seen binary, slices binary, doc_ids array<bigint>, learned binary, others binary"
+
+
+def _lines(docs: list[bytes], words: int) -> bytes:
+    """Documents one after another, with an end (the number after the words') after each."""
+    size = _width(words)().itemsize
+    tokens = np.frombuffer(b"".join(docs), _width(words))
+    x = np.full(len(tokens) + len(docs), words, _width(words + 1))
+    inside = np.ones(len(x), bool)
+    inside[np.cumsum([len(d) // size + 1 for d in docs], dtype=np.int64) - 1] = False
+    x[inside] = tokens
+    return x.tobytes()
 
 
-def _joined(starts):
-    """One row a block: its words' numbers and counts and the slices' ends among them, and its documents. Rows come sorted by block and slice, documents first."""
+def _joined(starts, types: tuple[type, type]):
+    """One row a block: its words' numbers and counts (and the counts up to 2, a byte each) and the slices' ends among them, and its documents, learned ones first. Rows come sorted by block and slice, documents first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = starts.value
         at, docs, words = None, [], []
 
         def out() -> pa.RecordBatch:
-            number = [np.frombuffer(x, np.int32).astype(np.int64) + first[k] for k, x, _ in words]
-            size = _width(sum(map(len, number)))().itemsize
+            slices, size = np.array([k for k, _, _ in words], np.int64), np.array([len(x) // 4 for _, x, _ in words], np.int64)
+            number = np.frombuffer(b"".join(x for _, x, _ in words), np.int32) + np.repeat(first[slices], size)
+            n = np.frombuffer(b"".join(n for _, _, n in words), np.int64)
             ends = np.zeros(len(first), np.int64)
-            for (k, _, _), x in zip(words, number, strict=True):
-                ends[k] = len(x)
+            ends[slices] = size
+            learned, others = ([x for x in docs if bool(x[1]) == t] for t in (True, False))
             return _arrow({
-                "number": ([b"".join(x.tobytes() for x in number)], pa.binary()), "n": ([b"".join(n for _, _, n in words)], pa.binary()), "slices": ([np.cumsum(ends).tobytes()], pa.binary()),
-                "doc_ids": ([[d for d, _, _ in docs]], pa.list_(pa.int64())), "training": ([[t for _, t, _ in docs]], pa.list_(pa.bool_())),
-                "lengths": ([[len(x) // size for _, _, x in docs]], pa.list_(pa.int64())), "body": ([b"".join(x for _, _, x in docs)], pa.binary()),
+                "number": ([number.astype(types[0]).tobytes()], pa.binary()), "n": ([n.astype(types[1]).tobytes()], pa.binary()), "seen": ([np.minimum(n, 2).astype(np.uint8).tobytes()], pa.binary()),
+                "slices": ([np.cumsum(ends).tobytes()], pa.binary()), "doc_ids": ([[d for d, _, _ in learned + others]], pa.list_(pa.int64())),
+                "learned": ([_lines([x for _, _, x in learned], len(number))], pa.binary()), "others": ([_lines([x for _, _, x in others], len(number))], pa.binary()),
             })
 
         for whole in batches:
@@ -195,34 +239,29 @@ def _joined(starts):
 
 
 class _Block:
-    """A row of the blocks; learned keeps only its training documents."""
-
-    def __init__(self, row: dict, learned: bool):
-        self.number, self.n = np.frombuffer(row["number"], np.int64), np.frombuffer(row["n"], np.int64)
-        self.slices = np.frombuffer(row["slices"], np.int64)
-        self.ids = row["doc_ids"]
-        self.lengths = np.array(row["lengths"], np.int64)
-        self.tokens = np.frombuffer(row["body"], _width(len(self.number)))
-        if learned:
-            t = np.array(row["training"], bool)
-            self.tokens = self.tokens[np.repeat(t, self.lengths)]
-            self.lengths = self.lengths[t]
-
-    def line(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The documents one after another, each token as its word's value and an end (0) after each document; and where the tokens stand."""
-        ends = np.cumsum(self.lengths + 1) - 1
-        x = np.zeros(len(self.tokens) + len(ends), values.dtype)
-        inside = np.ones(len(x), bool)
-        inside[ends] = False
-        at = np.flatnonzero(inside)
-        x[at] = values[self.tokens]
-        return x, at
-
-
-def _rows(batches: Iterator[pa.RecordBatch], learned: bool) -> Iterator[_Block]:
+    """A row of the blocks: what its columns hold, of those that were read; tokens are its documents, an end after each."""
+
+    def __init__(self, row: dict, types: tuple[type, type]):
+        self.number = np.frombuffer(row["number"], types[0])
+        if "n" in row:
+            self.n = np.frombuffer(row["n"], types[1])
+        if "seen" in row:
+            self.seen = np.frombuffer(row["seen"], np.uint8)
+        if "slices" in row:
+            self.slices = np.frombuffer(row["slices"], np.int64)
+        self.ids = row.get("doc_ids")
+        self.end = len(self.number)
+        self.tokens = np.frombuffer(row["learned"] + row.get("others", b""), _width(self.end + 1))
+
+    def line(self, values: np.ndarray) -> np.ndarray:
+        """Each token as its word's value, ends as 0."""
+        return np.append(values, values.dtype.type(0))[self.tokens]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], types: tuple[type, type]) -> Iterator[_Block]:
     for b in batches:
         for i in range(b.num_rows):
-            yield _Block(b.slice(i, 1).to_pylist()[0], learned)
+            yield _Block(b.slice(i, 1).to_pylist()[0], types)
 
 
 def _before(x: np.ndarray) -> np.ndarray:
@@ -230,14 +269,24 @@ def _before(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]])
 
 
-def _pair_counts(of, size: int):
+def _pair_counts(of, size: int, types: tuple[type, type]):
     """Counts of pairs of values that stand side by side in the training documents; of(block) gives the values of its words, under size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
-        for block in _rows(batches, True):
-            x, _ = block.line(of(block).astype(np.int64))
-            total += np.bincount(_before(x) * size + x, minlength=size * size)
+        total, held = np.zeros(size * size, np.int64), []
+
+        def add() -> None:
+            nonlocal total, held
+            total += np.bincount(np.concatenate(held), minlength=size * size)
+            held = []
+
+        for block in _rows(batches, types):
+            x = block.line(of(block).astype(np.int32))
+            held.append(_before(x) * np.int32(size) + x)
+            if sum(map(len, held)) > HELD:
+                add()
+        if held:
+            add()
         at = np.flatnonzero(total)
         yield _arrow({"pair": (at, pa.int64()), "n": (total[at], pa.int64())})
 
@@ -257,40 +306,43 @@ def _tops(top):
 
 def _codes(own):
     """The codes of a block's words: their classes, ONCE added for words seen once; words not learned are NEW."""
-    return lambda block: np.where(block.n > 0, own.value[block.number] + np.where(block.n == 1, ONCE, 0).astype(np.uint8), NEW).astype(np.uint8)
+    return lambda block: np.where(block.seen > 0, own.value[block.number] + np.where(block.seen == 1, ONCE, 0).astype(np.uint8), NEW).astype(np.uint8)
 
 
-def _contexts(own, size: int, step: int):
+def _contexts(own, size: int, step: int, types: tuple[type, type]):
     """By slice and block, of the words that may move in this step: their numbers and counts, and the codes before and after them, a byte each; a table of counts instead for frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _rows(batches, True):
-            x, at = block.line(own.value[block.number])
+        for block in _rows(batches, types):
+            codes = own.value[block.number]
             may = (block.number + step) % SHARE == 0
-            may |= own.value[block.number] == NEW
-            keep = may[block.tokens]
-            at, word = at[keep], block.tokens[keep]
+            may |= codes == NEW
+            x = block.line(codes)
+            at = np.flatnonzero(np.append(may, False)[block.tokens])
+            word = block.tokens[at]
             order = np.argsort(word, kind="stable")
             at, word = at[order], word[order]
-            pair = np.stack([_before(x)[at], x[np.minimum(at + 1, len(x) - 1)]], 1)
-            n = np.bincount(word, minlength=len(block.number))
+            pair = np.stack([x[at - 1], x[at + 1]], 1)  # a line ends with the end of a text, which so stands before its first word too
+            n = np.bincount(word, minlength=len(codes))
             often = n > 4 * size
-            ends = np.concatenate([[0], np.cumsum(n)])
-            rows = {"slice": [], "number": [], "n": [], "beside": [], "often": [], "table": []}
-            for k, (lo, hi) in enumerate(zip([0, *block.slices[:-1].tolist()], block.slices.tolist(), strict=True)):
-                a, b = ends[lo], ends[hi]
-                if a == b:
-                    continue
-                rare = ~often[word[a:b]]
-                at_often, at_rare = lo + np.flatnonzero(often[lo:hi]), lo + np.flatnonzero(~often[lo:hi] & (n[lo:hi] > 0))
-                table = [np.bincount((pair[ends[i] : ends[i + 1]].astype(np.int64) + [0, size]).reshape(-1), minlength=2 * size) for i in at_often.tolist()]
-                rows["slice"].append(k)
-                rows["number"].append(block.number[at_rare].tobytes())
-                rows["n"].append(n[at_rare].astype(np.uint16).tobytes())
-                rows["beside"].append(pair[a:b][rare].tobytes())
-                rows["often"].append(block.number[at_often].tobytes())
-                rows["table"].append(np.array(table, np.uint32).tobytes())
-            yield _arrow({c: (v, pa.int32() if c == "slice" else pa.binary()) for c, v in rows.items()})
+            rare = ~often & (n > 0)
+            frequent = np.flatnonzero(often)
+            row = np.cumsum(often) - 1
+            inside = often[word]
+            cells = row[word[inside]][:, None] * (2 * size) + pair[inside] + [0, size]
+            tables = np.bincount(cells.reshape(-1), minlength=len(frequent) * 2 * size).astype(np.uint32)
+            kept = np.cumsum(np.where(often, 0, n))
+
+            def upto(sums: np.ndarray, ends=block.slices) -> np.ndarray:
+                return np.concatenate([[0], sums])[ends]
+
+            have = np.flatnonzero(np.diff(upto(np.cumsum(n)), prepend=0))
+            words, tokens, tabled = upto(np.cumsum(rare))[have], upto(kept)[have], upto(np.cumsum(often))[have]
+            columns = [
+                pa.array(have, pa.int32()), _binaries(block.number[rare], words), _binaries(n[rare].astype(np.uint16), words), _binaries(pair[~inside].reshape(-1), 2 * tokens),
+                _binaries(block.number[frequent], tabled), _binaries(tables, 2 * size * tabled),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "number", "n", "beside", "often", "table"])
 
     return run
 
@@ -308,41 +360,38 @@ def moves(hist: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(move, best + FIRST, own).astype(np.uint8)
 
 
-def _steps(own, weights, starts, sizes):
+def _steps(own, weights, starts, sizes, types: tuple[type, type]):
     """The words' new codes, a row for each slice. Rows come sorted by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         wide = len(w)
-        at, hist, places, held = None, None, [], 0
-
-        def add() -> None:
-            nonlocal hist, places, held
-            if places:
-                cells, n = np.unique(np.concatenate(places), return_counts=True)
-                hist.reshape(-1)[cells] += n
-            places, held = [], 0
+        at, hist = None, None
 
         def out() -> pa.RecordBatch:
-            add()
             first, size = starts.value[at], sizes.value[at]
             old = own.value[first : first + size]
             return _arrow({"slice": ([at], pa.int32()), "codes": ([moves(hist, w, old).tobytes()], pa.binary())})
 
         for b in batches:
-            for k, number, n, beside, often, table in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            slices = b.column(0).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(slices)]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                if lo == hi:
+                    continue
+                k = int(slices[lo])
                 if k != at:
                     if at is not None:
                         yield out()
                     at, hist = k, np.zeros((int(sizes.value[k]), wide), np.float32)
                 first = starts.value[k]
-                word = np.repeat(np.frombuffer(number, np.int64) - first, np.frombuffer(n, np.uint16))
-                pair = np.frombuffer(beside, np.uint8).reshape(-1, 2).astype(np.int64)
-                places.append((word[:, None] * wide + pair + [0, wide // 2]).reshape(-1))
-                held += len(places[-1])
-                hist[np.frombuffer(often, np.int64) - first] += np.frombuffer(table, np.uint32).reshape(-1, wide)
-                if held > HELD:
-                    add()
+                for i in range(lo, hi, 100):  # rows of one slice, so many at a time
+                    number, n, beside, often, table = (b"".join(c.slice(i, min(hi - i, 100)).to_pylist()) for c in b.columns[1:])
+                    word = np.repeat(np.frombuffer(number, types[0]) - first, np.frombuffer(n, np.uint16))
+                    pair = np.frombuffer(beside, np.uint8).reshape(-1, 2)
+                    for c in (0, 1):
+                        np.add.at(hist.reshape(-1), word * wide + pair[:, c] + c * (wide // 2), np.float32(1))
+                    np.add.at(hist, np.frombuffer(often, types[0]) - first, np.frombuffer(table, np.uint32).reshape(-1, wide).astype(np.float32))
         if at is not None:
             yield out()
 
@@ -464,21 +513,22 @@ def probabilities(pairs: np.ndarray, classes: int, vocabulary: int) -> tuple[np.
     return logs[cls][:, cls], give[cls]
 
 
-def _scored(own, model):
+def _scored(own, model, types: tuple[type, type]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trans, give = model.value
         of = _codes(own)
-        for block in _rows(batches, False):
-            x, _ = block.line(of(block))
-            docs = len(block.lengths)
-            word, place = np.repeat(np.arange(docs), block.lengths), np.repeat(np.arange(docs), block.lengths + 1)
+        for block in _rows(batches, types):
+            x = block.line(of(block))
+            ends = block.tokens == block.end
+            docs = len(block.ids)
+            place = np.cumsum(ends) - ends
 
-            def sums(values: np.ndarray, word=word, docs=docs, tokens=block.tokens) -> np.ndarray:
-                return np.bincount(word, values[tokens], docs)
+            def sums(values: np.ndarray, place=place, docs=docs, tokens=block.tokens) -> np.ndarray:
+                return np.bincount(place, np.append(values, 0)[tokens], docs)
 
             score = np.bincount(place, trans[_before(x), x] + give[x], docs) + sums(np.log10(np.maximum(block.n, 1)))
             yield _arrow({
-                "doc_id": (block.ids, pa.int64()), "n_tokens": (block.lengths, pa.int64()), "n_known": (sums(block.n > 0).astype(np.int64), pa.int64()),
+                "doc_id": (block.ids, pa.int64()), "n_tokens": (np.bincount(place, ~ends, docs).astype(np.int64), pa.int64()), "n_known": (sums(block.n > 0).astype(np.int64), pa.int64()),
                 "base": (sums(np.log10(block.n + 1.0)), pa.float64()), "score": (score, pa.float64()),
             })
 
@@ -521,13 +571,15 @@ def _brown_scores(docs: DataFrame, is_training: Column, block: Column | None = N
     at = F.shiftright("block", 32) + (F.col("block").bitwiseAND((1 << 32) - 1)) * int(tasks or 1)
     dealt = max(parts, -(-n_blocks // 4))
     both = coded.where("slice < 0").unionByName(entries).repartitionById(dealt, F.pmod(at, F.lit(dealt)).cast("int")).sortWithinPartitions("block", "slice")
-    blocks = written(both.mapInArrow(_joined(bc(starts)), BLOCKS), "blocks")
+    # four bytes a number and count, wherever they fit
+    types = (np.uint32 if sizes.sum() < 1 << 31 else np.int64, np.uint32 if n_all < 1 << 32 else np.int64)
+    blocks = written(both.mapInArrow(_joined(bc(starts), types), BLOCKS), "blocks")
     drop_written(coded)
     drop_written(indexed)
 
     def counted(of, size: int) -> np.ndarray:
         out = np.zeros(size * size, np.int64)
-        found = blocks.mapInArrow(_pair_counts(of, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        found = blocks.select("number", "seen", "learned").mapInArrow(_pair_counts(of, size, types), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
         for r in found.collect():  # at most size**2 rows
             out[r["pair"]] = r["n"]
         return out.reshape(size, size)
@@ -549,8 +601,8 @@ def _brown_scores(docs: DataFrame, is_training: Column, block: Column | None = N
     while v_known and small_gains < SHARE:
         step += 1
         weights = bc(weights_of(class_pairs(pairs, size)).astype(np.float32))
-        beside = blocks.mapInArrow(_contexts(bc(own), size, step), "slice int, number binary, n binary, beside binary, often binary, table binary")
-        steps = beside.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_steps(bc(own), weights, bc(starts), bc(sizes)), "slice int, codes binary")
+        beside = blocks.select("number", "slices", "learned").mapInArrow(_contexts(bc(own), size, step, types), "slice int, number binary, n binary, beside binary, often binary, table binary")
+        steps = beside.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_steps(bc(own), weights, bc(starts), bc(sizes), types), "slice int, codes binary")
         new = own.copy()
         for r in steps.collect():  # a byte a word
             new[starts[r["slice"]] : starts[r["slice"]] + sizes[r["slice"]]] = np.frombuffer(r["codes"], np.uint8)
@@ -567,7 +619,7 @@ def _brown_scores(docs: DataFrame, is_training: Column, block: Column | None = N
         note()
     chances = probabilities(pairs, classes, v_all)
     base = F.col("base") + log10(n_docs + 1) - F.col("n_tokens") * log10(n_all + v_all + 1)
-    scored = blocks.mapInArrow(_scored(bc(own), bc(chances)), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
+    scored = blocks.select("number", "n", "seen", "doc_ids", "learned", "others").mapInArrow(_scored(bc(own), bc(chances), types), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
     scored = scored.selectExpr("doc_id", "n_tokens + 1 as n_tokens", f"n_known + {1 if n_docs else 0} as n_known", "base", "score")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n_all)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
