@@ -73,6 +73,23 @@ def test_lost_attempts_are_dropped_at_commit(tmp_path):
     assert sorted(p.name for p in tmp_path.glob("*/*/*")) == ["1", "2"] and not list(tmp_path.glob(".*"))
 
 
+def test_tasks_that_outlive_their_write_leave_nothing(tmp_path):
+    row = lambda i: type("R", (dict,), {"doc_id": i})({"units": "{}", "task": "t", "job": "{}"})
+
+    def outlived(writer, end):
+        yield row(1)
+        end(writer)
+        yield row(2)
+
+    for end in (lambda w: w.abort([]), lambda w: w.commit([None])):
+        writer = folders.FolderWriter(str(tmp_path), False)
+        with pytest.raises(OSError):
+            writer.write(outlived(writer, end))
+        with pytest.raises(OSError):
+            writer.write(iter([row(3)]))
+        assert not list(tmp_path.iterdir())
+
+
 # ---- archives -----------------------------------------------------------------
 
 
