@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,12 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
+def solid(c: Column) -> Column:
+    """How many characters other than white space; plain ASCII needs no look at each."""
+    plain = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), [w for w in _WHITE if w.isascii()], c)
+    return F.when(F.octet_length(c) == F.length(c), F.length(plain)).otherwise(F.length(F.translate(c, _WHITE, "")))
+
+
 def loose_key(c: Column) -> Column:
     """The key under which two parses know a sentence: its letters and digits without a leading table or figure number; null with formulas or under six."""
     k = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), r"^(table|figure|fig)\d+", "")

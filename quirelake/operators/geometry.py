@@ -6,10 +6,12 @@ import json
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice, pairwise
 from operator import and_, itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,16 +153,16 @@ def decoded_columns(text_map: str | None) -> Boxes:
         if type(run[0]) is not int or type(run[1]) is not int or not set(map(type, run[2:6])) <= _PLAIN:
             return _boxes(decoded(text_map))
         steps = np.zeros(2 * len(widths) + 1)
-        try:
-            plain = np.asarray(widths)
-        except ValueError:  # numbers and pairs
-            plain = None
-        if plain is not None and plain.ndim == 1 and plain.dtype.kind in "if":
-            steps[2::2] = plain
-        elif all(type(w) in _PLAIN or (type(w) is list and len(w) == 2 and set(map(type, w)) <= _PLAIN) for w in widths):
-            steps[1::2], steps[2::2] = zip(*(w if type(w) is list else (0, w) for w in widths), strict=True)
-        else:
+        if pairs := [i for i, w in enumerate(widths) if type(w) is list]:
+            given = [widths[i] for i in pairs]
+            if not all(len(w) == 2 and type(w[0]) in _PLAIN and type(w[1]) in _PLAIN for w in given):
+                return _boxes(decoded(text_map))
+            for i, w in zip(pairs, given, strict=True):
+                steps[2 * i + 1], widths[i] = w
+        plain = np.asarray(widths)
+        if plain.ndim != 1 or plain.dtype.kind not in "if":
             return _boxes(decoded(text_map))
+        steps[2::2] = plain
         upright = run[0] >> 1 & 1
         x1, y1, x2, y2 = map(float, run[2:6])
         steps[0] = (x1, y1)[upright]
@@ -204,11 +206,7 @@ def decode_text_map(maps: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def solid_range(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """The characters other than white space before start and in [start, end) of a text; these own a text map's boxes in order."""
-
-    def solid(c: Column) -> Column:
-        return F.length(F.regexp_replace(c, T.WS, ""))
-
-    return solid(F.substring(text, F.lit(1), start)), solid(F.substring(text, start + 1, end - start))
+    return T.solid(F.substring(text, F.lit(1), start)), T.solid(F.substring(text, start + 1, end - start))
 
 
 def lines_of(chars: list[tuple]) -> list[tuple]:
@@ -236,23 +234,189 @@ def merge_lines(chars: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from _in_batches(_boxes(lines_of([tuple(c.values()) for c in row.as_py() or ()])) for row in s)
 
 
-def lines_of_parts(parts: list[dict]) -> list[tuple] | None:
+#: Characters that are tried against a line at once, at first and at most.
+STRETCH, LONGEST = 32, 8192
+
+
+def merged_lines(boxes: Boxes) -> list[tuple]:
+    """lines_of() of columns: neighbours of one page, top and bottom are tried together against the line that takes the first of them.
+
+    Which lines are at the height of such neighbours doesn't change while they are dealt out, but for those that they begin; only how far lines reach does.
+    """
+    page, x1, y1, x2, y2 = boxes
+    starts = np.flatnonzero((page[1:] != page[:-1]) | (y1[1:] != y1[:-1]) | (y2[1:] != y2[:-1])) + 1
+    if 8 * len(starts) >= len(page) or not all(np.isfinite(c).all() for c in boxes[1:]):
+        return lines_of(_tuples(boxes))
+    pages: dict[int, list[list[float]]] = {}
+    for start, end in pairwise([0, *starts.tolist(), len(page)]):
+        lines, top, bottom = pages.setdefault(int(page[start]), []), float(y1[start]), float(y2[start])
+        h = bottom - top
+        if h <= 0:  # at no height, not even that of their own
+            lines += [[a, top, b, bottom] for a, b in zip(x1[start:end].tolist(), x2[start:end].tolist(), strict=True)]
+            continue
+        level = [line for line in lines if max(abs(line[1] - top), abs(line[3] - bottom)) < h / 2]
+        n = STRETCH
+        while start < end:
+            a, b = float(x1[start]), float(x2[start])
+            for k, line in enumerate(level):
+                if max(a - line[2], line[0] - b) < 2 * h:
+                    break
+            else:
+                k, line = len(level), [a, top, b, bottom]
+                lines.append(line)
+                level.append(line)
+            left, right = x1[start : min(end, start + n)], x2[start : min(end, start + n)]
+            lows, highs = np.minimum.accumulate(np.minimum(left, line[0])), np.maximum.accumulate(np.maximum(right, line[2]))
+            fits = np.ones(len(left), bool)
+            fits[1:] = np.maximum(left[1:] - highs[:-1], lows[:-1] - right[1:]) < 2 * h
+            for other in level[:k]:
+                fits[1:] &= ~(np.maximum(left[1:] - other[2], other[0] - right[1:]) < 2 * h)
+            m = len(fits) if fits.all() else int(fits.argmin())
+            line[:] = float(lows[m - 1]), min(line[1], top), float(highs[m - 1]), max(line[3], bottom)
+            start, n = start + m, min(2 * n, LONGEST) if m == n else STRETCH
+    return [(p, *line) for p in sorted(pages) for line in pages[p]]
+
+
+def lines_of_parts(parts: list[tuple]) -> list[tuple] | None:
     """The lines of a sentence's parts (seg_start, text_map, before, n): n characters of each text map, from the one after `before` on, in the order of seg_start; None without any positioned text."""
     found = []
-    for p in parts:
-        boxes = decoded_columns(p["text_map"])
+    for seg_start, text_map, before, n in parts:
+        boxes = decoded_columns(text_map)
         if len(boxes[0]):
-            found.append((p["seg_start"], _tuples(boxes, p["before"], p["before"] + p["n"])))
-    found.sort(key=itemgetter(0) if len({f[0] for f in found}) == len(found) else None)
-    return lines_of([c for _, chars in found for c in chars]) if found else None
+            found.append((seg_start, tuple(c[before : before + n] for c in boxes)))
+    if not found:
+        return None
+    if len(found) == 1:
+        return merged_lines(found[0][1])
+    alone = len({f[0] for f in found}) == len(found)
+    found.sort(key=itemgetter(0) if alone else lambda f: (f[0], _tuples(f[1])))
+    return merged_lines(tuple(map(np.concatenate, zip(*[f[1] for f in found], strict=True))))
+
+
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_RUN = rf"\[[0-7],(?:0|[1-9][0-9]{{0,8}})(?:,{_NUMBER}){{4}}(?:,{_NUMBER}|,\[{_NUMBER},{_NUMBER}\])+\]"
+#: Text maps of which numbers can be read side by side: runs of numbers and pairs, with a width at least, without spaces.
+_PLAIN_MAP = rf"\A\[{_RUN}(?:,{_RUN})*\]\z"
+#: Bytes of text maps that are read side by side.
+MAP_BYTES = 250_000
+_BRACKETS = np.zeros(256, np.int8)
+_BRACKETS[list(b",[]")] = 3, 1, -1
+
+
+def _read_maps(maps: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Boxes, np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of maps that _PLAIN_MAP fits, one after the other: from where to where each goes, and its run; of runs their boxes, and which are upright; how many characters each map has, and which maps
+    have numbers that are not finite, so that decoded_columns() has to read them. Widths are summed run by run, in their order."""
+    offsets = np.frombuffer(maps.buffers()[1], np.int32)[maps.offset : maps.offset + len(maps) + 1]
+    data = np.frombuffer(maps.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    marks = _BRACKETS[data]
+    digit = marks == 0
+    edges = np.flatnonzero(digit[1:] != digit[:-1]) + 1  # a map begins and ends with a bracket, so starts and ends of numbers take turns
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    numbers = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(data[digit]))
+    v = numbers.cast(pa.float64()).to_numpy()
+    at = np.flatnonzero((marks == 1) | (marks == -1))
+    turns = marks[at].astype(np.int64)
+    depth = np.cumsum(turns)
+    runs_at = at[(turns > 0) & (depth == 2)]
+    runs, pairs = np.searchsorted(starts, runs_at), np.searchsorted(starts, at[(turns > 0) & (depth == 3)])
+    flags, page, box = v[runs].astype(np.int64), v[runs + 1].astype(np.int32), [v[runs + k] for k in range(2, 6)]
+    upright, ends = (flags >> 1 & 1).astype(bool), np.append(runs[1:], len(v))
+    width = np.ones(len(v), bool)
+    width[runs[:, None] + np.arange(6)] = False
+    width[pairs] = False
+    width[ends[(flags & 1).astype(bool)] - 1] = False
+    steps, places = v.copy(), np.zeros(len(v))
+    steps[runs + 5] = np.where(upright, box[1], box[0])
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, j in zip((runs + 5).tolist(), ends.tolist(), strict=True):
+            np.add.accumulate(steps[i:j], out=places[i:j])
+    map_of = np.searchsorted(offsets - offsets[0], runs_at, "right") - 1
+    endless = np.zeros(len(maps), bool)
+    endless[map_of[np.searchsorted(ends, np.flatnonzero(~np.isfinite(places)), "right")]] = True
+    endless[map_of[~np.isfinite(box).all(0)]] = True
+    i = np.flatnonzero(width)
+    n = np.diff(np.searchsorted(i, np.append(runs, len(v))))
+    return places[i - 1], places[i], np.repeat(np.arange(len(runs)), n), (page, *box), upright, np.bincount(map_of, n, len(maps)).astype(np.int64), endless
+
+
+def _merged(size: np.ndarray, parts: pa.StructArray) -> pa.Array:
+    """lines_of_parts() of sentences of `size` parts each, as rectangles; _NONE where there is no positioned text. Sentences whose characters stand in one line are told from all of theirs at once."""
+    seg_start, maps, before, n = parts.flatten()
+    of, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    plain = pc.match_substring_regex(maps, _PLAIN_MAP).fill_null(False).to_numpy(zero_copy_only=False)
+    odd, slow = np.bincount(of, ~plain, len(size)) > 0, {}
+    order = np.arange(len(of))
+    if len(of) > len(size):  # some have several parts, which go by where they start
+        start = seg_start.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((start, of))
+        odd[of[order][1:][(np.diff(of[order]) == 0) & (np.diff(start[order]) == 0)]] = True
+        odd[of[seg_start.is_null().to_numpy(zero_copy_only=False)]] = True
+    used = order[~odd[of[order]]]
+    lines, found = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+    table = [np.empty(0)] * 5
+    ones = np.empty(0, np.int64)
+    if len(used):
+        a, b, run, boxes, upright, count, endless = _read_maps(maps.take(pa.array(used)))
+        odd[of[used][endless]] = True
+        found = np.bincount(of[used], count, len(size)) > 0
+        low, take = (c.to_numpy(zero_copy_only=False).astype(np.int64)[used] for c in (before, n))
+        low = np.minimum(low, count)
+        length = np.where(odd[of[used]], 0, np.minimum(low + take, count) - low)
+        ends = np.cumsum(length)
+        picked = np.repeat(np.cumsum(count) - count + low - ends + length, length) + np.arange(ends[-1])
+        a, b, run, owner = a[picked], b[picked], run[picked], np.repeat(of[used], length)
+        if len(owner):
+            other = owner[1:] != owner[:-1]
+            h = boxes[4] - boxes[2]
+            near = np.where((h > 0) & ~upright, 2 * h, -np.inf)
+            beside = np.maximum(a[1:] - b[:-1], a[:-1] - b[1:]) < near[run[1:]]
+            turn = np.flatnonzero(run[1:] != run[:-1])
+            beside[turn] &= np.all([boxes[k][run[turn]] == boxes[k][run[turn + 1]] for k in (0, 2, 4)], 0) & ~upright[run[turn]]
+            several = np.zeros(len(size), bool)
+            several[owner[1:][~(beside | other)]] = True
+            heads = np.append(0, np.flatnonzero(other) + 1)
+            ones, tails, first_run = owner[heads], np.append(heads[1:], len(owner)), run[heads]
+            several[ones[upright[first_run]]] = True
+            for k in np.flatnonzero(several[ones]).tolist():
+                own = slice(heads[k], tails[k])
+                page, x1, y1, x2, y2 = (c[run[own]] for c in boxes)
+                up = upright[run[own]]
+                slow[int(ones[k])] = merged_lines((page, np.where(up, x1, a[own]), np.where(up, a[own], y1), np.where(up, x2, b[own]), np.where(up, b[own], y2)))
+            alone = ~several[ones]
+            table = [c[alone] for c in (boxes[0][first_run], np.minimum.reduceat(a, heads), boxes[2][first_run], np.maximum.reduceat(b, heads), boxes[4][first_run])]
+            ones = ones[alone]
+    lines[ones] = 1
+    for i in np.flatnonzero(odd).tolist():
+        r = lines_of_parts([tuple(p.values()) for p in parts.slice(int(first[i]), int(size[i])).to_pylist()])
+        found[i] = r is not None
+        slow[i] = r or []
+    for i, r in slow.items():
+        lines[i] = len(r)
+    lines[~found] = 1
+    offsets = np.concatenate([[0], np.cumsum(lines)])
+    columns = [np.empty(offsets[-1], np.int32), *(np.empty(offsets[-1]) for _ in range(4))]
+    for c, one, none in zip(columns, table, _NONE, strict=True):
+        c[offsets[:-1][~found]] = none[0]
+        c[offsets[ones]] = one
+    for i, r in slow.items():
+        if r:
+            for c, values in zip(columns, _boxes(r), strict=True):
+                c[offsets[i] : offsets[i + 1]] = values
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(c) for c in columns], ["page", "x1", "y1", "x2", "y2"]))
 
 
 @F.arrow_udf(RECTS_TYPE)
 def merge_parts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """lines_of_parts() over a column; where there is no positioned text, one box without a page (null)."""
+    """lines_of_parts() over a column; where there is no positioned text, one box without a page (null). Sentences are merged some MAP_BYTES of their text maps at a time."""
     for s in parts:
-        rows = (lines_of_parts(row.as_py()) for row in s)
-        yield from _in_batches(_NONE if r is None else _boxes(r) for r in rows)
+        size, flat = s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), s.flatten()
+        ends = np.cumsum(size)
+        weight = np.concatenate([[0], np.cumsum(pc.binary_length(flat.flatten()[1]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])[ends]
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(weight, (weight[i - 1] if i else 0) + MAP_BYTES, "right")))
+            yield _merged(size[i:j], flat.slice(ends[i] - size[i], ends[j - 1] - ends[i] + size[i]))
+            i = j
 
 
 #: Stands for a sentence without positioned text.

@@ -40,7 +40,7 @@ BLOCKS = f"{LINES}, blocks AS (SELECT doc_id, ord, 'b' || ord AS block_id, CASE
 
 def line_nodes(spark: SparkSession, sf_dir: str, kinds: int = 4) -> DataFrame:
     """Lines as text nodes, five a page, with a text map for all characters but white space: doc_id, ord, node_key, text, n, text_map. Of `kinds` of maps every second lacks its last character, and every third and fourth is upright."""
-    rows = lines(spark, sf_dir).withColumn("n", F.length(F.regexp_replace("text", T.WS, ""))).where("n > 0")
+    rows = lines(spark, sf_dir).where(F.col("text").rlike(f"[^{T.WS[1:]}")).withColumn("n", T.solid(F.col("text")))
     text_map = F.expr(f"concat('[[', ord % {kinds}, ',', floor(ord / 5), ',', ord, ',2,', ord + n, ',12,[2,1]', repeat(',1', n - 1), ']]')")
     return rows.select("doc_id", "ord", F.col("ord").cast("string").alias("node_key"), "text", "n", text_map.alias("text_map"))
 

@@ -369,6 +369,57 @@ def test_sentences_keep_text_maps_until_their_lines(spark):
     assert "decode_text_map" not in plan  # no box is shuffled
 
 
+PARTS = pa.list_(pa.struct([("seg_start", pa.int32()), ("text_map", pa.string()), ("before", pa.int32()), ("n", pa.int32())]))
+
+
+def test_sentences_of_one_line_are_merged_together(monkeypatch):
+    """No character of theirs is looked at alone, and no text map is read alone."""
+    maps = [f"[[{i % 2},{i // 5},{i},2,{i + 90},12,[2,1]{',1' * 89}]]" for i in range(40)]
+    rows = [[(0, m, k, 45)] for m in maps for k in (0, 45)]
+    for name in ("lines_of", "decoded", "decoded_columns"):
+        monkeypatch.setattr(G, name, None)
+    got = [x for b in G.merge_parts.func(iter([pa.array(rows, PARTS)])) for x in b.to_pylist()]
+    assert [tuple(x.values()) for (x,) in got] == [(i // 5, i + 2.0 + k, 2.0, i + 2.0 + k + 45 - (k > 0 and i % 2), 12.0) for i in range(40) for k in (0, 45)]
+
+
+def test_sentences_merged_together_equal_those_one_at_a_time(monkeypatch):
+    r = random.Random(6)
+    odd = ["", "bad", "[]", "[1,[2]]", "[[0,1,0,0,9,9]]", "[[1,0,0,0,9,9,3]]", "[[0,1,0,0,9,9,1,[2,3],NaN,1]]", "[[0,1,0,0,9,Infinity,1]]", "[[0,1,0,0,9,9,1e400,2]]", "[[0,1,0,0,9,9,1e308,1e308,1]]", "[[0,1,0,0,9,9,01]]", "[[0,1,0,0,9,9,1]]\n", "[[0,1,0,0,9,9,1]]x", '[["0",1,0,0,9,9,1]]', "[[0,1,0,0,9,9,true]]"]
+
+    def width():
+        return r.choice([1, 1, 1, 0.1, r.uniform(-1, 3), [r.choice([0, 40, r.uniform(-9, 9)]), r.uniform(0, 2)]])
+
+    def run():
+        return [r.choice([0, 0, 1, 2, 5]), r.randrange(2), r.uniform(0, 9), r.choice([0, 3, 10]), r.uniform(0, 99), r.choice([10, 10, 13, 3]), *[width() for _ in range(r.choice([1, 2, 60]))]]
+
+    def text_map():
+        return r.choice(odd) if r.random() < 0.1 else json.dumps([run() for _ in range(r.randrange(1, 4))], separators=r.choice([(",", ":"), (",", ":"), (", ", ": ")]))
+
+    def plain(parts):
+        found = sorted((start, c[before : before + n]) for start, m, before, n in parts if (c := [(p, *map(float, x)) for p, *x in G.decoded(m)]))
+        return G.lines_of([c for _, chars in found for c in chars]) if found else None
+
+    rows = [[(r.choice([9 * i, -i, 0]), text_map(), r.choice([0, 0, 4, 99]), r.choice([0, 3, 50, 500])) for i in range(r.choice([1, 1, 2, 3]))] for _ in range(1500)]
+    want = [[(-1, None)] if x is None else x for x in map(plain, rows)]
+    for size in (1, 3000, 250_000):
+        monkeypatch.setattr(G, "MAP_BYTES", size)
+        got = [[tuple(y.values()) for y in x] for b in G.merge_parts.func(iter([pa.array(rows, PARTS)])) for x in b.to_pylist()]
+        assert [[(-1, None)] if [y[0] for y in x] == [-1] else x for x in got] == want
+    assert list(G.merge_parts.func(iter([pa.array([], PARTS)]))) == []
+
+
+def test_lines_of_columns_equal_those_of_characters():
+    r = random.Random(9)
+    for _ in range(300):
+        chars = []
+        for _ in range(r.randrange(1, 5)):
+            page, x, y, h = r.randrange(2), r.uniform(-20, 20), r.choice([0, 1, 2.5]), r.choice([1, 2, 0, -1])
+            for _ in range(r.choice([1, 40, 150])):
+                chars.append((page, x, y, x + 0.5, y + h))
+                x += r.choice([1, 1, 1, 1, -30, 40, -1])
+        assert G.merged_lines(G._boxes(chars)) == G.lines_of(chars)
+
+
 def test_units_under_annotations_of_two_pages_once_and_in_blocks(spark, monkeypatch):
     rect = "array<struct<page:int,x1:double,y1:double,x2:double,y2:double>>"
     r = random.Random(8)
