@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quirelake.operators import geometry as G
 from quirelake.operators import once
 from quirelake.operators import protocol as P
+from quirelake.operators import tasks as K
+from quirelake.operators import views as V
 from quirelake.sources import archives as A
 from quirelake.sources import files, folders, parses
 from quirelake.sources import readers as R
@@ -90,6 +92,25 @@ def test_tasks_that_outlive_their_write_leave_nothing(tmp_path):
         assert not list(tmp_path.iterdir())
 
 
+def test_texts_of_task_folders_are_shuffled_once(spark):
+    """Odd rows too: blocks without an order or twice there, sentences without a block, other types of orders. All of it goes by document in one shuffle."""
+    blocks = [(1, None, "x", "heading", 1, "X"), (1, 0, "a", "paragraph", None, "A"), (1, 2, "b", "heading", 1, "B"), (1, 2, "b2", "paragraph", 1, "B2"), (1, 3, "c", "heading", 2, "C"), (1, 4, "d", "heading", 1, None), (1, 5, "e", "paragraph", 1, "E"), (2, 0, "a", None, 1, "A"), (None, 0, "a", "heading", 1, "A"), (3, 0, "a", "heading", 1, "A")]
+    units = [(1, 5, 1, "e:1", "e1", "z"), (1, 5, 0, "e:0", "e0", None), (1, 0, 0, "a:0", None, None), (1, 2, 0, "b:0", "b", None), (1, 3, 0, "c:0", "c", "z"), (1, 9, 0, "n:0", "n", None), (1, None, 0, "x:0", "x", None), (2, 0, 0, "a:0", "$a$", None), (None, 0, 0, "a:0", "a", None), (4, 0, 0, "a:0", "a", None)]
+    left = spark.createDataFrame(blocks, "doc_id int, ord int, block_id string, kind string, level int, text string").repartition(3)
+    right = spark.createDataFrame(units, "doc_id bigint, ord bigint, idx int, unit_id string, text string, zh string").repartition(3)
+    out = V.sections(left, right)
+    assert dict(out.dtypes)["doc_id"] == "int" and dict(out.dtypes)["paragraphs"].startswith("array<struct<ord:int,block:string,kind:string,units:array<struct<id:string,en:string,zh:string>>>>")
+    got = {(r.doc_id, r.section_no): (r.heading, [(p.ord, p.block, p.kind, [tuple(u) for u in p.units]) for p in r.paragraphs]) for r in out.collect()}
+    end = [(5, "e", "paragraph", [("e:0", "e0", None), ("e:1", "e1", "z")])]
+    b = [(2, "b", "heading", [("b:0", "b", None)]), (2, "b2", "paragraph", [("b:0", "b", None)])]
+    apart = {(1, 1): ("X", [(0, "a", "paragraph", [("a:0", None, None)]), b[1]]), (1, 2): ("B", [b[0], (3, "c", "heading", [("c:0", "c", "z")])])}  # which of two blocks of one order is first is open
+    joined = {(1, 1): ("X", [(0, "a", "paragraph", [("a:0", None, None)])]), (1, 2): ("B", [*b, (3, "c", "heading", [("c:0", "c", "z")])])}
+    rest = {(1, 3): ("B", end), (2, 0): ("(front matter)", [(0, "a", None, [("a:0", "$a$", None)])])}
+    assert got in (apart | rest, joined | rest)
+    plan = K.task_folders(V.sections(left.withColumn("doc_id", F.col("doc_id").cast("bigint")), right), "r")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # ---- archives -----------------------------------------------------------------
 
 
