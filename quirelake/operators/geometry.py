@@ -419,6 +419,10 @@ def merge_parts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             i = j
 
 
+#: Else a filter on the lines is planned below them, with lines of its own.
+merge_parts = merge_parts.asNondeterministic()
+
+
 #: Stands for a sentence without positioned text.
 _NONE = _boxes([(-1, math.nan, 0.0, 0.0, 0.0)])
 

@@ -14,6 +14,7 @@ from quirelake.operators import once
 from quirelake.operators import protocol as P
 from quirelake.operators import tasks as K
 from quirelake.operators import views as V
+from quirelake.plans.derived_queries import sentence_lines
 from quirelake.sources import archives as A
 from quirelake.sources import files, folders, parses
 from quirelake.sources import readers as R
@@ -390,6 +391,12 @@ def test_sentences_keep_text_maps_until_their_lines(spark):
     assert "decode_text_map" not in plan  # no box is shuffled
 
 
+def test_sentences_are_merged_once(spark, sf_dir):
+    """Also where their lines are exploded, which looks for empty ones first."""
+    plan = sentence_lines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Generate posexplode" in plan
+
+
 PARTS = pa.list_(pa.struct([("seg_start", pa.int32()), ("text_map", pa.string()), ("before", pa.int32()), ("n", pa.int32())]))
 
 
